@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.session import table
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+FOREST = 1 << 16
 NONE = np.int32(2**31 - 1)
 SUFFIX = "</w>"
 #: Words of the file's split pattern; white space between them is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-SPACES = r"\p{White_Space}+"
+#: The same for texts of ASCII and the Latin letters from U+00C0 to U+024F, once they are lower case.
+LATIN = r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*"
+LATIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^ \t-\ra-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
 
 
 def byte_characters() -> list[str]:
@@ -69,17 +73,23 @@ class Tokenizer:
         self.plain = np.array([vocab[c] for c in chars], np.int64)
         self.ends = np.array([vocab[c + SUFFIX] for c in chars], np.int64)
         self.words = regex.compile(PATTERN)
-        self.spaces = regex.compile(SPACES)
+        self.latin_words = re.compile(LATIN_PATTERN)
+        self.latin = re.compile(LATIN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.texts = [self.names.get(i, "") for i in range(self.span)]
+        self.numbers = [str(i) for i in range(self.span)]
+        # Two generations of each word's ids and token texts.
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.old: tuple[dict[str, str], dict[str, str]] = ({}, {})
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = a * self.span + b
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where((self.codes[at] == code) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
-    def merge_forest(self, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Final ids of each row. symbols: (words, leaves) ids, -1 beyond a word's length; leaves a power of two."""
+    def merge_forest(self, symbols: np.ndarray, lengths: np.ndarray) -> None:
+        """Merge each row in place. symbols: (words, leaves) ids, -1 beyond a word's length; leaves a power of two."""
         n, leaves = symbols.shape
         rows = np.arange(n)
         # The key orders by rank, then place; a tree is stored level by level from index 1 (the root).
@@ -123,58 +133,75 @@ class Tokenizer:
                 while len(node) and node[0]:
                     tree[rows_, node] = np.minimum(tree[rows_, 2 * node], tree[rows_, 2 * node + 1])
                     node = node >> 1
-        return [s[s >= 0] for s in symbols]
 
     def learn(self, words: list[str]) -> None:
         """Put the words' results (decimal ids joined by spaces, token texts joined by spaces) in the cache."""
-        by_size: dict[int, list[tuple[str, np.ndarray]]] = {}
-        for w in words:
-            raw = np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)
-            by_size.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
-        for leaves, group in by_size.items():
-            step = max(1, (1 << 20) // leaves)
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        starts = np.cumsum(lengths) - lengths
+        size = np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64))
+        for power in np.unique(size):
+            leaves, group = 1 << int(power), np.flatnonzero(size == power)
+            step = max(1, FOREST // leaves)
             for k in range(0, len(group), step):
                 some = group[k : k + step]
+                n = lengths[some]
+                row = np.repeat(np.arange(len(some)), n)
+                col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 symbols = np.full((len(some), leaves), -1, np.int64)
-                for row, (_, raw) in enumerate(some):
-                    symbols[row, : len(raw)] = self.plain[raw]
-                    symbols[row, len(raw) - 1] = self.ends[raw[-1]]
-                lengths = np.array([len(raw) for _, raw in some])
-                for (w, _), ids in zip(some, self.merge_forest(symbols, lengths)):
-                    ids = ids.tolist()
-                    self.cache[w] = (" ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
+                symbols[row, col] = self.plain[data[np.repeat(starts[some], n) + col]]
+                symbols[np.arange(len(some)), n - 1] = self.ends[data[starts[some] + n - 1]]
+                self.merge_forest(symbols, n)
+                flat = symbols[symbols >= 0].tolist()
+                numbers, names = list(map(self.numbers.__getitem__, flat)), list(map(self.texts.__getitem__, flat))
+                at = 0
+                for i, more in zip(some.tolist(), (symbols >= 0).sum(1).tolist()):
+                    self.ids[words[i]] = " ".join(numbers[at : at + more])
+                    self.tokens[words[i]] = " ".join(names[at : at + more])
+                    at += more
 
     def normalized(self, part: str) -> str:
         if not unicodedata.is_normalized("NFC", part):
             part = unicodedata.normalize("NFC", part)
-        part = self.spaces.sub(" ", part)
         # Lower case works a character at a time: no final sigma.
         return "".join(c.lower() for c in part) if "Σ" in part else part.lower()
 
+    def find_words(self, part: str) -> list[str]:
+        """Runs of white space become one space in the normalizer, and the pattern drops them: they are left as they are."""
+        part = self.normalized(part)
+        return (self.latin_words if self.latin.fullmatch(part) else self.words).findall(part)
+
     def split(self, text: str) -> list[str]:
         """Words of a text, special tokens whole."""
-        if self.parts is None or "<|" not in text:
-            return self.words.findall(self.normalized(text))
+        if self.parts is None or not self.parts.search(text):
+            return self.find_words(text)
         out = []
         for part in self.parts.split(text):
-            out += [part] if part in self.special else self.words.findall(self.normalized(part))
+            out += [part] if part in self.special else self.find_words(part)
         return out
 
+    def know(self, words: set[str]) -> None:
+        """Have the words in the young generation; it turns old when it is full."""
+        if len(self.ids) > CACHE_WORDS:
+            self.old, self.ids, self.tokens = (self.ids, self.tokens), {}, {}
+        for word, i in self.special.items():
+            self.ids[word], self.tokens[word] = str(i), word
+        fresh, (ids, tokens) = [], self.old
+        for w in words - self.ids.keys():
+            if w in ids:
+                self.ids[w], self.tokens[w] = ids[w], tokens[w]
+            else:
+                fresh.append(w)
+        if fresh:
+            self.learn(fresh)
+
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids, token texts), each joined by single spaces."""
         split = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for word, i in self.special.items():
-            self.cache[word] = (str(i), word)
-        new = set().union(*split) - self.cache.keys() if split else set()
-        if new:
-            self.learn(list(new))
-        out = []
-        for ws in split:
-            got = list(map(self.cache.__getitem__, ws))
-            out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got])))
-        return out
+        self.know(set().union(*split))
+        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
+        return [(" ".join(map(ids, ws)), " ".join(map(tokens, ws))) for ws in split]
 
     def decode(self, ids: str) -> str:
         """Token texts of decimal ids, as a decoder-less tokenizer joins them."""
