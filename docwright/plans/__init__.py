@@ -1 +1,5 @@
+"""Registered queries and the SQL that checks them."""
 
+FLAGSHIP = ""
+QUERIES: dict = {}
+SQL: dict = {}
