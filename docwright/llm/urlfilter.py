@@ -82,7 +82,7 @@ OP5_SQL = r"""
 WITH caps AS (
   SELECT page_id, url, (page_id * 37 % 365)::INT AS day,
     lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-    list_filter(string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/'), s -> s <> '') AS parts
+    [s FOR s IN string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/') IF s <> ''] AS parts
   FROM pages),
 hosts AS (SELECT DISTINCT host AS h, ('0x' || substr(md5(host), 1, 7))::INT AS x FROM caps WHERE host <> ''),
 domains AS (
@@ -94,8 +94,8 @@ events AS (
   UNION ALL SELECT 'block', h, 100, 250 FROM domains WHERE x % 3 = 0),
 keyed AS (
   SELECT *, unnest(CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_distinct(list_concat(
-    list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, len(parts) + 1), i -> host || '/' || array_to_string(parts[:i], '/')))) END) AS key
+    [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
+    [host || '/' || array_to_string(parts[:i], '/') FOR i IN range(1, len(parts) + 1)])) END) AS key
   FROM caps),
 met AS (
   SELECT k.page_id, count(*) AS n_active, max(ROW(length(e.pattern), (e.list = 'allow')::INT, e.pattern, e.list)) AS best
