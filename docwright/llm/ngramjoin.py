@@ -33,6 +33,8 @@ LAST_ID = 2**63 - 1
 CACHE_WORDS = 400_000
 PARITY_WORDS = 8
 CLASS_RATIO = 1.5
+#: So many ids, 8 bytes each, may be broadcast.
+BROADCAST_IDS = 1_000_000
 U64 = np.uint64
 #: Odd multipliers of the hash mixing.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -175,7 +177,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = saved(spread.join(shared, "key"), "members")
     involved = member.select(F.col("rep").alias("ord_id")).distinct()
     light = saved(sk.select("ord_id", "n", "parity").join(reps, ["ord_id", "n"], "left_semi").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
-    sets = saved(shingle_sets(rows.join(light.select("ord_id"), "ord_id", "left_semi"), n).dropDuplicates(["ord_id"]), "sets")
+    ids = light.select("ord_id")
+    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
+        ids = F.broadcast(ids)
+    sets = saved(shingle_sets(rows.join(ids, "ord_id", "left_semi"), n).dropDuplicates(["ord_id"]), "sets")
 
     def near(a: str, b: str) -> Column:
         both = F.col(f"n{a}") + F.col(f"n{b}")
