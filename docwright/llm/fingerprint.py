@@ -1,6 +1,6 @@
 """Document fingerprints with native expressions only: a Merkle tree over paragraphs and sections.
 
-Leaves are pieces of a paragraph (up to 120 characters and a run of sentence ends), paragraphs
+Leaves are pieces of a paragraph (up to four words, ended early by a sentence end), paragraphs
 are lines, and a section is a run of eight paragraphs. A fingerprint is the text
     root / section hashes / paragraph hashes / leaf hashes by paragraph
 so equal roots mean equal texts, and where roots differ the differing sections, paragraphs and
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from docwright.session import shuffle_partitions, table
 
-LEAF = r"[^.!?|]{1,120}[.!?|]*|[.!?|]+"
+LEAF = r"(?:[^\s.!?|]{1,60}[ \t]*){1,4}[.!?|]*\s*|[\s.!?|]+"
 FAN = 8
 FIRST_ID = -(2**63)
 

@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docwright.llm.labelled import Adam, held_out, labelled_sample, sigmoid
 from docwright.session import table
 
-LABELLED = 4000
+LABELLED = 8000
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 SHOWN = 0.3
+PRIOR = 4
 CACHE_WORDS = 150_000
 BLOCK_WORDS = 100_000
 PAD = 2
@@ -73,7 +74,7 @@ def conv(parts: list[np.ndarray], bias: np.ndarray, pads: np.ndarray) -> np.ndar
 
 def packed(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word rows of several texts with PAD pad rows after each: rows, starts, whether a pad."""
-    pad = np.zeros((PAD, 3), np.int64)
+    pad = np.zeros((PAD, 3), np.int32)
     rows = np.concatenate([x for words in lists for x in (words, pad)]) if lists else pad[:0]
     sizes = np.array([len(x) + PAD for x in lists])
     starts = np.cumsum(sizes) - sizes
@@ -97,12 +98,12 @@ class Net:
 
     def start_from(self, lists: list[np.ndarray], y: np.ndarray) -> None:
         """Axis 0: smoothed log-odds of each row in texts of either label; the first filter reads it."""
-        seen = np.ones((2, ROWS))
+        n = np.array([(y == 0).sum(), (y == 1).sum()])
+        seen = np.repeat(PRIOR * n[:, None] / n.sum(), ROWS, 1)  # prior texts, divided as the labels are
         for words, label in zip(lists, y):
             seen[int(label), np.unique(words)] += 1
-        n = np.array([(y == 0).sum(), (y == 1).sum()]) + 2.0
         odds = np.log(seen[1] / n[1]) - np.log(seen[0] / n[0])
-        rare = seen.sum(0) < 4
+        rare = seen.sum(0) < PRIOR + 2
         odds[rare] = 0
         odds[0] = 0
         self.table[:, 0] = np.clip(odds, -4, 4) * 0.5
@@ -177,7 +178,7 @@ class Net:
 
 def fit(labelled: pd.DataFrame) -> Net:
     net = Net()
-    lists = [np.array([word_rows(w) for w in tokens(t)], np.int64).reshape(-1, 3) for t in labelled["text"]]
+    lists = [np.array([word_rows(w) for w in tokens(t)], np.int32).reshape(-1, 3) for t in labelled["text"]]
     y = labelled["_y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         net.constant = 0.0 if not len(y) else float(y[0])
