@@ -80,8 +80,8 @@ CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 10) || '…' ELSE p_type EN
 SELECT coalesce(new, l_suppkey) AS source, count(*) AS edges, count(DISTINCT l_partkey) AS targets FROM lineitem LEFT JOIN m ON l_suppkey = s_suppkey GROUP BY 1""",
     "visible_edges": "SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation WHERE n_nationkey <> 3 AND n_regionkey < 3",
     "document_kinds": r"""WITH s AS (SELECT doc_id, (CASE WHEN regexp_matches(lower(text), 'total|worthless') THEN 4 ELSE 0 END) AS a,
-(CASE WHEN regexp_matches(lower(text), '\bthe\b') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(lower(text), '\band\b') THEN 1 ELSE 0 END) AS b,
-(CASE WHEN regexp_matches(lower(text), '\bdes\b') THEN 3 ELSE 0 END) AS c, (CASE WHEN regexp_matches(lower(text), '\bund\b') THEN 3 ELSE 0 END) AS d FROM documents),
+(CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])the([^\p{L}]|$)') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])and([^\p{L}]|$)') THEN 1 ELSE 0 END) AS b,
+(CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])des([^\p{L}]|$)') THEN 3 ELSE 0 END) AS c, (CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])und([^\p{L}]|$)') THEN 3 ELSE 0 END) AS d FROM documents),
 m AS (SELECT *, greatest(a, b, c, d) AS score FROM s)
 SELECT doc_id, CASE WHEN score < 3 THEN 'disclosure' WHEN a = score THEN 'invoice' WHEN b = score THEN 'letter' WHEN c = score THEN 'mémoire' ELSE 'bericht' END AS kind,
 score, round(CASE WHEN score < 3 THEN 0.2::DOUBLE ELSE least(score / 25, 1.0) END, 6) AS confidence FROM m""",

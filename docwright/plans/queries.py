@@ -8,7 +8,8 @@ from docwright.functions import text as T
 from docwright.operators import chunking, citations as cites, evaluation, extraction, retrieval, tables
 from docwright.session import table
 
-RULES = [("invoice", "total|worthless", 4), ("letter", r"\bthe\b", 2), ("letter", r"\band\b", 1), ("mémoire", r"\bdes\b", 3), ("bericht", r"\bund\b", 3)]
+_word = r"(^|[^\p{{L}}]){}([^\p{{L}}]|$)".format
+RULES = [("invoice", "total|worthless", 4), ("letter", _word("the"), 2), ("letter", _word("and"), 1), ("mémoire", _word("des"), 3), ("bericht", _word("und"), 3)]
 
 
 def _benchmark(spark, d):
