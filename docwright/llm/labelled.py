@@ -50,14 +50,15 @@ class Adam:
             p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of a logistic regression; classes count alike. One class alone teaches nothing: all zero."""
-    w, b = np.zeros(x.shape[1]), np.zeros(1)
+    x = np.ascontiguousarray(x, np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.zeros(1, np.float32)
     if len(y) == 0 or y.min() == y.max():
         return w, b
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     adam = Adam([w, b], rate)
     for _ in range(steps):
-        g = (sigmoid(x @ w + b) - y) * weight
+        g = ((sigmoid(x @ w + b) - y) * weight).astype(np.float32)
         adam.step([x.T @ g + l2 * w, np.array([g.sum()])])
     return w, b

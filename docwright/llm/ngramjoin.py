@@ -8,8 +8,8 @@ agree: equal slices are the pigeonhole candidates. Sets near a class's end also
 class. A slice without shingles is no key, unless a set has n - d or more of them.
 
 Candidates are not expanded into all pairs of a slice. Equal sets are one class with one
-representative. Each shared slice then links its members to its leader, the member most shared
-overall; verified links join components; only slices that still hold several components are
+representative. Each shared slice has a leader, the member most shared overall, and a member is
+compared to the foremost leader of its slices; verified links join components; only slices that still hold several components are
 compared pairwise, across components and under the Hamming bound, and verified exactly. No link
 between components can be missed, and a group of near copies costs about its own size.
 
@@ -173,7 +173,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = saved(sk.select("ord_id", "hi", "lo", "n").join(classes, ["hi", "lo", "n"]).select("ord_id", "n", "rep"), "classes")
     reps = known.filter("ord_id = rep").select("ord_id", "n").distinct()
     spread = sk.join(reps, ["ord_id", "n"], "left_semi").select(F.explode("keys").alias("key"), F.col("ord_id").alias("rep"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("_a"), F.max("rep").alias("_b")).filter("_a <> _b").select("key", "many")
+    shared = spread.groupBy("key").agg(F.min("rep").alias("_a"), F.max("rep").alias("_b")).filter("_a <> _b").select("key")
     member = saved(spread.join(shared, "key"), "members")
     involved = member.select(F.col("rep").alias("ord_id")).distinct()
     light = saved(sk.select("ord_id", "n", "parity").join(reps, ["ord_id", "n"], "left_semi").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
@@ -196,10 +196,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
         return met.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both")).filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
 
-    mass = member.groupBy("rep").agg(F.sum("many").alias("mass"))
+    many = member.groupBy("key").agg(F.count("*").alias("many"))
+    mass = member.join(many, "key").groupBy("rep").agg(F.sum("many").alias("mass"))
     ranked = member.join(mass, "rep")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
-    stars = member.join(leaders, "key").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"))).alias("top"))
+    # Its foremost leader is enough for a member: what that misses, the comparison across components finds.
+    own = member.join(leaders, "key").groupBy("rep").agg((-F.max("top")["minus"]).alias("leader"))
+    stars = own.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").filter(near("a", "b")).select("a", "b")
     same = known.select(F.col("ord_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     links = saved(verified(stars), "links")
