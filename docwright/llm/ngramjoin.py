@@ -7,6 +7,10 @@ U, linked sets differ in at most d = U * 2(1-t)/(1+t) shingles, so of n > d slic
 agree: equal slices are the pigeonhole candidates. Sets near a class's end also enter the next
 class. A slice without shingles is no key, unless a set has n - d or more of them.
 
+Keys travel once, packed by bucket of the key space: a batch of documents gives each bucket one
+row, and a bucket's rows yield the keys that several sets have. Of a key that several sets of a
+batch share one pair stands for the batch, so a bucket's size is bounded by the batches.
+
 Candidates are not expanded into all pairs of a slice. Equal sets are one class with one
 representative. Each shared slice has a leader, the member most shared overall, and a member is
 compared to the foremost leader of its slices; verified links join components; only slices that still hold several components are
@@ -27,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docwright.session import saved, table
+from docwright.session import saved, shuffle_partitions, table
 
 LAST_ID = 2**63 - 1
 CACHE_WORDS = 400_000
@@ -35,6 +39,8 @@ PARITY_WORDS = 8
 CLASS_RATIO = 1.5
 #: So many ids, 8 bytes each, may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: So many keys are packed at once, and so many shingles give a bucket of keys.
+FLUSH_KEYS, BUCKET_WORDS = 1_000_000, 8_000_000
 U64 = np.uint64
 #: Odd multipliers of the hash mixing.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -110,30 +116,91 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "ord_id long, n long, hi long, lo long, parity array<long>, keys array<long>"
+SKETCH = "ord_id long, n long, hi long, lo long, parity array<long>"
+BLOB = "bucket long, keys binary, ids binary"
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for frame in frames:
+            rows = []
+            for id_, text in zip(frame["ord_id"], frame["_text"]):
+                s = shingle_set(text, n, hashes)
+                a, b = _mix(s, 3), _mix(s, 4)
+                rows.append((id_, len(s), int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(s) else 0, parity(s)))
+            yield pd.DataFrame(rows, columns=["ord_id", "n", "hi", "lo", "parity"])
+
+    return docs.mapInPandas(run, SKETCH)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Byte planes, the highest first: of sorted or small numbers the shuffle's compression keeps only the low ones."""
+    return numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(">u8").ravel().astype(U64)
+
+
+def blobs(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pd.DataFrame:
+    """A row for each bucket with its pairs. A key that several sets here share has one pair there; all of its pairs go to a bucket below 0 that differs by batch."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    same = np.append(False, keys[1:] == keys[:-1])
+    shared = same | np.append(same[1:], False)
+    rows, salt = [], int(keys[0] ^ ids[0]) % buckets
+    for known, take in ((False, ~same), (True, shared)):
+        k, i = keys[take], ids[take]
+        at = ((k >> U64(32)) * U64(buckets)) >> U64(32)
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
+        for lo, hi in zip(starts, [*starts[1:], len(at)]):
+            bucket = -1 - (int(at[lo]) + salt) % buckets if known else int(at[lo])
+            rows.append((bucket, pack(k[lo:hi]), pack(i[lo:hi])))
+    return pd.DataFrame(rows, columns=["bucket", "keys", "ids"])
+
+
+def key_blobs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     t = percent / 100
     limits = limits_for(t)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, keys, ids, held = WordHashes(), [], [], 0
         for frame in frames:
-            rows = []
             for id_, text in zip(frame["ord_id"], frame["_text"]):
                 s = shingle_set(text, n, hashes)
-                k, size = class_of(len(s), limits), len(s)
-                keys = [np.empty(0, U64)]
+                k, size, own = class_of(len(s), limits), len(s), []
                 if size and k:
-                    keys.append(slice_keys(s, k, limits, t))
+                    own.append(slice_keys(s, k, limits, t))
                 if size and 100 * (limits[k] + 1) * percent <= 100 * 100 * size:
-                    keys.append(slice_keys(s, k + 1, limits, t))
-                a, b = _mix(s, 3), _mix(s, 4)
-                rows.append((id_, size, int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if size else 0, parity(s), np.concatenate(keys).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["ord_id", "n", "hi", "lo", "parity", "keys"])
+                    own.append(slice_keys(s, k + 1, limits, t))
+                for x in own:
+                    keys.append(x)
+                    ids.append(np.full(len(x), id_, np.int64).view(U64))
+                    held += len(x)
+                if held >= FLUSH_KEYS:
+                    yield blobs(np.concatenate(keys), np.concatenate(ids), buckets)
+                    keys, ids, held = [], [], 0
+        if held:
+            yield blobs(np.concatenate(keys), np.concatenate(ids), buckets)
 
-    return docs.mapInPandas(run, SKETCH)
+    return docs.mapInPandas(run, BLOB)
+
+
+def shared_keys(packed: DataFrame) -> DataFrame:
+    """(key, rep): the pairs whose key several sets have."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, ids = np.concatenate([unpack(x) for x in frame["keys"]]), np.concatenate([unpack(x) for x in frame["ids"]])
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+        keys, ids = keys[first], ids[first]
+        same = np.append(False, keys[1:] == keys[:-1])
+        shared = same | np.append(same[1:], False)
+        return pd.DataFrame({"key": keys[shared].view(np.int64), "rep": ids[shared].view(np.int64)})
+
+    return packed.groupBy("bucket").applyInPandas(run, "key long, rep long")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -165,22 +232,24 @@ def _hamming(a: str, b: str) -> Column:
     return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """The ids, broadcast up to a checked count; beyond it the texts are shuffled to them."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(ord_id, n, component): a row for each row of docs; ord_id is the id, or LAST_ID for a null one."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord_id"), F.col(text_col).alias("_text"))
-    sk = saved(sketches(rows, n, percent), "sketches")
+    sk = saved(sketches(rows, n), "sketches")
     classes = sk.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("ord_id").alias("rep"))
     known = saved(sk.select("ord_id", "hi", "lo", "n").join(classes, ["hi", "lo", "n"]).select("ord_id", "n", "rep"), "classes")
-    reps = known.filter("ord_id = rep").select("ord_id", "n").distinct()
-    spread = sk.join(reps, ["ord_id", "n"], "left_semi").select(F.explode("keys").alias("key"), F.col("ord_id").alias("rep"))
-    shared = spread.groupBy("key").agg(F.min("rep").alias("_a"), F.max("rep").alias("_b")).filter("_a <> _b").select("key")
-    member = saved(spread.join(shared, "key"), "members")
+    reps = known.filter("ord_id = rep").select("ord_id").distinct()
+    copies = saved(known.filter("ord_id <> rep").select("ord_id").distinct().join(reps, "ord_id", "left_anti"), "copies")
+    words = sk.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(docs.sparkSession), words // BUCKET_WORDS)
+    member = saved(shared_keys(key_blobs(rows.join(_sized(copies), "ord_id", "left_anti"), n, percent, buckets)), "members")
     involved = member.select(F.col("rep").alias("ord_id")).distinct()
-    light = saved(sk.select("ord_id", "n", "parity").join(reps, ["ord_id", "n"], "left_semi").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
-    ids = light.select("ord_id")
-    if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
-        ids = F.broadcast(ids)
-    sets = saved(shingle_sets(rows.join(ids, "ord_id", "left_semi"), n).dropDuplicates(["ord_id"]), "sets")
+    light = saved(sk.select("ord_id", "n", "parity").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
 
     def near(a: str, b: str) -> Column:
         both = F.col(f"n{a}") + F.col(f"n{b}")
@@ -191,6 +260,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity."""
+        pairs = saved(pairs, "pairs")
+        ids = saved(pairs.select(F.col("a").alias("ord_id")).union(pairs.select("b")).distinct(), "ids")
+        sets = saved(shingle_sets(rows.join(_sized(ids), "ord_id", "left_semi"), n), "sets")
+        if sets.count() > ids.count():  # repeated ids are one document
+            sets = saved(sets.dropDuplicates(["ord_id"]), "sets")
         full = lambda x: sets.select(F.col("ord_id").alias(x), F.col("shingles").alias(f"s{x}"))
         met = pairs.join(full("a"), "a").join(full("b"), "b")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
