@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches, and the groups of near copies it links.
 
-A document's set is its distinct word shingles as 64-bit hashes. Two sketches are kept: 512
-parity bits (a shingle flips one), whose Hamming distance never exceeds the symmetric difference,
-and one XOR of shingle hashes per hash slice. Sets are classed by size; in a class of sizes up to
+A document's set is its distinct word shingles as 64-bit hashes. Two sketches are kept: parity
+bits (a shingle flips one), as many as the set's size and at least 512, whose Hamming distance
+never exceeds the symmetric difference, and one XOR of shingle hashes per hash slice. Sets are classed by size; in a class of sizes up to
 U, linked sets differ in at most d = U * 2(1-t)/(1+t) shingles, so of n > d slices at least n - d
 agree: equal slices are the pigeonhole candidates. Sets near a class's end also enter the next
 class. A slice without shingles is no key, unless a set has n - d or more of them.
@@ -35,7 +35,7 @@ from docwright.session import saved, shuffle_partitions, table
 
 LAST_ID = 2**63 - 1
 CACHE_WORDS = 400_000
-PARITY_WORDS = 8
+LEAST_BITS = 9
 CLASS_RATIO = 1.5
 #: So many ids, 8 bytes each, may be broadcast.
 BROADCAST_IDS = 1_000_000
@@ -111,8 +111,9 @@ def slice_keys(shingles: np.ndarray, k: int, limits: list[int], t: float) -> np.
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    bits = PARITY_WORDS * 64
-    odd = np.bincount((_mix(shingles, 2) >> U64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    """One to two bits a shingle, a power of two of them: halves XORed give the sketch of half the size."""
+    bits = 1 << max(LEAST_BITS, int(len(shingles) - 1).bit_length())
+    odd = np.bincount((_mix(shingles, 2) >> U64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -229,7 +230,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hamming(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
+    """The differing bits; the sketches of linked sets have the same size or one has twice the other's."""
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
+    least = lambda x, y: F.when(F.size(x) > F.size(y), folded(x)).otherwise(F.col(x))
+    return F.aggregate(F.zip_with(least(a, b), least(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -251,13 +256,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     involved = member.select(F.col("rep").alias("ord_id")).distinct()
     light = saved(sk.select("ord_id", "n", "parity").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
 
-    def near(a: str, b: str) -> Column:
-        both = F.col(f"n{a}") + F.col(f"n{b}")
-        fit = 100 * F.least(f"n{a}", f"n{b}") >= percent * F.greatest(f"n{a}", f"n{b}")
-        return fit & (_hamming(f"p{a}", f"p{b}") * (100 + percent) <= both * (100 - percent))
-
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     side = lambda x: light.select(F.col("ord_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and parity sketches allow the similarity."""
+        bound = _hamming("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(F.when(fit, bound)).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity."""
         pairs = saved(pairs, "pairs")
@@ -277,17 +283,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Its foremost leader is enough for a member: what that misses, the comparison across components finds.
     own = member.join(leaders, "key").groupBy("rep").agg((-F.max("top")["minus"]).alias("leader"))
     stars = own.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(near("a", "b")).select("a", "b")
     same = known.select(F.col("ord_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    links = saved(verified(stars), "links")
+    links = saved(verified(near(stars)), "links")
     comp = components(links)
     placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     placed = saved(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    left = placed.join(mixed, "key").join(light.withColumnRenamed("ord_id", "rep"), "rep")
-    one = lambda x: left.select("key", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
-    cross = one("a").join(one("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("a", "b"))
-    rest = saved(verified(cross.select("a", "b").distinct()), "links")
+    left = placed.join(mixed, "key").join(light.select(F.col("ord_id").alias("rep"), "n"), "rep")
+    one = lambda x: left.select("key", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
+    cross = one("a").join(one("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit)
+    rest = saved(verified(near(cross.select("a", "b").distinct())), "links")
     final = components(links.union(rest).union(same))
     found = sk.select("ord_id", "n").join(final, sk["ord_id"] == final["node"], "left")
     return found.select("ord_id", "n", F.coalesce("comp", "ord_id").alias("component"))
