@@ -3,9 +3,12 @@
 A document's set is its distinct word shingles as 64-bit hashes. Two sketches are kept: parity
 bits (a shingle flips one), as many as the set's size and at least 512, whose Hamming distance
 never exceeds the symmetric difference, and one XOR of shingle hashes per hash slice. Sets are classed by size; in a class of sizes up to
-U, linked sets differ in at most d = U * 2(1-t)/(1+t) shingles, so of n > d slices at least n - d
+U, linked sets differ in at most d = U * 2(1-t)/(1+t) shingles, so of n = 1.5 d slices at least n - d
 agree: equal slices are the pigeonhole candidates. Sets near a class's end also enter the next
-class. A slice without shingles is no key, unless a set has n - d or more of them.
+class. As n - d slices agree, every set may leave out the n - d - 1 first of its slices in one
+order of all keys: those without shingles, then the most frequent keys. The agreeing slices stand
+in the same order in both sets, so one of them is left. A set that shares fewer than n - d keys
+with others goes without comparison, and keys from common passages make few pairs.
 
 Keys travel once, packed by bucket of the key space: a batch of documents gives each bucket one
 row, and a bucket's rows yield the keys that several sets have. Of a key that several sets of a
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from docwright.session import saved, shuffle_partitions, table
 
@@ -96,18 +99,32 @@ def allowed(size: int, t: float) -> int:
     return math.floor(size * 2 * (1 - t) / (1 + t) + 1e-9)
 
 
-def slice_keys(shingles: np.ndarray, k: int, limits: list[int], t: float) -> np.ndarray:
+def slices(shingles: np.ndarray, k: int, limits: list[int], t: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """The slices' starts, which of them have shingles, how many keys a linked set shares, and whether the empty ones are keys."""
     d = allowed(limits[k], t)
-    n = d + 1 + max(1, d // 16)
+    n = d + 1 + d // 2
     edges = np.arange(n, dtype=U64) * U64((2**64 - 1) // n)
     starts = np.searchsorted(shingles, edges)
     full = np.append(starts[1:], len(shingles)) > starts
-    words = np.zeros(n, U64)
+    empty = n - int(full.sum())
+    return starts, full, n - d - (empty if empty < n - d else 0), empty >= n - d
+
+
+def slice_keys(shingles: np.ndarray, k: int, limits: list[int], t: float) -> np.ndarray:
+    """The keys in class k; the lowest bit is the class's."""
+    starts, full, _, every = slices(shingles, k, limits, t)
+    words = np.zeros(len(starts), U64)
     if full.any():
         words[full] = np.bitwise_xor.reduceat(_mix(shingles, 3), starts[full])
-    at = _mix(np.arange(n, dtype=U64) + U64(k << 40), 4)
-    keys = _mix(words ^ at, 5)
-    return keys if n - full.sum() >= n - d else keys[full]
+    at = _mix(np.arange(len(starts), dtype=U64) + U64(k << 40), 4)
+    keys = _mix(words ^ at, 5) & ~U64(1) | U64(k & 1)
+    return keys if every else keys[full]
+
+
+def classes_of(size: int, limits: list[int], percent: int) -> list[int]:
+    """The classes a set enters: its own, unless only equal sets link there, and the next if sets there are near enough."""
+    k = class_of(size, limits)
+    return [k] * bool(size and k) + [k + 1] * bool(size and (limits[k] + 1) * percent <= 100 * size)
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -117,20 +134,26 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "ord_id long, n long, hi long, lo long, parity array<long>"
+SKETCH = "ord_id long, n long, hi long, lo long, parity array<long>, need array<long>"
 BLOB = "bucket long, keys binary, ids binary"
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
+def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    t = percent / 100
+    limits = limits_for(t)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
             rows = []
             for id_, text in zip(frame["ord_id"], frame["_text"]):
                 s = shingle_set(text, n, hashes)
+                need = [0, 0]
+                for k in classes_of(len(s), limits, percent):
+                    need[k & 1] = slices(s, k, limits, t)[2]
                 a, b = _mix(s, 3), _mix(s, 4)
-                rows.append((id_, len(s), int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(s) else 0, parity(s)))
-            yield pd.DataFrame(rows, columns=["ord_id", "n", "hi", "lo", "parity"])
+                rows.append((id_, len(s), int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(s) else 0, parity(s), need))
+            yield pd.DataFrame(rows, columns=["ord_id", "n", "hi", "lo", "parity", "need"])
 
     return docs.mapInPandas(run, SKETCH)
 
@@ -170,11 +193,7 @@ def key_blobs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         for frame in frames:
             for id_, text in zip(frame["ord_id"], frame["_text"]):
                 s = shingle_set(text, n, hashes)
-                k, size, own = class_of(len(s), limits), len(s), []
-                if size and k:
-                    own.append(slice_keys(s, k, limits, t))
-                if size and 100 * (limits[k] + 1) * percent <= 100 * 100 * size:
-                    own.append(slice_keys(s, k + 1, limits, t))
+                own = [slice_keys(s, k, limits, t) for k in classes_of(len(s), limits, percent)]
                 for x in own:
                     keys.append(x)
                     ids.append(np.full(len(x), id_, np.int64).view(U64))
@@ -245,14 +264,20 @@ def _sized(ids: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(ord_id, n, component): a row for each row of docs; ord_id is the id, or LAST_ID for a null one."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord_id"), F.col(text_col).alias("_text"))
-    sk = saved(sketches(rows, n), "sketches")
+    sk = saved(sketches(rows, n, percent), "sketches")
     classes = sk.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("ord_id").alias("rep"))
     known = saved(sk.select("ord_id", "hi", "lo", "n").join(classes, ["hi", "lo", "n"]).select("ord_id", "n", "rep"), "classes")
     reps = known.filter("ord_id = rep").select("ord_id").distinct()
     copies = saved(known.filter("ord_id <> rep").select("ord_id").distinct().join(reps, "ord_id", "left_anti"), "copies")
     words = sk.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(shuffle_partitions(docs.sparkSession), words // BUCKET_WORDS)
-    member = saved(shared_keys(key_blobs(rows.join(_sized(copies), "ord_id", "left_anti"), n, percent, buckets)), "members")
+    shared = saved(shared_keys(key_blobs(rows.join(_sized(copies), "ord_id", "left_anti"), n, percent, buckets)), "shared")
+    often = shared.groupBy("key").agg(F.count("*").alias("many"))
+    class_bit = F.col("key").bitwiseAND(F.lit(1))
+    needs = sk.select(F.col("ord_id").alias("rep"), F.posexplode("need").alias("bit", "need")).groupBy("rep", "bit").agg(F.min("need").alias("need"))
+    nth = F.row_number().over(W.partitionBy("rep", "bit").orderBy(F.desc("many"), "key"))
+    member = shared.join(often, "key").withColumn("bit", class_bit.cast("int")).withColumn("nth", nth)
+    member = saved(member.join(needs, ["rep", "bit"]).filter("nth >= need").select("key", "rep"), "members")
     involved = member.select(F.col("rep").alias("ord_id")).distinct()
     light = saved(sk.select("ord_id", "n", "parity").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
 
