@@ -37,13 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from docwright.session import saved, shuffle_partitions, table
 
 LAST_ID = 2**63 - 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LEAST_BITS = 9
 CLASS_RATIO = 1.5
 #: So many ids, 8 bytes each, may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: So many keys are packed at once, and so many shingles give a bucket of keys.
-FLUSH_KEYS, BUCKET_WORDS = 1_000_000, 8_000_000
+FLUSH_KEYS, BUCKET_WORDS = 500_000, 8_000_000
 U64 = np.uint64
 #: Odd multipliers of the hash mixing.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -253,7 +253,10 @@ def _hamming(a: str, b: str) -> Column:
     half = lambda x: (F.size(x) / 2).cast("int")
     folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda u, v: u.bitwiseXOR(v))
     least = lambda x, y: F.when(F.size(x) > F.size(y), folded(x)).otherwise(F.col(x))
-    return F.aggregate(F.zip_with(least(a, b), least(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    words = 2**LEAST_BITS // 64
+    short = sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(words)), F.lit(0))
+    long = F.aggregate(F.zip_with(least(a, b), least(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda u, v: u + v)
+    return F.when((F.size(a) == words) & (F.size(b) == words), short).otherwise(long)
 
 
 def _sized(ids: DataFrame) -> DataFrame:
@@ -284,10 +287,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     side = lambda x: light.select(F.col("ord_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
 
+    bound = F.when(fit, _hamming("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and parity sketches allow the similarity."""
-        bound = _hamming("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(F.when(fit, bound)).select("a", "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(bound).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity."""
@@ -314,10 +318,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     placed = saved(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    left = placed.join(mixed, "key").join(light.select(F.col("ord_id").alias("rep"), "n"), "rep")
-    one = lambda x: left.select("key", F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"))
-    cross = one("a").join(one("b"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fit)
-    rest = saved(verified(near(cross.select("a", "b").distinct())), "links")
+    left = placed.join(mixed, "key").join(light.withColumnRenamed("ord_id", "rep"), "rep")
+    one = lambda x: left.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    # The bound is part of the join: pairs beyond it are not made.
+    cross = one("a").join(one("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound)
+    rest = saved(verified(cross.select("a", "b").distinct()), "links")
     final = components(links.union(rest).union(same))
     found = sk.select("ord_id", "n").join(final, sk["ord_id"] == final["node"], "left")
     return found.select("ord_id", "n", F.coalesce("comp", "ord_id").alias("component"))
