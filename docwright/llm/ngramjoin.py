@@ -40,6 +40,7 @@ LAST_ID = 2**63 - 1
 CACHE_WORDS = 200_000
 LEAST_BITS = 9
 CLASS_RATIO = 1.5
+STAR_ROUNDS = 2
 #: So many ids, 8 bytes each, may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: So many keys are packed at once, and so many shingles give a bucket of keys.
@@ -314,10 +315,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = own.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     same = known.select(F.col("ord_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     links = saved(verified(near(stars)), "links")
-    comp = components(links)
-    placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    placed = saved(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
+    for turn in range(STAR_ROUNDS + 1):
+        comp = components(links)
+        placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        placed = saved(placed, "placed")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
+        if turn == STAR_ROUNDS:
+            break
+        # Another leader each time joins most of a group, so that few pairs are left for the comparison across components.
+        split = placed.join(mixed, "key")
+        top = split.groupBy("key").agg(F.max(F.struct(F.xxhash64("rep", F.lit(turn)).alias("draw"), F.col("rep").alias("leader"), F.col("comp").alias("its"))).alias("top"))
+        own = split.join(top, "key").filter(F.col("comp") != F.col("top")["its"]).groupBy("rep").agg(F.max("top")["leader"].alias("leader"))
+        stars = own.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        more = saved(verified(near(stars)), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
     left = placed.join(mixed, "key").join(light.withColumnRenamed("ord_id", "rep"), "rep")
     one = lambda x: left.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     # The bound is part of the join: pairs beyond it are not made.
