@@ -16,7 +16,8 @@ batch share one pair stands for the batch, so a bucket's size is bounded by the
 
 Candidates are not expanded into all pairs of a slice. Equal sets are one class with one
 representative. Each shared slice has a leader, the member most shared overall, and a member is
-compared to the foremost leader of its slices; verified links join components; only slices that still hold several components are
+compared to the foremost leader of its slices; verified links join components. While slices still hold many pairs across
+components, each takes a random leader in up to two further rounds. Slices that hold several components after that are
 compared pairwise, across components and under the Hamming bound, and verified exactly. No link
 between components can be missed, and a group of near copies costs about its own size.
 
@@ -42,6 +43,8 @@ LEAST_BITS = 9
 CLASS_RATIO = 1.5
 #: So many ids, 8 bytes each, may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: So many further rounds of leaders at most, while slices would make so many comparisons a row.
+ROUNDS, CROSS_A_ROW = 2, 16
 #: So many keys are packed at once, and so many shingles give a bucket of keys.
 FLUSH_KEYS, BUCKET_WORDS = 500_000, 8_000_000
 U64 = np.uint64
@@ -314,11 +317,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = own.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     same = known.select(F.col("ord_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     links = saved(verified(near(stars)), "links")
-    comp = components(links)
-    placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    placed = saved(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    left = placed.join(mixed, "key").join(light.withColumnRenamed("ord_id", "rep"), "rep")
+    for turn in range(ROUNDS + 1):
+        comp = components(links)
+        placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        placed = saved(placed, "placed")
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("many"), (F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("cross"))
+        mixed = saved(parts.filter("cross > 0"), "mixed")
+        held, work = mixed.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0))).first()
+        if turn == ROUNDS or work <= CROSS_A_ROW * held:
+            break
+        # A random leader for each slice: what is dense grows together in a few rounds at a cost of the slices' own size.
+        dealt = placed.join(mixed.select("key"), "key")
+        top = dealt.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("key", "rep", F.lit(turn))).alias("top"))
+        met = dealt.join(top, "key").filter("comp <> top.comp").select(F.least("rep", "top.rep").alias("a"), F.greatest("rep", "top.rep").alias("b")).distinct()
+        more = saved(verified(near(met)), "links")
+        if more.isEmpty():
+            break
+        links = saved(links.union(more), "links")
+    left = placed.join(mixed.select("key"), "key").join(light.withColumnRenamed("ord_id", "rep"), "rep")
     one = lambda x: left.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     # The bound is part of the join: pairs beyond it are not made.
     cross = one("a").join(one("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound)
