@@ -61,3 +61,29 @@ def with_budget(rows: DataFrame, group: str, order: list, tokens: str, most: int
     """Rows of each group while the running sum of tokens stays within the budget."""
     run = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("used", F.sum(tokens).over(run)).filter(F.col("used") <= most)
+
+
+def update_fields(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows with the fields of `new`, which has one row a key, where those are not null."""
+    fields = [c for c in existing.columns if c != key]
+    n = new.select(key, *[F.col(c).alias(f"_{c}") for c in fields if c in new.columns])
+    return existing.join(n, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c != key and c in new.columns else F.col(c) for c in existing.columns])
+
+
+def children(parents: DataFrame, key: str, suggestions: str, changes: str) -> DataFrame:
+    """(parent, kind, value): a row for each suggestion, and for each changed setting."""
+    general = parents.select(F.col(key).alias("parent"), F.lit("general").alias("kind"), F.explode(suggestions).alias("value"))
+    config = parents.select(F.col(key).alias("parent"), F.explode(changes).alias("k", "v")).select("parent", F.lit("config").alias("kind"), F.concat_ws("=", "k", "v").alias("value"))
+    return general.unionByName(config)
+
+
+def catalog_kpi(records: DataFrame, indexed: str, errored: str) -> DataFrame:
+    """(total, indexed, pending, errored, percent) of records with two flags; a null flag is false."""
+    done, bad = F.coalesce(indexed, F.lit(False)), F.coalesce(errored, F.lit(False))
+    return records.agg(F.count("*").alias("total"), F.count_if(done).alias("indexed"), F.count_if(~done).alias("pending"), F.count_if(bad).alias("errored"), F.round(100.0 * F.count_if(done) / F.nullif(F.count("*"), F.lit(0)), 6).alias("percent"))
+
+
+def scanned(pages: DataFrame, key: str, page: str, text: str, first: int = 3, share: float = 0.8) -> DataFrame:
+    """(key, scanned): whether that share of a document's first pages, numbered from 1, is empty."""
+    empty = (F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0).cast("int")
+    return pages.filter(F.col(page) <= first).groupBy(key).agg((F.avg(empty) >= share).alias("scanned"))

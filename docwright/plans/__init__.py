@@ -1,7 +1,7 @@
 """Registered queries and the SQL that checks them."""
 
-from docwright.plans import queries as _q
-from docwright.plans.oracle import SQL
+from docwright.plans import graph_queries as _g, queries as _q
+from docwright.plans.oracle import SQL as _SQL
 
 FLAGSHIP = "hybrid_search"
 QUERIES = {
@@ -13,4 +13,6 @@ QUERIES = {
         _q.recent_turns, _q.conversation_text, _q.prompt_budget, _q.text_labels, _q.page_text, _q.merged_edges, _q.visible_edges,
     )
 }
+QUERIES |= _g.QUERIES
+SQL = _SQL | _g.SQL
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
