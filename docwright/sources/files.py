@@ -1,4 +1,4 @@
-"""File sources: folders of mail, word-processor and text files become one documents table."""
+"""File sources: folders of mail, word-processor, spreadsheet and text files become one documents table."""
 
 from __future__ import annotations
 
@@ -45,11 +45,61 @@ def parse_docx(raw: bytes) -> tuple[str, dict]:
     return "\n\n".join(x for x in out if x.strip()), {}
 
 
+def sheet_rows(raw: bytes) -> Iterator[tuple[str, list[list[str]]]]:
+    """(name, rows of cell texts) of each sheet of an xlsx workbook, in workbook order; gaps are empty texts."""
+    import io
+    import posixpath
+    import zipfile
+    from xml.etree import ElementTree
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    tree = lambda name: ElementTree.fromstring(book.read(name))
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{main}t"))
+    shared = [text(e) for e in tree("xl/sharedStrings.xml").iter(f"{main}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+    places = {e.get("Id"): posixpath.normpath(posixpath.join("/xl", e.get("Target"))).lstrip("/") for e in tree("xl/_rels/workbook.xml.rels")}
+    for sheet in tree("xl/workbook.xml").iter(f"{main}sheet"):
+        rows = []
+        for row in tree(places[sheet.get(rel)]).iter(f"{main}row"):
+            cells: dict[int, str] = {}
+            for cell in row.iter(f"{main}c"):
+                letters = re.match("[A-Z]*", cell.get("r") or "").group()
+                at = len(cells)
+                if letters:
+                    at = -1
+                    for letter in letters:
+                        at = (at + 1) * 26 + ord(letter) - 65
+                value = cell.find(f"{main}v")
+                kind, found = cell.get("t"), "" if value is None else value.text or ""
+                cells[at] = shared[int(found)] if kind == "s" and found else text(cell) if kind == "inlineStr" else found
+            rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
+        yield sheet.get("name"), rows
+
+
+def parse_sheets(raw: bytes, sample: int = 10) -> tuple[str, dict]:
+    """A paragraph for each sheet: its name, the header row, the first rows, and how many more there are."""
+    out, names = [], []
+    for name, rows in sheet_rows(raw):
+        names.append(name)
+        lines = [f"Sheet: {name}", "=" * 50]
+        if len(rows) < 2:
+            lines += ["(Empty sheet)"]
+        else:
+            shown = rows[1 : sample + 1]
+            lines += [f"Headers: {' | '.join(rows[0])}", f"\nFirst {len(shown)} rows:"]
+            lines += [f"  Row {k}: {' | '.join(r)}" for k, r in enumerate(shown, 1)]
+            if len(rows) - 1 > sample:
+                lines.append(f"\n... ({len(rows) - 1 - sample} more rows)")
+        out.append("\n".join(lines))
+    return "\n\n".join(out), {"sheets": ", ".join(names)}
+
+
 def parse_text(raw: bytes) -> tuple[str, dict]:
     return raw.decode("utf-8", "replace"), {}
 
 
-PARSERS = {"eml": parse_mail, "docx": parse_docx, "txt": parse_text, "md": parse_text}
+PARSERS = {"eml": parse_mail, "docx": parse_docx, "xlsx": parse_sheets, "txt": parse_text, "md": parse_text}
 
 
 def documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
