@@ -102,26 +102,32 @@ def allowed(size: int, t: float) -> int:
     return math.floor(size * 2 * (1 - t) / (1 + t) + 1e-9)
 
 
-def slices(shingles: np.ndarray, k: int, limits: list[int], t: float) -> tuple[np.ndarray, np.ndarray, int, bool]:
-    """The slices' starts, which of them have shingles, how many keys a linked set shares, and whether the empty ones are keys."""
+def slices(shingles: np.ndarray, k: int, limits: list[int], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The slices' starts, which of them have shingles, which are keys, and the first of those by frequency that is kept.
+
+    Slices without shingles come first in the order of all keys, by number, so the n - d - 1 left out are
+    always the first of them, and keys with shingles only where there are fewer.
+    """
     d = allowed(limits[k], t)
     n = d + 1 + d // 2
     edges = np.arange(n, dtype=U64) * U64((2**64 - 1) // n)
     starts = np.searchsorted(shingles, edges)
     full = np.append(starts[1:], len(shingles)) > starts
-    empty = n - int(full.sum())
-    return starts, full, n - d - (empty if empty < n - d else 0), empty >= n - d
+    empty = np.flatnonzero(~full)
+    keys = full.copy()
+    keys[empty[n - d - 1 :]] = True
+    return starts, full, keys, max(1, n - d - len(empty))
 
 
 def slice_keys(shingles: np.ndarray, k: int, limits: list[int], t: float) -> np.ndarray:
     """The keys in class k; the lowest bit is the class's."""
-    starts, full, _, every = slices(shingles, k, limits, t)
+    starts, full, kept, _ = slices(shingles, k, limits, t)
     words = np.zeros(len(starts), U64)
     if full.any():
         words[full] = np.bitwise_xor.reduceat(_mix(shingles, 3), starts[full])
     at = _mix(np.arange(len(starts), dtype=U64) + U64(k << 40), 4)
     keys = _mix(words ^ at, 5) & ~U64(1) | U64(k & 1)
-    return keys if every else keys[full]
+    return keys[kept]
 
 
 def classes_of(size: int, limits: list[int], percent: int) -> list[int]:
@@ -153,7 +159,7 @@ def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 s = shingle_set(text, n, hashes)
                 need = [0, 0]
                 for k in classes_of(len(s), limits, percent):
-                    need[k & 1] = slices(s, k, limits, t)[2]
+                    need[k & 1] = slices(s, k, limits, t)[3]
                 a, b = _mix(s, 3), _mix(s, 4)
                 rows.append((id_, len(s), int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(s) else 0, parity(s), need))
             yield pd.DataFrame(rows, columns=["ord_id", "n", "hi", "lo", "parity", "need"])

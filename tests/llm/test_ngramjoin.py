@@ -60,6 +60,30 @@ def test_chains_and_edges_of_the_threshold(spark):
         assert got == brute(rows, n, percent)
 
 
+def test_short_sets_with_empty_slices(spark):
+    """Sets of 7 to 13 words in 4 slices, of which many are empty, and slices that many sets share."""
+    r, hashes, by_slice = random.Random(7), G.WordHashes(), [[], [], [], []]
+    for i in range(4000):
+        by_slice[int(G.shingle_set(f"w{i}", 1, hashes)[0]) // ((2**64 - 1) // 4)].append(f"w{i}")
+    fresh = [iter(words) for words in by_slice]
+    take = lambda k, m: [next(fresh[k]) for _ in range(m)]
+    sets = []
+    for _ in range(12):
+        p, q, a, b = r.sample(range(4), 4)
+        x = take(p, 4)
+        y = take(q, 4)
+        sets += [x + take(a, 2) + take(b, 2) + take(q, 1) for _ in range(25)]  # they make x more frequent than empty slices
+        sets += [x + y + take(q, 1), x + y + take(a, 1)]  # 8 of 10 words common; slices a and b, or b, are empty
+    for _ in range(6):
+        base = [w for k in r.sample(range(4), 2) for w in take(k, r.randint(3, 6))]
+        for _ in range(3):
+            sets.append([w for w in base if r.random() > 0.08] + take(r.randrange(4), r.randint(0, 1)))
+    rows = [(i, " ".join(s)) for i, s in enumerate(sets)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, G.near_groups(docs, n=1, percent=80).collect())) == brute(rows, 1, 80)
+
+
 def test_sketch_bounds():
     r = np.random.default_rng(1)
     for _ in range(50):
