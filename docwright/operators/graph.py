@@ -19,8 +19,6 @@ EVENT_KINDS = (
     ("transaction", ("paid", "transfer", "transaction", "payment")),
 )
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-#: Texts are resolved by their first letters; names that differ there are not compared.
-BLOCK_LETTERS = 1
 
 
 def _holds(text: Column, words) -> Column:
@@ -115,20 +113,42 @@ def event_kind(context: Column) -> Column:
     return F.coalesce(*[F.when(_holds(context, words), F.lit(kind)) for kind, words in EVENT_KINDS], F.lit("other"))
 
 
+def _rarest(names: DataFrame, text: str, freq: DataFrame, keep: Column) -> DataFrame:
+    """names with rare: the first `keep` of its numbered letters, the rarest first; the order is the same for every name."""
+    spelled = names.select("type", text).distinct()
+    got = spelled.select("type", text, F.explode(_letters(F.col(text))).alias("letter")).join(freq, "letter")
+    got = got.groupBy("type", text).agg(F.sort_array(F.collect_list(F.struct("many", "letter"))).alias("all"))
+    return names.join(got.select("type", text, F.slice(F.transform("all", lambda x: x["letter"]), F.lit(1), keep).alias("rare")), ["type", text])
+
+
+def _letters(text: Column) -> Column:
+    """Each letter with the number of its occurrence, so that common elements of two names count their common letters."""
+    every = F.split(text, "")
+    return F.transform(every, lambda x, i: F.concat(x, F.size(F.filter(F.slice(every, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
 def resolved(mentions: DataFrame, entities: DataFrame, least: float = 0.85) -> DataFrame:
     """(type, name, entity_id, similarity): for each distinct mention the most similar entity of its type, the smallest id on a tie.
 
-    Similarity is the matching-blocks ratio. Equal names meet in a plain join; the rest meet within blocks of
-    type, first letter and a length that the ratio allows, so a block never holds the whole table.
+    Similarity is the matching-blocks ratio. Equal names meet in a plain join. Names of lengths l and m that reach
+    the ratio have at least least * (l + m) / 2 letters in common, and so l * least / (2 - least) and as much of m: one of
+    these is among the rarest letters of both, as many as that leaves. The rest meet by type and such a letter,
+    once a pair, within a length that the ratio allows, so no pair that reaches the ratio is left out.
     """
     asked = mentions.select("type", F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
     known = entities.select("type", "entity_id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("type", "entity_id", F.lower("n").alias("other"))
     equal = asked.join(known, (asked["type"] == known["type"]) & (asked["name"] == known["other"])).groupBy(asked["type"], "name").agg(F.min("entity_id").alias("entity_id")).withColumn("similarity", F.lit(1.0))
-    block = lambda c: F.substring(c, 1, BLOCK_LETTERS)
     ratio = (2 - least) / least
-    left = asked.join(equal, ["type", "name"], "left_anti").select("type", "name", block(F.col("name")).alias("b"), F.length("name").alias("l"))
-    right = known.distinct().select(F.col("type").alias("_t"), "entity_id", "other", block(F.col("other")).alias("_b"), F.length("other").alias("_l"))
-    pairs = left.join(right, (F.col("type") == F.col("_t")) & (F.col("b") == F.col("_b")) & (F.col("_l") <= F.col("l") * ratio) & (F.col("l") <= F.col("_l") * ratio))
+    keep = lambda c: (F.length(c) - F.ceil(F.length(c) / ratio - 1e-9) + 1).cast("int")
+    known = known.filter("other <> ''").distinct()
+    freq = known.select(F.explode(_letters(F.col("other"))).alias("letter")).union(asked.select(F.explode(_letters(F.col("name"))))).groupBy("letter").agg(F.count("*").alias("many"))
+    left = _rarest(asked.join(equal, ["type", "name"], "left_anti").select("type", "name"), "name", freq, keep("name"))
+    left = left.select("type", "name", "rare", F.explode("rare").alias("b"), F.length("name").alias("l"))
+    right = _rarest(known, "other", freq, keep("other"))
+    right = right.select(F.col("type").alias("_t"), "entity_id", "other", F.col("rare").alias("_rare"), F.explode("rare").alias("_b"), F.length("other").alias("_l"))
+    first = F.get(F.array_intersect("rare", "_rare"), F.lit(0))
+    near_lengths = (F.col("_l") <= F.col("l") * ratio + 1e-9) & (F.col("l") <= F.col("_l") * ratio + 1e-9)
+    pairs = left.join(right, (F.col("type") == F.col("_t")) & (F.col("b") == F.col("_b")) & near_lengths & (first == F.col("b")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher

@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -22,6 +23,24 @@ def test_resolution_matches_brute_force(spark):
     assert {(r["type"], r["name"], r["entity_id"], round(r["similarity"], 9)) for r in got.collect()} == want
 
 
+def test_resolution_of_names_with_another_first_letter(spark):
+    r = random.Random(2)
+    known = [("org", 1, "Johnson Trading"), ("org", 2, "The Acme Holdings"), ("org", 3, "Aohnson Tradeng"), ("org", 4, "Xohnson Trading"), ("org", 5, "")]
+    known += [("org", i, "".join(r.choice("abcé ") for _ in range(r.randint(1, 14)))) for i in range(6, 90)]
+    asked = ["ohnson Trading", "Acme Holdings", "Aohnson Trading", "a"]
+    for _, _, name in known[5:]:
+        at = r.randrange(len(name))
+        asked += [name[1:], r.choice("abcé") + name, name[:at] + r.choice("abcé") + name[at + 1 :]]
+    got = graph.resolved(spark.createDataFrame([("org", a) for a in asked], "type string, name string"), spark.createDataFrame([(*k, None) for k in known], "type string, entity_id long, name string, aliases array<string>"))
+    want = set()
+    for low in {a.strip(" ").lower() for a in asked} - {""}:
+        ratio, minus = max((SequenceMatcher(None, low, n.lower()).ratio(), -i) for _, i, n in known)
+        if ratio >= 0.85:
+            want.add((low, -minus, round(ratio, 9)))
+    assert ("ohnson trading", 1) in {w[:2] for w in want}
+    assert {(x["name"], x["entity_id"], round(x["similarity"], 9)) for x in got.collect()} == want
+
+
 def test_days_are_read_in_three_spellings(spark):
     text = "On 1st march 2020, 31/02/2021 and 2022-13-40; not 01/13/2020."
     assert one(spark, text, graph.dated_days) == ["2020-03-01", "2021-02-31", "2022-13-40"]
