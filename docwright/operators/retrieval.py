@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,34 +44,61 @@ def bm25_search(docs: DataFrame, id_col: str, text_cols: list[str], queries: Dat
     return bm25(postings(docs, id_col, *text_cols), n, float(avg or 1.0), queries, top)
 
 
+def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of at most `most` queries each; the driver holds one at a time."""
+    rows = queries.select("query_id", "embedding").toLocalIterator()
+    while some := list(islice(rows, most)):
+        yield np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64)
+
+
+def _first(exact: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
+    """The positions that can be among the first `top` by (distance rounded to six places, id), however halves are rounded."""
+    low, high = np.round(exact - 1e-9, 6), np.round(exact + 1e-9, 6)
+    if len(ids) <= top:
+        return np.arange(len(ids))
+    last = np.lexsort((ids, high))[top - 1]
+    return np.flatnonzero(~(low > high[last]) & ~((low == high[last]) & (ids > ids[last])))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, where: Column | None = None, most_queries: int = 10_000) -> DataFrame:
     """(query_id, id, distance, score, rank): exact L2 neighbours of each query over all rows, in blocks.
 
-    vectors (id, embedding); queries (query_id, embedding). The query matrix has a bound; every
-    batch of rows yields at most `top` rows a query, so the final sort is small.
+    vectors (id, embedding); queries (query_id, embedding). Queries go in blocks of at most `most_queries`, with a
+    scan of the vectors each. A batch of rows yields its first `top` rows a query by (rounded distance, id), so the
+    final sort is small.
     """
-    asked = queries.select("query_id", "embedding").limit(most_queries + 1).toPandas()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: split them")
-    ids = asked["query_id"].to_numpy(np.int64)
-    q = np.stack(asked["embedding"].to_list()).astype(np.float64) if len(asked) else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        for frame in frames:
-            if not len(ids) or not len(frame):
-                continue
-            own, x = frame["id"].to_numpy(), np.stack(frame["embedding"].to_list()).astype(np.float64)
-            for k in range(0, len(ids), 256):
-                block = q[k : k + 256]
-                rough = (block**2).sum(1)[:, None] + (x**2).sum(1) - 2 * block @ x.T
-                some = np.argsort(rough, 1, kind="stable")[:, : top + 8]  # a few more, as rough distances may swap near ties
-                exact = np.sqrt(((x[some] - block[:, None, :]) ** 2).sum(2))
-                yield pd.DataFrame({"query_id": np.repeat(ids[k : k + 256], some.shape[1]), "id": own[some].ravel(), "distance": exact.ravel()})
-
-    rows = vectors if where is None else vectors.filter(where)
-    near = rows.select("id", "embedding").mapInPandas(run, "query_id long, id long, distance double")
+    rows = (vectors if where is None else vectors.filter(where)).select("id", "embedding")
+    schema = "query_id long, id long, distance double"
+
+    def scan(shared):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for frame in frames:
+                if not len(frame):
+                    continue
+                own, x = frame["id"].to_numpy(), np.stack(frame["embedding"].to_list()).astype(np.float64)
+                squares = (x**2).sum(1)
+                for k in range(0, len(ids), 256):
+                    block = q[k : k + 256]
+                    own_squares = (block**2).sum(1)[:, None]
+                    rough = own_squares + squares - 2 * block @ x.T
+                    # What rounding to six places or the rough distances may put before the last one stays.
+                    error = 1e-11 * (own_squares + squares.max())
+                    cut = np.partition(rough, min(top, len(x)) - 1, 1)[:, min(top, len(x)) - 1 : min(top, len(x))]
+                    beyond = rough > (np.sqrt(np.maximum(cut, 0) + error) + 2e-6) ** 2 + error
+                    found = []
+                    for i, gone in enumerate(beyond):
+                        some = np.flatnonzero(~gone)
+                        exact = np.sqrt(((x[some] - block[i]) ** 2).sum(1))
+                        first = _first(exact, own[some], top)
+                        found.append((np.full(len(first), ids[k + i]), own[some[first]], exact[first]))
+                    yield pd.DataFrame(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*found)))))
+
+        return rows.mapInPandas(run, schema)
+
+    near = vectors.sparkSession.createDataFrame([], schema)
+    for block in _blocks(queries, most_queries):
+        near = near.union(scan(vectors.sparkSession.sparkContext.broadcast(block)))
     near = near.withColumn("distance", F.round("distance", 6)).withColumn("score", F.round(1 / (1 + F.col("distance")), 6))
     by = W.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)

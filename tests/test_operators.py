@@ -23,6 +23,20 @@ def test_fusion(spark, a, b, n, first):
     assert len(got) == n and got[0]["id"] == first
 
 
+def test_nearest_in_blocks_of_queries_with_groups_of_copies(spark):
+    r = np.random.default_rng(3)
+    few = r.standard_normal((4, 5))
+    rows = [(i, few[i % 4].tolist()) for i in range(200)][::-1]  # 50 copies each, the largest ids first
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").coalesce(1)
+    asked = [(100 + k, r.standard_normal(5).tolist()) for k in range(7)]
+    got = retrieval.nearest(vectors, spark.createDataFrame(asked, "query_id long, embedding array<double>"), 3, most_queries=2)
+    want = set()
+    for k, q in asked:
+        near = sorted((round(float(np.linalg.norm(np.array(v) - q)), 6), i) for i, v in rows)[:3]
+        want |= {(k, i, d, n + 1) for n, (d, i) in enumerate(near)}
+    assert {(x["query_id"], x["id"], x["distance"], x["rank"]) for x in got.collect()} == want
+
+
 def test_diversified_matches_greedy_loop(spark):
     r = np.random.default_rng(0)
     x, q = r.standard_normal((8, 4)), r.standard_normal(4)
