@@ -6,7 +6,10 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: A key with this share of a task's rows is hot.
+HOT_SHARE = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests on
-    one machine) a temporary folder is made and set for the rest of the session.
+    A cluster names it in spark.checkpoint.dir. Only a local master without that setting
+    (tests on one machine) gets a temporary folder; anywhere else its absence is an error,
+    since executors don't see the driver's disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -26,18 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="docwright-")
-    spark.sparkContext.setCheckpointDir(made)
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docwright-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """One folder an application, so that what a dead driver left behind is found by its id."""
+    return f"{shared_dir(spark)}/docwright-{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and reread: it cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docwright-{name}-{uuid.uuid4().hex}"
+    folder = _own_folder(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_saved_at", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -51,3 +72,32 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to lookup, which has one row a key, with hot keys kept out of the shuffle.
+
+    A key is hot with 1 / HOT_SHARE of the rows of an even task or more, so there are at most
+    HOT_SHARE times the partitions of them: that many rows of lookup are broadcast. `rows` should be
+    saved, as it is read twice. `how` is inner or left.
+    """
+    parts = shuffle_partitions(rows.sparkSession)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_many"))
+    total = counts.agg(F.coalesce(F.sum("_many"), F.lit(0))).first()[0]
+    least = max(1000, total // (parts * HOT_SHARE))
+    hot = [r[0] for r in counts.filter(F.col("_many") >= least).select(key).collect()]
+    hot = [k for k in hot if k is not None]
+    if not hot:
+        return rows.join(lookup, key, how)
+    keys = rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema)
+    few = lookup.join(F.broadcast(keys), key, "left_semi")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.filter(is_hot).join(F.broadcast(few), key, how).unionByName(rows.filter(~is_hot).join(lookup, key, how))
