@@ -82,22 +82,26 @@ def own_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined to lookup, which has one row a key, with hot keys kept out of the shuffle.
-
-    A key is hot with 1 / HOT_SHARE of the rows of an even task or more, so there are at most
-    HOT_SHARE times the partitions of them: that many rows of lookup are broadcast. `rows` should be
-    saved, as it is read twice. `how` is inner or left.
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined to lookup, which has one row a key, so that no key's rows need one task.
+
+    A key is hot with 1 / HOT_SHARE of an even task's rows or more. Its rows are dealt to pieces of that
+    size by a hash of their other columns, and its row of lookup is repeated once a piece. There are at most
+    HOT_SHARE times the partitions of hot keys: so many narrow rows (key, pieces) reach the driver and
+    are broadcast. `rows` is read twice and should be saved; counts (key, _many) spares the first
+    read. `how` is inner or left.
     """
-    parts = shuffle_partitions(rows.sparkSession)
-    counts = rows.groupBy(key).agg(F.count("*").alias("_many"))
+    spark = rows.sparkSession
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("_many"))
     total = counts.agg(F.coalesce(F.sum("_many"), F.lit(0))).first()[0]
-    least = max(1000, total // (parts * HOT_SHARE))
-    hot = [r[0] for r in counts.filter(F.col("_many") >= least).select(key).collect()]
-    hot = [k for k in hot if k is not None]
-    if not hot:
+    least = max(1000, total // (shuffle_partitions(spark) * HOT_SHARE))
+    pieces = counts.filter((F.col("_many") >= least) & F.col(key).isNotNull()).select(key, F.ceil(F.col("_many") / least).cast("int").alias("_pieces"))
+    found = pieces.collect()
+    if not found:
         return rows.join(lookup, key, how)
-    keys = rows.sparkSession.createDataFrame([(k,) for k in hot], rows.select(key).schema)
-    few = lookup.join(F.broadcast(keys), key, "left_semi")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return rows.filter(is_hot).join(F.broadcast(few), key, how).unionByName(rows.filter(~is_hot).join(lookup, key, how))
+    hot = F.broadcast(spark.createDataFrame(found, pieces.schema))
+    others = [c for c, t in rows.dtypes if c != key and not t.startswith("map")]
+    dealt = rows.join(hot, key, "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_pieces")).cast("int"), F.lit(0))).drop("_pieces")
+    copies = lookup.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
+    return dealt.join(copies, [key, "_piece"], how).drop("_piece")
