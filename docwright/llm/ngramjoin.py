@@ -10,20 +10,24 @@ order of all keys: those without shingles, then the most frequent keys. The agre
 in the same order in both sets, so one of them is left. A set that shares fewer than n - d keys
 with others goes without comparison, and keys from common passages make few pairs.
 
-Keys travel once, packed by bucket of the key space: a batch of documents gives each bucket one
-row, and a bucket's rows yield the keys that several sets have. Of a key that several sets of a
-batch share one pair stands for the batch, so a bucket's size is bounded by the batches.
-
-Candidates are not expanded into all pairs of a slice. Equal sets are one class with one
-representative. Each shared slice has a leader, the member most shared overall, and a member is
-compared to the foremost leader of its slices; verified links join components. While slices still hold many pairs across
-components, each takes a random leader in up to two further rounds. Slices that hold several components after that are
-compared pairwise, across components and under the Hamming bound, and verified exactly. No link
-between components can be missed, and a group of near copies costs about its own size.
+One pass over the texts gives sketches and keys. Keys travel once, packed by bucket of the key space: a
+batch of documents gives each bucket one row, and a bucket's rows yield the keys that several sets have.
+Of a key that several sets of a batch share one pair stands for the batch, so a bucket's size is
+bounded by the batches. With a key goes a 48-bit hash of the set; should two sets share it, both
+are candidates, and verification tells them apart. Only sets that keep a shared key are made a
+second time, once, for all verification.
+
+Candidates are not expanded into all pairs of a slice. Equal sets are one node. Each shared slice
+has a leader, the member most shared overall, and a member is compared to the foremost leader of
+its slices; verified links join components. While slices still hold many pairs across components, each takes a random
+leader in up to two further rounds. Slices that hold several components after that are compared
+pairwise in blocks, across components and under the Hamming bound, and verified exactly. No link
+between components can be missed, and a group of near copies costs about its own size. Joins on
+what many rows may share (a set, slice, leader, hub or label) deal the rows of a hot key to several tasks.
 
 Defined cases: null or blank text has an empty set and no links; a text of fewer than n words is
-one shingle; null ids rank last and are one document, as are repeated ids; an empty table gives
-an empty result; other columns are not read.
+one shingle; null ids rank last; rows that repeat an id, or have none, are documents of their own by their texts, and
+rows repeated with id and text stay or go together; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,18 +39,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from docwright.session import saved, shuffle_partitions, table
+from docwright.session import dropped, saved, shuffle_partitions, spread_join, table
 
 LAST_ID = 2**63 - 1
 CACHE_WORDS = 200_000
 LEAST_BITS = 9
 CLASS_RATIO = 1.5
-#: So many ids, 8 bytes each, may be broadcast.
-BROADCAST_IDS = 1_000_000
+#: So many rows of four numbers may be broadcast.
+BROADCAST_ROWS = 250_000
 #: So many further rounds of leaders at most, while slices would make so many comparisons a row.
 ROUNDS, CROSS_A_ROW = 2, 16
 #: So many keys are packed at once, and so many shingles give a bucket of keys.
-FLUSH_KEYS, BUCKET_WORDS = 500_000, 8_000_000
+FLUSH_KEYS, BUCKET_WORDS, WORD_BYTES = 500_000, 8_000_000, 6
+#: So many rows of a slice are compared to so many others in one group.
+BLOCK_ROWS = 1000
 U64 = np.uint64
 #: Odd multipliers of the hash mixing.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
@@ -119,15 +125,15 @@ def slices(shingles: np.ndarray, k: int, limits: list[int], t: float) -> tuple[n
     return starts, full, keys, max(1, n - d - len(empty))
 
 
-def slice_keys(shingles: np.ndarray, k: int, limits: list[int], t: float) -> np.ndarray:
-    """The keys in class k; the lowest bit is the class's."""
-    starts, full, kept, _ = slices(shingles, k, limits, t)
+def slice_keys(shingles: np.ndarray, k: int, limits: list[int], t: float) -> tuple[np.ndarray, int]:
+    """The keys in class k, whose lowest bit is the class's, and the first of them by frequency that is kept."""
+    starts, full, kept, need = slices(shingles, k, limits, t)
     words = np.zeros(len(starts), U64)
     if full.any():
         words[full] = np.bitwise_xor.reduceat(_mix(shingles, 3), starts[full])
     at = _mix(np.arange(len(starts), dtype=U64) + U64(k << 40), 4)
     keys = _mix(words ^ at, 5) & ~U64(1) | U64(k & 1)
-    return keys[kept]
+    return keys[kept], need
 
 
 def classes_of(size: int, limits: list[int], percent: int) -> list[int]:
@@ -143,30 +149,6 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-SKETCH = "ord_id long, n long, hi long, lo long, parity array<long>, need array<long>"
-BLOB = "bucket long, keys binary, ids binary"
-
-
-def sketches(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    t = percent / 100
-    limits = limits_for(t)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for frame in frames:
-            rows = []
-            for id_, text in zip(frame["ord_id"], frame["_text"]):
-                s = shingle_set(text, n, hashes)
-                need = [0, 0]
-                for k in classes_of(len(s), limits, percent):
-                    need[k & 1] = slices(s, k, limits, t)[3]
-                a, b = _mix(s, 3), _mix(s, 4)
-                rows.append((id_, len(s), int(a.sum(dtype=U64).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(s) else 0, parity(s), need))
-            yield pd.DataFrame(rows, columns=["ord_id", "n", "hi", "lo", "parity", "need"])
-
-    return docs.mapInPandas(run, SKETCH)
-
-
 def pack(numbers: np.ndarray) -> bytes:
     """Byte planes, the highest first: of sorted or small numbers the shuffle's compression keeps only the low ones."""
     return numbers.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -193,31 +175,47 @@ def blobs(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "keys", "ids"])
 
 
-def key_blobs(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+SCAN = "ord_id long, t1 long, t2 long, n long, hi long, lo long, parity array<long>, need array<long>, bucket long, keys binary, ids binary"
+
+
+def scan(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """One pass over the texts of rows (ord_id, t1, t2, _text).
+
+    It gives a row a document with its set's size, two hashes (n, hi, lo), parity sketch and the first key kept in either
+    class (need), and rows of packed keys (bucket, keys, ids) where an id is the set's SHORT.
+    """
     t = percent / 100
     limits = limits_for(t)
+    names = [c.split()[0] for c in SCAN.split(", ")]
+    wide = lambda f: f.assign(**{c: pd.Series([None] * len(f), dtype=object) for c in names if c not in f})[names]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, keys, ids, held = WordHashes(), [], [], 0
         for frame in frames:
-            for id_, text in zip(frame["ord_id"], frame["_text"]):
+            found = []
+            for id_, t1, t2, text in zip(frame["ord_id"], frame["t1"], frame["t2"], frame["_text"]):
                 s = shingle_set(text, n, hashes)
-                own = [slice_keys(s, k, limits, t) for k in classes_of(len(s), limits, percent)]
-                for x in own:
-                    keys.append(x)
-                    ids.append(np.full(len(x), id_, np.int64).view(U64))
-                    held += len(x)
+                need = [0, 0]
+                hi = _mix(s, 3).sum(dtype=U64)
+                for k in classes_of(len(s), limits, percent):
+                    own, need[k & 1] = slice_keys(s, k, limits, t)
+                    keys.append(own)
+                    ids.append(np.full(len(own), hi >> U64(16)))
+                    held += len(own)
+                lo = int(np.bitwise_xor.reduce(_mix(s, 4)).view(np.int64)) if len(s) else 0
+                found.append((id_, t1, t2, len(s), int(hi.view(np.int64)), lo, parity(s), need))
                 if held >= FLUSH_KEYS:
-                    yield blobs(np.concatenate(keys), np.concatenate(ids), buckets)
+                    yield wide(blobs(np.concatenate(keys), np.concatenate(ids), buckets))
                     keys, ids, held = [], [], 0
+            yield wide(pd.DataFrame(found, columns=names[:8]))
         if held:
-            yield blobs(np.concatenate(keys), np.concatenate(ids), buckets)
+            yield wide(blobs(np.concatenate(keys), np.concatenate(ids), buckets))
 
-    return docs.mapInPandas(run, BLOB)
+    return rows.mapInPandas(run, SCAN)
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
-    """(key, rep): the pairs whose key several sets have."""
+    """(key, short): the pairs whose key several sets have."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         keys, ids = np.concatenate([unpack(x) for x in frame["keys"]]), np.concatenate([unpack(x) for x in frame["ids"]])
@@ -227,33 +225,42 @@ def shared_keys(packed: DataFrame) -> DataFrame:
         keys, ids = keys[first], ids[first]
         same = np.append(False, keys[1:] == keys[:-1])
         shared = same | np.append(same[1:], False)
-        return pd.DataFrame({"key": keys[shared].view(np.int64), "rep": ids[shared].view(np.int64)})
+        return pd.DataFrame({"key": keys[shared].view(np.int64), "short": ids[shared].view(np.int64)})
 
-    return packed.groupBy("bucket").applyInPandas(run, "key long, rep long")
+    return packed.groupBy("bucket").applyInPandas(run, "key long, short long")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
+    """(nid, shingles) of rows (nid, _text)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for frame in frames:
             sets = [shingle_set(x, n, hashes).view(np.int64) for x in frame["_text"]]
-            yield pd.DataFrame({"ord_id": frame["ord_id"], "shingles": sets})
+            yield pd.DataFrame({"nid": frame["nid"], "shingles": sets})
 
-    return docs.mapInPandas(run, "ord_id long, shingles array<long>")
+    return rows.select("nid", "_text").mapInPandas(run, "nid long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of an edge table (a, b): the least node reachable, by least labels and pointer jumps."""
+    """(node, comp) of an edge table (a, b): the least node reachable, by least labels and pointer jumps.
+
+    The rows of a hub, and of a label that many nodes share, are dealt to several tasks.
+    """
     edges = edges.filter("a <> b")
-    both = saved(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
+    both = saved(edges.select(F.col("a").alias("from"), F.col("b").alias("node")).union(edges.select("b", "a")).distinct(), "edges")
+    degrees = saved(both.groupBy("node").agg(F.count("*").alias("_many")), "degrees")
+    labels = saved(both.groupBy("node").agg(F.least(F.min("from"), F.col("node")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("up"))
+        near = spread_join(both, labels, "node", counts=degrees).groupBy("from").agg(F.min("comp").alias("near"))
+        step = saved(labels.join(near, labels["node"] == near["from"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("up")), "labels")
         jump = labels.select(F.col("node").alias("up"), F.col("comp").alias("top"))
-        after = saved(step.join(jump, "up", "left").select("node", "was", F.coalesce(F.least("up", "top"), F.col("up")).alias("comp")), "labels")
+        after = saved(spread_join(step, jump, "up", "left").select("node", "was", F.coalesce(F.least("up", "top"), F.col("up")).alias("comp")), "labels")
+        dropped(labels, step)
         labels = after.select("node", "comp")
+        labels._saved_at = after._saved_at
         if after.filter("was <> comp").isEmpty():
+            dropped(both, degrees)
             return labels
 
 
@@ -268,93 +275,120 @@ def _hamming(a: str, b: str) -> Column:
     return F.when((F.size(a) == words) & (F.size(b) == words), short).otherwise(long)
 
 
-def _sized(ids: DataFrame) -> DataFrame:
-    """The ids, broadcast up to a checked count; beyond it the texts are shuffled to them."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _sized(few: DataFrame) -> DataFrame:
+    """The rows, broadcast up to a checked count; beyond it the texts are shuffled to them, once."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(ord_id, n, component): a row for each row of docs; ord_id is the id, or LAST_ID for a null one."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord_id"), F.col(text_col).alias("_text"))
-    sk = saved(sketches(rows, n, percent), "sketches")
-    classes = sk.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("ord_id").alias("rep"))
-    known = saved(sk.select("ord_id", "hi", "lo", "n").join(classes, ["hi", "lo", "n"]).select("ord_id", "n", "rep"), "classes")
-    reps = known.filter("ord_id = rep").select("ord_id").distinct()
-    copies = saved(known.filter("ord_id <> rep").select("ord_id").distinct().join(reps, "ord_id", "left_anti"), "copies")
-    words = sk.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(docs.sparkSession), words // BUCKET_WORDS)
-    shared = saved(shared_keys(key_blobs(rows.join(_sized(copies), "ord_id", "left_anti"), n, percent, buckets)), "shared")
-    often = shared.groupBy("key").agg(F.count("*").alias("many"))
-    class_bit = F.col("key").bitwiseAND(F.lit(1))
-    needs = sk.select(F.col("ord_id").alias("rep"), F.posexplode("need").alias("bit", "need")).groupBy("rep", "bit").agg(F.min("need").alias("need"))
-    nth = F.row_number().over(W.partitionBy("rep", "bit").orderBy(F.desc("many"), "key"))
-    member = shared.join(often, "key").withColumn("bit", class_bit.cast("int")).withColumn("nth", nth)
-    member = saved(member.join(needs, ["rep", "bit"]).filter("nth >= need").select("key", "rep"), "members")
-    involved = member.select(F.col("rep").alias("ord_id")).distinct()
-    light = saved(sk.select("ord_id", "n", "parity").join(involved, "ord_id", "left_semi").dropDuplicates(["ord_id"]), "parities")
+def _document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(ord_id, t1, t2, _text): two hashes of the text tell rows that repeat an id apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(29), text).alias("t2"), F.col(text_col).alias("_text"))
 
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    side = lambda x: light.select(F.col("ord_id").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(ord_id, t1, t2, n, component, stays), a row for each row of docs, saved.
+
+    ord_id is the id, or LAST_ID for a null one; component the least ord_id that links reach. stays marks the rows of one
+    document of each component: those of its least id, and where that has several texts in the component, of one of them.
+    """
+    rows = _document_rows(docs, id_col, text_col)
+    spark = docs.sparkSession
+    words = (rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]) // WORD_BYTES
+    scanned = saved(scan(rows, n, percent, max(shuffle_partitions(spark), words // BUCKET_WORDS)), "scanned")
+    packed = scanned.filter("keys is not null").select("bucket", "keys", "ids")
+    sk = scanned.filter("keys is null").select("ord_id", "t1", "t2", "n", F.struct("hi", "lo", "n").alias("set"), "parity", "need")
+    row = F.min(F.struct("ord_id", "t1", "t2")).alias("row")
+    sets_of = sk.filter("n > 0").groupBy("set").agg(row, F.count("*").alias("_many"), F.first("parity").alias("parity"), F.first("need").alias("need"))
+    # A node is a distinct set; its number is fixed by the write.
+    nodes = saved(sets_of.select(F.monotonically_increasing_id().alias("nid"), "*", F.shiftrightunsigned("set.hi", 16).alias("short")), "nodes")
+    shared = saved(shared_keys(packed), "shared")
+    often = saved(shared.groupBy("key").agg(F.count("*").alias("_many")), "often")
+    bit = F.col("key").bitwiseAND(F.lit(1)).cast("int")
+    nth = F.row_number().over(W.partitionBy("nid", "bit").orderBy(F.desc("_many"), "key"))
+    ranked = spread_join(shared, often, "key", counts=often).join(nodes.select("short", "nid", "need"), "short").withColumn("bit", bit).withColumn("nth", nth)
+    member = saved(ranked.filter(F.col("nth") >= F.get("need", F.col("bit"))).select("key", "nid"), "members")
+    dropped(shared, often)
+    light = saved(nodes.select("nid", F.col("set.n").alias("n"), "row", "parity").join(member.select("nid").distinct(), "nid", "left_semi"), "involved")
+    asked = _sized(light.select("nid", F.col("row.*")))
+    sets = saved(shingle_sets(rows.join(asked, ["ord_id", "t1", "t2"]), n), "sets")
+    if sets.count() > light.count():  # rows repeated with id and text
+        sets, once = saved(sets.dropDuplicates(["nid"]), "sets"), sets
+        dropped(once)
+
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    side = lambda x: light.select(F.col("nid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     bound = F.when(fit, _hamming("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
     def near(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and parity sketches allow the similarity."""
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(bound).select("a", "b")
+        """The pairs (a, b) whose sizes and parity sketches allow the similarity; many may share b."""
+        pairs = saved(pairs.distinct(), "pairs")
+        return spread_join(pairs, side("b"), "b").join(side("a"), "a").filter(bound).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity."""
         pairs = saved(pairs, "pairs")
-        ids = saved(pairs.select(F.col("a").alias("ord_id")).union(pairs.select("b")).distinct(), "ids")
-        sets = saved(shingle_sets(rows.join(_sized(ids), "ord_id", "left_semi"), n), "sets")
-        if sets.count() > ids.count():  # repeated ids are one document
-            sets = saved(sets.dropDuplicates(["ord_id"]), "sets")
-        full = lambda x: sets.select(F.col("ord_id").alias(x), F.col("shingles").alias(f"s{x}"))
-        met = pairs.join(full("a"), "a").join(full("b"), "b")
+        full = lambda x: sets.select(F.col("nid").alias(x), F.col("shingles").alias(f"s{x}"))
+        met = spread_join(pairs, full("b"), "b").join(full("a"), "a")
         common = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return met.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both")).filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b")
+        met = met.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+        return saved(met.filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b"), "links")
 
-    many = member.groupBy("key").agg(F.count("*").alias("many"))
-    mass = member.join(many, "key").groupBy("rep").agg(F.sum("many").alias("mass"))
-    ranked = member.join(mass, "rep")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"))).alias("top"))
+    many = saved(member.groupBy("key").agg(F.count("*").alias("_many")), "many")
+    mass = spread_join(member, many, "key", counts=many).groupBy("nid").agg(F.sum("_many").alias("mass"))
+    leaders = member.join(mass, "nid").groupBy("key").agg(F.max(F.struct("mass", (-F.col("nid")).alias("minus"))).alias("top"))
     # Its foremost leader is enough for a member: what that misses, the comparison across components finds.
-    own = member.join(leaders, "key").groupBy("rep").agg((-F.max("top")["minus"]).alias("leader"))
-    stars = own.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    same = known.select(F.col("ord_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    links = saved(verified(near(stars)), "links")
+    own = spread_join(member, leaders, "key", counts=many).groupBy("nid").agg((-F.max("top")["minus"]).alias("leader"))
+    links = verified(near(own.filter("nid <> leader").select(F.col("nid").alias("a"), F.col("leader").alias("b"))))
     for turn in range(ROUNDS + 1):
         comp = components(links)
-        placed = member.join(comp, member["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        placed = saved(placed, "placed")
-        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("many"), (F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("cross"))
+        placed = saved(member.join(comp, member["nid"] == comp["node"], "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")), "placed")
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("_many"), (F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("cross"))
         mixed = saved(parts.filter("cross > 0"), "mixed")
-        held, work = mixed.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0))).first()
+        held, work = mixed.agg(F.coalesce(F.sum("_many"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0))).first()
+        dealt = saved(spread_join(placed, mixed.select("key", F.col("_many").alias("_all")), "key", counts=many), "dealt")
+        dropped(placed, comp)
         if turn == ROUNDS or work <= CROSS_A_ROW * held:
             break
         # A random leader for each slice: what is dense grows together in a few rounds at a cost of the slices' own size.
-        dealt = placed.join(mixed.select("key"), "key")
-        top = dealt.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("key", "rep", F.lit(turn))).alias("top"))
-        met = dealt.join(top, "key").filter("comp <> top.comp").select(F.least("rep", "top.rep").alias("a"), F.greatest("rep", "top.rep").alias("b")).distinct()
-        more = saved(verified(near(met)), "links")
+        top = dealt.groupBy("key").agg(F.min_by(F.struct("nid", "comp"), F.xxhash64("key", "nid", F.lit(turn))).alias("top"))
+        met = spread_join(dealt, top, "key", counts=mixed).filter("comp <> top.comp").select(F.col("nid").alias("a"), F.col("top.nid").alias("b"))
+        more = verified(near(met))
         if more.isEmpty():
             break
         links = saved(links.union(more), "links")
-    left = placed.join(mixed.select("key"), "key").join(light.withColumnRenamed("ord_id", "rep"), "rep")
-    one = lambda x: left.select(F.col("key").alias(f"k{x}"), F.col("rep").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    # A slice of many rows is compared in blocks: each of its blocks meets each.
+    blocks = F.ceil(F.col("_all") / BLOCK_ROWS).cast("int")
+    left = dealt.join(light.select("nid", "n", "parity"), "nid").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("nid"), blocks.cast("long")).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = lambda x, i, j: left.select(F.col("key").alias(f"k{x}"), F.col("nid").alias(x), F.col("comp").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"), i.alias(f"i{x}"), j.alias(f"j{x}"))
+    met = (F.col("ka") == F.col("kb")) & (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb"))
     # The bound is part of the join: pairs beyond it are not made.
-    cross = one("a").join(one("b"), (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound)
-    rest = saved(verified(cross.select("a", "b").distinct()), "links")
-    final = components(links.union(rest).union(same))
-    found = sk.select("ord_id", "n").join(final, sk["ord_id"] == final["node"], "left")
-    return found.select("ord_id", "n", F.coalesce("comp", "ord_id").alias("component"))
+    cross = one("a", F.col("block"), every).join(one("b", every, F.col("block")), met & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound)
+    rest = verified(cross.select("a", "b").distinct())
+    final = components(links.union(rest))
+    in_comp = saved(nodes.join(final, nodes["nid"] == final["node"], "left").filter("comp is not null or _many > 1").select("set", "row", F.coalesce("comp", "nid").alias("comp")), "grouped")
+    first = in_comp.groupBy("comp").agg(F.min("row.ord_id").alias("component"), F.min(F.struct("row", "set")).alias("kept"))
+    of_set = saved(spread_join(in_comp.select("set", "comp"), first, "comp").select("set", "component", (F.col("set") == F.col("kept.set")).alias("keeps")), "of-set")
+    counts = nodes.select("set", "_many")
+    found = spread_join(sk.select("ord_id", "t1", "t2", "n", "set"), of_set, "set", "left", counts=counts)
+    stays = F.coalesce(F.col("keeps") & (F.col("ord_id") == F.col("component")), F.lit(True))
+    out = saved(found.select("ord_id", "t1", "t2", "n", F.coalesce("component", "ord_id").alias("component"), stays.alias("stays")), "groups")
+    dropped(scanned, nodes, member, light, sets, many, mixed, dealt, links, rest, final, in_comp, of_set)
+    return out
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """(ord_id, n, component): a row for each row of docs; ord_id is the id, or LAST_ID for a null one."""
+    return grouped(docs, id_col, text_col, n, percent).select("ord_id", "n", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are not the least id of their group of near copies."""
-    groups = near_groups(docs, id_col, text_col, n, percent)
-    gone = groups.filter("component <> ord_id").select(F.col("ord_id").alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)) == F.col("_gone"), "left_anti")
+    """docs with one document of each group of near copies, that of the least id; rows go, not ids."""
+    gone = grouped(docs, id_col, text_col, n, percent).filter("not stays").select("ord_id", "t1", "t2").distinct()
+    text = F.coalesce(docs[text_col], F.lit(""))
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(LAST_ID)) == gone["ord_id"]) & (F.xxhash64(text) == gone["t1"]) & (F.xxhash64(F.lit(29), text) == gone["t2"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

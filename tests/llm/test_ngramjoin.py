@@ -98,3 +98,33 @@ def test_empty_and_stage(spark, empty_dir, odd_dir):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     kept = G.keep_one(docs, n=3, percent=90)
     assert kept.columns == docs.columns and kept.filter("text is null").count() == 2
+
+
+def test_rows_go_and_not_ids(spark):
+    """Rows without an id, and rows that repeat one, stay or go by their own texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (None, a + " more"), (None, b), (7, a + " end"), (7, c), (9, c + " end"), (9, "alone"), (11, b), (11, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, G.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(5, a), (7, c), (9, "alone"), (11, b), (11, b)], key=repr)
+    got = {(r["ord_id"], r["n"], r["component"]) for r in G.near_groups(docs).collect()}
+    assert got == {(5, 36, 5), (G.LAST_ID, 37, 5), (G.LAST_ID, 36, 11), (7, 37, 5), (7, 36, 7), (9, 37, 7), (9, 1, 9), (11, 36, 11)}
+
+
+def test_hot_keys_are_dealt_and_blocks_meet(spark, monkeypatch):
+    """Copies, hubs and slices beyond the size of a piece or block give the same groups."""
+    from docwright import session
+
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words)) for i in range(1200)]
+    for i in range(1200, 2600):
+        some = list(words)
+        for _ in range(r.choice([1, 2])):
+            some[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(some)))
+    monkeypatch.setattr(G, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(session, "HOT_SHARE", 64)
+    docs = spark.createDataFrame(rows + [(9000, "something else entirely here")], "doc_id long, text string").repartition(6)
+    got = {r["ord_id"]: r["component"] for r in G.near_groups(docs, n=1, percent=90).collect()}
+    assert all(got[i] == 0 for i in range(2600)) and got[9000] == 9000
