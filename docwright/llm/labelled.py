@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HELD_OUT_FOLD = 2
 FOLDS = 4
+SPREAD = 1 << 30
 
 
 def fold(id_: Column) -> Column:
@@ -22,12 +23,20 @@ def held_out(id_: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, columns: list[str]) -> pd.DataFrame:
-    """At most `most` labelled rows of the learning folds, in the order of a hash of the id, with their whole texts."""
+    """At most `most` labelled rows of the learning folds, in the order of a hash of the id, with their whole texts.
+
+    Labels other than 0 and 1, null ones and those of null ids are left out; of conflicting labels of an id the larger counts.
+    Where there are more labels than `most`, a hash leaves about as many before they are sorted, so that partitions
+    send the driver what it keeps and not `most` rows each.
+    """
     some = labels.select("doc_id", F.col(label).cast("int").alias("_y")).filter(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    some = some.groupBy("doc_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    some = some.withColumnRenamed("doc_id", "_label_id")
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == some["_label_id"])  # `most` rows
-    got = rows.select("doc_id", "_y", *columns).toPandas()
+    some = some.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("_y").alias("_y"))
+    known = some.count()
+    if known > 2 * most:
+        some = some.filter(F.pmod(F.xxhash64("_label_id", F.lit("sample")), F.lit(SPREAD)) < SPREAD * 2 * most // known + 1)
+    some = some.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
+    texts = docs.select("doc_id", *columns)
+    got = texts.join(F.broadcast(some), texts["doc_id"] == some["_label_id"]).select("doc_id", "_y", *columns).toPandas()  # `most` rows
     got["text"] = got["text"].fillna("")
     got["_part"] = [zlib.crc32(f"part{i}".encode()) % 5 for i in got["doc_id"]]
     return got.sort_values(["doc_id", "text"]).reset_index(drop=True)
@@ -50,13 +59,14 @@ class Adam:
             p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of a logistic regression; classes count alike. One class alone teaches nothing: all zero."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 150, rate: float = 0.05, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a logistic regression of rows that count by `mass`; classes count alike. One class alone teaches nothing: all zero."""
     x = np.ascontiguousarray(x, np.float32)
     w, b = np.zeros(x.shape[1], np.float32), np.zeros(1, np.float32)
     if len(y) == 0 or y.min() == y.max():
         return w, b
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    mass = np.ones(len(y)) if mass is None else mass
+    weight = mass * np.where(y == 1, 0.5 / mass[y == 1].sum(), 0.5 / mass[y == 0].sum())
     adam = Adam([w, b], rate)
     for _ in range(steps):
         g = ((sigmoid(x @ w + b) - y) * weight).astype(np.float32)

@@ -2,16 +2,19 @@
 
 The text-content view is a logistic regression on hashed byte trigram frequencies; the
 page-metadata view is one on source, language, length and layout counts. Both start from the same
-labelled rows. In each round each view labels the unlabelled pool and hands its most confident
-rows to the other view as pseudo-labels. Each view is then calibrated (Platt) on labelled rows
-kept apart, and the mean of the calibrated logits scores every document.
+labelled rows. In each round each view labels every other document of the corpus, and those it is
+confident of teach the other view. They reach it as sums: executors add up the features of confident
+documents by label and cell (a hash of source and language), so the driver gets as much for any corpus, and
+each cell's mean counts by its share of the confident documents. Sums are of whole numbers: reruns
+agree. Each view is then calibrated (Platt) on labelled rows kept apart, and the mean of the
+calibrated logits scores every document. A document is kept from the score on that all but LOSS of the good
+rows kept apart reach, 0.5 at most.
 
-Bounds (parameters): LABELLED rows to learn from, POOL unlabelled rows to exchange labels on.
-Everything else reads all rows and whole texts.
+Bound (a parameter): LABELLED rows to learn from. Everything else reads all rows and whole texts.
 
 Defined cases: null text is empty and null source or language is a value of its own; without
-labels, or with labels of one class only, both views are constant; an empty table gives an empty
-result; extra columns are kept by `reject_low_quality` and not read elsewhere.
+labels, or with labels of one class only, both views are constant, the score is 0.5 and all are kept; an empty
+table gives an empty result; other columns pass through `reject_low_quality` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.llm.labelled import held_out, labelled_sample, logistic, sigmoid
-from docwright.session import table
+from docwright.session import own_name, table
 
-LABELLED, POOL, ROUNDS, EXCHANGED = 4000, 2000, 3, 100
-BUCKETS, NAMES = 4096, 64
-CONFIDENT = 0.9
-THRESHOLD = 0.3
+LABELLED, ROUNDS = 4000, 2
+BUCKETS, NAMES, CELLS = 4096, 64, 8
+CONFIDENT, PSEUDO_MASS, LOSS = 0.9, 0.5, 0.002
+#: Features are summed in units of 1 / UNIT.
+UNIT = 1 << 20
 #: Byte classes: other, upper, lower, digit, blank, newline, bar, symbol, beyond ASCII.
 CLASSES = np.zeros(256, np.uint8)
 CLASSES[65:91], CLASSES[97:123], CLASSES[48:58], CLASSES[[9, 13, 32]], CLASSES[10], CLASSES[124], CLASSES[128:] = 1, 2, 3, 4, 5, 6, 8
@@ -61,75 +66,126 @@ def metadata(text: str, lang, source) -> np.ndarray:
     return out
 
 
-def train(labelled: pd.DataFrame, pool: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Weights, bias, calibration slope and offset of the content view, then of the metadata view."""
+WIDTHS = (BUCKETS, 12 + 2 * NAMES)
+SUMS = "view int, cell int, label int, place int, total long"
+
+
+def confident_sums(docs: DataFrame, fitted: list, learnt: set[int]) -> pd.DataFrame:
+    """Of all documents but the learnt ones: for each view, cell and label that the other view is sure of, their number (place -1) and the sum of each feature."""
+    told = docs.sparkSession.sparkContext.broadcast((fitted, learnt))  # two views' weights, LABELLED ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (first, second), seen = told.value
+        sums = [np.zeros((CELLS, 2, n + 1), np.int64) for n in WIDTHS]
+        for batch in batches:
+            for id_, text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if id_ in seen:
+                    continue
+                x = content(text or ""), metadata(text or "", lang, source)
+                cell = zlib.crc32(f"{source}|{lang}".encode("utf-8", "surrogatepass")) % CELLS
+                for v, (w, b) in ((1, first), (0, second)):
+                    p = float(sigmoid(x[1 - v] @ w + b)[0])
+                    if p >= CONFIDENT or p <= 1 - CONFIDENT:
+                        row = sums[v][cell, int(p > 0.5)]
+                        row[:-1] += np.rint(x[v] * UNIT).astype(np.int64)
+                        row[-1] += 1
+        for v, s in enumerate(sums):
+            cell, label, place = np.nonzero(s)
+            at = np.where(place == WIDTHS[v], -1, place)
+            columns = [np.full(len(cell), v), cell, label, at]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(s[cell, label, place])], names=["view", "cell", "label", "place", "total"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(run, SUMS)
+    return rows.groupBy("view", "cell", "label", "place").agg(F.sum("total").alias("total")).toPandas()  # a row a cell, label and feature at most
+
+
+def prototypes(sums: pd.DataFrame, view: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean features of each cell and label, the labels, and what each counts: PSEUDO_MASS of the labelled rows of its class, by number."""
+    own = sums[sums["view"] == view].sort_values(["cell", "label", "place"])
+    x, labels, many = [], [], []
+    for (_, label), part in own.groupby(["cell", "label"]):
+        n = int(part["total"].iloc[0])  # place -1
+        row = np.zeros(WIDTHS[view], np.float32)
+        row[part["place"].to_numpy()[1:]] = part["total"].to_numpy()[1:] / (n * UNIT)
+        x.append(row)
+        labels.append(float(label))
+        many.append(float(n))
+    x, labels, many = np.array(x, np.float32).reshape(-1, WIDTHS[view]), np.array(labels), np.array(many)
+    for c in (0.0, 1.0):
+        if (labels == c).any():
+            many[labels == c] *= PSEUDO_MASS * (y == c).sum() / many[labels == c].sum()
+    return x, labels, many
+
+
+def train(labelled: pd.DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple:
+    """(weights, bias, slope, offset) of either view, and the score from which documents are kept."""
     views = [lambda r: content(r.text), lambda r: metadata(r.text, r.lang, r.source)]
-    width = [BUCKETS, 12 + 2 * NAMES]
-    matrix = lambda rows, f, n: np.array([f(r) for r in rows.itertuples(index=False)], np.float32).reshape(-1, n)
+    matrix = lambda rows, v: np.array([views[v](r) for r in rows.itertuples(index=False)], np.float32).reshape(-1, WIDTHS[v])
     learn, apart = labelled[labelled["_part"] > 0], labelled[labelled["_part"] == 0]
-    x = [matrix(learn, f, n) for f, n in zip(views, width)]
-    u = [matrix(pool, f, n) for f, n in zip(views, width)]
-    y = learn["_y"].to_numpy(float)
-    given: list[dict[int, float]] = [{}, {}]  # what each view was told about the pool
-    fitted: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(ROUNDS + 1):
+    y, z = learn["_y"].to_numpy(float), apart["_y"].to_numpy(float)
+    x = [matrix(learn, v) for v in (0, 1)]
+    given = [(np.zeros((0, n), np.float32), np.zeros(0), np.zeros(0)) for n in WIDTHS]
+    for turn in range(rounds + 1):
         fitted = []
         for v in (0, 1):
-            rows = np.array(sorted(given[v]), int)
-            xs = np.concatenate([x[v], u[v][rows]]) if len(rows) else x[v]
-            ys = np.concatenate([y, [given[v][i] for i in rows]]) if len(rows) else y
-            fitted.append(logistic(xs, ys, rate=0.5 if v == 0 else 0.1))
-        for v in (0, 1):
-            w, b = fitted[v]
-            p = sigmoid(u[v] @ w + b) if len(u[v]) else np.zeros(0)
-            order = np.argsort(-np.abs(p - 0.5), kind="stable")
-            for value, sure in ((1.0, p >= CONFIDENT), (0.0, p <= 1 - CONFIDENT)):
-                fresh = [i for i in order if sure[i] and i not in given[1 - v]][:EXCHANGED]
-                given[1 - v].update({int(i): value for i in fresh})
-    out = []
-    z = apart["_y"].to_numpy(float)
+            more, labels, mass = given[v]
+            fitted.append(logistic(np.concatenate([x[v], more]), np.concatenate([y, labels]), rate=0.5 if v == 0 else 0.1, mass=np.concatenate([np.ones(len(y)), mass])))
+        if turn == rounds or not len(y) or y.min() == y.max():
+            break
+        sums = confident_sums(docs, fitted, set(labelled["doc_id"].tolist()))
+        given = [prototypes(sums, v, y) for v in (0, 1)]
+    out, logits = [], np.zeros(len(z))
     for v in (0, 1):
         w, b = fitted[v]
-        margin = matrix(apart, views[v], width[v]) @ w + b
+        margin = np.clip(matrix(apart, v) @ w + b, -30, 30)
         slope, offset = np.ones(1), np.zeros(1)
         if len(z) and z.min() < z.max():
-            slope, offset = logistic(np.clip(margin, -30, 30)[:, None] / 10, z, steps=500)
+            slope, offset = logistic(margin[:, None] / 10, z, steps=500)
             slope = np.maximum(slope, 0.1) / 10
-        out += [w.astype(np.float32), b, slope, offset]
-    return tuple(out)
+        logits += (margin * slope + offset) / 2
+        out.append((w, b, slope, offset))
+    good = np.sort(sigmoid(logits[z == 1]))
+    return out, min(0.5, float(good[int(LOSS * len(good))])) if len(good) else 0.5
 
 
-def scores(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """The columns `keep` of docs with _content, _meta and _score, each from 0 (junk) to 1."""
+def scores(docs: DataFrame, labels: DataFrame, keep: list[str], names: tuple[str, str, str, str], labelled: int = LABELLED) -> DataFrame:
+    """The columns `keep` of docs and, called `names`, the content, metadata and joint score, each from 0 (junk) to 1, and whether the document is kept."""
     learn = labelled_sample(docs, labels, "quality", labelled, ["text", "lang", "source"])
-    rest = docs.select("doc_id", "text", "lang", "source")
-    rest = rest.orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool).toPandas()
-    rest["text"] = rest["text"].fillna("")
-    model = docs.sparkSession.sparkContext.broadcast(train(learn, rest))  # BUCKETS weights
+    told = docs.sparkSession.sparkContext.broadcast(train(learn, docs))  # BUCKETS weights
     schema = docs.select(*keep).schema
-    for c in ("_content", "_meta", "_score"):
-        schema = schema.add(c, "double")
+    for c, t in zip(names, ("double", "double", "double", "boolean")):
+        schema = schema.add(c, t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, threshold = told.value
+        for batch in batches:
+            n = batch.num_columns - 3
+            margins = np.zeros((2, batch.num_rows))
+            for k, (text, lang, source) in enumerate(zip(*(batch.column(n + i).to_pylist() for i in range(3)))):
+                margins[0, k] = content(text or "") @ views[0][0]
+                margins[1, k] = metadata(text or "", lang, source) @ views[1][0]
+            a, b = (np.clip(m + bias, -30, 30) * slope + offset for m, (_, bias, slope, offset) in zip(margins, views))
+            joint = sigmoid((a + b) / 2)
+            made = [pa.array(c) for c in (sigmoid(a).astype(float), sigmoid(b).astype(float), joint.astype(float), joint >= threshold)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *names])
+
+    rows = docs.select(*keep, *[F.col(c).alias(own_name(docs, f"_{c}_in")) for c in ("text", "lang", "source")])
+    return rows.mapInArrow(run, schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w0, b0, s0, o0, w1, b1, s1, o1 = model.value
-        for frame in frames:
-            a, b = np.zeros(len(frame)), np.zeros(len(frame))
-            for k, (t, lang, source) in enumerate(zip(frame["_text"].fillna(""), frame["_lang"], frame["_source"])):
-                a[k] = content(t) @ w0
-                b[k] = metadata(t, lang, source) @ w1
-            a, b = (np.clip(a + b0, -30, 30)) * s0 + o0, (np.clip(b + b1, -30, 30)) * s1 + o1
-            yield frame[keep].assign(_content=sigmoid(a), _meta=sigmoid(b), _score=sigmoid((a + b) / 2))
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).mapInPandas(run, schema)
+def with_score(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """docs with the joint score in a column of that name."""
+    rest = [own_name(docs, f"_{c}") for c in ("content", "metadata", "kept")]
+    return scores(docs, labels, docs.columns, (rest[0], rest[1], name, rest[2])).select(*docs.columns, name)
 
 
-def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score below the threshold."""
-    return scores(docs, labels, docs.columns).filter(F.col("_score") >= threshold).select(*docs.columns)
+def reject_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that the classifier rejects."""
+    names = tuple(own_name(docs, f"_{c}") for c in ("content", "metadata", "score", "kept"))
+    return scores(docs, labels, docs.columns, names).filter(F.col(names[3])).select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = scores(docs, table(spark, sf_dir, "labels"), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_content").alias("content_score"), F.col("_meta").alias("metadata_score"),
-                      F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("keep"))
+    out = scores(docs, table(spark, sf_dir, "labels"), ["doc_id"], ("content_score", "metadata_score", "score", "kept"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "content_score", "metadata_score", "score", F.col("kept").cast("int").alias("keep"))

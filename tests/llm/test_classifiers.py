@@ -24,6 +24,34 @@ def test_quality_held_out(spark):
     assert sum(k == 0 for k, y in held if y == 0) / sum(y == 0 for _, y in held) > 0.7
 
 
+def test_confident_sums_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    r = np.random.default_rng(0)
+    fitted = [((20 * r.standard_normal(n)).astype(np.float32), np.zeros(1, np.float32)) for n in Q.WIDTHS]
+    learnt = {rows[0]["doc_id"], rows[3]["doc_id"]}
+    want = [np.zeros((Q.CELLS, 2, n + 1), np.int64) for n in Q.WIDTHS]
+    for x in rows:
+        if x["doc_id"] not in learnt:
+            f = Q.content(x["text"] or ""), Q.metadata(x["text"] or "", x["lang"], x["source"])
+            cell = Q.zlib.crc32(f"{x['source']}|{x['lang']}".encode()) % Q.CELLS
+            for v in (0, 1):
+                p = float(Q.sigmoid(f[1 - v] @ fitted[1 - v][0] + fitted[1 - v][1])[0])
+                if p >= Q.CONFIDENT or p <= 1 - Q.CONFIDENT:
+                    want[v][cell, int(p > 0.5)] += np.append(np.rint(f[v] * Q.UNIT).astype(np.int64), 1)
+    got = [np.zeros_like(w) for w in want]
+    for t in Q.confident_sums(docs, fitted, learnt).itertuples():
+        got[t.view][t.cell, t.label, t.place] = t.total  # place -1 is the last
+    assert all((g == w).all() for g, w in zip(got, want)) and got[0].any() and got[1].any()
+
+
+def test_reserved_names_and_large_ids_pass(spark, odd_dir):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet").selectExpr("*", "doc_id as _score", "9007199254740993L + doc_id as _kept", "text as _text_in")
+    out = Q.reject_low_quality(docs, spark.read.parquet(f"{odd_dir}/labels.parquet"))
+    assert out.columns == docs.columns
+    assert all(r["doc_id"] is None or r["_kept"] == 9007199254740993 + r["doc_id"] for r in out.collect())
+
+
 @pytest.mark.parametrize("query", [X.op9_toxicity, Q.op4_quality])
 def test_odd_rows_and_empty(spark, odd_dir, empty_dir, query):
     n = spark.read.parquet(f"{odd_dir}/documents.parquet").count()
