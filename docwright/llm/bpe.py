@@ -3,8 +3,8 @@
 A word's tree holds, at each leaf, the merge rank of the pair that starts there. The root names
 the leftmost lowest-ranked pair; a merge changes three leaves, each updated along its path, until
 the root has no mergeable pair. New words of a batch are encoded together: words of one tree size
-form a forest of trees in one matrix, merged in lockstep by numpy. Words' results are kept in a
-bounded cache, so a text costs a lookup a word. Vocabulary, merges, normalizer and word pattern
+form a forest of trees in one matrix, merged in lockstep by numpy; a long word with few of its size gets a tree of
+plain numbers. Words' ids are kept in a bounded cache, so a text costs a lookup a word. Decoding starts from the ids. Vocabulary, merges, normalizer and word pattern
 come from a tokenizer file of the BPE kind with word ends, named by a parameter and read on each
 worker.
 
@@ -29,6 +29,8 @@ from docwright.session import table
 
 CACHE_WORDS = 250_000
 FOREST = 1 << 16
+#: Words whose tree has more leaves than this for each word of that size are merged one by one.
+LONG_LEAVES = 64
 NONE = np.int32(2**31 - 1)
 SUFFIX = "</w>"
 #: Words of the file's split pattern; white space between them is dropped.
@@ -76,12 +78,12 @@ class Tokenizer:
         self.latin_words = re.compile(LATIN_PATTERN)
         self.latin = re.compile(LATIN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.texts = [self.names.get(i, "") for i in range(self.span)]
         self.numbers = [str(i) for i in range(self.span)]
-        # Two generations of each word's ids and token texts.
+        self.texts = {str(i): t for i, t in self.names.items()}
+        self.rank_of = dict(zip(codes.tolist(), range(len(codes))))
+        # Two generations of each word's ids.
         self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-        self.old: tuple[dict[str, str], dict[str, str]] = ({}, {})
+        self.old: dict[str, str] = {}
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = a * self.span + b
@@ -134,8 +136,44 @@ class Tokenizer:
                     tree[rows_, node] = np.minimum(tree[rows_, 2 * node], tree[rows_, 2 * node + 1])
                     node = node >> 1
 
+    def merge_word(self, symbols: list[int]) -> list[int]:
+        """As merge_forest for one word, on a tree of plain numbers: for long words that few others share a tree size with."""
+        n = len(symbols)
+        leaves, span, rank_of, merged = 1 << max(1, (n - 1).bit_length()), self.span, self.rank_of, self.merged
+        none = int(NONE) * leaves
+        tree = [none] * (2 * leaves)
+        for i in range(n - 1):
+            rank = rank_of.get(symbols[i] * span + symbols[i + 1])
+            if rank is not None:
+                tree[leaves + i] = rank * leaves + i
+        for node in range(leaves - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def put(at: int, b: int) -> None:
+            rank = rank_of.get(symbols[at] * span + symbols[b]) if b < n else None
+            node = at + leaves
+            value = none if rank is None else rank * leaves + at
+            while node and tree[node] != value:
+                tree[node] = value
+                value = min(value, tree[node ^ 1])
+                node >>= 1
+
+        while tree[1] < none:
+            rank, at = divmod(tree[1], leaves)
+            gone = after[at]
+            symbols[at], after[at] = int(merged[rank]), after[gone]
+            symbols[gone] = -1
+            if after[gone] < n:
+                before[after[gone]] = at
+            put(gone, n)
+            put(at, after[at])
+            if before[at] >= 0:
+                put(before[at], at)
+        return [x for x in symbols if x >= 0]
+
     def learn(self, words: list[str]) -> None:
-        """Put the words' results (decimal ids joined by spaces, token texts joined by spaces) in the cache."""
+        """Put the words' decimal ids, joined by spaces, in the cache."""
         raws = [w.encode("utf-8", "surrogatepass") for w in words]
         lengths = np.fromiter(map(len, raws), np.int64, len(raws))
         data = np.frombuffer(b"".join(raws), np.uint8)
@@ -147,18 +185,22 @@ class Tokenizer:
             for k in range(0, len(group), step):
                 some = group[k : k + step]
                 n = lengths[some]
+                if leaves > LONG_LEAVES * len(some):
+                    for i in some.tolist():
+                        raw = data[starts[i] : starts[i] + lengths[i]]
+                        merged = self.merge_word([*self.plain[raw[:-1]].tolist(), int(self.ends[raw[-1]])])
+                        self.ids[words[i]] = " ".join(map(self.numbers.__getitem__, merged))
+                    continue
                 row = np.repeat(np.arange(len(some)), n)
                 col = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 symbols = np.full((len(some), leaves), -1, np.int64)
                 symbols[row, col] = self.plain[data[np.repeat(starts[some], n) + col]]
                 symbols[np.arange(len(some)), n - 1] = self.ends[data[starts[some] + n - 1]]
                 self.merge_forest(symbols, n)
-                flat = symbols[symbols >= 0].tolist()
-                numbers, names = list(map(self.numbers.__getitem__, flat)), list(map(self.texts.__getitem__, flat))
+                numbers = list(map(self.numbers.__getitem__, symbols[symbols >= 0].tolist()))
                 at = 0
                 for i, more in zip(some.tolist(), (symbols >= 0).sum(1).tolist()):
                     self.ids[words[i]] = " ".join(numbers[at : at + more])
-                    self.tokens[words[i]] = " ".join(names[at : at + more])
                     at += more
 
     def normalized(self, part: str) -> str:
@@ -184,28 +226,28 @@ class Tokenizer:
     def know(self, words: set[str]) -> None:
         """Have the words in the young generation; it turns old when it is full."""
         if len(self.ids) > CACHE_WORDS:
-            self.old, self.ids, self.tokens = (self.ids, self.tokens), {}, {}
+            self.old, self.ids = self.ids, {}
         for word, i in self.special.items():
-            self.ids[word], self.tokens[word] = str(i), word
-        fresh, (ids, tokens) = [], self.old
+            self.ids[word] = str(i)
+        fresh = []
         for w in words - self.ids.keys():
-            if w in ids:
-                self.ids[w], self.tokens[w] = ids[w], tokens[w]
+            if w in self.old:
+                self.ids[w] = self.old[w]
             else:
                 fresh.append(w)
         if fresh:
             self.learn(fresh)
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids, token texts), each joined by single spaces."""
+    def encode_batch(self, texts: list[str]) -> list[str]:
+        """The decimal ids of each text, joined by single spaces."""
         split = [self.split(t) for t in texts]
         self.know(set().union(*split))
-        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
-        return [(" ".join(map(ids, ws)), " ".join(map(tokens, ws))) for ws in split]
+        ids = self.ids.__getitem__
+        return [" ".join(map(ids, ws)) for ws in split]
 
     def decode(self, ids: str) -> str:
         """Token texts of decimal ids, as a decoder-less tokenizer joins them."""
-        return " ".join([self.names[int(i)] for i in ids.split()])
+        return " ".join(map(self.texts.__getitem__, ids.split(" "))) if ids else ""
 
 
 @functools.cache
@@ -234,15 +276,15 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for frame in frames:
             frame = frame.assign(**{text_col: frame[text_col].fillna("")})
             for part in blocks(frame, text_col):
-                got = t.encode_batch(part[text_col].tolist())
-                ids, decoded = [g[0] for g in got], [g[1] for g in got]
+                ids = t.encode_batch(part[text_col].tolist())
+                decoded = [t.decode(x) for x in ids]
                 yield part.drop(columns=[text_col]).assign(_ids=ids, _tokens=[x.count(" ") + (x != "") for x in ids], _decoded=decoded)
 
     return docs.mapInPandas(run, schema)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256); the decoded text comes from the ids."""
+    """(id, n_tokens, ids_sha256, decoded_sha256); the decoded text is decode() of the ids."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
@@ -250,9 +292,9 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for frame in frames:
             frame = frame.assign(_text=frame["_text"].fillna(""))
             for part in blocks(frame, "_text"):
-                got = t.encode_batch(part["_text"].tolist())
-                yield pd.DataFrame({"_id": part["_id"], "n_tokens": [g[0].count(" ") + (g[0] != "") for g in got],
-                                    "ids_sha256": [sha(g[0]) for g in got], "decoded_sha256": [sha(g[1]) for g in got]})
+                ids = t.encode_batch(part["_text"].tolist())
+                yield pd.DataFrame({"_id": part["_id"], "n_tokens": [x.count(" ") + (x != "") for x in ids],
+                                    "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(t.decode(x)) for x in ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)

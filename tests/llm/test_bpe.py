@@ -37,8 +37,8 @@ def test_random_unicode(library):
     texts += ["<|endoftext|>", "a<|startoftext|>B <|endoftext|>", "x" * 3000, "ab" * 5000, "inging" * 300, "!" * 700]
     for text, got in zip(texts, t.encode_batch(texts)):
         e = library.encode(text, add_special_tokens=False)
-        assert got[0] == " ".join(map(str, e.ids)), text
-        assert got[1] == t.decode(got[0]) == library.decode(e.ids, skip_special_tokens=False), text
+        assert got == " ".join(map(str, e.ids)), text
+        assert t.decode(got) == library.decode(e.ids, skip_special_tokens=False), text
 
 
 def test_cache_bound(monkeypatch):
@@ -48,5 +48,21 @@ def test_cache_bound(monkeypatch):
     assert t.encode_batch(["some words go in and out"])[0] == first[0]
 
 
+@pytest.mark.parametrize("long_leaves", [0, 10**9])
+def test_either_tree(library, monkeypatch, long_leaves):
+    monkeypatch.setattr(B, "LONG_LEAVES", long_leaves)
+    r = random.Random(8)
+    t = B.Tokenizer(B.vocabulary())
+    texts = ["".join(r.choice("abcdefghijéß") for _ in range(n)) for n in [1, 2, 3, 4, 5, 8, 9, 31, 32, 33, 200] * 8] + ["e" * 40, "in" * 50]
+    assert t.encode_batch(texts) == [" ".join(map(str, library.encode(x, add_special_tokens=False).ids)) for x in texts]
+
+
+def test_word_of_a_million_letters(library):
+    r = random.Random(4)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(10**6))
+    (got,) = B.Tokenizer(B.vocabulary()).encode_batch([word])
+    assert hashlib.sha256(got.encode()).hexdigest() == want(library, word)[1]
+
+
 def test_empty(spark, empty_dir):
     assert B.op2_bpe(spark, empty_dir).collect() == []

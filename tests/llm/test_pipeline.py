@@ -27,7 +27,7 @@ def test_stages_in_turn(spark):
     mixed = P.mixture(spark, near, SMALL).cache()
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in near.collect()}
     t = bpe.tokenizer(bpe.vocabulary())
-    want = sorted((r["doc_id"], hashlib.sha256(t.encode_batch([r["text"] or ""])[0][0].encode()).hexdigest()) for r in mixed.collect())
+    want = sorted((r["doc_id"], hashlib.sha256(t.encode_batch([r["text"] or ""])[0].encode()).hexdigest()) for r in mixed.collect())
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in P.tokens(spark, mixed, SMALL).collect()) == want
 
 
