@@ -4,38 +4,42 @@ Dated list events (add, remove) of a pattern become validity intervals; each cap
 the entries that were active on the day it was fetched. Patterns are hosts (a pattern also covers
 hosts below it) or a host with a path prefix of whole segments. A capture's own keys, every host
 suffix and every path prefix, make this an equi-join with a range check; of the active entries the
-longest pattern decides, and "allow" wins a tie. Capture keys are salted against hot hosts and
-the intervals, a row an event, are repeated once a salt.
-
-Defined cases: a null or unparsable url has no host, no keys and the verdict "keep"; a null day
-matches nothing; events of one pattern on one day act in the order remove, add; repeated captures
-are joined once and all returned; an empty table gives an empty result; columns beyond id, url and
-day are not read.
+longest pattern decides, and "allow" wins a tie. A list of up to BROADCAST_ENTRIES intervals is
+broadcast, so keys that no entry has never leave their task. A longer one is shuffled, and the rows
+of a key that many captures have are dealt to several tasks.
+
+Defined cases: a url is anything with an authority after "//", with or without a scheme; user, port, letter case and
+dots at the host's end don't count; an IP address, in brackets or not, is one key without suffixes; a null url or one
+without a host has no keys and the verdict "keep"; a null day matches nothing; events of one pattern on one day act in the
+order remove, add; repeated captures are all returned; an empty table gives an empty result;
+columns beyond id, url and day are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from docwright.session import table
+from docwright.session import saved, spread_join, table
 
-SALTS = 16
+BROADCAST_ENTRIES = 500_000
 FOREVER = 2**31 - 1
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
-PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)"
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)"
+PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+([^?#]*)"
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1)), r"\.+$", "")
 
 
 def keys(url: Column) -> Column:
     """Every host suffix, and the host with every prefix of whole path segments."""
-    labels = F.split(host(url), r"\.")
+    name = host(url)
+    labels = F.when(name.rlike(ADDRESS), F.array(name)).otherwise(F.split(name, r"\."))
     suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
     parts = F.filter(F.split(F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1), "/"), lambda s: s != "")
-    prefixes = F.transform(parts, lambda _, i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
-    return F.when(host(url) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
+    prefixes = F.transform(parts, lambda _, i: F.concat(name, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+    return F.when(name == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(suffixes, prefixes)))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -45,17 +49,20 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.filter("action = 'add' AND day < until").select("list", "pattern", F.col("day").alias("since"), "until")
 
 
-def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
+def judge(captures: DataFrame, events: DataFrame, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """(page_id, host, day, n_active, pattern, verdict) for captures (page_id, url, day)."""
-    salted = intervals(events).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = captures.select("page_id", "url", "day").groupBy("page_id", "url", "day").agg(F.count("*").alias("_times"))
-    spread = rows.select("*", F.explode_outer(keys(F.col("url"))).alias("_key")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    met = spread.join(salted, (F.col("_key") == F.col("pattern")) & (F.col("_salt") == F.col("salt")) & (F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")), "left")
+    entries = saved(intervals(events), "intervals")
+    rows = captures.select("page_id", "url", "day")
+    keyed = rows.select("*", F.explode(keys(F.col("url"))).alias("pattern"))
+    met = keyed.join(F.broadcast(entries), "pattern") if entries.count() <= most else spread_join(saved(keyed, "keys"), entries, "pattern")
+    hits = met.filter((F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")))
     rank = F.struct(F.length("pattern").alias("n"), F.when(F.col("list") == "allow", 1).otherwise(0).alias("allow"), "pattern", "list")
-    best = met.groupBy("page_id", "url", "day", "_times").agg(F.count("pattern").alias("n_active"), F.max(F.when(F.col("pattern").isNotNull(), rank)).alias("best"))
+    # Each capture also comes once without an entry: captures that meet none stay, and repeated ones are counted.
+    every = hits.select("page_id", "url", "day", rank.alias("entry")).unionByName(rows, allowMissingColumns=True)
+    best = every.groupBy("page_id", "url", "day").agg(F.count("entry").alias("hits"), F.count_if(F.col("entry").isNull()).alias("times"), F.max("entry").alias("best"))
     verdict = F.when(F.col("best.list") == "block", "drop").otherwise("keep")
-    out = best.withColumn("_turn", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
-    return out.select("page_id", host(F.col("url")).alias("host"), "day", "n_active", F.col("best.pattern").alias("pattern"), verdict.alias("verdict"))
+    out = best.withColumn("turn", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return out.select("page_id", host(F.col("url")).alias("host"), "day", F.floor(F.col("hits") / F.col("times")).alias("n_active"), F.col("best.pattern").alias("pattern"), verdict.alias("verdict"))
 
 
 def planned_events(pages: DataFrame) -> DataFrame:
@@ -81,20 +88,23 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH caps AS (
   SELECT page_id, url, (page_id * 37 % 365)::INT AS day,
-    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-    [s FOR s IN string_split(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/') IF s <> ''] AS parts
+    regexp_replace(lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)', 1)), '\.+$', '') AS host,
+    [s FOR s IN string_split(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+([^?#]*)', 1), '/') IF s <> ''] AS parts
   FROM pages),
 hosts AS (SELECT DISTINCT host AS h, ('0x' || substr(md5(host), 1, 7))::INT AS x FROM caps WHERE host <> ''),
 domains AS (
   SELECT DISTINCT d AS h, ('0x' || substr(md5(d), 1, 7))::INT AS x
   FROM (SELECT regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS d FROM hosts) WHERE d <> ''),
-events AS (
-  SELECT 'block' AS list, h AS pattern, x % 300 AS since, x % 300 + 90 AS until FROM hosts WHERE x % 4 < 2
-  UNION ALL SELECT 'allow', h || '/en', x % 200, 2147483647 FROM hosts WHERE x % 4 = 1
-  UNION ALL SELECT 'block', h, 100, 250 FROM domains WHERE x % 3 = 0),
+dated AS (
+  SELECT 'block' AS list, h AS pattern, unnest([x % 300, x % 300 + 90]) AS day, unnest(['add', 'remove']) AS action FROM hosts WHERE x % 4 < 2
+  UNION ALL SELECT 'allow', h || '/en', x % 200, 'add' FROM hosts WHERE x % 4 = 1
+  UNION ALL SELECT 'block', h, unnest([100, 250]), unnest(['add', 'remove']) FROM domains WHERE x % 3 = 0),
+spans AS (SELECT *, coalesce(lead(day) OVER (PARTITION BY list, pattern ORDER BY day, action = 'add'), 2147483647) AS next FROM dated),
+events AS (SELECT list, pattern, day AS since, next AS until FROM spans WHERE action = 'add' AND day < next),
 keyed AS (
   SELECT *, unnest(CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_distinct(list_concat(
-    [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)],
+    CASE WHEN regexp_matches(host, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN [host]
+      ELSE [array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1)] END,
     [host || '/' || array_to_string(parts[:i], '/') FOR i IN range(1, len(parts) + 1)])) END) AS key
   FROM caps),
 met AS (
