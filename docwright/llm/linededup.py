@@ -7,25 +7,26 @@ except those of the smallest document id that holds it.
 Plan. Lines become (128-bit key hash, id, position) rows. Hashes are uniform, so equal slices
 of the 64-bit range are balanced range partitions without a sampling pass; each partition is
 sorted by hash, id and position and a running minimum streams the first holder. Hot keys (found
-in a sample of documents, at most 1 / HOT_SHARE of them) never enter the shuffle: an exact
-map-side-combined minimum over all rows settles them and is broadcast, at most that many rows.
-Only dropped positions travel back; they form a run-length coded keep bitmap per document.
+in a sample of documents, with 1 / HOT_SHARE of an even partition's lines or more, so at most HOT_SHARE times the partitions of
+them) never enter that sort: an exact map-side-combined minimum over all rows settles them and is
+broadcast; of their lines only those that go are shuffled, spread by document. Only dropped positions travel
+back, as a sparse bitmap a document; the text is cut into the runs between them.
 
 Defined cases: null or empty text is one empty line; a null id ranks after all ids and all null
 ids count as one document; repeated rows of one id are one document; rows with the same id and
 different texts get their own bitmaps; an empty table gives an empty result; columns other than
-id and text pass through `dedup_documents` untouched.
+id and text pass through `dedup_documents` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from docwright.session import shuffle_partitions, table
+from docwright.session import own_name, shuffle_partitions, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOT_SHARE = 1000
+HOT_SHARE = 8
 SAMPLE_MODULUS = 64
 SAMPLE_LEAST = 8
 LAST_ID = 2**63 - 1
@@ -47,62 +48,79 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.select("ord_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(17), F.col("key")).alias("h2"))
 
 
-def _hot(docs: DataFrame, min_chars: int) -> list[int]:
-    """Hashes that hold at least 1 / HOT_SHARE of the sampled lines; this steers the plan, never the result."""
+def _hot(docs: DataFrame, min_chars: int, parts: int) -> list[int]:
+    """Hashes with at least 1 / HOT_SHARE of a partition's share of the sampled lines; this steers the plan, never the result."""
     some = _lines(docs.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(SAMPLE_MODULUS)) == 0), min_chars)
     counts = some.groupBy("h1").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    least = max(SAMPLE_LEAST, total // HOT_SHARE)
+    least = max(SAMPLE_LEAST, total // (parts * HOT_SHARE))
     return [r[0] for r in counts.filter(F.col("count") >= least).select("h1").collect()]
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """(ord_id, th, drops, keep_runs, flags): a row for each document that loses lines.
-
-    keep_runs holds the length of the kept run before each dropped line (a run-length coded
-    bitmap); flags is the same bitmap with one byte a line up to the last dropped one.
-    """
+    """(ord_id, th, drops): for each document that loses lines a sparse bitmap, the sorted positions of those that go."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    lines, hot = _lines(docs, min_chars), _hot(docs, min_chars)
     parts = shuffle_partitions(spark)
-    dropped = None
+    lines, hot = _lines(docs, min_chars), _hot(docs, min_chars, parts)
+    first_id = F.lit(None).cast("long")
     if hot:
-        first = lines.filter(F.col("h1").isin(hot)).groupBy("h1", "h2").agg(F.min("ord_id").alias("first_id"))
-        dropped = (
-            lines.filter(F.col("h1").isin(hot)).join(F.broadcast(first), ["h1", "h2"])
-            .filter(F.col("ord_id") > F.col("first_id")).select("ord_id", "th", "pos")
-        )
-        lines = lines.filter(~F.col("h1").isin(hot))
-    slice_of = F.expr(f"cast(shiftrightunsigned(h1, 32) * {parts} / 4294967296 as int)")
-    by_hash = W.partitionBy("slice", "h1", "h2").orderBy("ord_id", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cold = (
-        lines.withColumn("slice", slice_of).repartitionById(parts, F.col("slice"))
+        few = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h1 long"))
+        first = lines.join(few, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("ord_id").alias("hot_first"))
+        lines = lines.join(F.broadcast(first), ["h1", "h2"], "left").filter("hot_first is null or ord_id > hot_first")
+        first_id = F.col("hot_first")
+    # A hot line that goes is settled here: it is dealt by its document and stands alone in the sort.
+    lines = lines.withColumn("settled", first_id.isNotNull())
+    own = lambda a, b: F.when(F.col("settled"), F.col(a)).otherwise(F.col(b))
+    lines = lines.select("settled", own("ord_id", "h1").alias("g1"), own("pos", "h2").alias("g2"), F.when(F.col("settled"), F.xxhash64("ord_id")).otherwise(F.col("h1")).alias("deal"), "ord_id", "th", "pos")
+    slice_of = F.expr(f"cast(shiftrightunsigned(deal, 32) * {parts} / 4294967296 as int)")
+    by_hash = W.partitionBy("slice", "settled", "g1", "g2").orderBy("ord_id", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    gone = (
+        lines.withColumn("slice", slice_of).drop("deal").repartitionById(parts, F.col("slice"))
         .withColumn("first_id", F.min("ord_id").over(by_hash))
-        .filter(F.col("ord_id") > F.col("first_id")).select("ord_id", "th", "pos")
+        .filter(F.col("settled") | (F.col("ord_id") > F.col("first_id"))).select("ord_id", "th", "pos")
     )
-    dropped = cold if dropped is None else cold.unionByName(dropped)
-    drops = dropped.groupBy("ord_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
-    runs = F.transform("drops", lambda p, i: p - F.coalesce(F.get("drops", i - 1), F.lit(-1)) - 1)
-    with_runs = drops.select("ord_id", "th", "drops", runs.alias("keep_runs"))
-    flags = F.array_join(F.transform("keep_runs", lambda g: F.concat(F.repeat(F.lit("0"), g), F.lit("1"))), "")
-    return with_runs.withColumn("flags", flags.cast("binary"))
+    return gone.groupBy("ord_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+
+
+def keep_runs(drops: Column) -> Column:
+    """The lengths of the runs of kept lines before each dropped one."""
+    return F.transform(drops, lambda p, i: p - F.coalesce(F.get(drops, i - 1), F.lit(-1)) - 1)
+
+
+def kept_lines(text: Column, drops: Column) -> Column:
+    """The lines between the dropped ones, joined by newline: runs are sliced, not lines tested."""
 
+    def cut(lines: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(drops, i - 1), F.lit(-1))
+        until = lambda i: F.coalesce(F.get(drops, i), F.size(lines))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), lambda i: F.slice(lines, before(i) + 2, until(i) - before(i) - 1))), "\n")
 
-def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """docs with _kept (the kept lines joined by newline), _n_lines, _n_dropped and _keep_runs."""
+    return F.get(F.transform(F.array(F.split(text, "\n")), cut), F.lit(0))
+
+
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, names: tuple[str, str, str, str] = ("_kept", "_n_lines", "_n_dropped", "_keep_runs")) -> DataFrame:
+    """docs and, called `names`, the kept lines joined by newline, the lines, the dropped ones, and the runs of kept ones."""
     maps = keep_bitmaps(docs, id_col, text_col, min_chars)
+    ord_, th, drops = (own_name(docs, x) for x in ("_ord", "_th", "_drops"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64(text)})
-    maps = maps.select(F.col("ord_id").alias("_ord"), F.col("th").alias("_th"), F.col("drops").alias("_drops"), F.col("keep_runs").alias("_keep_runs"), F.col("flags").alias("_flags"))
-    joined = keyed.join(maps, ["_ord", "_th"], "left")
-    one = F.lit("1").cast("binary")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: F.substring(F.col("_flags"), i + 1, F.lit(1)) != one), "\n")
-    return joined.withColumns({
-        "_kept": F.when(F.col("_flags").isNull(), text).otherwise(kept),
-        "_n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "_n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"),
-    }).drop("_ord", "_th", "_drops", "_flags")
+    keyed = docs.withColumns({ord_: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), th: F.xxhash64(text)})
+    joined = keyed.join(maps.select(F.col("ord_id").alias(ord_), F.col("th").alias(th), F.col("drops").alias(drops)), [ord_, th], "left")
+    return joined.select(
+        *docs.columns,
+        F.when(F.col(drops).isNull(), text).otherwise(kept_lines(text, F.col(drops))).alias(names[0]),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(names[1]),
+        F.coalesce(F.size(drops), F.lit(0)).cast("long").alias(names[2]),
+        keep_runs(F.col(drops)).alias(names[3]),
+    )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs whose texts have lost their repeated lines, with the length in chars_col; a null text stays null."""
+    names = tuple(own_name(docs, x) for x in ("_kept", "_n_lines", "_n_dropped", "_keep_runs"))
+    out = dedup_documents(docs, id_col, text_col, names=names)
+    text = F.when(F.col(text_col).isNotNull(), F.col(names[0]))
+    return out.withColumns({text_col: text, chars_col: F.coalesce(F.length(text), F.lit(0)).cast("long")}).select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +133,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT coalesce(doc_id, 9223372036854775807) AS doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
   FROM documents),
 keyed AS (
@@ -125,7 +143,7 @@ firsts AS (SELECT key, min(doc_id) AS first_id FROM keyed WHERE length(key) >= 1
 flagged AS (
   SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND k.doc_id > f.first_id AS dropped
   FROM keyed k LEFT JOIN firsts f ON k.key = f.key)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS BIGINT)) AS BIGINT) AS n_dropped,
+SELECT nullif(doc_id, 9223372036854775807) AS doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS BIGINT)) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM flagged GROUP BY doc_id
 """
