@@ -1,18 +1,21 @@
 """Document fingerprints with native expressions only: a Merkle tree over paragraphs and sections.
 
-Leaves are pieces of a paragraph (up to four words, ended early by a sentence end), paragraphs
-are lines, and a section is a run of eight paragraphs. A fingerprint is the text
-    root / section hashes / paragraph hashes / leaf hashes by paragraph
-so equal roots mean equal texts, and where roots differ the differing sections, paragraphs and
-leaves locate the edit. Likeness of two fingerprints is 1 for equal roots, else the Dice share
-of their distinct leaves.
+A paragraph is a line; its node is the MD5 of its text, and below it are its leaves, short hashes of
+pieces (up to four words, ended early by a sentence end). A section is a run of paragraphs that ends where a
+paragraph's own hash says so, one in eight, so an inserted line changes one section and moves
+none. A section hashes its nodes and the root its sections, in 128 bits each. A fingerprint is the text
+    root / section hashes / node:leaves by paragraph
+so equal roots mean equal texts. Where roots differ, `with_differences` descends: to sections that the
+other tree lacks, and in them to paragraphs that it lacks. Likeness descends too: shared paragraphs count with all
+their leaves, of the others the leaves are compared; it is the Dice share of what is common, 1 for equal roots.
 
 Each document's successor in id order comes without a global sort: exact ids at approximate
 quantiles cut the id range into one bucket a partition, the first document of a bucket is also
 sent to the bucket before it, and a window within each bucket does the rest. The text moves once.
 
 Defined cases: null text is empty; a null id ranks first; equal ids rank by text hash; one
-document is its own successor; an empty table gives an empty result.
+document is its own successor; an empty table gives an empty result; a paragraph that only moves is no difference, but
+the sections around it are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from docwright.session import shuffle_partitions, table
 
 LEAF = r"(?:[^\s.!?|]{1,60}[ \t]*){1,4}[.!?|]*\s*|[\s.!?|]+"
-FAN = 8
+#: A node that ends in one of these ends its section.
+ENDS = ("0", "8")
 FIRST_ID = -(2**63)
 
 
@@ -36,32 +40,48 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str) -> DataFrame:
     leaf = lambda x: _hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)), 8)
     df = df.withColumn(f"{p}_paras", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
     df = df.withColumn(f"{p}_leaves", F.transform(f"{p}_paras", lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(LEAF), F.lit(0)), leaf), "")))
-    df = df.withColumn(f"{p}_nodes", F.zip_with(f"{p}_paras", f"{p}_leaves", lambda x, s: _hex(F.xxhash64(x, s), 16)))
-    starts = F.sequence(F.lit(0), F.floor((F.size(f"{p}_nodes") - 1) / FAN).cast("int"))
-    df = df.withColumn(f"{p}_sections", F.transform(starts, lambda s: _hex(F.xxhash64(F.array_join(F.slice(F.col(f"{p}_nodes"), s * FAN + 1, FAN), "")), 16)))
+    df = df.withColumn(f"{p}_nodes", F.transform(f"{p}_paras", F.md5))
+    last = F.size(f"{p}_nodes") - 1
+    df = df.withColumn(f"{p}_ends", F.filter(F.transform(f"{p}_nodes", lambda x, i: F.when(F.substring(x, 32, 1).isin(*ENDS) | (i == last), i)), lambda i: i.isNotNull()))
+    before = lambda i: F.coalesce(F.get(f"{p}_ends", i - 1), F.lit(-1))
+    df = df.withColumn(f"{p}_sections", F.transform(f"{p}_ends", lambda e, i: F.md5(F.array_join(F.slice(f"{p}_nodes", before(i) + 2, e - before(i)), ""))))
     root = F.substring(F.sha2(F.array_join(f"{p}_sections", ""), 256), 1, 32)
-    df = df.withColumn(out, F.concat_ws("/", root, F.array_join(f"{p}_sections", "."), F.array_join(f"{p}_nodes", "."), F.array_join(f"{p}_leaves", ".")))
-    return df.drop(*(f"{p}_{x}" for x in ("paras", "leaves", "nodes", "sections")))
+    paras = F.array_join(F.zip_with(f"{p}_nodes", f"{p}_leaves", lambda n, x: F.concat(n, F.lit(":"), x)), ".")
+    df = df.withColumn(out, F.concat_ws("/", root, F.array_join(f"{p}_sections", "."), paras))
+    return df.drop(*(f"{p}_{x}" for x in ("paras", "leaves", "nodes", "ends", "sections")))
 
 
-def leaves(fingerprint: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring_index(fingerprint, "/", -1), F.lit("[0-9a-f]{8}"), F.lit(0)))
+def _part(fingerprint: str, n: int) -> Column:
+    return F.split(F.element_at(F.split(F.col(fingerprint), "/"), n), r"\.")
 
 
-def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """df with the likeness (0 to 1) of the fingerprints in columns a and b."""
-    df = df.withColumns({f"_{out}_a": leaves(F.col(a)), f"_{out}_b": leaves(F.col(b))})
-    total = F.size(f"_{out}_a") + F.size(f"_{out}_b")
-    share = 2.0 * F.size(F.array_intersect(f"_{out}_a", f"_{out}_b")) / F.greatest(total, F.lit(1))
+def _differing(mine: str, other: str) -> Column:
+    """0-based places of what the other array lacks."""
+    missing = F.array_except(mine, other)
+    return F.get(F.transform(F.array(missing), lambda m: F.filter(F.transform(mine, lambda x, i: F.when(F.array_contains(m, x), i)), lambda i: i.isNotNull())), F.lit(0))
+
+
+def with_differences(df: DataFrame, a: str, b: str, sections: str, paragraphs: str) -> DataFrame:
+    """df with the 0-based numbers of b's sections that a lacks, and of the paragraphs in them that a lacks; empty for equal roots."""
+    parts = {f"_{sections}_{x}{n}": _part(c, n) for x, c in (("a", a), ("b", b)) for n in (2, 3)}
+    df = df.withColumns(parts)
     same = F.substring_index(F.col(a), "/", 1) == F.substring_index(F.col(b), "/", 1)
-    return df.withColumn(out, F.when(same, F.lit(1.0)).otherwise(share)).drop(f"_{out}_a", f"_{out}_b")
+    none = F.array().cast("array<int>")
+    of = lambda n: F.when(same, none).otherwise(_differing(f"_{sections}_b{n}", f"_{sections}_a{n}"))
+    return df.withColumns({sections: of(2), paragraphs: of(3)}).drop(*parts)
 
 
-def differing_sections(a: Column, b: Column) -> Column:
-    """0-based numbers of the sections where two fingerprints differ."""
-    part = lambda x: F.split(F.element_at(F.split(x, "/"), 2), r"\.")
-    changed = F.zip_with(part(a), part(b), lambda x, y: ~x.eqNullSafe(y))
-    return F.filter(F.transform(changed, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with the likeness (0 to 1) of the fingerprints in columns a and b."""
+    pa, pb, shared = f"_{out}_a", f"_{out}_b", f"_{out}_shared"
+    df = df.withColumns({pa: _part(a, 3), pb: _part(b, 3)})
+    leaves = lambda mine, other: F.array_distinct(F.regexp_extract_all(F.array_join(F.transform(F.array_except(mine, other), lambda x: F.substring(x, 34, 2**31 - 1)), ""), F.lit("[0-9a-f]{8}"), F.lit(0)))
+    whole = F.aggregate(F.array_intersect(pa, pb), F.lit(0), lambda n, x: n + F.floor((F.length(x) - 33) / 8).cast("int"))
+    df = df.withColumns({shared: whole, f"{pa}l": leaves(pa, pb), f"{pb}l": leaves(pb, pa)})
+    total = 2 * F.col(shared) + F.size(f"{pa}l") + F.size(f"{pb}l")
+    share = 2.0 * (F.col(shared) + F.size(F.array_intersect(f"{pa}l", f"{pb}l"))) / F.greatest(total, F.lit(1))
+    same = F.substring_index(F.col(a), "/", 1) == F.substring_index(F.col(b), "/", 1)
+    return df.withColumn(out, F.when(same, F.lit(1.0)).otherwise(share)).drop(pa, pb, shared, f"{pa}l", f"{pb}l")
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,4 +114,6 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_fingerprint(docs, "edited", "edited_fingerprint")
     docs = with_likeness(docs, "fingerprint", "edited_fingerprint", "near_edited")
     docs = with_likeness(docs, "fingerprint", "next_fingerprint", "near_next")
-    return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    docs = with_differences(docs, "fingerprint", "edited_fingerprint", "sections", "paragraphs")
+    return docs.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                       F.size("sections").cast("long").alias("n_differing_sections"), F.size("paragraphs").cast("long").alias("n_differing_paragraphs"))

@@ -1,7 +1,7 @@
 import hashlib
+import re
 
 from conftest_llm import SMALL, documents
-from pyspark.sql import functions as F
 
 from docwright.llm import fingerprint as M
 
@@ -44,8 +44,57 @@ def test_empty_and_single(spark, empty_dir, tmp_path):
     assert r["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and r["near_next"] == 1.0
 
 
-def test_differing_sections(spark):
-    a = "\n".join(f"line {i}." for i in range(30))
-    df = spark.createDataFrame([(a, a.replace("line 9.", "other."))], "a string, b string")
+def tree(text):
+    """(root, sections, nodes, leaves by paragraph) and where sections end, in plain Python; leaves are the pieces themselves."""
+    paras = text.split("\n")
+    nodes = [hashlib.md5(x.encode()).hexdigest() for x in paras]
+    sections, run, section_of = [], "", []
+    for i, n in enumerate(nodes):
+        run += n
+        section_of.append(len(sections))
+        if n[-1] in "08" or i == len(nodes) - 1:
+            sections.append(hashlib.md5(run.encode()).hexdigest())
+            run = ""
+    return hashlib.sha256("".join(sections).encode()).hexdigest()[:32], sections, nodes, [re.findall(M.LEAF, x) for x in paras], section_of
+
+
+def like(a, b):
+    (ra, _, na, la, _), (rb, _, nb, lb, _) = tree(a), tree(b)
+    if ra == rb:
+        return 1.0
+    da, db = dict(zip(na, la)), dict(zip(nb, lb))
+    shared = sum(len(da[n]) for n in da if n in db)
+    x, y = ({p for n in d if n not in e for p in d[n]} for d, e in ((da, db), (db, da)))
+    return 2 * (shared + len(x & y)) / max(1, 2 * shared + len(x) + len(y))
+
+
+def test_columns_match_plain_trees(spark):
+    rows = sorted(documents(SMALL))
+    got = {r["doc_id"]: r for r in M.op7_fingerprints(spark, SMALL).collect()}
+    for k, (i, t, *_) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        h = len(t) // 2
+        edited, r = t[: len(t) - h] + nxt[:h], got[i]
+        for text, f in ((t, r["fingerprint"]), (edited, r["edited_fingerprint"])):
+            root, sections, nodes, leaves, _ = tree(text)
+            parts = f.split("/")
+            assert parts[:2] == [root, ".".join(sections)]
+            assert [(p.split(":")[0], len(p.split(":")[1]) // 8) for p in parts[2].split(".")] == [(n, len(x)) for n, x in zip(nodes, leaves)]
+        assert abs(r["near_edited"] - like(t, edited)) < 1e-9 and abs(r["near_next"] - like(t, nxt)) < 1e-9
+        a, b = tree(t), tree(edited)
+        assert r["n_differing_sections"] == sum(x not in a[1] for x in b[1]) and r["n_differing_paragraphs"] == sum(x not in a[2] for x in b[2])
+
+
+def test_edits_are_located(spark):
+    lines = [f"line {i} says something." for i in range(200)]
+    a = "\n".join(lines)
+    made = {"insert": [*lines[:50], "a new line.", *lines[50:]], "change": [*lines[:70], "other.", *lines[71:]], "first": ["top.", *lines], "delete": [*lines[:90], *lines[91:]], "same": lines}
+    df = spark.createDataFrame([(k, a, "\n".join(v)) for k, v in made.items()], "k string, a string, b string")
     df = M.with_fingerprint(M.with_fingerprint(df, "a", "fa"), "b", "fb")
-    assert df.select(M.differing_sections(F.col("fa"), F.col("fb"))).first()[0] == [1]
+    got = {r["k"]: (r["s"], r["p"]) for r in M.with_differences(df, "fa", "fb", "s", "p").collect()}
+    assert {k: p for k, (_, p) in got.items()} == {"insert": [50], "change": [70], "first": [0], "delete": [], "same": []}
+    for k, v in made.items():
+        sections, section_of = tree("\n".join(v))[1], tree("\n".join(v))[4]
+        assert len(got[k][0]) <= 2 and len(sections) > 10
+        assert all(section_of[p] in got[k][0] for p in got[k][1])
+    assert got["same"] == ([], []) and len(got["delete"][0]) == 1
