@@ -34,9 +34,12 @@ def words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """1 for plain prose, down to 0.05 as symbols that mark junk take over."""
+    """The weight where no classifier's score is at hand: the share of letters, times the share of distinct lines, less symbols that mark junk; 0.05 at least, 1 for null."""
+    size = F.greatest(F.length(text), F.lit(1))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / size
+    lines = F.split(text, "\n")
     junk = F.length(text) - F.length(F.translate(text, JUNK, ""))
-    return F.coalesce(F.greatest(F.lit(0.05), 1 - 4 * junk / F.greatest(F.length(text), F.lit(1))), F.lit(1.0))
+    return F.coalesce(F.greatest(F.lit(0.05), letters * (F.size(F.array_distinct(lines)) / F.size(lines)) * (1 - 4 * junk / size)), F.lit(1.0))
 
 
 def sampling_key(id_: Column, quality: Column) -> Column:
@@ -110,15 +113,21 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))).withColumn("copies", copies()).drop("_plan_source")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; extra columns pass through."""
-    quality = quality_weight(F.col("text"))
+def mix(docs: DataFrame, quality: Column | None = None) -> DataFrame:
+    """docs with every row repeated as often as the mix takes it; extra columns pass through, whatever their names.
+
+    `quality` weighs a document; without it `quality_weight` of its text does.
+    """
+    quality = quality_weight(F.col("text")) if quality is None else F.greatest(quality, F.lit(0.01))
     _, plan = mix_plan(docs, quality)
-    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
+    mark = "_mix"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark = f"_{mark}"
+    plan = plan.select(*[F.col(c).alias(f"{mark}_{c}") for c in plan.columns])
     at = F.struct(sampling_key(F.col("doc_id"), quality).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("ord_id"), words(F.col("text")).alias("size"))
-    n = F.col("_mix_epochs") + F.coalesce((at <= F.col("_mix_cut")).cast("long"), F.lit(0))
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
-    return joined.withColumn("_mix_turn", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    n = F.col(f"{mark}_epochs") + F.coalesce((at <= F.col(f"{mark}_cut")).cast("long"), F.lit(0))
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(f"{mark}_source")))
+    return joined.withColumn(f"{mark}_turn", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +141,9 @@ OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-    / coalesce(greatest(0.05::DOUBLE, 1 - (4 * (length(text) - length(translate(text, '%$*#&!|', ''))))::DOUBLE / greatest(length(text), 1)), 1) AS key
+    / coalesce(greatest(0.05::DOUBLE, length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE / greatest(length(text), 1)
+        * (len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))))
+        * (1 - (4 * (length(text) - length(translate(text, '%$*#&!|', ''))))::DOUBLE / greatest(length(text), 1))), 1) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -39,3 +39,13 @@ def test_mix_repeats_rows_and_keeps_columns(spark, odd_dir):
 def test_empty(spark, empty_dir):
     assert X.op1_mixing(spark, empty_dir).collect() == []
     assert X.mix(spark.read.parquet(f"{empty_dir}/documents.parquet")).collect() == []
+
+
+def test_given_weights_and_reserved_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2000).selectExpr("id as doc_id", "'one two three four' as text", "if(id % 2 = 0, 'a', 'b') as source", "id % 4 < 2 as _mix_cut", "1 as _Mix_turn")
+    out = X.mix(docs, F.when(F.col("_mix_cut"), 0.9).otherwise(0.1))
+    assert out.columns == docs.columns
+    taken = [r["_mix_cut"] for r in out.filter("source = 'b'").collect()]
+    assert 0.75 < sum(taken) / len(taken)  # what weighs nine times as much is taken first
