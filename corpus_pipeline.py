@@ -1,7 +1,11 @@
 """The corpus pipeline: quality filter, line dedup, near-copy removal, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and reread as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs; a stage's table goes once its successor is written. All but the last return the columns of documents.
+
+Defined cases: a null text counts as empty in every stage and stays null up to the last; null ids, sources and languages are values
+of their own; rows that repeat an id are told apart by their texts, and rows repeated with id and text stay or go together until the
+mix, which repeats rows; ties go to the smaller id; extra columns pass through all stages but the last; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.llm import bpe, linededup, mixing, ngramjoin, quality
-from docwright.session import saved, table
+from docwright.session import dropped, own_name, saved, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in their first document only; a null text stays null."""
-    out = linededup.dedup_documents(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("_kept"))
-    return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    return linededup.without_repeats(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their target weights: a row for each time a document is taken."""
-    return mixing.mix(docs)
+    """Sources mixed to their target weights: a row for each time a document is taken; the quality classifier's score weighs it."""
+    score = own_name(docs, "_score")
+    scored = saved(quality.with_score(docs, table(spark, sf_dir, "labels"), score), "scored")
+    return mixing.mix(scored, F.col(score)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
