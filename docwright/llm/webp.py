@@ -2,24 +2,27 @@
 
 The decoder reads prefix codes (simple and length-coded, with groups chosen by an entropy image),
 back-references and the colour cache, and inverts the predictor, cross-colour, subtract-green and
-palette transforms into ARGB pixel arrays. Streams whose red, blue and alpha codes have one symbol
-(grey samples in green) decode in lockstep: numpy advances all images of a batch by one symbol at
-a time, each with its own code table, so the cost of a step is shared. Other streams go pixel by
-pixel through the same tables.
+palette transforms into ARGB pixel arrays. The images of a batch decode in lockstep: numpy makes one pixel of
+each at a time, each with its own codes, cache and back-reference, so the cost of a step is shared.
+Predictors are inverted along fronts of pixels that don't need each other, over all images at once.
 
-`write_samples` stores bytes as green samples 64 to a row, in images of at most PART bytes that
-follow each other, so an image never grows with the text and a text of any length can be stored.
+`write_samples` stores four samples to a pixel, 16 pixels to a row, in images of at most PART bytes that
+follow each other, so an image never grows with the text and a text of any length can be stored. Back-references
+and the cache are used where pixels repeat. Text gains little from the transforms, so they are not left to the size
+they save: a checksum of the bytes deals each image one of PROFILES, and the column holds every feature of the format.
+The writer is numpy over all images of a batch: code lengths are rounded-up logarithms, shortened until the code is complete.
 
 Defined cases: null text is the empty payload, padded to 64 zero bytes; equal texts have equal
-stored bytes; a broken stream raises ValueError; an empty table gives an empty result.
+stored bytes; a broken stream raises ValueError; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import heapq
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docwright.session import table
 
 ROW = 64
+WIDTH = ROW // 4
 PART = 8192
-LANES = 512
+LANES = 1024
 LONGEST = 15
 GREEN, CHANNEL, DISTANCE = 256 + 24, 256, 40
 #: Fixed values of the format: the order of code length codes, and the near distances (x, y).
@@ -46,6 +50,17 @@ NEAR = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 CACHE_MULTIPLIER = 0x1E35A7BD
+OPAQUE = 0xFF000000
+PREDICTOR, CROSS, GREENS, PALETTE = range(4)
+#: What a checksum deals an image: transforms, bits of the colour cache, and whether two groups of codes alternate by rows of
+#: blocks. An image of more than 256 colours that is dealt a palette gets the fallback behind it.
+PROFILES = (
+    ((), 7, False), ((GREENS,), 7, False), ((PREDICTOR,), 5, False), ((CROSS,), 0, False),
+    ((PALETTE,), 0, False), ((), 6, True), ((PREDICTOR, CROSS), 0, False), ((GREENS, PREDICTOR), 6, True),
+)
+FALLBACK = ((CROSS, GREENS), 7, False)
+#: Blocks of all kinds have 1 << SHIFT pixels a side.
+SHIFT = 4
 
 
 def _reversals(bits: int) -> np.ndarray:
@@ -107,31 +122,42 @@ def read_code(bits: Bits, symbols: int) -> Code:
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
-    own = np.zeros(19, np.int64)
+    own = [0] * 19
     for k in range(4 + bits.read(4)):
         own[LENGTH_ORDER[k]] = bits.read(3)
-    code = Code(own)
+    table, width = length_table(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
-    at, last = 0, 8
-    table, peek, width = code.table.tolist(), bits.peek, code.bits
-    while at < symbols and left:
+    k = bits.at >> 3
+    ahead = int.from_bytes(bits.data[k : k + 2 * symbols + 8], "little") >> (bits.at & 7)  # 14 bits a symbol at most
+    out, last, used, mask = [], 8, 0, (1 << width) - 1
+    while len(out) < symbols and left:
         left -= 1
-        e = table[peek(width)]
-        bits.at += e & 15
+        e = table[ahead & mask]
+        n = e & 15
+        ahead >>= n
+        used += n
         s = e >> 4
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
+            out.append(s)
+            last = s or last
             continue
-        n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-        if at + n > symbols:
-            raise ValueError("a repeat passes the alphabet")
-        if s == 16:
-            lengths[at : at + n] = last
-        at += n
+        n, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        out += [last if s == 16 else 0] * (least + (ahead & ((1 << n) - 1)))
+        ahead >>= n
+        used += n
+    bits.at += used
+    if len(out) > symbols or bits.at > 8 * len(bits.data):
+        raise ValueError("the lengths pass the alphabet or the stream")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
+@functools.lru_cache(256)
+def length_table(lengths: tuple[int, ...]) -> tuple[list[int], int]:
+    code = Code(np.array(lengths))
+    return code.table.tolist(), code.bits
+
+
 def read_group(bits: Bits, cache: int) -> list[Code]:
     return [read_code(bits, n) for n in (GREEN + cache, CHANNEL, CHANNEL, CHANNEL, DISTANCE)]
 
@@ -207,53 +233,71 @@ def channels(pixels: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(pixels).view(np.uint8).reshape(*pixels.shape, 4)  # blue, green, red, alpha
 
 
-def invert_predictor(pixels: np.ndarray, modes: np.ndarray, width: int, height: int, shift: int) -> np.ndarray:
-    px = channels(pixels.astype(np.uint32).reshape(height, width)).astype(np.int64).tolist()
-    across = over(width, shift)
-    modes = (modes >> 8 & 15).tolist()
-    average = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b)]
-    clamp = lambda v: 0 if v < 0 else 255 if v > 255 else v
-    for y in range(height):
-        for x in range(width):
-            row = px[y]
-            if x == 0 or y == 0:
-                p = row[x - 1] if x else px[y - 1][0] if y else [0, 0, 0, 255]
-            else:
-                left, top, corner = row[x - 1], px[y - 1][x], px[y - 1][x - 1]
-                right = px[y - 1][x + 1] if x + 1 < width else row[0]
-                mode = modes[(y >> shift) * across + (x >> shift)]
-                if mode == 1:
-                    p = left
-                elif mode == 2:
-                    p = top
-                elif mode == 3:
-                    p = right
-                elif mode == 4:
-                    p = corner
-                elif mode == 5:
-                    p = average(average(left, right), top)
-                elif mode == 6:
-                    p = average(left, corner)
-                elif mode == 7:
-                    p = average(left, top)
-                elif mode == 8:
-                    p = average(corner, top)
-                elif mode == 9:
-                    p = average(top, right)
-                elif mode == 10:
-                    p = average(average(left, corner), average(top, right))
-                elif mode == 11:
-                    to_left = sum(abs(b - c) for b, c in zip(top, corner))  # |left + top - corner - left|
-                    to_top = sum(abs(a - c) for a, c in zip(left, corner))
-                    p = left if to_left < to_top else top
-                elif mode == 12:
-                    p = [clamp(a + b - c) for a, b, c in zip(left, top, corner)]
-                elif mode == 13:
-                    p = [clamp(a + int((a - c) / 2)) for a, c in zip(average(left, top), corner)]
-                else:
-                    p = [0, 0, 0, 255]
-            row[x] = [(a + b) & 255 for a, b in zip(row[x], p)]
-    return np.array(px, np.uint8).reshape(height, width * 4).view(np.uint32).reshape(-1)
+def guess(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What a predictor mode expects of pixels (n, 4) from their neighbours; right is the one above to the right."""
+    if mode == 1:
+        return left
+    if mode == 2:
+        return top
+    if mode == 3:
+        return right
+    if mode == 4:
+        return corner
+    if mode == 5:
+        return (((left + right) >> 1) + top) >> 1
+    if mode == 6:
+        return (left + corner) >> 1
+    if mode == 7:
+        return (left + top) >> 1
+    if mode == 8:
+        return (corner + top) >> 1
+    if mode == 9:
+        return (top + right) >> 1
+    if mode == 10:
+        return (((left + corner) >> 1) + ((top + right) >> 1)) >> 1
+    if mode == 11:
+        to_left = np.abs(top - corner).sum(1)  # |left + top - corner - left|
+        to_top = np.abs(left - corner).sum(1)
+        return np.where((to_left < to_top)[:, None], left, top)
+    if mode == 12:
+        return np.clip(left + top - corner, 0, 255)
+    if mode == 13:
+        mean = (left + top) >> 1
+        off = mean - corner
+        return np.clip(mean + ((off + (off < 0)) >> 1), 0, 255)
+    return np.tile(np.array([0, 0, 0, 255], left.dtype), (len(left), 1))
+
+
+def pixel_modes(modes: np.ndarray, width: int, height: int, shift: int) -> np.ndarray:
+    """The mode of each pixel: the block's, but black for the first, left in the first row, top in the first column."""
+    y, x = np.divmod(np.arange(width * height), width)
+    out = (modes >> 8 & 15).astype(np.int8)[(y >> shift) * over(width, shift) + (x >> shift)]
+    out[::width], out[:width], out[0] = 2, 1, 0
+    return out
+
+
+def invert_predictors(items: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> list[np.ndarray]:
+    """Pixels of images (pixels, modes, width, height, shift) of one width. Pixels on a line x + 2 y need none of each other."""
+    width, heights = items[0][2], np.array([i[3] for i in items])
+    px = channels(np.concatenate([i[0].astype(np.uint32) for i in items])).astype(np.int32)
+    mode = np.concatenate([pixel_modes(m, w, h, shift) for _, m, w, h, shift in items])
+    heads = np.cumsum(heights) * width - heights * width
+    ys = np.concatenate([np.arange(h) for h in heights])
+    starts = np.repeat(heads, heights) + ys * width
+    order = np.argsort(ys, kind="stable")
+    ys, starts = ys[order], starts[order]
+    upto = np.searchsorted(ys, np.arange(heights.max() + 1))
+    for t in range(width + 2 * int(heights.max() - 1)):
+        low, high = max(0, (t - width + 2) // 2), min(int(heights.max()) - 1, t // 2)
+        rows = slice(upto[low], upto[high + 1])
+        at = starts[rows] + t - 2 * ys[rows]
+        m = mode[at]
+        for k in np.unique(m).tolist():
+            some = at[m == k]
+            p = guess(k, *(px[np.maximum(some - back, 0)] for back in (1, width, width - 1, width + 1)))
+            px[some] = (px[some] + p) & 255
+    flat = np.ascontiguousarray(px.astype(np.uint8)).reshape(-1).view(np.uint32)
+    return [flat[a : a + h * width] for a, h in zip(heads, heights)]
 
 
 def invert_cross_colour(pixels: np.ndarray, element: np.ndarray, width: int, height: int, shift: int) -> np.ndarray:
@@ -306,6 +350,8 @@ class Image:
         self.coded_width, self.transforms = self.width, []
         while bits.read(1):
             kind, width = bits.read(2), self.coded_width
+            if any(kind == t[0] for t in self.transforms):
+                raise ValueError("a transform comes twice")
             if kind < 2:
                 shift = bits.read(3) + 2
                 self.transforms.append((kind, width, shift, read_entropy_image(bits, over(width, shift), over(self.height, shift))))
@@ -318,193 +364,454 @@ class Image:
                 self.transforms.append((kind, width, shift, palette))
                 self.coded_width = over(width, shift)
 
-    def inverted(self, pixels: np.ndarray) -> np.ndarray:
-        for kind, width, shift, part in reversed(self.transforms):
-            if kind == 0:
-                pixels = invert_predictor(pixels, part, width, self.height, shift)
-            elif kind == 1:
-                pixels = invert_cross_colour(pixels, part, width, self.height, shift)
-            elif kind == 2:
-                pixels = invert_subtract_green(pixels)
+
+def inverted(images: list[Image], pixels: list[np.ndarray]) -> list[np.ndarray]:
+    """(height, width) pixels of each image: its transforms undone from the last to the first."""
+    pixels = list(pixels)
+    for depth in range(4, 0, -1):
+        predicted: dict[int, list[int]] = {}
+        for k, image in enumerate(images):
+            if len(image.transforms) < depth:
+                continue
+            kind, width, shift, part = image.transforms[depth - 1]
+            if kind == PREDICTOR:
+                predicted.setdefault(width, []).append(k)
+            elif kind == CROSS:
+                pixels[k] = invert_cross_colour(pixels[k], part, width, image.height, shift)
+            elif kind == GREENS:
+                pixels[k] = invert_subtract_green(pixels[k])
             else:
-                pixels = invert_palette(pixels, part, width, self.height, shift)
-        return pixels.reshape(self.height, self.width)
+                pixels[k] = invert_palette(pixels[k], part, width, image.height, shift)
+        for width, some in predicted.items():
+            done = invert_predictors([(pixels[k], images[k].transforms[depth - 1][3], width, images[k].height, images[k].transforms[depth - 1][2]) for k in some])
+            for k, p in zip(some, done):
+                pixels[k] = p
+    return [p.reshape(i.height, i.width) for i, p in zip(images, pixels)]
 
 
 def decode(data: bytes) -> np.ndarray:
     """(height, width) ARGB pixels of a lossless WebP file."""
-    image = Image(data)
-    return image.inverted(read_entropy_image(image.bits, image.coded_width, image.height, main=True))
-
-
-def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """As decode(), with the images of one-channel streams decoded in lockstep."""
-    out: list = [None] * len(files)
-    lanes = []
-    for k, data in enumerate(files):
-        image = Image(data)
-        mark = image.bits.at
-        if not image.bits.read(1) and not image.bits.read(1):  # no colour cache, one group of codes
-            group = read_group(image.bits, 0)
-            if not (group[1].bits or group[2].bits or group[3].bits):
-                lanes.append((k, image, group))
-                continue
-        image.bits.at = mark
-        out[k] = image.inverted(read_entropy_image(image.bits, image.coded_width, image.height, main=True))
-    for k in range(0, len(lanes), LANES):
-        for (i, image, group), green in zip(lanes[k : k + LANES], lockstep(lanes[k : k + LANES])):
-            rest = np.uint32(int(group[3].table[0]) >> 4 << 24 | int(group[1].table[0]) >> 4 << 16 | int(group[2].table[0]) >> 4)
-            out[i] = image.inverted(green.astype(np.uint32) << np.uint32(8) | rest)
+    return decode_many([data])[0]
+
+
+def decode_many(files: list[bytes], seen: Counter | None = None) -> list[np.ndarray]:
+    """The pixels of each file, decoded in lockstep; seen counts the features that they use."""
+    out: list[np.ndarray] = []
+    for k in range(0, len(files), LANES):
+        try:
+            images = [Image(data) for data in files[k : k + LANES]]
+            out += inverted(images, lockstep([Lane(i) for i in images], seen))
+        except (IndexError, struct.error, OverflowError) as e:
+            raise ValueError("the stream is broken") from e
+        if seen is not None:
+            seen.update(kind for i in images for kind, *_ in i.transforms)
     return out
 
 
-def lockstep(lanes: list[tuple[int, Image, list[Code]]]) -> list[np.ndarray]:
-    """The green samples of each lane. Every step reads one symbol in all lanes that have pixels left."""
-    sizes = np.array([i.coded_width * i.height for _, i, _ in lanes])
+class Lane:
+    """An image up to its first pixel: size of the cache, groups of codes and where each applies."""
+
+    def __init__(self, image: Image):
+        bits = image.bits
+        self.image, self.size = image, image.coded_width * image.height
+        self.cache_bits = bits.read(4) if bits.read(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("the colour cache is too large")
+        self.shift, self.chosen = 0, None
+        if bits.read(1):
+            self.shift = bits.read(3) + 2
+            self.chosen = (read_entropy_image(bits, over(image.coded_width, self.shift), over(image.height, self.shift)) >> 8 & 0xFFFF).astype(np.int64)
+        groups = int(self.chosen.max()) + 1 if self.chosen is not None else 1
+        self.groups = [read_group(bits, 1 << self.cache_bits if self.cache_bits else 0) for _ in range(groups)]
+
+
+#: The distance of each near code as (x, y), from code 1 on.
+NEAR_X, NEAR_Y = np.array([(0, 0), *NEAR]).T
+
+
+def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]:
+    """ARGB pixels of each lane. A step makes one pixel in every lane that has pixels left."""
+    sizes = np.array([n.size for n in lanes])
     order = np.argsort(-sizes, kind="stable")
-    data = [lanes[j][1].bits.data + bytes(8) for j in order]
+    lanes, sizes = [lanes[j] for j in order], sizes[order]
+    data = [n.image.bits.data + bytes(8) for n in lanes]
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
     words = flat[:-3] | flat[1:-2] << np.uint32(8) | flat[2:-1] << np.uint32(16) | flat[3:] << np.uint32(24)
     heads = np.cumsum([0] + [len(d) for d in data])
-    ends = 8 * (heads[1:] - 8)
-    tables = np.concatenate([lanes[j][2][0].table for j in order])
-    base = np.cumsum([0] + [len(lanes[j][2][0].table) for j in order])[:-1]
-    mask = np.array([(1 << lanes[j][2][0].bits) - 1 for j in order], np.uint32)
-    bit = np.array([8 * heads[n] + lanes[j][1].bits.at for n, j in enumerate(order)])
-    left = sizes[order]
-    first = np.cumsum(left) - left
-    out = np.zeros(int(left.sum()), np.uint8)
-    place, end = first.copy(), first + left
-    live = np.arange(len(order))
-    while len(live):
-        at = bit[live]
-        entry = tables[base[live] + (words[at >> 3] >> (at & 7).astype(np.uint32) & mask[live])]
-        bit[live] = at + (entry & 15)
-        symbol = entry >> 4
-        here = place[live]
-        out[here] = symbol & 255
-        place[live] = here + 1
-        if symbol.max() > 255:
-            for n in np.flatnonzero(symbol > 255):
-                lane = live[n]
-                _, image, group = lanes[order[lane]]
-                bits = Bits(image.bits.data, int(bit[lane] - 8 * heads[lane]))
-                more = prefix_value(bits, int(symbol[n]) - 256)
-                back = plane_distance(prefix_value(bits, group[4].read(bits)), image.coded_width)
-                to = int(here[n])
-                if back > to - first[lane] or to + more > end[lane]:
+    ends, last = 8 * (heads[1:] - 8), len(words) - 1
+    bit = 8 * heads[:-1] + np.array([n.image.bits.at for n in lanes])
+    codes = [c for n in lanes for g in n.groups for c in g]
+    tables = np.concatenate([c.table for c in codes])
+    base = np.cumsum([0] + [len(c.table) for c in codes])[:-1].reshape(-1, 5)
+    mask = np.array([(1 << c.bits) - 1 for c in codes], np.uint32).reshape(-1, 5)
+    group_at = np.cumsum([0] + [len(n.groups) for n in lanes])[:-1]
+    grouped = np.array([k for k, n in enumerate(lanes) if len(n.groups) > 1], np.int64)
+    chosen = np.concatenate([lanes[k].chosen for k in grouped] or [np.zeros(0, np.int64)])
+    chosen_at = np.cumsum([0] + [len(lanes[k].chosen) for k in grouped])[:-1]
+    g_shift, g_across = np.array([lanes[k].shift for k in grouped], np.int64), np.array([over(lanes[k].image.coded_width, lanes[k].shift) for k in grouped], np.int64)
+    width = np.array([n.image.coded_width for n in lanes])
+    cache_bits = np.array([n.cache_bits for n in lanes])
+    cache_at = np.cumsum(np.where(cache_bits > 0, 1 << cache_bits, 0)) - np.where(cache_bits > 0, 1 << cache_bits, 0)
+    cache = np.zeros(int(np.where(cache_bits > 0, 1 << cache_bits, 0).sum()), np.uint32)
+    cached = np.flatnonzero(cache_bits)
+    first = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    left, back, group = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), group_at.copy()
+
+    def peek(at: np.ndarray) -> np.ndarray:
+        return words[np.minimum(at >> 3, last)] >> (at & 7).astype(np.uint32)
+
+    def symbols(some: np.ndarray, code: int) -> np.ndarray:
+        g = group[some]
+        entry = tables[base[g, code] + (peek(bit[some]) & mask[g, code])]
+        bit[some] += entry & 15
+        return entry >> 4
+
+    def values(some: np.ndarray, s: np.ndarray) -> np.ndarray:
+        extra = np.maximum(s - 2, 0) >> 1
+        more = (peek(bit[some]) & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
+        bit[some] += np.where(s < 4, 0, extra)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << extra) + more + 1)
+
+    copies = hits = 0
+    for p in range(int(sizes[0]) if len(sizes) else 0):
+        live = int(np.searchsorted(-sizes, -p, "left"))  # sizes above p
+        if len(grouped):
+            some = grouped[: np.searchsorted(grouped, live)]
+            y, x = np.divmod(p, width[some])
+            n = len(some)
+            group[some] = group_at[some] + chosen[chosen_at[:n] + (y >> g_shift[:n]) * g_across[:n] + (x >> g_shift[:n])]
+        reading = np.flatnonzero(left[:live] == 0)
+        s = symbols(reading, 0)
+        literal = s < 256
+        some = reading[literal]
+        if len(some):
+            green = s[literal]
+            red, blue, alpha = (symbols(some, c) for c in (1, 2, 3))
+            out[first[some] + p] = alpha << 24 | red << 16 | green << 8 | blue
+        if len(some) < len(reading):
+            known = s >= GREEN
+            some = reading[known]
+            if len(some):
+                out[first[some] + p] = cache[cache_at[some] + s[known] - GREEN]
+                hits += len(some)
+            away = ~literal & ~known
+            some = reading[away]
+            if len(some):
+                left[some] = values(some, s[away] - 256)
+                code = values(some, symbols(some, 4))
+                near = np.minimum(code, len(NEAR))
+                back[some] = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, NEAR_X[near] + NEAR_Y[near] * width[some]))
+                if (back[some] > p).any() or (left[some] + p > sizes[some]).any():
                     raise ValueError("a back-reference leaves the image")
-                piece = out[to - back : to]
-                out[to : to + more] = np.resize(piece, more)
-                place[lane], bit[lane] = to + more, bits.at + 8 * heads[lane]
-        done = place[live] >= end[live]
-        if done.any():
-            live = live[~done]
-            if (bit > ends).any():
-                raise ValueError("the stream ends early")
-    got = [out[a : a + n] for a, n in zip(first, left)]
+                copies += len(some)
+        some = np.flatnonzero(left[:live])
+        if len(some):
+            out[first[some] + p] = out[first[some] + p - back[some]]
+            left[some] -= 1
+        some = cached[: np.searchsorted(cached, live)]
+        if len(some):
+            made = out[first[some] + p]
+            cache[cache_at[some] + (made * np.uint32(CACHE_MULTIPLIER) >> (32 - cache_bits[some]).astype(np.uint32))] = made
+    if (bit > ends).any():
+        raise ValueError("the stream ends early")
+    if seen is not None:
+        seen.update({"copies": copies, "hits": hits, "groups": len(grouped)})
+    got = [out[a : a + n] for a, n in zip(first, sizes)]
     return [got[k] for k in np.argsort(order, kind="stable")]
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Huffman lengths of at most LONGEST bits; counts are flattened until they fit."""
-    lengths = np.zeros(len(counts), np.int64)
-    counts = counts.copy()
+def complete_lengths(counts: np.ndarray) -> np.ndarray:
+    """Lengths of a complete prefix code for each row of counts, 0 for rows of one symbol or none.
+
+    Rounded-up logarithms of the shares leave room; it is filled by shortening codes, the shorter ones first, while they fit.
+    """
+    lengths = np.zeros(counts.shape, np.int64)
+    rows = np.flatnonzero((counts > 0).sum(1) > 1)
+    if not len(rows):
+        return lengths
+    c = counts[rows].astype(float)
+    with np.errstate(divide="ignore"):
+        n = np.ceil(np.log2(c.sum(1, keepdims=True)) - np.log2(c) - 1e-9)
+    n = np.where(c > 0, np.maximum(n, 1), 99).astype(np.int64)
+    order = np.argsort(n.astype(np.int8), 1, kind="stable")
+    most = int((c > 0).sum(1).max())
+    order = order[:, :most]
+    ranked = np.take_along_axis(n, order, 1)
+    room = (1 << LONGEST) - np.where(ranked < 99, 1 << np.maximum(LONGEST - ranked, 0), 0).sum(1)
     while True:
-        used = np.flatnonzero(counts)
-        heap = [(int(counts[s]), int(s), (int(s),)) for s in used]
-        if len(heap) == 1:
-            lengths[used] = 1
-            return lengths
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used.tolist(), 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            both = a[2] + b[2]
-            for s in both:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), both))
-        if max(depth.values()) <= LONGEST:
-            for s, n in depth.items():
-                lengths[s] = n
-            return lengths
-        counts[used] = (counts[used] + 1) // 2
+        open_ = np.flatnonzero(room > 0)
+        if not len(open_):
+            break
+        for r in range(int((ranked[open_] < 99).sum(1).max())):
+            v = ranked[open_, r]
+            gain = 1 << np.maximum(LONGEST - v, 0)
+            fits = (v > 1) & (v < 99) & (gain <= room[open_])
+            ranked[open_[fits], r] -= 1
+            room[open_[fits]] -= gain[fits]
+    np.put_along_axis(n, order, ranked, 1)
+    lengths[rows] = np.where(n < 99, n, 0)
+    return lengths
 
 
 def code_words(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes, bit-reversed as they are written."""
-    out = np.zeros(len(lengths), np.int64)
-    code, last = 0, 0
-    for s in sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)):
-        n = int(lengths[s])
-        code <<= n - last
-        out[s] = REVERSED[n][code]
-        code, last = code + 1, n
+    """Canonical codes of each row, bit-reversed as they are written."""
+    order = np.argsort(np.where(lengths > 0, lengths, 99).astype(np.int8), 1, kind="stable")[:, : max(1, int((lengths > 0).sum(1).max()))]
+    n = np.take_along_axis(lengths, order, 1)
+    spans = np.where(n > 0, 1 << np.maximum(LONGEST - n, 0), 0)
+    left_aligned = np.minimum(np.cumsum(spans, 1) - spans, (1 << LONGEST) - 1)
+    out = np.zeros_like(lengths)
+    np.put_along_axis(out, order, np.where(n > 0, REVERSED[LONGEST][left_aligned], 0), 1)
     return out
 
 
-class BitWriter:
+class Tokens:
+    """Numbers of up to 33 bits, each with its file and segment; segments follow each other in their order."""
+
     def __init__(self):
-        self.value, self.n = 0, 0
-
-    def put(self, value: int, n: int) -> None:
-        self.value |= int(value) << self.n
-        self.n += n
-
-    def code(self, lengths: np.ndarray) -> None:
-        """A prefix code: simple for up to two small symbols, else with coded lengths."""
-        used = np.flatnonzero(lengths).tolist() or [0]
-        if len(used) <= 2 and used[-1] < 256:
-            self.put(1, 1)
-            self.put(len(used) - 1, 1)
-            self.put(used[0] > 1, 1)
-            self.put(used[0], 8 if used[0] > 1 else 1)
-            if len(used) == 2:
-                self.put(used[1], 8)
-            return
-        runs, at, end = [], 0, len(lengths)
-        values = lengths.tolist()
-        while at < end:
-            n = 1
-            while at + n < end and values[at + n] == values[at]:
-                n += 1
-            v = values[at]
-            at += n
-            if v:
-                runs.append((v, 0, 0))
-                n -= 1
-            while n > 0:
-                if v == 0 and n >= 3:
-                    take = min(n, 138)
-                    runs.append((18, take - 11, 7) if take >= 11 else (17, take - 3, 3))
-                elif v and n >= 3:
-                    take = min(n, 6)
-                    runs.append((16, take - 3, 2))
-                else:
-                    take = 1
-                    runs.append((v, 0, 0))
-                n -= take
-        counts = np.bincount([r[0] for r in runs], minlength=19)
-        own = code_lengths(counts)
-        while own.max() > 7:  # code length codes have three bits
-            counts[counts > 0] = (counts[counts > 0] + 1) // 2
-            own = code_lengths(counts)
-        if (own > 0).sum() == 1:
-            own[0 if own[0] == 0 else 1] = 1  # a code of two keeps every reader in step
-        words = code_words(own)
-        self.put(0, 1)
-        many = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if own[s]))
-        self.put(many - 4, 4)
-        for s in LENGTH_ORDER[:many]:
-            self.put(own[s], 3)
-        self.put(0, 1)
-        for s, extra, n in runs:
-            self.put(words[s], int(own[s]))
-            self.put(extra, n)
-
-    def bits(self) -> np.ndarray:
-        raw = np.frombuffer(self.value.to_bytes((self.n + 7) // 8, "little"), np.uint8)
-        return np.unpackbits(raw, bitorder="little")[: self.n]
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def put(self, file, segment, value, bits) -> None:
+        file, segment, value, bits = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.int64)) for v in (file, segment, value, bits)))
+        some = bits > 0
+        self.parts.append((file[some] * 16 + segment[some], value[some], bits[some]))
+
+    def streams(self, files: int) -> list[bytes]:
+        key, value, bits = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        file, value, bits = key[order] >> 4, value[order], bits[order]
+        ends = np.cumsum(bits)
+        total = np.bincount(file, bits, files).astype(np.int64)
+        size = (total + 7) // 8
+        heads = np.cumsum(size) - size
+        at = ends - bits - (np.cumsum(total) - total)[file] + 8 * heads[file]
+        moved = value.astype(np.uint64) << (at & 31).astype(np.uint64)
+        words = int(size.sum()) // 4 + 3
+        packed = np.bincount(at >> 5, (moved & np.uint64(0xFFFFFFFF)).astype(float), words) + np.bincount((at >> 5) + 1, (moved >> np.uint64(32)).astype(float), words)
+        raw = packed.astype(np.uint32).tobytes()
+        return [raw[a : a + n] for a, n in zip(heads.tolist(), size.tolist())]
+
+
+#: The writer's code for code lengths: four bits, five for these rare ones, none for repeats of a length.
+RARE = (1, 13, 14, 15)
+LENGTH_BITS = np.array([[0 if s == 16 else 5 if s in RARE else 4 for s in range(19)]])
+LENGTH_WORDS = code_words(LENGTH_BITS)[0]
+LENGTH_BITS = LENGTH_BITS[0]
+LENGTHS_HEAD = sum(int(LENGTH_BITS[s]) << (3 * k) for k, s in enumerate(LENGTH_ORDER))
+SIZES = (GREEN, CHANNEL, CHANNEL, CHANNEL, DISTANCE)
+
+
+def put_codes(out: Tokens, file: np.ndarray, segment: np.ndarray, lengths: np.ndarray, only: np.ndarray) -> None:
+    """A prefix code for each row, rows in the order they are written; only is the symbol of a row without lengths."""
+    used = (lengths > 0).any(1)
+    # A segment's rows are written one after the other: their tokens are put in that order by row and place.
+    single = np.flatnonzero(~used)
+    wide = only[single] > 1
+    parts = [(single, np.zeros(len(single), np.int64), 1 | wide << 2 | only[single] << 3, np.where(wide, 11, 4))]
+    rows = np.flatnonzero(used)
+    row, place = np.nonzero(lengths)
+    gap = place - np.where(np.append(True, row[1:] != row[:-1]), -1, np.append(-1, place[:-1])) - 1
+    full, rest = np.divmod(gap, 138)
+    few = rest < 3
+    many = np.where(few, rest, 1) + full + 1
+    count = np.bincount(row, many, len(lengths)).astype(np.int64)[rows]
+    half = (1 << 31) - 1
+    head = 15 << 1 | LENGTHS_HEAD << 5  # length-coded, all 19 lengths
+    for k, (value, bits) in enumerate(((head & half, 31), (head >> 31, 31), (1 | 4 << 1 | (count - 2) << 4, 14))):
+        parts.append((rows, np.full(len(rows), k), value, bits))
+    word, n = LENGTH_WORDS, LENGTH_BITS
+    value, bits = np.zeros(len(gap), np.int64), np.zeros(len(gap), np.int64)
+    for k in range(int(full.max(initial=0))):
+        more = full > k
+        value |= np.where(more, (word[18] | 127 << n[18]) << bits, 0)
+        bits += np.where(more, n[18] + 7, 0)
+    short, long = ~few & (rest < 11), rest >= 11
+    tail = np.where(short, word[17] | rest - 3 << n[17], np.where(long, word[18] | rest - 11 << n[18], word[0] | word[0] << n[0] & np.where(rest == 2, -1, 0)))
+    value |= np.where(rest > 0, tail, 0) << bits
+    bits += np.where(short, n[17] + 3, np.where(long, n[18] + 7, rest * n[0]))
+    parts.append((row, 3 + 2 * place, value, bits))
+    v = lengths[row, place]
+    parts.append((row, 4 + 2 * place, word[v], n[v]))
+    row, place, value, bits = (np.concatenate([np.broadcast_to(np.asarray(p[k], np.int64), p[0].shape) for p in parts]) for k in range(4))
+    order = np.lexsort((place, row))
+    out.put(file[row[order]], segment[row[order]], value[order], bits[order])
+
+
+def prefix_coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their number for values from 1 on."""
+    d = np.maximum(values - 1, 1)
+    high = np.frexp(d.astype(float))[1].astype(np.int64) - 1
+    low = np.maximum(high - 1, 0)
+    small = values <= 4
+    return np.where(small, values - 1, 2 * high + (d >> low & 1)), np.where(small, 0, d & ((1 << low) - 1)), np.where(small, 0, low)
+
+
+def previous(key: np.ndarray) -> np.ndarray:
+    """The last place before each with the same key, or -1."""
+    out = np.full(len(key), -1)
+    if not len(key):
+        return out
+    order = np.argsort(key, kind="stable")
+    same = np.append(False, key[order][1:] == key[order][:-1])
+    out[order[same]] = order[np.flatnonzero(same) - 1]
+    return out
+
+
+def copied(px: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references: runs whose pairs of pixels last stood at one distance."""
+    if len(px) < 2:
+        return (np.zeros(0, np.int64),) * 3
+    pair = px[:-1].astype(np.uint64) << np.uint64(32) | px[1:]
+    key = (pair * np.uint64(0x9E3779B97F4A7C15) ^ image[:-1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+    key[image[1:] != image[:-1]] = np.arange(int((image[1:] != image[:-1]).sum()), dtype=np.uint64)
+    before = previous(key)
+    here = np.arange(len(pair))
+    valid = (before >= 0) & (image[np.maximum(before, 0)] == image[:-1]) & (pair[np.maximum(before, 0)] == pair) & (image[1:] == image[:-1])
+    distance = np.where(valid, here - before, 0)
+    begins = valid & (np.append(0, distance[:-1]) != distance)
+    ends = valid & (np.append(distance[1:], 0) != distance)
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+    start = start + np.append(False, end[:-1] == start[1:] - 1)  # the run before covers a pixel more
+    length = end + 2 - start
+    some = length >= 2
+    return start[some], length[some], distance[start[some]] if some.any() else np.zeros(0, np.int64)
+
+
+def put_entropy_images(out: Tokens, items: list[tuple[int, int, np.ndarray, int, int, bool, np.ndarray | None]]) -> None:
+    """Images (file, segment, pixels, width, cache bits, references, group of each pixel): their codes and pixels."""
+    sizes = np.array([len(i[2]) for i in items])
+    image = np.repeat(np.arange(len(items)), sizes)
+    px = np.concatenate([i[2] for i in items]).astype(np.uint32)
+    file, segment, width = (np.array([i[k] for i in items]) for k in (0, 1, 3))
+    cache_bits, refers = np.array([i[4] for i in items]), np.array([i[5] for i in items])
+    groups = np.array([1 if i[6] is None else int(i[6].max()) + 1 for i in items])
+    group_at = np.cumsum(groups) - groups
+    group = np.repeat(group_at, sizes)
+    ends = np.cumsum(sizes)
+    for k, i in enumerate(items):
+        if i[6] is not None:
+            group[ends[k] - sizes[k] : ends[k]] += i[6]
+    # What each pixel is: 0 literal, 1 from the cache, 2 the start of a copy, 3 within one.
+    kind = np.zeros(len(px), np.int8)
+    start, length, distance = copied(np.where(refers[image], px, np.arange(len(px)).astype(np.uint32)), image)
+    inside = np.zeros(len(px) + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + length, -1)
+    kind[np.cumsum(inside)[:-1] > 0] = 3
+    kind[start] = 2
+    some = np.flatnonzero(cache_bits[image] > 0)
+    slot = np.zeros(len(px), np.int64)
+    slot[some] = px[some] * np.uint32(CACHE_MULTIPLIER) >> (32 - cache_bits[image[some]]).astype(np.uint32)
+    before = previous(image[some] << 11 | slot[some])
+    again = before >= 0
+    hit = some[again][px[some[before[again]]] == px[some[again]]]
+    kind[hit[kind[hit] == 0]] = 1
+    literal, known = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+    near = np.full(8 * int(width.max()) + 9, 0)
+    coded = distance + len(NEAR)
+    for w in np.unique(width).tolist():
+        near[:] = 0
+        for code in range(len(NEAR), 0, -1):
+            near[max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * w)] = code
+        mine = (width[image[start]] == w) & (distance < len(near))
+        short = near[np.minimum(distance, len(near) - 1)]
+        coded = np.where(mine & (short > 0), short, coded)
+    size_s, size_x, size_n = prefix_coded(length)
+    back_s, back_x, back_n = prefix_coded(coded)
+    c = channels(px).astype(np.int64)
+    columns = GREEN + (1 << int(cache_bits.max()) if cache_bits.max() else 0)
+    wheres = (literal, literal, literal, literal, start, known, start)
+    codes = (0, 1, 2, 3, 4, 0, 0)
+    symbols = (c[literal, 1], c[literal, 2], c[literal, 0], c[literal, 3], back_s, GREEN + slot[known], 256 + size_s)
+    at = np.concatenate([(group[w] * 5 + k) * columns + x for w, k, x in zip(wheres, codes, symbols)])
+    counts = np.bincount(at, minlength=int(groups.sum()) * 5 * columns).reshape(-1, 5, columns)
+    flat = counts.reshape(-1, columns)
+    lengths = complete_lengths(flat)
+    words, lengths3 = code_words(lengths).reshape(counts.shape), lengths.reshape(counts.shape)
+    owner = np.repeat(np.repeat(np.arange(len(items)), groups), 5)
+    put_codes(out, file[owner], segment[owner], lengths, flat.argmax(1))
+    word = lambda code, g, s: (words[g, code, s], lengths3[g, code, s])
+    # Two tokens a pixel, each of two numbers.
+    values, bits = np.zeros((len(px), 2), np.int64), np.zeros((len(px), 2), np.int64)
+
+    def both(where: np.ndarray, token: int, a: tuple, b: tuple) -> None:
+        values[where, token], bits[where, token] = a[0] | b[0] << a[1], a[1] + b[1]
+
+    g = group[literal]
+    both(literal, 0, word(0, g, c[literal, 1]), word(1, g, c[literal, 2]))
+    both(literal, 1, word(2, g, c[literal, 0]), word(3, g, c[literal, 3]))
+    both(known, 0, word(0, group[known], GREEN + slot[known]), (np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)))
+    both(start, 0, word(0, group[start], 256 + size_s), (size_x, size_n))
+    both(start, 1, word(4, group[start], back_s), (back_x, back_n))
+    out.put(np.repeat(file[image], 2), np.repeat(segment[image], 2), values.reshape(-1), bits.reshape(-1))
+
+
+def blocks_of(width: int, heights: np.ndarray) -> np.ndarray:
+    """The block of each pixel of images that follow each other, numbered through."""
+    n = over(width, SHIFT) * over(heights, SHIFT)
+    y = np.concatenate([np.arange(h) for h in heights])
+    rows = np.repeat(np.cumsum(n) - n, heights) + (y >> SHIFT) * over(width, SHIFT)
+    return (rows[:, None] + (np.arange(width) >> SHIFT)).reshape(-1)
+
+
+def forward_predictor(px: np.ndarray, width: int, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of images that follow each other and the mode of each block, of all modes the one that leaves the least."""
+    c = channels(px).astype(np.int32)
+    at, block = np.arange(len(px)), blocks_of(width, heights)
+    near = [c[np.maximum(at - k, 0)] for k in (1, width, width - 1, width + 1)]
+    costs = []
+    for mode in range(14):
+        off = (c - guess(mode, *near)) & 255
+        costs.append(np.bincount(block, np.minimum(off, 256 - off).sum(1)))
+    modes = (np.array(costs).argmin(0) << 8 | OPAQUE).astype(np.uint32)
+    many = over(width, SHIFT) * over(heights, SHIFT)
+    mode = np.concatenate([pixel_modes(m, width, h, SHIFT) for m, h in zip(np.split(modes, np.cumsum(many)[:-1]), heights.tolist())])
+    for k in np.unique(mode).tolist():
+        some = np.flatnonzero(mode == k)
+        c[some] -= guess(k, *(n[some] for n in near))
+    return np.ascontiguousarray((c & 255).astype(np.uint8)).reshape(-1).view(np.uint32), modes
+
+
+#: Elements (green to red, green to blue, red to blue) that the writer tries on each block.
+CROSS_TRIED = ((0, 0, 0), (8, 8, 0), (-8, 4, 8), (4, -8, 16))
+
+
+def forward_cross(px: np.ndarray, width: int, heights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels less what green and red foretell, and the element of each block, of CROSS_TRIED the one that leaves the least beside none."""
+    c = channels(px).view(np.int8).astype(np.int32)
+    block = blocks_of(width, heights)
+    made = []
+    for to_red, to_blue, red_to_blue in CROSS_TRIED:
+        red = c[:, 2] - (to_red * c[:, 1] >> 5)
+        blue = c[:, 0] - (to_blue * c[:, 1] >> 5) - (red_to_blue * c[:, 2] >> 5)
+        made.append((red & 255, blue & 255))
+    cost = np.array([np.bincount(block, np.minimum(r, 256 - r) + np.minimum(b, 256 - b)) for r, b in made[1:]])
+    best = 1 + cost.argmin(0)
+    elements = np.array([OPAQUE | (b & 255) << 16 | (a & 255) << 8 | r & 255 for r, a, b in CROSS_TRIED], np.uint32)[best]
+    which, at = best[block], np.arange(len(px))
+    red, blue = np.array([m[0] for m in made])[which, at], np.array([m[1] for m in made])[which, at]
+    return (px & np.uint32(0xFF00FF00) | red.astype(np.uint32) << np.uint32(16) | blue.astype(np.uint32)), elements
+
+
+def forward_greens(px: np.ndarray) -> np.ndarray:
+    c = channels(px).copy()
+    c[:, 0] -= c[:, 1]
+    c[:, 2] -= c[:, 1]
+    return c.reshape(-1).view(np.uint32)
+
+
+def forward_palette(px: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Packed indices, the palette as differences, and the width they are packed to."""
+    colours, index = np.unique(px, return_inverse=True)
+    c = channels(colours)
+    delta = (c - np.concatenate([np.zeros((1, 4), np.uint8), c[:-1]])).reshape(-1).view(np.uint32)
+    n = len(colours)
+    shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+    across = over(width, shift)
+    grid = np.zeros((len(px) // width, across << shift), np.int64)
+    grid[:, :width] = index.reshape(-1, width)
+    packed = (grid.reshape(-1, across, 1 << shift) << np.arange(1 << shift) * (8 >> shift)).sum(2)
+    return (packed.reshape(-1) << 8 | OPAQUE).astype(np.uint32), delta, across
 
 
 def riff(stream: bytes) -> bytes:
@@ -512,30 +819,52 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def write_image(samples: np.ndarray, width: int) -> bytes:
-    """A lossless WebP file with the samples in green, red and blue 0, opaque."""
-    w = BitWriter()
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(len(samples) // width - 1, 14)
-    w.put(0, 4)  # no alpha, version 0
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    counts = np.zeros(GREEN, np.int64)
-    counts[:256] = np.bincount(samples, minlength=256)
-    lengths = code_lengths(counts)
-    for n in (lengths, *(np.array([1] if v == 0 else [0] * 255 + [1]) for v in (0, 0, 255, 0))):
-        w.code(n)
-    head = w.bits()
-    if (lengths > 0).sum() == 1:
-        return riff(np.packbits(head, bitorder="little").tobytes())
-    words, n = code_words(lengths)[samples], lengths[samples]
-    start = np.cumsum(n) - n + len(head)
-    out = np.zeros(len(head) + int(n.sum()), np.uint8)
-    out[: len(head)] = head
-    for b in range(int(n.max())):
-        some = n > b
-        out[start[some] + b] = words[some] >> b & 1
-    return riff(np.packbits(out, bitorder="little").tobytes())
+def write_images(images: list[np.ndarray], width: int = WIDTH, profiles: list[int] | None = None) -> list[bytes]:
+    """A lossless WebP file for each array of ARGB pixels, in the profile that its checksum deals it."""
+    out, items, dealt = Tokens(), [], {}
+    for f, px in enumerate(images):
+        profile = PROFILES[zlib.crc32(px.tobytes()) % len(PROFILES) if profiles is None else profiles[f]]
+        if profile[0] == (PALETTE,) and len(np.unique(px)) > 256:
+            profile = FALLBACK
+        dealt.setdefault(profile, []).append(f)
+    for (transforms, cache, alternate), files in dealt.items():
+        f = np.array(files)
+        heights = np.array([len(images[k]) // width for k in files])
+        out.put(f, 0, 0x2F | (width - 1) << 8, 22)
+        out.put(f, 0, heights - 1 | 1 << 14, 18)  # alpha is used, version 0
+        px, coded, segment = np.concatenate([images[k] for k in files]), np.full(len(files), width), 1
+        pixels = None
+        for kind in transforms:
+            out.put(f, segment, 1 | kind << 1, 3)
+            if kind == GREENS:
+                px = forward_greens(px)
+            elif kind == PALETTE:
+                pixels, parts, coded = zip(*(forward_palette(images[k], width) for k in files))
+                out.put(f, segment, np.array([len(p) - 1 for p in parts]), 8)
+                out.put(f, segment, 0, 1)  # no cache
+                items += [(k, segment + 1, p, len(p), 0, False, None) for k, p in zip(files, parts)]
+            else:
+                px, part = (forward_predictor if kind == PREDICTOR else forward_cross)(px, width, heights)
+                out.put(f, segment, SHIFT - 2, 4)  # and no cache
+                across = over(width, SHIFT)
+                parts = np.split(part, np.cumsum(across * over(heights, SHIFT))[:-1])
+                items += [(k, segment + 1, p, across, 0, False, None) for k, p in zip(files, parts)]
+            segment += 2
+        out.put(f, segment, 0, 1)  # no more transforms
+        out.put(f, segment, 1 | cache << 1 if cache else 0, 5 if cache else 1)
+        out.put(f, segment, alternate, 1)
+        if alternate:
+            out.put(f, segment, SHIFT - 2, 4)  # and no cache
+        pixels = np.split(px, np.cumsum(heights * width)[:-1]) if pixels is None else pixels
+        for k, p, h, w in zip(files, pixels, heights.tolist(), coded):
+            group = None
+            if alternate:
+                group = np.repeat(np.arange(h) >> SHIFT & 1, int(w))
+                blocks = np.repeat(np.arange(over(h, SHIFT)) & 1, over(int(w), SHIFT))
+                items.append((k, segment + 1, (blocks << 8 | OPAQUE).astype(np.uint32), over(int(w), SHIFT), 0, False, None))
+            items.append((k, segment + 2, p, int(w), cache, True, group))
+    put_entropy_images(out, items)
+    return [riff(s) for s in out.streams(len(images))]
 
 
 def payload_of(text: str | None) -> bytes:
@@ -543,9 +872,11 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes(max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))
 
 
-def write_samples(payload: bytes) -> list[bytes]:
-    data = np.frombuffer(payload, np.uint8)
-    return [write_image(data[k : k + PART], ROW) for k in range(0, len(data), PART)]
+def write_samples(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload: files of at most PART bytes of samples that follow each other."""
+    parts = [np.frombuffer(p[k : k + PART], "<u4") for p in payloads for k in range(0, len(p), PART)]
+    files = iter([f for k in range(0, len(parts), LANES) for f in write_images(parts[k : k + LANES])])
+    return [b"".join(next(files) for _ in range(0, len(p), PART)) for p in payloads]
 
 
 def split_files(stored: bytes) -> list[bytes]:
@@ -557,11 +888,11 @@ def split_files(stored: bytes) -> list[bytes]:
     return out
 
 
-def read_samples(stored: list[bytes]) -> list[np.ndarray]:
+def read_samples(stored: list[bytes], seen: Counter | None = None) -> list[np.ndarray]:
     """The samples of each stored column value (files that follow each other)."""
     files = [split_files(s) for s in stored]
-    pixels = iter(decode_many([f for fs in files for f in fs]))
-    return [np.concatenate([(next(pixels).reshape(-1) >> 8).astype(np.uint8) for _ in fs]) for fs in files]
+    pixels = iter(decode_many([f for fs in files for f in fs], seen))
+    return [np.concatenate([channels(next(pixels)).reshape(-1) for _ in fs]) for fs in files]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -585,7 +916,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             def flush():
                 nonlocal ids, texts, size
                 payloads = [payload_of(t) for t in texts]
-                stored = [b"".join(write_samples(p)) for p in payloads]
+                stored = write_samples(payloads)
                 for id_, t, media, got in zip(ids, texts, stored, read_samples(stored)):
                     raw = got.tobytes()
                     rows.append((id_, len((t or "").encode("utf-8", "surrogatepass")), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]),
