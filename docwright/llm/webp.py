@@ -759,10 +759,13 @@ def forward_predictor(px: np.ndarray, width: int, heights: np.ndarray) -> tuple[
     c = channels(px).astype(np.int32)
     at, block = np.arange(len(px)), blocks_of(width, heights)
     near = [c[np.maximum(at - k, 0)] for k in (1, width, width - 1, width + 1)]
+    tops = np.cumsum(heights * width) - heights * width
+    inner = at % width > 0  # edges have modes of their own, and what stands before them is another image's
+    inner[(tops[:, None] + np.arange(width)).reshape(-1)] = False
     costs = []
     for mode in range(14):
         off = (c - guess(mode, *near)) & 255
-        costs.append(np.bincount(block, np.minimum(off, 256 - off).sum(1)))
+        costs.append(np.bincount(block, np.minimum(off, 256 - off).sum(1) * inner))
     modes = (np.array(costs).argmin(0) << 8 | OPAQUE).astype(np.uint32)
     many = over(width, SHIFT) * over(heights, SHIFT)
     mode = np.concatenate([pixel_modes(m, width, h, SHIFT) for m, h in zip(np.split(modes, np.cumsum(many)[:-1]), heights.tolist())])
