@@ -522,7 +522,7 @@ def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]
 
 
 def complete_lengths(counts: np.ndarray) -> np.ndarray:
-    """Lengths of a complete prefix code for each row of counts, 0 for rows of one symbol or none.
+    """Lengths of a complete prefix code for each row of counts, 0 for rows of one symbol or none; a row's sum is 1 << LONGEST at most.
 
     Rounded-up logarithms of the shares leave room; it is filled by shortening codes, the shorter ones first, while they fit.
     """
@@ -531,6 +531,8 @@ def complete_lengths(counts: np.ndarray) -> np.ndarray:
     if not len(rows):
         return lengths
     c = counts[rows].astype(float)
+    if c.sum(1).max() > 1 << LONGEST:
+        raise ValueError("too many symbols for codes of so few bits")
     with np.errstate(divide="ignore"):
         n = np.ceil(np.log2(c.sum(1, keepdims=True)) - np.log2(c) - 1e-9)
     n = np.where(c > 0, np.maximum(n, 1), 99).astype(np.int64)

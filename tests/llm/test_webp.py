@@ -382,8 +382,11 @@ def test_writer_and_both_readers(profile):
 def test_code_lengths_are_complete():
     r = np.random.default_rng(5)
     counts = (r.exponential(1, (300, 408)) ** 6 * (r.random((300, 408)) < r.random((300, 1)))).astype(np.int64)
+    counts = counts * 30000 // np.maximum(counts.sum(1, keepdims=True), 30000)
     counts[0] = counts[1] = 0
     counts[1, 7], counts[2, :] = 5, 1
+    counts[3] = 0
+    counts[3, :15] = 1 << np.arange(15)
     n = W.complete_lengths(counts)
     many = (counts > 0).sum(1) > 1
     assert ((n > 0) == (counts > 0))[many].all() and not n[~many].any() and n.max() <= 15
