@@ -2,35 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-CITED = r"\[Source: ([^|\]]+) \| Page (\d+)(?:, Para (\d+))?[^\]]*\]"
-INLINE = r"\[\[@Source-(\d+)\]\]"
+from docwright.functions.text import trimmed
+
+#: A verbose citation, an inline marker and a sentence.
+CITED = r'(?i)\[Source:\s*([^|]+)\s*\|\s*(?:Page\s+(\d+)(?:,\s*Para\s+(\d+))?)?\s*(?:\|\s*"([^"]+)")?\s*\]'
+INLINE = r"(?i)\[\[@Source-(\d+)\]\]"
 SENTENCE = r"(?s).+?[.!?](?:\s+|$)"
 
 
 def citations(responses: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, position, file_name, page_number, paragraph_number) of every verbose citation."""
+    """(id, position, file_name, page_number, paragraph_number, section_title) of every verbose citation; page, paragraph and section may lack."""
     part = lambda n: F.regexp_extract_all(F.col(text_col), F.lit(CITED), F.lit(n))
-    zipped = F.arrays_zip(part(1).alias("f"), part(2).alias("p"), part(3).alias("q"))
+    zipped = F.arrays_zip(part(1).alias("f"), part(2).alias("p"), part(3).alias("q"), part(4).alias("s"))
     rows = responses.select(F.col(id_col).alias("id"), F.posexplode(zipped).alias("position", "c"))
     number = lambda c: F.expr(f"try_cast(nullif({c}, '') as int)")
-    return rows.select("id", "position", F.col("c.f").alias("file_name"), number("c.p").alias("page_number"), number("c.q").alias("paragraph_number"))
+    return rows.select("id", "position", trimmed(F.col("c.f")).alias("file_name"), number("c.p").alias("page_number"), number("c.q").alias("paragraph_number"), F.nullif("c.s", F.lit("")).alias("section_title"))
 
 
 def inline_sources(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(INLINE), F.lit(1)), lambda x: x.cast("int"))
 
 
+def inline_citations(responses: DataFrame, id_col: str, text_col: str, sources: DataFrame) -> DataFrame:
+    """(id, position, source_id, chunk_id): inline markers with the source (id, source_id, chunk_id) they number; chunk_id is null for a marker without one."""
+    rows = responses.select(F.col(id_col).alias("id"), F.posexplode(inline_sources(F.col(text_col))).alias("position", "source_id"))
+    return rows.join(sources.select("id", "source_id", "chunk_id"), ["id", "source_id"], "left").select("id", "position", "source_id", "chunk_id")
+
+
 def sentences(responses: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, number, sentence) of more than three characters."""
     rows = responses.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE), F.lit(0))).alias("number", "sentence"))
     return rows.withColumn("sentence", F.regexp_replace("sentence", r"\s+$", "")).filter(F.length("sentence") > 3)
 
 
+def citable(chunks: DataFrame, threshold: float, order: str) -> DataFrame:
+    """Chunks (file_name, page_number, paragraph_number, chunk_id, score) that reach the threshold; of several at one place the last in order."""
+    key = ["file_name", "page_number", "paragraph_number"]
+    last = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(order)))
+    return chunks.filter(F.col("score") >= threshold).withColumn("_n", last).filter("_n = 1").drop("_n")
+
+
+def placed(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Citations with the chunk_id of the chunk of the same file, page and paragraph, null where there is none; chunks has one row a place."""
+    known = chunks.select(*[F.col(c).alias(f"_{c}") for c in ("file_name", "page_number", "paragraph_number")], "chunk_id")
+    on = (F.col("file_name") == F.col("_file_name")) & F.col("page_number").eqNullSafe(F.col("_page_number")) & F.col("paragraph_number").eqNullSafe(F.col("_paragraph_number"))
+    return found.join(known, on, "left").drop("_file_name", "_page_number", "_paragraph_number")
+
+
 def verified(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, n_citations, n_missing, verified): citations without a chunk of the same file, page and paragraph are missing."""
-    known = chunks.select(*[F.col(c).alias(f"_{c}") for c in ("file_name", "page_number", "paragraph_number")]).distinct().withColumn("_hit", F.lit(True))
-    on = (F.col("file_name") == F.col("_file_name")) & F.col("page_number").eqNullSafe(F.col("_page_number")) & F.col("paragraph_number").eqNullSafe(F.col("_paragraph_number"))
-    met = found.join(known, on, "left")
-    return met.groupBy("id").agg(F.count("*").alias("n_citations"), F.count_if(F.col("_hit").isNull()).alias("n_missing")).withColumn("verified", F.col("n_missing") == 0)
+    known = chunks.select("file_name", "page_number", "paragraph_number").distinct().withColumn("chunk_id", F.lit("known"))
+    met = placed(found, known)
+    return met.groupBy("id").agg(F.count("*").alias("n_citations"), F.count_if(F.col("chunk_id").isNull()).alias("n_missing")).withColumn("verified", F.col("n_missing") == 0)
+
+
+def verify(responses: DataFrame, id_col: str, text_col: str, chunks: DataFrame, threshold: float = 0.7, order: str = "position", check_sentences: bool = True, sources: DataFrame | None = None) -> DataFrame:
+    """(id, n_citations, n_missing, n_uncited, verified): a row for each response.
+
+    Missing are citations that no chunk at or over the threshold bears out, and with `sources` also inline markers that
+    number none; uncited are sentences without a citation. A response without either is verified.
+    """
+    from docwright.operators.answers import uncited_sentences
+
+    found = placed(citations(responses, id_col, text_col), citable(chunks, threshold, order))
+    each = found.select("id", F.lit(1).alias("n"), F.col("chunk_id").isNull().cast("int").alias("missing"), F.lit(0).alias("uncited"))
+    if sources is not None:
+        marks = inline_citations(responses, id_col, text_col, sources)
+        each = each.unionByName(marks.select("id", F.lit(0).alias("n"), F.col("chunk_id").isNull().cast("int").alias("missing"), F.lit(0).alias("uncited")))
+    if check_sentences:
+        bare = uncited_sentences(responses, id_col, text_col)
+        each = each.unionByName(bare.select("id", F.lit(0).alias("n"), F.lit(0).alias("missing"), F.lit(1).alias("uncited")))
+    each = each.unionByName(responses.select(F.col(id_col).alias("id"), F.lit(0).alias("n"), F.lit(0).alias("missing"), F.lit(0).alias("uncited")))
+    out = each.groupBy("id").agg(F.sum("n").alias("n_citations"), F.sum("missing").alias("n_missing"), F.sum("uncited").alias("n_uncited"))
+    return out.withColumn("verified", (F.col("n_missing") == 0) & (F.col("n_uncited") == 0))

@@ -1,15 +1,24 @@
-"""Pattern extraction of entities, rule-based classification, timelines."""
+"""Pattern extraction of entities, timelines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-#: (kind, pattern, confidence)
+#: Fixed values: (kind, pattern, confidence).
 PATTERNS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0.95),
-    ("amount", r"[£$€]\s?\d[\d,]*(?:\.\d+)?", 0.9),
-    ("exhibit", r"\b(?:Exhibit|Appendix|Schedule)\s+[A-Z0-9]+\b", 0.9),
-    ("person", r"\b(?:Mr|Mrs|Ms|Dr|Sir|Lord)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", 0.8),
+    ("amount", r"£\s*([\d,]+(?:\.\d{2})?)\b", 0.9),
+    ("amount", r"\$\s*([\d,]+(?:\.\d{2})?)\b", 0.9),
+    ("amount", r"€\s*([\d,]+(?:\.\d{2})?)\b", 0.9),
+    ("case_ref", r"\[(\d{4})\]\s*EWHC\s*(\d+)\s*\(([A-Za-z]+)\)", 0.95),
+    ("case_ref", r"\[(\d{4})\]\s*EWCA\s*(Civ|Crim)\s*(\d+)", 0.95),
+    ("case_ref", r"\[(\d{4})\]\s*UKSC\s*(\d+)", 0.95),
+    ("case_ref", r"\b([A-Z]{2}\d{2}[A-Z]\d{5})\b", 0.95),
+    ("organization", r"\b([A-Z][A-Za-z\s&]+)\s+(?:Limited|Ltd|LLP|PLC|plc)\b", 0.85),
+    ("person", r"\b(Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Dame|Lord|Lady)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", 0.8),
+    ("document_ref", r"(?i)\b(Exhibit\s+[A-Z0-9]+)\b", 0.9),
+    ("document_ref", r"(?i)\b(Appendix\s+[A-Z0-9]+)\b", 0.9),
+    ("document_ref", r"(?i)\b(Schedule\s+[A-Z0-9]+)\b", 0.9),
+    ("email_address", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0.95),
 )
 
 
@@ -25,18 +34,6 @@ def entities(docs: DataFrame, id_col: str, text_col: str, patterns=PATTERNS) ->
     return rows.groupBy("id", "kind", "name", "confidence").agg(F.count("*").alias("mentions"))
 
 
-def classify(docs: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, int]], least: int = 3, otherwise: str = "disclosure") -> DataFrame:
-    """(id, kind, score, confidence): the kind with the largest sum of rule weights, the first listed on a tie."""
-    kinds = list(dict.fromkeys(r[0] for r in rules))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    scores = [sum((F.when(text.rlike(p), w).otherwise(0) for k, p, w in rules if k == kind), F.lit(0)).alias(kind) for kind in kinds]
-    rows = docs.select(F.col(id_col).alias("id"), F.array(*[F.struct(s.alias("score"), F.lit(-n).alias("order"), F.lit(k).alias("kind")) for n, (k, s) in enumerate(zip(kinds, scores))]).alias("all"))
-    best = rows.select("id", F.array_max("all").alias("b"))
-    sure = F.col("b.score") >= least
-    return best.select("id", F.when(sure, F.col("b.kind")).otherwise(otherwise).alias("kind"), F.col("b.score").alias("score"),
-                       F.when(sure, F.least(F.col("b.score") / 25, F.lit(1.0))).otherwise(0.2).alias("confidence"))
-
-
 def year_headings(events: DataFrame, group: str, day: str, id_col: str) -> DataFrame:
     """Events newest first, with a mark where the year changes."""
     by = W.partitionBy(group).orderBy(F.desc(day), id_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -10,27 +11,80 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.text import terms
+from docwright.session import saved
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
 def postings(docs: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
-    """(id, term, tf, dl): the inverted index, one shuffle on (id, term) at most."""
+    """(id, term, tf, dl): the inverted index; a document's terms are counted where it stands, without a shuffle of all words."""
     words = terms(F.concat_ws(" ", *text_cols))
     rows = docs.select(F.col(id_col).alias("id"), words.alias("words")).withColumn("dl", F.size("words").cast("long"))
     return rows.select("id", "dl", F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, n_docs: int, avg_dl: float, queries: DataFrame, top: int) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, text). Only query terms leave the index scan."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_dl)))
-    scored = hits.join(df.select("term", idf.alias("idf")), "term").select("id", "term", part.alias("part"))
-    found = scored.join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(found, top)
+def _best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
+    """The places of the first `top` by (score descending, id)."""
+    if len(ids) > top:
+        some = np.flatnonzero(scores >= np.partition(scores, len(ids) - top)[len(ids) - top])
+    else:
+        some = np.arange(len(ids))
+    return some[np.lexsort((ids[some], -scores[some]))[:top]]
+
+
+def bm25_search(docs: DataFrame, id_col: str, text_cols: list[str], queries: DataFrame, top: int = 10, most_queries: int = 256) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, text) over the concatenated columns.
+
+    Queries go in blocks. For a block, one pass tokenises the documents and keeps the words asked for; from it
+    come document frequencies, then scores: each batch of documents is a matrix of term weights, its product with the
+    queries' terms scores all at once, and a batch gives its first `top` a query. No term is a key, so a frequent
+    one makes no task large.
+    """
+    spark = docs.sparkSession
+    words = terms(F.concat_ws(" ", *text_cols))
+    schema = "query_id long, id long, score double"
+    found = spark.createDataFrame([], schema)
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("w")).toLocalIterator()
+    while block := list(islice(asked, most_queries)):
+        wanted = sorted({t for r in block for t in r["w"]})
+        if not wanted:
+            continue
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words"))
+        rows = saved(rows.select("id", F.size("words").cast("long").alias("dl"), F.filter("words", lambda w: w.isin(*wanted)).alias("words")), "hits")
+        n, avg = rows.agg(F.count("*"), F.avg("dl")).first()
+        df = dict(rows.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count().collect())  # the block's words
+        idf = np.array([max(1e-6, math.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))) for t in wanted])
+        at = {t: k for k, t in enumerate(wanted)}
+        needs = np.zeros((len(wanted), len(block)))
+        for k, r in enumerate(block):
+            needs[[at[t] for t in r["w"]], k] = 1
+        found = found.union(_scored(rows, spark.sparkContext.broadcast(([r["query_id"] for r in block], at, idf, needs, float(avg or 1.0))), top, schema))
+    return ranked(found.withColumn("score", F.round("score", 6)), top)
+
+
+def _scored(rows: DataFrame, told, top: int, schema: str, step: int = 256) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query_ids, at, idf, needs, avg = told.value
+        for frame in frames:
+            frame = frame[frame["words"].str.len() > 0]
+            ids = frame["id"].to_numpy()
+            scores = np.zeros((len(frame), needs.shape[1]))
+            for k in range(0, len(frame), step):
+                part = frame.iloc[k : k + step]
+                tf = np.zeros((len(part), len(idf)))
+                row = np.repeat(np.arange(len(part)), part["words"].str.len())
+                np.add.at(tf, (row, [at[w] for ws in part["words"] for w in ws]), 1)
+                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part["dl"].to_numpy()[:, None] / avg)) * idf
+                scores[k : k + step] = weight @ needs
+            out = []
+            for q, query_id in enumerate(query_ids):
+                some = np.flatnonzero(scores[:, q] > 0)
+                first = some[_best(np.round(scores[some, q], 6), ids[some], top)]
+                out.append((np.full(len(first), query_id), ids[first], scores[first, q]))
+            if out:
+                yield pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*out)))))
+
+    return rows.mapInPandas(run, schema)
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
@@ -38,12 +92,6 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
 
 
-def bm25_search(docs: DataFrame, id_col: str, text_cols: list[str], queries: DataFrame, top: int = 10) -> DataFrame:
-    size = F.size(terms(F.concat_ws(" ", *text_cols)))
-    n, avg = docs.agg(F.count("*"), F.avg(size)).first()
-    return bm25(postings(docs, id_col, *text_cols), n, float(avg or 1.0), queries, top)
-
-
 def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and matrices of at most `most` queries each; the driver holds one at a time."""
     rows = queries.select("query_id", "embedding").toLocalIterator()
@@ -65,9 +113,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, where: Column
 
     vectors (id, embedding); queries (query_id, embedding). Queries go in blocks of at most `most_queries`, with a
     scan of the vectors each. A batch of rows yields its first `top` rows a query by (rounded distance, id), so the
-    final sort is small.
+    final sort is small. Rows and queries without an embedding are left out.
     """
-    rows = (vectors if where is None else vectors.filter(where)).select("id", "embedding")
+    rows = (vectors if where is None else vectors.filter(where)).filter("embedding is not null").select("id", "embedding")
+    queries = queries.filter("embedding is not null")
     schema = "query_id long, id long, distance double"
 
     def scan(shared):
@@ -115,13 +164,6 @@ def fuse(first: DataFrame, second: DataFrame, top: int, k: int = RRF_K) -> DataF
     return got.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
 
 
-def overlap_scores(candidates: DataFrame, query_text: str = "query", text: str = "text") -> DataFrame:
-    """The default reranker: the share of a query's terms that a candidate's first 512 characters hold."""
-    asked = F.array_distinct(terms(F.col(query_text)))
-    held = F.array_intersect(asked, terms(F.substring(F.col(text), 1, 512)))
-    return candidates.withColumn("score", F.round(F.size(held) / F.greatest(F.size(asked), F.lit(1)), 6))
-
-
 def confident(found: DataFrame, threshold: float, least: int = 3) -> DataFrame:
     """Rows at or over the threshold, and the first `least` of each query in any case."""
     return found.filter((F.col("score") >= threshold) | (F.col("rank") <= least))
@@ -138,7 +180,9 @@ def diversified(candidates: DataFrame, top: int, balance: float = 0.7) -> DataFr
     """Maximal marginal relevance within each query over (query_id, id, query_embedding, embedding); candidates are a bounded top-k."""
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["embedding"].notna()].sort_values("id").reset_index(drop=True)
+        frame = frame[frame["embedding"].notna() & frame["query_embedding"].notna()].sort_values("id").reset_index(drop=True)
+        if not len(frame):
+            return pd.DataFrame({"query_id": [], "id": [], "score": [], "rank": []})
         x = np.stack(frame["embedding"].to_list()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
         q = np.asarray(frame["query_embedding"][0], np.float64)

@@ -25,11 +25,32 @@ def batches(rows: DataFrame, group: str, order: str, size: int = 8, most: int =
 
 
 def nearest_rank(values: str, *shares: float) -> list[Column]:
-    """sorted[int(n * p)], the last value where that is past the end."""
+    """sorted[int(n * p)], the last value where that is past the end; for groups of a bounded size."""
     ordered = F.sort_array(F.collect_list(values))
     return [F.element_at(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)).cast("int") + 1, F.size(ordered))).alias(f"p{round(100 * p)}") for p in shares]
 
 
+def percentiles(rows: DataFrame, group: str, value: str, *shares: float, slack: float = 0.001) -> DataFrame:
+    """(group, p50, ...): as nearest_rank, exactly, for groups of any size; nulls don't count.
+
+    Approximate quantiles bracket each rank by `slack` of the group; rows below a bracket are counted and only those within are ranked.
+    """
+    rows = rows.select(group, F.col(value).alias("v")).filter("v is not null")
+    at = [max(0.0, p - slack) for p in shares] + [min(1.0, p + slack) for p in shares]
+    stats = rows.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx("v", at, int(4 / slack)).alias("q"), F.min("v").alias("least"), F.max("v").alias("most"))
+    k = len(shares)
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.least(F.floor(F.col("n") * F.lit(p)) + 1, F.col("n")).alias("rank"),
+                                  (F.get("q", F.lit(i)) if p > slack else F.col("least")).alias("low"), (F.get("q", F.lit(k + i)) if p + slack < 1 else F.col("most")).alias("high")) for i, p in enumerate(shares)])
+    asked = stats.select(F.col(group).alias("_g"), F.explode(brackets).alias("b"))
+    met = rows.join(asked, F.col(group).eqNullSafe(F.col("_g")))
+    inner = met.filter((F.col("v") >= F.col("b.low")) & (F.col("v") <= F.col("b.high"))).groupBy(group, "b", "v").agg(F.count("*").alias("c"))
+    below = met.groupBy(group, "b").agg(F.count_if(F.col("v") < F.col("b.low")).alias("below"))
+    upto = F.sum("c").over(W.partitionBy(group, "b").orderBy("v"))
+    ranked = inner.withColumn("upto", upto).join(below.select(F.col(group).alias("_g"), F.col("b").alias("_b"), "below"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_b")))
+    hit = ranked.filter(F.col("below") + F.col("upto") >= F.col("b.rank")).groupBy(group).agg(*[F.min(F.when(F.col("b.i") == i, F.col("v"))).alias(f"p{round(100 * p)}") for i, p in enumerate(shares)])
+    return hit
+
+
 def top_and_other(counts: DataFrame, name: str, count: str, top: int = 8) -> DataFrame:
     by = W.orderBy(F.desc(count), name)  # one row a category
     kept = counts.withColumn("_n", F.row_number().over(by)).withColumn(name, F.when(F.col("_n") <= top, F.col(name)).otherwise("Other"))

@@ -131,10 +131,10 @@ def fenced_objects(spark: SparkSession, d: str) -> DataFrame:
     return said.select("p_partkey", answers.fenced_json(F.col("t"), "brand string, size int").alias("o")).select("p_partkey", "o.brand", "o.size")
 
 
-@_query(r"""WITH c AS (SELECT item_id, trim(regexp_replace(regexp_replace(text[:80], '[^\p{L}\p{N}_\s"*-]', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM benchmark)
+@_query(r"""WITH c AS (SELECT item_id, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s"*-]', ' ', 'g'), '\s+', ' ', 'g')) AS q FROM benchmark)
 SELECT item_id, CASE WHEN q = '' THEN '""' WHEN regexp_matches(q, '["*]') OR NOT contains(q, ' ') THEN q ELSE replace(q, ' ', ' OR ') END AS q FROM c""")
 def keyword_queries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", answers.search_words(F.substring("text", 1, 80)).alias("q"))
+    return table(spark, d, "benchmark").select("item_id", answers.search_words(F.col("text")).alias("q"))
 
 
 @_query("""WITH e AS (SELECT event_id, epoch(max(ts) OVER ())::BIGINT - epoch(ts)::BIGINT AS s, ts FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events))

@@ -1,8 +1,25 @@
 """DuckDB SQL for docwright.plans.queries."""
 
+from docwright.operators import classifier as C
+from docwright.operators.extraction import PATTERNS
+
+
+def kinds_sql(rows: str, key: str) -> str:
+    """The classifier's rules over rows (key, text, path)."""
+    quoted = lambda p: p.replace("'", "''")
+    score = lambda kind: " + ".join(
+        [f"CASE WHEN regexp_matches(\"{s}\", '{quoted(p)}') THEN {w} ELSE 0 END" for k, s, w, p in C.RULES if k == kind]
+        + [f"CASE WHEN len(regexp_extract_all(\"{s}\", '{quoted(p)}')) > {m} THEN {w} ELSE 0 END" for k, s, p, m, w in C.COUNTED if k == kind])
+    scores = ", ".join(f"{score(k)} AS s{n}" for n, k in enumerate(C.KINDS))
+    names = [f"s{n}" for n in range(len(C.KINDS))]
+    first = " ".join(f"WHEN s{n} = score THEN '{k}'" for n, k in enumerate(C.KINDS))
+    return f"""WITH t AS (SELECT {key}, lower(coalesce(text, '')) AS "text", lower(coalesce(text, ''))[:{C.OPENING}] AS "start", lower(coalesce(path, '')) AS "path" FROM ({rows})),
+x AS (SELECT *, regexp_replace(string_split("path", '/')[-1], '(.)\\.[^.]*$', '\\1') AS stem FROM t), v AS (SELECT {key}, {scores} FROM x), m AS (SELECT *, greatest({", ".join(names)}) AS score FROM v)
+SELECT {key}, CASE WHEN score < {C.LEAST} THEN '{C.OTHERWISE}' {first} END AS kind, score, round(CASE WHEN score < {C.LEAST} THEN 0.2::DOUBLE ELSE least(score / {C.FULL}, 1.0) END, 6) AS confidence FROM m"""
+
 TERMS = r"[t FOR t IN regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+') IF t <> '']"
 _BM25 = f"""
-tok AS (SELECT doc_id, {TERMS.format('text')} AS w FROM documents),
+tok AS (SELECT doc_id, {TERMS.format("concat_ws(' ', source, text, lang)")} AS w FROM documents),
 stat AS (SELECT count(*) AS n, avg(len(w)) AS adl FROM tok),
 post AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM tok),
 tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM post GROUP BY ALL),
@@ -19,12 +36,18 @@ f AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER
 
 SQL = {
     "bm25_search": f"WITH {_BM25} SELECT query_id, id AS doc_id, score, rank FROM bmr WHERE rank <= 10",
-    "hybrid_search": f"""WITH {_BM25}, a AS (SELECT * FROM bmr WHERE rank <= 20),
-ow AS (SELECT doc_id AS id, unnest(list_distinct({TERMS.format('text[:512]')})) AS term FROM documents),
-qn AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id),
-o AS (SELECT q.query_id, ow.id, round(count(*) / any_value(n), 6) AS score FROM ow JOIN q USING (term) JOIN qn USING (query_id) GROUP BY q.query_id, ow.id),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM o) WHERE rank <= 20), {_FUSE}
-SELECT query_id, id AS doc_id, score, rank FROM f WHERE rank <= 10 AND (score >= 0.03 OR rank <= 3)""",
+    "hybrid_search": f"""WITH {_BM25}, b AS (SELECT * FROM bmr WHERE rank <= 50),
+w AS (SELECT doc_id AS id, unnest({TERMS.format('text')}) AS t FROM documents), qw AS (SELECT item_id AS id, unnest({TERMS.format('text')}) AS t FROM benchmark),
+h AS (SELECT t, ('0x' || substr(md5(t), 1, 7))::INT % 64 AS p, 1 - 2 * (('0x' || substr(md5(t), 8, 1))::INT % 2) AS s FROM (SELECT t FROM w UNION SELECT t FROM qw)),
+dv AS (SELECT id, p, sum(s)::DOUBLE AS v FROM w JOIN h USING (t) GROUP BY id, p), qv AS (SELECT id, p, sum(s)::DOUBLE AS v FROM qw JOIN h USING (t) GROUP BY id, p),
+dn AS (SELECT id, sqrt(sum(v * v)) AS n FROM dv GROUP BY id HAVING n > 0), qn AS (SELECT id, sqrt(sum(v * v)) AS n FROM qv GROUP BY id HAVING n > 0),
+dots AS (SELECT q.id AS query_id, x.id, sum(q.v * x.v) AS dot FROM qv q JOIN dv x USING (p) GROUP BY ALL),
+far AS (SELECT query_id, dn.id, round(sqrt(greatest(0, 2 - 2 * coalesce(dot, 0) / (qn.n * dn.n))), 6) AS distance FROM (SELECT qn.id AS query_id, qn.n FROM qn) qn CROSS JOIN dn LEFT JOIN dots USING (query_id, id)),
+a AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM far) WHERE rank <= 50), {_FUSE},
+k AS (SELECT query_id, id, f.score AS rrf_score, rank, list_distinct({TERMS.format('m.text')}) AS asked, {TERMS.format('x.text[:512]')} AS held FROM f JOIN benchmark m ON item_id = query_id JOIN documents x ON x.doc_id = id WHERE rank <= 25),
+o AS (SELECT query_id, id, rrf_score, rank AS was, round(len(list_intersect(asked, held)) / greatest(1, len(asked)), 6) AS score FROM k),
+r AS (SELECT query_id, id AS doc_id, score, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was, id)::INT AS rank FROM o)
+SELECT * FROM r WHERE rank <= 15 AND (score >= 0.15 OR rank <= 3)""",
     "vector_search": """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS distance
 FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, round(1 / (1 + distance), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d) SELECT * FROM r WHERE rank <= 10""",
@@ -44,19 +67,18 @@ SELECT doc_id, (s // 800)::INT AS number, substr(sha256(doc_id || ':chunk:' || (
 u AS (SELECT doc_id, unnest(p) AS t, unnest(range(len(p))) AS paragraph FROM l)
 SELECT doc_id, paragraph::INT AS paragraph, length(t) AS n, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM u""",
     "collection_stats": "SELECT coalesce(lang, 'unknown') AS kind, count(*) AS n, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS files FROM documents GROUP BY 1",
-    "metrics_rollup": """SELECT event_type, user_id % 5 AS query_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events
-WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20""",
-    "dashboard": "SELECT count(*) AS n, count(DISTINCT event_type) AS models, round(avg(value), 6) AS avg_value, count(*) FILTER (WHERE value > 100) AS errors FROM events",
+    "metrics_rollup": """WITH e AS (SELECT *, user_id % 100 AS tokens FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND event_type <> 'error')
+SELECT event_type, user_id % 5 AS query_type, count(*) AS n, round(avg(value), 6) AS avg_value, round(avg(tokens), 6) AS avg_tokens, round(avg(tokens / (value + 1)), 6) AS avg_rate
+FROM e GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20""",
+    "dashboard": """SELECT count(*) AS n, count(DISTINCT event_type) AS models, round(avg(value), 6) AS avg_value, count(*) FILTER (WHERE event_type = 'error') AS errors
+FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY""",
     "latency_percentiles": """WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1)
 SELECT event_type, v[least(floor(len(v) * 0.5)::INT + 1, len(v))] AS p50, v[least(floor(len(v) * 0.95::DOUBLE)::INT + 1, len(v))] AS p95, v[least(floor(len(v) * 0.99::DOUBLE)::INT + 1, len(v))] AS p99 FROM l""",
     "category_breakdown": """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, source) AS k FROM c)
 SELECT CASE WHEN k <= 8 THEN source ELSE 'Other' END AS source, sum(n)::BIGINT AS n FROM r GROUP BY 1""",
-    "entity_mentions": r"""WITH m AS (
-SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS name, 0.95::DOUBLE AS confidence FROM documents
-UNION ALL SELECT doc_id, 'amount', unnest(regexp_extract_all(text, '[£$€]\s?\d[\d,]*(?:\.\d+)?')), 0.9 FROM documents
-UNION ALL SELECT doc_id, 'exhibit', unnest(regexp_extract_all(text, '\b(?:Exhibit|Appendix|Schedule)\s+[A-Z0-9]+\b')), 0.9 FROM documents
-UNION ALL SELECT doc_id, 'person', unnest(regexp_extract_all(text, '\b(?:Mr|Mrs|Ms|Dr|Sir|Lord)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?')), 0.8 FROM documents)
-SELECT doc_id, kind, name, confidence, count(*) AS mentions FROM m GROUP BY ALL""",
+    "entity_mentions": "WITH m AS (" + " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS name, {c}::DOUBLE AS confidence FROM documents" for k, p, c in PATTERNS)
+    + ") SELECT doc_id, kind, name, confidence, count(*) AS mentions FROM m GROUP BY ALL",
     "timeline": """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day FROM orders)
 SELECT *, coalesce(lag(year(day)) OVER (PARTITION BY o_custkey ORDER BY day DESC, o_orderkey) <> year(day), true) AS new_year FROM o""",
     "citation_check": """SELECT l_orderkey, count(*) AS n_citations, count(*) FILTER (WHERE p.p_partkey IS NULL) AS n_missing, count(*) FILTER (WHERE p.p_partkey IS NULL) = 0 AS verified
@@ -79,10 +101,5 @@ CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 10) || '…' ELSE p_type EN
     "merged_edges": """WITH m AS (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS new FROM supplier)
 SELECT coalesce(new, l_suppkey) AS source, count(*) AS edges, count(DISTINCT l_partkey) AS targets FROM lineitem LEFT JOIN m ON l_suppkey = s_suppkey GROUP BY 1""",
     "visible_edges": "SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation WHERE n_nationkey <> 3 AND n_regionkey < 3",
-    "document_kinds": r"""WITH s AS (SELECT doc_id, (CASE WHEN regexp_matches(lower(text), 'total|worthless') THEN 4 ELSE 0 END) AS a,
-(CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])the([^\p{L}]|$)') THEN 2 ELSE 0 END) + (CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])and([^\p{L}]|$)') THEN 1 ELSE 0 END) AS b,
-(CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])des([^\p{L}]|$)') THEN 3 ELSE 0 END) AS c, (CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}])und([^\p{L}]|$)') THEN 3 ELSE 0 END) AS d FROM documents),
-m AS (SELECT *, greatest(a, b, c, d) AS score FROM s)
-SELECT doc_id, CASE WHEN score < 3 THEN 'disclosure' WHEN a = score THEN 'invoice' WHEN b = score THEN 'letter' WHEN c = score THEN 'mémoire' ELSE 'bericht' END AS kind,
-score, round(CASE WHEN score < 3 THEN 0.2::DOUBLE ELSE least(score / 25, 1.0) END, 6) AS confidence FROM m""",
+    "document_kinds": kinds_sql("SELECT doc_id, text, concat_ws('/', source, lang) AS path FROM documents", "doc_id"),
 }

@@ -5,36 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
-from docwright.operators import chunking, citations as cites, evaluation, extraction, retrieval, tables
+from docwright.operators import chunking, citations as cites, classifier, evaluation, extraction, retrieval, search, tables
 from docwright.session import table
 
-_word = r"(^|[^\p{{L}}]){}([^\p{{L}}]|$)".format
-RULES = [("invoice", "total|worthless", 4), ("letter", _word("the"), 2), ("letter", _word("and"), 1), ("mémoire", _word("des"), 3), ("bericht", _word("und"), 3)]
-
-
 def _benchmark(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _bm25(spark, d, top):
-    return retrieval.bm25_search(table(spark, d, "documents"), "doc_id", ["text"], _benchmark(spark, d), top)
+    return retrieval.bm25_search(table(spark, d, "documents"), "doc_id", ["source", "text", "lang"], _benchmark(spark, d), top)
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
-def _overlap(spark, d):
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.terms(F.substring("text", 1, 512)))).alias("term"))
-    asked = _benchmark(spark, d).select("query_id", F.array_distinct(T.terms(F.col("text"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    found = words.join(asked, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("hits"))
-    return retrieval.ranked(found.select("query_id", "id", F.round(F.col("hits") / F.col("n"), 6).alias("score")), 20)
-
-
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 top 20 and opening-overlap top 20, fused; the best ten with a guard on confidence."""
-    fused = retrieval.fuse(_bm25(spark, d, 20), _overlap(spark, d), 10)
-    return retrieval.confident(fused, 0.03).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    """Nearest neighbours and BM25 fused, the best reranked on their opening, with the threshold and its guaranteed rows."""
+    chunks = table(spark, d, "documents").withColumn("id", F.col("doc_id"))
+    found = search.retrieve(chunks, _benchmark(spark, d), ["source", "text", "lang"])
+    return found.select("query_id", F.col("id").alias("doc_id"), "score", "rrf_score", "rank")
 
 
 def _neighbours(spark, d, top):
@@ -97,19 +87,26 @@ def collection_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(kind).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("source").alias("files"))
 
 
-def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
+def _recent(spark, d):
+    """Events of the last seven days with tokens and rate as a log of model calls has them; null values are errors."""
     e = table(spark, d, "events")
     recent = e.join(F.broadcast(e.agg(F.max("ts").alias("as_of"))), F.col("ts") > F.col("as_of") - F.expr("interval 7 days"))  # one row
-    got = recent.groupBy("event_type", (F.col("user_id") % 5).alias("query_type")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
+    return recent.withColumns({"tokens": F.col("user_id") % 100, "error": F.when(F.col("event_type") == "error", F.lit("failed"))})
+
+
+def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
+    good = _recent(spark, d).filter("error is null")
+    got = good.groupBy("event_type", (F.col("user_id") % 5).alias("query_type")).agg(
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), F.round(F.avg("tokens"), 6).alias("avg_tokens"), F.round(F.avg(F.col("tokens") / (F.col("value") + 1)), 6).alias("avg_rate"))
     return got.orderBy(F.desc("n"), "event_type", "query_type").limit(20)
 
 
 def dashboard(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("models"), F.round(F.avg("value"), 6).alias("avg_value"), F.count_if(F.col("value") > 100).alias("errors"))
+    return _recent(spark, d).agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("models"), F.round(F.avg("value"), 6).alias("avg_value"), F.count("error").alias("errors"))
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(*tables.nearest_rank("value", 0.5, 0.95, 0.99))
+    return tables.percentiles(table(spark, d, "events"), "event_type", "value", 0.5, 0.95, 0.99)
 
 
 def category_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +118,8 @@ def entity_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.classify(table(spark, d, "documents"), "doc_id", "text", RULES).select(F.col("id").alias("doc_id"), "kind", "score", F.round("confidence", 6).alias("confidence"))
+    out = classifier.classified(table(spark, d, "documents"), "doc_id", "text", F.concat_ws("/", "source", "lang"))
+    return out.select(F.col("id").alias("doc_id"), "kind", "score", F.round("confidence", 6).alias("confidence"))
 
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:
