@@ -83,8 +83,11 @@ def parties(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = [(p, 0, "company", 2) for p in COMPANIES] + [(ROLE, 1, "litigant", 3)]
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda m, i, n=n, k=k, w=w: F.struct(cleaned_name(m).alias("name"), F.lit(k).alias("kind"), F.lit(w).alias("weight"), F.lit(n).alias("pattern"), i.alias("nth")))
-                       for n, (p, g, k, w) in enumerate(every)])
+
+    def matched(n: int, pattern: str, group: int, kind: str, weight: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, i: F.struct(cleaned_name(m).alias("name"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"), F.lit(n).alias("pattern"), i.alias("nth")))
+
+    found = F.concat(*[matched(n, *e) for n, e in enumerate(every)])
     judges = F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in JUDGES]), normalized_name)
     rows = docs.select(F.col(id_col).alias("id"), judges.alias("judges"), F.explode(found).alias("m")).select("id", "judges", "m.*").withColumn("normalized", normalized_name(F.col("name")))
     rows = rows.filter(is_party(F.col("name")) & ~F.array_contains("judges", F.col("normalized")))
@@ -114,7 +117,8 @@ def metadata_entities(docs: DataFrame, id_col: str, kind: str = "kind", meta: st
     value = lambda k: F.coalesce(F.try_element_at(F.col(meta), F.lit(k)), F.lit(""))
     one = lambda t, name, role, c: F.struct(F.lit(t).alias("type"), name.alias("name"), F.lit(role).alias("role"), F.lit(c).alias("confidence"))
     none = F.lit(None).cast("string")
-    mail = [F.when(F.col(kind) == "email", F.transform(F.split(value(k), ","), lambda a, r=r: one("person", trimmed(a), r, 0.9))) for k, r in (("from", "sender"), ("to", "recipient"), ("cc", "cc"))]
+    addresses = lambda k, r: F.transform(F.split(value(k), ","), lambda a: one("person", trimmed(a), r, 0.9))
+    mail = [F.when(F.col(kind) == "email", addresses(k, r)) for k, r in (("from", "sender"), ("to", "recipient"), ("cc", "cc"))]
     sides = F.transform(F.split(value("parties"), r"(?i)\s+v\.?\s+"), lambda p, i: F.struct(F.lit("person").alias("type"), trimmed(p).alias("name"), F.when(i == 0, "claimant").otherwise("defendant").alias("role"), F.lit(0.85).alias("confidence")))
     versus = F.when(F.contains(F.lower(value("parties")), F.lit(" v ")), sides)
     single = F.array(one("person", value("author"), "author", 0.95), F.struct(F.lit("case_ref").alias("type"), value("case_number").alias("name"), none.alias("role"), F.lit(0.95).alias("confidence")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 METRICS = "ts timestamp, model string, query_type string, tokens long, ms double, error string"
@@ -34,3 +34,25 @@ def rollup(stream: DataFrame, width: str = "7 days", late: str = "1 day") -> Dat
     good = stream.filter(F.col("error").isNull()).withWatermark("ts", late)
     return good.groupBy(F.window("ts", width), "model", "query_type").agg(
         F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.avg(F.col("tokens") * 1000 / F.nullif(F.col("ms"), F.lit(0.0))).alias("avg_rate"))
+
+
+def upsert_stream(stream: DataFrame, folder: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Upsert each batch of documents into a stored table by key; of rows of a batch with one key one stays."""
+    from docwright.operators.store import upsert_stored
+
+    def each(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            upsert_stored(batch.sparkSession, folder, batch, key)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def in_order(done: DataFrame, group: str, number: str) -> DataFrame:
+    """Of results that came in any order those that may be released: numbers from 0 on without a gap before them."""
+    nth = F.row_number().over(W.partitionBy(group).orderBy(number)) - 1
+    return done.withColumn("_n", nth).filter(F.col("_n") == F.col(number)).drop("_n")
+
+
+def cancel(query: StreamingQuery) -> None:
+    """Stop after the batch at work; the checkpoint lets a later start go on."""
+    query.stop()
