@@ -65,7 +65,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines, hot = _lines(docs, min_chars), _hot(docs, min_chars, parts)
     first_id = F.lit(None).cast("long")
     if hot:
-        few = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h1 long"))
+        few = F.broadcast(spark.range(1).select(F.explode(F.array(*map(F.lit, hot))).alias("h1")))  # HOT_SHARE times the partitions at most
         first = lines.join(few, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("ord_id").alias("hot_first"))
         lines = lines.join(F.broadcast(first), ["h1", "h2"], "left").filter("hot_first is null or ord_id > hot_first")
         first_id = F.col("hot_first")
