@@ -34,7 +34,8 @@ from docwright.session import table
 ROW = 64
 WIDTH = ROW // 4
 PART = 8192
-LANES = 1024
+#: So many pixels are written, and read, at once.
+WRITE_PIXELS, READ_PIXELS = 1 << 18, 1 << 20
 LONGEST = 15
 GREEN, CHANNEL, DISTANCE = 256 + 24, 256, 40
 #: Fixed values of the format: the order of code length codes, and the near distances (x, y).
@@ -89,7 +90,7 @@ class Code:
         if spans.sum() != 1 << self.bits:
             raise ValueError("the lengths are no complete prefix code")
         # Codes in canonical order tile the table read most significant bit first.
-        self.table = np.repeat(order << 4 | n, spans)[REVERSED[self.bits]]
+        self.table = np.repeat((order << 4 | n).astype(np.int32), spans)[REVERSED[self.bits]]
 
     def read(self, bits: "Bits") -> int:
         e = int(self.table[bits.peek(self.bits)])
@@ -122,15 +123,23 @@ def read_code(bits: Bits, symbols: int) -> Code:
         if two:
             lengths[bits.read(8)] = 1
         return Code(lengths)
-    own = [0] * 19
-    for k in range(4 + bits.read(4)):
-        own[LENGTH_ORDER[k]] = bits.read(3)
-    table, width = length_table(tuple(own))
+    many = 4 + bits.read(4)
+    one = length_code(many, bits.read(3 * many))
+    table, width, several = one.table, one.width, one.several()
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
     k = bits.at >> 3
     ahead = int.from_bytes(bits.data[k : k + 2 * symbols + 8], "little") >> (bits.at & 7)  # 14 bits a symbol at most
     out, last, used, mask = [], 8, 0, (1 << width) - 1
     while len(out) < symbols and left:
+        if several and left > 3:
+            known, n = several[ahead & 0x7FFF]
+            if n and len(out) + 3 < symbols:
+                out += known
+                last = next((v for v in reversed(known) if v), last)
+                ahead >>= n
+                used += n
+                left -= len(known)
+                continue
         left -= 1
         e = table[ahead & mask]
         n = e & 15
@@ -152,10 +161,37 @@ def read_code(bits: Bits, symbols: int) -> Code:
     return Code(lengths)
 
 
+class LengthCode:
+    """A code for code lengths; one in frequent use gets a table of up to three lengths at once."""
+
+    def __init__(self, lengths: list[int]):
+        code = Code(np.array(lengths))
+        self.table, self.width = code.table.tolist(), code.bits
+        self.uses, self.known = 0, None
+
+    def several(self) -> list[tuple[list[int], int]] | None:
+        """For each 15 bits the lengths that they begin with, no repeats among them, and their bits."""
+        self.uses += 1
+        if self.known is None and self.uses > 200:
+            self.known = []
+            for ahead in range(1 << 15):
+                out, used = [], 0
+                while len(out) < 3:
+                    e = self.table[ahead >> used & ((1 << self.width) - 1)]
+                    if e >> 4 > 15 or used + (e & 15) > 15:
+                        break
+                    out.append(e >> 4)
+                    used += e & 15
+                self.known.append((out, used if out else 0))
+        return self.known
+
+
 @functools.lru_cache(256)
-def length_table(lengths: tuple[int, ...]) -> tuple[list[int], int]:
-    code = Code(np.array(lengths))
-    return code.table.tolist(), code.bits
+def length_code(many: int, packed: int) -> LengthCode:
+    own = [0] * 19
+    for k in range(many):
+        own[LENGTH_ORDER[k]] = packed >> (3 * k) & 7
+    return LengthCode(own)
 
 
 def read_group(bits: Bits, cache: int) -> list[Code]:
@@ -396,18 +432,30 @@ def decode(data: bytes) -> np.ndarray:
 
 def decode_many(files: list[bytes], seen: Counter | None = None) -> list[np.ndarray]:
     """The pixels of each file, decoded in lockstep; seen counts the features that they use."""
-    out: list[np.ndarray] = []
-    for k in range(0, len(files), LANES):
-        try:
-            images = [Image(data) for data in files[k : k + LANES]]
-            out += inverted(images, lockstep([Lane(i) for i in images], seen))
-        except (IndexError, struct.error, OverflowError) as e:
-            raise ValueError("the stream is broken") from e
-        if seen is not None:
-            seen.update(kind for i in images for kind, *_ in i.transforms)
+    try:
+        images = [Image(data) for data in files]
+        out: list[np.ndarray] = []
+        for some in batches([i.width * i.height for i in images], READ_PIXELS):
+            out += inverted(images[some], lockstep([Lane(i) for i in images[some]], seen))
+    except (IndexError, struct.error, OverflowError) as e:
+        raise ValueError("the stream is broken") from e
+    if seen is not None:
+        seen.update(kind for i in images for kind, *_ in i.transforms)
     return out
 
 
+def batches(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices of what is worked on at once: so many pixels, or one image of more."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if total + n > most and k > start:
+            yield slice(start, k)
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 class Lane:
     """An image up to its first pixel: size of the cache, groups of codes and where each applies."""
 
@@ -441,8 +489,10 @@ def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]
     ends, last = 8 * (heads[1:] - 8), len(words) - 1
     bit = 8 * heads[:-1] + np.array([n.image.bits.at for n in lanes])
     codes = [c for n in lanes for g in n.groups for c in g]
-    tables = np.concatenate([c.table for c in codes])
-    base = np.cumsum([0] + [len(c.table) for c in codes])[:-1].reshape(-1, 5)
+    one = {id(c): c for c in codes}
+    at = dict(zip(one, np.cumsum([0] + [len(c.table) for c in one.values()])[:-1].tolist()))
+    tables = np.concatenate([c.table for c in one.values()])
+    base = np.array([at[id(c)] for c in codes], np.int64).reshape(-1, 5)
     mask = np.array([(1 << c.bits) - 1 for c in codes], np.uint32).reshape(-1, 5)
     group_at = np.cumsum([0] + [len(n.groups) for n in lanes])[:-1]
     grouped = np.array([k for k, n in enumerate(lanes) if len(n.groups) > 1], np.int64)
@@ -487,8 +537,8 @@ def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]
         some = reading[literal]
         if len(some):
             green = s[literal]
-            red, blue, alpha = (symbols(some, c) for c in (1, 2, 3))
-            out[first[some] + p] = alpha << 24 | red << 16 | green << 8 | blue
+            red, blue, alpha = (symbols(some, c).astype(np.uint32) for c in (1, 2, 3))
+            out[first[some] + p] = alpha << np.uint32(24) | red << np.uint32(16) | green.astype(np.uint32) << np.uint32(8) | blue
         if len(some) < len(reading):
             known = s >= GREEN
             some = reading[known]
@@ -728,8 +778,11 @@ def put_entropy_images(out: Tokens, items: list[tuple[int, int, np.ndarray, int,
     at = np.concatenate([(group[w] * 5 + k) * columns + x for w, k, x in zip(wheres, codes, symbols)])
     counts = np.bincount(at, minlength=int(groups.sum()) * 5 * columns).reshape(-1, 5, columns)
     flat = counts.reshape(-1, columns)
-    lengths = complete_lengths(flat)
-    words, lengths3 = code_words(lengths).reshape(counts.shape), lengths.reshape(counts.shape)
+    some = np.flatnonzero(flat.any(0))  # symbols that any image of the batch has
+    made = complete_lengths(flat[:, some])
+    lengths, words = np.zeros_like(flat), np.zeros_like(flat)
+    lengths[:, some], words[:, some] = made, code_words(made)
+    lengths3, words = lengths.reshape(counts.shape), words.reshape(counts.shape)
     owner = np.repeat(np.repeat(np.arange(len(items)), groups), 5)
     put_codes(out, file[owner], segment[owner], lengths, flat.argmax(1))
     word = lambda code, g, s: (words[g, code, s], lengths3[g, code, s])
@@ -877,10 +930,19 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes(max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))
 
 
+def pixels_of(samples: bytes) -> np.ndarray:
+    """Four samples a pixel: blue, green, red and alpha."""
+    return np.frombuffer(samples, "<u4")
+
+
+def samples_of(pixels: np.ndarray) -> np.ndarray:
+    return channels(pixels).reshape(-1)
+
+
 def write_samples(payloads: list[bytes]) -> list[bytes]:
     """The stored form of each payload: files of at most PART bytes of samples that follow each other."""
-    parts = [np.frombuffer(p[k : k + PART], "<u4") for p in payloads for k in range(0, len(p), PART)]
-    files = iter([f for k in range(0, len(parts), LANES) for f in write_images(parts[k : k + LANES])])
+    parts = [pixels_of(p[k : k + PART]) for p in payloads for k in range(0, len(p), PART)]
+    files = iter([f for some in batches([len(p) for p in parts], WRITE_PIXELS) for f in write_images(parts[some])])
     return [b"".join(next(files) for _ in range(0, len(p), PART)) for p in payloads]
 
 
@@ -897,7 +959,7 @@ def read_samples(stored: list[bytes], seen: Counter | None = None) -> list[np.nd
     """The samples of each stored column value (files that follow each other)."""
     files = [split_files(s) for s in stored]
     pixels = iter(decode_many([f for fs in files for f in fs], seen))
-    return [np.concatenate([channels(next(pixels)).reshape(-1) for _ in fs]) for fs in files]
+    return [np.concatenate([samples_of(next(pixels)) for _ in fs]) for fs in files]
 
 
 def feature(samples: np.ndarray) -> str:
@@ -931,8 +993,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for id_, text in zip(frame["id"], frame["text"]):
                 ids.append(None if pd.isna(id_) else int(id_))
                 texts.append(text)
-                size += len(text or "") // PART + 1
-                if size >= LANES:
+                size += len(text or "") // 4 + WIDTH
+                if size >= READ_PIXELS:
                     flush()
             if ids:
                 flush()
