@@ -161,6 +161,46 @@ COUNTED = (
 OPENING, LEAST, FULL, OTHERWISE = 3000, 3, 25, "disclosure"
 
 
+def needles(pattern: str) -> list[str] | None:
+    """Literals of which every match holds one, as long as can be; None where no literal is sure."""
+    from re import _constants as C, _parser
+
+    def best(found: list) -> list[str] | None:
+        sure = [f for f in found if f]
+        return max(sure, key=lambda f: min(map(len, f))) if sure else None
+
+    def walk(items) -> list[str] | None:
+        found, run = [], ""
+        for op, value in [*items, (None, None)]:
+            if op is C.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is C.SUBPATTERN:
+                found.append(walk(value[3]))
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and value[0] > 0:
+                found.append(walk(value[2]))
+            elif op is C.BRANCH:
+                parts = [walk(b) for b in value[1]]
+                found.append([n for part in parts for n in part] if all(parts) else None)
+        return best(found)
+
+    return walk(_parser.parse(pattern))
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """Whether the pattern is found; its literals are looked for first, which spares most texts the pattern."""
+    sure = needles(pattern)
+    if not sure or min(map(len, sure)) < 2 or len(sure) > 12:
+        return text.rlike(pattern)
+    some = F.contains(text, F.lit(sure[0]))
+    for n in sure[1:]:
+        some = some | F.contains(text, F.lit(n))
+    return some & text.rlike(pattern)
+
+
 def classified(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
     """(id, kind, score, confidence): the kind with the largest sum of weights, the first in KINDS on a tie; under LEAST it is OTHERWISE with 0.2.
 
@@ -172,7 +212,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str, path: Column) -> Dat
                        F.regexp_replace(F.substring_index(file, "/", -1), r"(?<=.)\.[^.]*$", "").alias("stem"))
 
     def score(kind: str) -> Column:
-        parts = [F.when(F.col(scope).rlike(pattern), weight).otherwise(0) for k, scope, weight, pattern in RULES if k == kind]
+        parts = [F.when(holds(F.col(scope), pattern), weight).otherwise(0) for k, scope, weight, pattern in RULES if k == kind]
         parts += [F.when(F.regexp_count(scope, F.lit(pattern)) > more, weight).otherwise(0) for k, scope, pattern, more, weight in COUNTED if k == kind]
         return sum(parts[1:], parts[0])
 
