@@ -18,12 +18,11 @@ stored bytes; a broken stream raises ValueError; an empty table gives an empty r
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +37,8 @@ PART = 8192
 WRITE_PIXELS, READ_PIXELS = 1 << 18, 1 << 20
 LONGEST = 15
 GREEN, CHANNEL, DISTANCE = 256 + 24, 256, 40
+#: The alphabets of a group's five codes; the first grows by the cache.
+SIZES = (GREEN, CHANNEL, CHANNEL, CHANNEL, DISTANCE)
 #: Fixed values of the format: the order of code length codes, and the near distances (x, y).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -101,6 +102,7 @@ class Code:
 class Bits:
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
+        self.head = 0  # where it begins in a Pool
 
     def peek(self, n: int) -> int:
         k = self.at >> 3
@@ -124,76 +126,26 @@ def read_code(bits: Bits, symbols: int) -> Code:
             lengths[bits.read(8)] = 1
         return Code(lengths)
     many = 4 + bits.read(4)
-    one = length_code(many, bits.read(3 * many))
-    table, width, several = one.table, one.width, one.several()
+    packed, own = bits.read(3 * many), np.zeros(19, np.int64)
+    own[list(LENGTH_ORDER[:many])] = [packed >> (3 * k) & 7 for k in range(many)]
+    one = Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
-    k = bits.at >> 3
-    ahead = int.from_bytes(bits.data[k : k + 2 * symbols + 8], "little") >> (bits.at & 7)  # 14 bits a symbol at most
-    out, last, used, mask = [], 8, 0, (1 << width) - 1
+    out, last = [], 8
     while len(out) < symbols and left:
-        if several and left > 3:
-            known, n = several[ahead & 0x7FFF]
-            if n and len(out) + 3 < symbols:
-                out += known
-                last = next((v for v in reversed(known) if v), last)
-                ahead >>= n
-                used += n
-                left -= len(known)
-                continue
         left -= 1
-        e = table[ahead & mask]
-        n = e & 15
-        ahead >>= n
-        used += n
-        s = e >> 4
+        s = one.read(bits)
         if s < 16:
             out.append(s)
             last = s or last
             continue
         n, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-        out += [last if s == 16 else 0] * (least + (ahead & ((1 << n) - 1)))
-        ahead >>= n
-        used += n
-    bits.at += used
+        out += [last if s == 16 else 0] * (least + bits.read(n))
     if len(out) > symbols or bits.at > 8 * len(bits.data):
         raise ValueError("the lengths pass the alphabet or the stream")
     lengths[: len(out)] = out
     return Code(lengths)
 
 
-class LengthCode:
-    """A code for code lengths; one in frequent use gets a table of up to three lengths at once."""
-
-    def __init__(self, lengths: list[int]):
-        code = Code(np.array(lengths))
-        self.table, self.width = code.table.tolist(), code.bits
-        self.uses, self.known = 0, None
-
-    def several(self) -> list[tuple[list[int], int]] | None:
-        """For each 15 bits the lengths that they begin with, no repeats among them, and their bits."""
-        self.uses += 1
-        if self.known is None and self.uses > 200:
-            self.known = []
-            for ahead in range(1 << 15):
-                out, used = [], 0
-                while len(out) < 3:
-                    e = self.table[ahead >> used & ((1 << self.width) - 1)]
-                    if e >> 4 > 15 or used + (e & 15) > 15:
-                        break
-                    out.append(e >> 4)
-                    used += e & 15
-                self.known.append((out, used if out else 0))
-        return self.known
-
-
-@functools.lru_cache(256)
-def length_code(many: int, packed: int) -> LengthCode:
-    own = [0] * 19
-    for k in range(many):
-        own[LENGTH_ORDER[k]] = packed >> (3 * k) & 7
-    return LengthCode(own)
-
-
 def read_group(bits: Bits, cache: int) -> list[Code]:
     return [read_code(bits, n) for n in (GREEN + cache, CHANNEL, CHANNEL, CHANNEL, DISTANCE)]
 
@@ -365,9 +317,12 @@ def invert_palette(pixels: np.ndarray, palette: np.ndarray, width: int, height:
 
 
 class Image:
-    """A VP8L stream up to its pixel data: size, transforms and the place where pixels begin."""
+    """A VP8L stream up to its pixel data: size, transforms and the place where pixels begin.
+
+    Alone, it reads the transforms by itself; else they are read in lockstep with those of other images.
+    """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, alone: bool = True):
         if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
             raise ValueError("no WebP file")
         at, end = 12, 8 + struct.unpack("<I", data[4:8])[0]
@@ -384,18 +339,30 @@ class Image:
         if bits.read(3):
             raise ValueError("unknown version")
         self.coded_width, self.transforms = self.width, []
+        if alone:
+            steps = self.sub_images()
+            size = next(steps, None)
+            while size:
+                try:
+                    size = steps.send(read_entropy_image(bits, *size))
+                except StopIteration:
+                    break
+
+    def sub_images(self) -> Generator[tuple[int, int], np.ndarray, None]:
+        """Reads the transforms; yields the width and height of each sub-image and is sent its pixels."""
+        bits = self.bits
         while bits.read(1):
             kind, width = bits.read(2), self.coded_width
             if any(kind == t[0] for t in self.transforms):
                 raise ValueError("a transform comes twice")
             if kind < 2:
                 shift = bits.read(3) + 2
-                self.transforms.append((kind, width, shift, read_entropy_image(bits, over(width, shift), over(self.height, shift))))
+                self.transforms.append((kind, width, shift, (yield over(width, shift), over(self.height, shift))))
             elif kind == 2:
                 self.transforms.append((kind, width, 0, None))
             else:
                 n = bits.read(8) + 1
-                palette = read_entropy_image(bits, n, 1)
+                palette = yield n, 1
                 shift = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
                 self.transforms.append((kind, width, shift, palette))
                 self.coded_width = over(width, shift)
@@ -433,10 +400,12 @@ def decode(data: bytes) -> np.ndarray:
 def decode_many(files: list[bytes], seen: Counter | None = None) -> list[np.ndarray]:
     """The pixels of each file, decoded in lockstep; seen counts the features that they use."""
     try:
-        images = [Image(data) for data in files]
+        images = [Image(data, alone=False) for data in files]
         out: list[np.ndarray] = []
         for some in batches([i.width * i.height for i in images], READ_PIXELS):
-            out += inverted(images[some], lockstep([Lane(i) for i in images[some]], seen))
+            pool = Pool([i.bits for i in images[some]])
+            read_transforms(pool, images[some])
+            out += inverted(images[some], entropy_images(pool, [(i.bits, i.coded_width, i.height) for i in images[some]], True, seen))
     except (IndexError, struct.error, OverflowError) as e:
         raise ValueError("the stream is broken") from e
     if seen is not None:
@@ -456,51 +425,187 @@ def batches(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-class Lane:
-    """An image up to its first pixel: size of the cache, groups of codes and where each applies."""
+class Pool:
+    """The streams of a batch as one array of words, for reads from many at once; places count bits from the first stream's begin."""
+
+    def __init__(self, streams: list[Bits]):
+        at = 0
+        for b in streams:
+            b.head = 8 * at
+            at += len(b.data) + 8
+        flat = np.frombuffer(b"".join(b.data + bytes(8) for b in streams), np.uint8).astype(np.uint32)
+        self.words = flat[:-3] | flat[1:-2] << np.uint32(8) | flat[2:-1] << np.uint32(16) | flat[3:] << np.uint32(24)
+        self.last = len(self.words) - 1
+
+    def peek(self, at: np.ndarray) -> np.ndarray:
+        """25 bits or more from each place."""
+        return self.words[np.minimum(at >> 3, self.last)] >> (at & 7).astype(np.uint32)
+
+
+def read_transforms(pool: Pool, images: list[Image]) -> None:
+    """The transforms of all images; a round reads the next sub-image of each that has one left."""
+    wanted = [(i, steps, size) for i in images if (size := next(steps := i.sub_images(), None))]
+    while wanted:
+        parts = entropy_images(pool, [(i.bits, *size) for i, _, size in wanted], False)
+        more = []
+        for (image, steps, _), part in zip(wanted, parts):
+            try:
+                more.append((image, steps, steps.send(part)))
+            except StopIteration:
+                pass
+        wanted = more
+
+
+def entropy_images(pool: Pool, wanted: list[tuple[Bits, int, int]], main: bool, seen: Counter | None = None) -> list[np.ndarray]:
+    """ARGB pixels of the images (stream, width, height) that come next in different streams, which move on behind them."""
+    cache_bits = np.array([b.read(4) if b.read(1) else 0 for b, _, _ in wanted])
+    if (cache_bits > 11).any():
+        raise ValueError("the colour cache is too large")
+    shift = np.array([b.read(3) + 2 if main and b.read(1) else 0 for b, _, _ in wanted])
+    grouped = np.flatnonzero(shift)
+    groups, chosen = np.ones(len(wanted), np.int64), []
+    if len(grouped):
+        blocks = [(wanted[k][0], over(wanted[k][1], int(shift[k])), over(wanted[k][2], int(shift[k]))) for k in grouped]
+        chosen = [(p >> 8 & 0xFFFF).astype(np.int64) for p in entropy_images(pool, blocks, False)]
+        groups[grouped] = [int(c.max()) + 1 for c in chosen]
+    bit = np.array([b.head + b.at for b, _, _ in wanted], np.int64)
+    ends = np.array([b.head + 8 * len(b.data) for b, _, _ in wanted], np.int64)
+    codes = read_codes(pool, bit, ends, groups, np.where(cache_bits > 0, 1 << cache_bits, 0))
+    width, height = (np.array([w[k] for w in wanted]) for k in (1, 2))
+    out = lockstep(pool, bit, codes, width, width * height, cache_bits, groups, dict(zip(grouped.tolist(), chosen)), shift, seen)
+    if (bit > ends).any():
+        raise ValueError("the stream ends early")
+    for (b, _, _), at in zip(wanted, bit.tolist()):
+        b.at = at - b.head
+    return out
+
+
+def code_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each row's prefix code, and the rows' lookup tables (symbol << 4 | length) one after the other."""
+    row, symbol = np.nonzero(lengths)
+    used = np.bincount(row, minlength=len(lengths))
+    bits = np.where(used > 1, lengths.max(1), 0).astype(np.int64)
+    n = np.where(used[row] > 1, lengths[row, symbol], 0).astype(np.int64)
+    none = np.flatnonzero(used == 0)
+    row, symbol, n = np.append(row, none), np.append(symbol, np.zeros_like(none)), np.append(n, np.zeros_like(none))
+    order = np.argsort(row << 4 | n, kind="stable")
+    row, symbol, n = row[order], symbol[order], n[order]
+    spans, sizes = 1 << (bits[row] - n), 1 << bits
+    if (np.bincount(row, spans, len(lengths)) != sizes).any():
+        raise ValueError("the lengths are no complete prefix code")
+    canonical = np.repeat((symbol << 4 | n).astype(np.int32), spans)
+    # Codes in canonical order tile the table read most significant bit first.
+    out = np.empty_like(canonical)
+    head = np.cumsum(sizes) - sizes
+    for b in np.unique(bits).tolist():
+        some = head[bits == b][:, None]
+        out[some + np.arange(1 << b)] = canonical[some + REVERSED[b]]
+    return bits, out
+
+
+#: What the lengths 16, 17 and 18 repeat: bits that say how often, and the least number.
+REPEAT_BITS, REPEAT_LEAST = np.array([2, 3, 7]), np.array([3, 3, 11])
+
+
+def read_lengths(pool: Pool, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Code lengths of the code that comes next at each place, over an alphabet of so many symbols; the places move behind it."""
+    lengths = np.zeros((len(at), int(symbols.max())), np.int8)
+
+    def take(some: np.ndarray, n) -> np.ndarray:
+        value = pool.peek(at[some]).astype(np.int64) & ((1 << n) - 1)
+        at[some] += n
+        return value
+
+    simple = take(np.arange(len(at)), 1) > 0
+    some = np.flatnonzero(simple)
+    two, wide = take(some, 1), take(some, 1)
+    lengths[some, take(some, np.where(wide > 0, 8, 1))] = 1
+    some = some[two > 0]
+    lengths[some, take(some, 8)] = 1
+    row = np.flatnonzero(~simple)
+    if not len(row):
+        return lengths
+    many = 4 + take(row, 4)
+    own = np.zeros((len(row), 19), np.int8)
+    for k, s in enumerate(LENGTH_ORDER):
+        some = np.flatnonzero(many > k)
+        own[some, s] = take(row[some], 3)
+    bits, table = code_tables(own)
+    head, mask = np.cumsum(1 << bits) - (1 << bits), ((1 << bits) - 1).astype(np.uint32)
+    left = symbols[row]
+    some = np.flatnonzero(take(row, 1))
+    left[some] = 2 + take(row[some], 2 + 2 * take(row[some], 3))
+    # One length of each row at a time; rows that have all of theirs go.
+    most, here = symbols[row], at[row]
+    place, last = np.zeros(len(row), np.int64), np.full(len(row), 8)
+    while len(row):
+        entry = table[head + (pool.peek(here) & mask)]
+        here += entry & 15
+        v = entry >> 4
+        plain = v < 16
+        lengths[row, place] = np.where(plain, v, 0)
+        some = np.flatnonzero(~plain)
+        if len(some):
+            kind = v[some] - 16
+            n = REPEAT_BITS[kind]
+            times = REPEAT_LEAST[kind] + (pool.peek(here[some]).astype(np.int64) & ((1 << n) - 1))
+            here[some] += n
+            if (place[some] + times > most[some]).any():
+                raise ValueError("the lengths pass the alphabet")
+            again = kind == 0
+            for k in range(int(times[again].max(initial=0))):
+                r = some[again & (times > k)]
+                lengths[row[r], place[r] + k] = last[r]
+            place[some] += times - 1
+        place += 1
+        left -= 1
+        last = np.where(plain & (v > 0), v, last)
+        going = (place < most) & (left > 0)
+        if not going.all():
+            done = ~going
+            at[row[done]] = here[done]
+            row, here, head, mask, most, place, last, left = (x[going] for x in (row, here, head, mask, most, place, last, left))
+    return lengths
+
 
-    def __init__(self, image: Image):
-        bits = image.bits
-        self.image, self.size = image, image.coded_width * image.height
-        self.cache_bits = bits.read(4) if bits.read(1) else 0
-        if self.cache_bits > 11:
-            raise ValueError("the colour cache is too large")
-        self.shift, self.chosen = 0, None
-        if bits.read(1):
-            self.shift = bits.read(3) + 2
-            self.chosen = (read_entropy_image(bits, over(image.coded_width, self.shift), over(image.height, self.shift)) >> 8 & 0xFFFF).astype(np.int64)
-        groups = int(self.chosen.max()) + 1 if self.chosen is not None else 1
-        self.groups = [read_group(bits, 1 << self.cache_bits if self.cache_bits else 0) for _ in range(groups)]
+def read_codes(pool: Pool, bit: np.ndarray, ends: np.ndarray, groups: np.ndarray, cached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of each lane's groups: where each has its table (groups, 5), masks, and the tables. bit moves behind them."""
+    group_at = np.cumsum(groups) - groups
+    base, mask = np.zeros((int(groups.sum()), 5), np.int64), np.zeros((int(groups.sum()), 5), np.uint32)
+    tables, size = [], 0
+    for k in range(int(groups.max())):
+        some = np.flatnonzero(groups > k)
+        g = group_at[some] + k
+        for code, fixed in enumerate(SIZES):
+            at = bit[some]
+            bits, table = code_tables(read_lengths(pool, at, fixed + cached[some] if code == 0 else np.full(len(some), fixed)))
+            bit[some] = at
+            if (at > ends[some]).any():
+                raise ValueError("the stream ends early")
+            spans = 1 << bits
+            base[g, code], mask[g, code] = size + np.cumsum(spans) - spans, spans - 1
+            tables.append(table)
+            size += len(table)
+    return base, mask, np.concatenate(tables)
 
 
 #: The distance of each near code as (x, y), from code 1 on.
 NEAR_X, NEAR_Y = np.array([(0, 0), *NEAR]).T
 
 
-def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]:
-    """ARGB pixels of each lane. A step makes one pixel in every lane that has pixels left."""
-    sizes = np.array([n.size for n in lanes])
+def lockstep(pool: Pool, bits: np.ndarray, codes: tuple, width: np.ndarray, sizes: np.ndarray, cache_bits: np.ndarray, groups: np.ndarray,
+             blocks: dict[int, np.ndarray], shift: np.ndarray, seen: Counter | None = None) -> list[np.ndarray]:
+    """ARGB pixels of each lane. A step makes one pixel in every lane that has pixels left. bits moves behind the pixels."""
+    base, mask, tables = codes
     order = np.argsort(-sizes, kind="stable")
-    lanes, sizes = [lanes[j] for j in order], sizes[order]
-    data = [n.image.bits.data + bytes(8) for n in lanes]
-    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
-    words = flat[:-3] | flat[1:-2] << np.uint32(8) | flat[2:-1] << np.uint32(16) | flat[3:] << np.uint32(24)
-    heads = np.cumsum([0] + [len(d) for d in data])
-    ends, last = 8 * (heads[1:] - 8), len(words) - 1
-    bit = 8 * heads[:-1] + np.array([n.image.bits.at for n in lanes])
-    codes = [c for n in lanes for g in n.groups for c in g]
-    one = {id(c): c for c in codes}
-    at = dict(zip(one, np.cumsum([0] + [len(c.table) for c in one.values()])[:-1].tolist()))
-    tables = np.concatenate([c.table for c in one.values()])
-    base = np.array([at[id(c)] for c in codes], np.int64).reshape(-1, 5)
-    mask = np.array([(1 << c.bits) - 1 for c in codes], np.uint32).reshape(-1, 5)
-    group_at = np.cumsum([0] + [len(n.groups) for n in lanes])[:-1]
-    grouped = np.array([k for k, n in enumerate(lanes) if len(n.groups) > 1], np.int64)
-    chosen = np.concatenate([lanes[k].chosen for k in grouped] or [np.zeros(0, np.int64)])
-    chosen_at = np.cumsum([0] + [len(lanes[k].chosen) for k in grouped])[:-1]
-    g_shift, g_across = np.array([lanes[k].shift for k in grouped], np.int64), np.array([over(lanes[k].image.coded_width, lanes[k].shift) for k in grouped], np.int64)
-    width = np.array([n.image.coded_width for n in lanes])
-    cache_bits = np.array([n.cache_bits for n in lanes])
+    width, sizes, cache_bits, shift, bit, lanes = (x[order] for x in (width, sizes, cache_bits, shift, bits, np.cumsum(groups) - groups))
+    peek, group_at = pool.peek, lanes
+    grouped = np.flatnonzero(shift)
+    chosen = [blocks[int(order[k])] for k in grouped]
+    chosen_at = np.cumsum([0] + [len(c) for c in chosen])[:-1]
+    chosen = np.concatenate(chosen or [np.zeros(0, np.int64)])
+    g_shift = shift[grouped]
+    g_across = (width[grouped] + (1 << g_shift) - 1) >> g_shift
     cache_at = np.cumsum(np.where(cache_bits > 0, 1 << cache_bits, 0)) - np.where(cache_bits > 0, 1 << cache_bits, 0)
     cache = np.zeros(int(np.where(cache_bits > 0, 1 << cache_bits, 0).sum()), np.uint32)
     cached = np.flatnonzero(cache_bits)
@@ -508,9 +613,6 @@ def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]
     out = np.zeros(int(sizes.sum()), np.uint32)
     left, back, group = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), group_at.copy()
 
-    def peek(at: np.ndarray) -> np.ndarray:
-        return words[np.minimum(at >> 3, last)] >> (at & 7).astype(np.uint32)
-
     def symbols(some: np.ndarray, code: int) -> np.ndarray:
         g = group[some]
         entry = tables[base[g, code] + (peek(bit[some]) & mask[g, code])]
@@ -563,8 +665,7 @@ def lockstep(lanes: list[Lane], seen: Counter | None = None) -> list[np.ndarray]
         if len(some):
             made = out[first[some] + p]
             cache[cache_at[some] + (made * np.uint32(CACHE_MULTIPLIER) >> (32 - cache_bits[some]).astype(np.uint32))] = made
-    if (bit > ends).any():
-        raise ValueError("the stream ends early")
+    bits[order] = bit
     if seen is not None:
         seen.update({"copies": copies, "hits": hits, "groups": len(grouped)})
     got = [out[a : a + n] for a, n in zip(first, sizes)]
@@ -650,7 +751,6 @@ LENGTH_BITS = np.array([[0 if s == 16 else 5 if s in RARE else 4 for s in range(
 LENGTH_WORDS = code_words(LENGTH_BITS)[0]
 LENGTH_BITS = LENGTH_BITS[0]
 LENGTHS_HEAD = sum(int(LENGTH_BITS[s]) << (3 * k) for k, s in enumerate(LENGTH_ORDER))
-SIZES = (GREEN, CHANNEL, CHANNEL, CHANNEL, DISTANCE)
 
 
 def put_codes(out: Tokens, file: np.ndarray, segment: np.ndarray, lengths: np.ndarray, only: np.ndarray) -> None:
