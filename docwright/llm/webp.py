@@ -34,7 +34,7 @@ ROW = 64
 WIDTH = ROW // 4
 PART = 8192
 #: So many pixels are written, and read, at once.
-WRITE_PIXELS, READ_PIXELS = 1 << 18, 1 << 20
+WRITE_PIXELS, READ_PIXELS = 1 << 18, 1 << 21
 LONGEST = 15
 GREEN, CHANNEL, DISTANCE = 256 + 24, 256, 40
 #: The alphabets of a group's five codes; the first grows by the cache.
@@ -677,44 +677,46 @@ def complete_lengths(counts: np.ndarray) -> np.ndarray:
 
     Rounded-up logarithms of the shares leave room; it is filled by shortening codes, the shorter ones first, while they fit.
     """
-    lengths = np.zeros(counts.shape, np.int64)
-    rows = np.flatnonzero((counts > 0).sum(1) > 1)
-    if not len(rows):
+    lengths = np.zeros(counts.shape, np.int8)
+    row, symbol = np.nonzero(counts)
+    some = np.bincount(row, minlength=len(counts))[row] > 1
+    row, symbol = row[some], symbol[some]
+    if not len(row):
         return lengths
-    c = counts[rows].astype(float)
-    if c.sum(1).max() > 1 << LONGEST:
+    c = counts[row, symbol].astype(float)
+    total = np.bincount(row, c)
+    if total.max() > 1 << LONGEST:
         raise ValueError("too many symbols for codes of so few bits")
-    with np.errstate(divide="ignore"):
-        n = np.ceil(np.log2(c.sum(1, keepdims=True)) - np.log2(c) - 1e-9)
-    n = np.where(c > 0, np.maximum(n, 1), 99).astype(np.int64)
-    order = np.argsort(n.astype(np.int8), 1, kind="stable")
-    most = int((c > 0).sum(1).max())
-    order = order[:, :most]
-    ranked = np.take_along_axis(n, order, 1)
-    room = (1 << LONGEST) - np.where(ranked < 99, 1 << np.maximum(LONGEST - ranked, 0), 0).sum(1)
-    while True:
-        open_ = np.flatnonzero(room > 0)
-        if not len(open_):
-            break
-        for r in range(int((ranked[open_] < 99).sum(1).max())):
-            v = ranked[open_, r]
+    n = np.maximum(np.ceil(np.log2(total[row]) - np.log2(c) - 1e-9), 1).astype(np.int64)
+    order = np.argsort(row << 4 | n, kind="stable")
+    row, symbol, n = row[order], symbol[order], n[order]
+    new = np.append(True, row[1:] != row[:-1])
+    index, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    rank = np.arange(len(row)) - first[index]
+    ranked = np.full((int(rank.max()) + 1, len(first)), 99)  # by rank and row: each row's lengths from the shortest on
+    ranked[rank, index] = n
+    room = (1 << LONGEST) - np.bincount(index, 1 << (LONGEST - n)).astype(np.int64)
+    while (room > 0).any():
+        for v in ranked[: int((ranked[:, room > 0] < 99).sum(0).max())]:
             gain = 1 << np.maximum(LONGEST - v, 0)
-            fits = (v > 1) & (v < 99) & (gain <= room[open_])
-            ranked[open_[fits], r] -= 1
-            room[open_[fits]] -= gain[fits]
-    np.put_along_axis(n, order, ranked, 1)
-    lengths[rows] = np.where(n < 99, n, 0)
+            fits = np.flatnonzero((v > 1) & (v < 99) & (gain <= room))
+            v[fits] -= 1
+            room[fits] -= gain[fits]
+    lengths[row, symbol] = ranked[rank, index]
     return lengths
 
 
 def code_words(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of each row, bit-reversed as they are written."""
-    order = np.argsort(np.where(lengths > 0, lengths, 99).astype(np.int8), 1, kind="stable")[:, : max(1, int((lengths > 0).sum(1).max()))]
-    n = np.take_along_axis(lengths, order, 1)
-    spans = np.where(n > 0, 1 << np.maximum(LONGEST - n, 0), 0)
-    left_aligned = np.minimum(np.cumsum(spans, 1) - spans, (1 << LONGEST) - 1)
-    out = np.zeros_like(lengths)
-    np.put_along_axis(out, order, np.where(n > 0, REVERSED[LONGEST][left_aligned], 0), 1)
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol].astype(np.int64)
+    order = np.argsort(row << 4 | n, kind="stable")
+    row, symbol = row[order], symbol[order]
+    spans = 1 << (LONGEST - n[order])
+    before = np.cumsum(spans) - spans
+    new = np.append(True, row[1:] != row[:-1])[: len(row)]
+    out = np.zeros(lengths.shape, np.int16)
+    out[row, symbol] = REVERSED[LONGEST][before - before[new][np.cumsum(new) - 1]]
     return out
 
 
@@ -748,7 +750,7 @@ class Tokens:
 #: The writer's code for code lengths: four bits, five for these rare ones, none for repeats of a length.
 RARE = (1, 13, 14, 15)
 LENGTH_BITS = np.array([[0 if s == 16 else 5 if s in RARE else 4 for s in range(19)]])
-LENGTH_WORDS = code_words(LENGTH_BITS)[0]
+LENGTH_WORDS = code_words(LENGTH_BITS)[0].astype(np.int64)
 LENGTH_BITS = LENGTH_BITS[0]
 LENGTHS_HEAD = sum(int(LENGTH_BITS[s]) << (3 * k) for k, s in enumerate(LENGTH_ORDER))
 
@@ -878,14 +880,12 @@ def put_entropy_images(out: Tokens, items: list[tuple[int, int, np.ndarray, int,
     at = np.concatenate([(group[w] * 5 + k) * columns + x for w, k, x in zip(wheres, codes, symbols)])
     counts = np.bincount(at, minlength=int(groups.sum()) * 5 * columns).reshape(-1, 5, columns)
     flat = counts.reshape(-1, columns)
-    some = np.flatnonzero(flat.any(0))  # symbols that any image of the batch has
-    made = complete_lengths(flat[:, some])
-    lengths, words = np.zeros_like(flat), np.zeros_like(flat)
-    lengths[:, some], words[:, some] = made, code_words(made)
+    lengths = complete_lengths(flat)
+    words = code_words(lengths)
     lengths3, words = lengths.reshape(counts.shape), words.reshape(counts.shape)
     owner = np.repeat(np.repeat(np.arange(len(items)), groups), 5)
     put_codes(out, file[owner], segment[owner], lengths, flat.argmax(1))
-    word = lambda code, g, s: (words[g, code, s], lengths3[g, code, s])
+    word = lambda code, g, s: (words[g, code, s].astype(np.int64), lengths3[g, code, s].astype(np.int64))
     # Two tokens a pixel, each of two numbers.
     values, bits = np.zeros((len(px), 2), np.int64), np.zeros((len(px), 2), np.int64)
 
