@@ -2,6 +2,7 @@
 
 from docwright.llm.bpe import op2_bpe
 from docwright.llm.fingerprint import op7_fingerprints
+from docwright.llm.lexical import OP11_SQL, op11_ranked_search
 from docwright.llm.linededup import OP6_SQL, op6_line_dedup
 from docwright.llm.mixing import OP1_SQL, op1_mixing
 from docwright.llm.ngramjoin import op10_ngram_join
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
+    "op11_ranked_search": op11_ranked_search,
 }
-SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_line_dedup": OP6_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_line_dedup": OP6_SQL, "op11_ranked_search": OP11_SQL}
