@@ -6,6 +6,7 @@ from docwright.llm.lexical import OP11_SQL, op11_ranked_search
 from docwright.llm.linededup import OP6_SQL, op6_line_dedup
 from docwright.llm.mixing import OP1_SQL, op1_mixing
 from docwright.llm.ngramjoin import op10_ngram_join
+from docwright.llm.periodic import op12_periodic_runs
 from docwright.llm.quality import op4_quality
 from docwright.llm.sharding import op8_sharding
 from docwright.llm.tokencount import op13_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_ngram_join": op10_ngram_join,
     "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_token_counts": op13_token_counts,
 }
 SQL = {"op1_mixing": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_line_dedup": OP6_SQL, "op11_ranked_search": OP11_SQL}
