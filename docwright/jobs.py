@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
+
+from docwright.batches import computed
 
 Generator = Callable[[list[str]], list[str]]
 JOBS: dict[str, Callable[..., DataFrame]] = {}
@@ -31,19 +32,18 @@ def run_job(name: str, *args, **kwargs) -> DataFrame:
 def generated(rows: DataFrame, prompt: str, generator: Generator, out: str = "answer", batch: int = 16) -> DataFrame:
     """rows with what the generator says to each prompt, `batch` at a time; a failed batch gives nulls."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            said: list[str | None] = []
-            for k in range(0, len(f), batch):
-                asked = f[prompt].iloc[k : k + batch].tolist()
-                try:
-                    got = list(generator(asked))
-                    said += got if len(got) == len(asked) else [None] * len(asked)
-                except Exception:  # one bad answer loses its batch and not the job
-                    said += [None] * len(asked)
-            yield f.assign(**{out: said})
-
-    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(out, StringType())]))
+    def say(prompts: list[str | None]) -> tuple[list[str | None]]:
+        said: list[str | None] = []
+        for k in range(0, len(prompts), batch):
+            asked = prompts[k : k + batch]
+            try:
+                got = list(generator(asked))
+                said += got if len(got) == len(asked) else [None] * len(asked)
+            except Exception:  # one bad answer loses its batch and not the job
+                said += [None] * len(asked)
+        return (said,)
+
+    return computed(rows, [F.col(prompt)], say, [StructField(out, StringType())])
 
 
 def parsed(rows: DataFrame, answer: str, schema: str, out: str = "parsed") -> DataFrame:

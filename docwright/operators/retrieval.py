@@ -8,6 +8,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.text import terms
@@ -23,13 +24,24 @@ def postings(docs: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
     return rows.select("id", "dl", F.explode("words").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
-    """The places of the first `top` by (score descending, id)."""
+def _best(scores: np.ndarray, ids: np.ndarray, known: np.ndarray, top: int) -> np.ndarray:
+    """The places of the first `top` by (score descending, id), null ids first, as Spark sorts them."""
     if len(ids) > top:
         some = np.flatnonzero(scores >= np.partition(scores, len(ids) - top)[len(ids) - top])
     else:
         some = np.arange(len(ids))
-    return some[np.lexsort((ids[some], -scores[some]))[:top]]
+    return some[np.lexsort((ids[some], known[some], -scores[some]))[:top]]
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A long column's values, 0 for nulls, and which are known: pandas would turn them to floats."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _found(query_ids: pa.Array, at: list[np.ndarray], ids: pa.Array, rows: list[np.ndarray], values: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A batch of (query_id, id, value) from places in the queries and in a batch of rows."""
+    take = lambda column, places: column.take(pa.array(np.concatenate(places), pa.int64()))
+    return pa.RecordBatch.from_arrays([take(query_ids, at), take(ids, rows), pa.array(np.concatenate(values), pa.float64())], names)
 
 
 def bm25_search(docs: DataFrame, id_col: str, text_cols: list[str], queries: DataFrame, top: int = 10, most_queries: int = 256) -> DataFrame:
@@ -63,28 +75,31 @@ def bm25_search(docs: DataFrame, id_col: str, text_cols: list[str], queries: Dat
 
 
 def _scored(rows: DataFrame, told, top: int, schema: str, step: int = 256) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, at, idf, needs, avg = told.value
-        for frame in frames:
-            frame = frame[frame["words"].str.len() > 0]
-            ids = frame["id"].to_numpy()
-            scores = np.zeros((len(frame), needs.shape[1]))
-            for k in range(0, len(frame), step):
-                part = frame.iloc[k : k + step]
+        query_ids = pa.array(query_ids, pa.int64())
+        for batch in batches:
+            ids, known = _numbers(batch.column("id"))
+            dl, words = _numbers(batch.column("dl"))[0], batch.column("words").to_pylist()
+            scores = np.zeros((len(ids), needs.shape[1]))
+            for k in range(0, len(ids), step):
+                part = words[k : k + step]
                 tf = np.zeros((len(part), len(idf)))
-                row = np.repeat(np.arange(len(part)), part["words"].str.len())
-                np.add.at(tf, (row, [at[w] for ws in part["words"] for w in ws]), 1)
-                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * part["dl"].to_numpy()[:, None] / avg)) * idf
+                row = np.repeat(np.arange(len(part)), [len(ws) for ws in part])
+                np.add.at(tf, (row, np.array([at[w] for ws in part for w in ws], np.int64)), 1)
+                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[k : k + step, None] / avg)) * idf
                 scores[k : k + step] = weight @ needs
-            out = []
-            for q, query_id in enumerate(query_ids):
+            places, rows_, values = [], [], []
+            for q in range(len(query_ids)):
                 some = np.flatnonzero(scores[:, q] > 0)
-                first = some[_best(np.round(scores[some, q], 6), ids[some], top)]
-                out.append((np.full(len(first), query_id), ids[first], scores[first, q]))
-            if out:
-                yield pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*out)))))
+                first = some[_best(np.round(scores[some, q], 6), ids[some], known[some], top)]
+                places.append(np.full(len(first), q))
+                rows_.append(first)
+                values.append(scores[first, q])
+            if places:
+                yield _found(query_ids, places, batch.column("id"), rows_, values, ["query_id", "id", "score"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
@@ -92,20 +107,21 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
 
 
-def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame, most: int) -> Iterator[tuple[list, np.ndarray]]:
     """Ids and matrices of at most `most` queries each; the driver holds one at a time."""
     rows = queries.select("query_id", "embedding").toLocalIterator()
     while some := list(islice(rows, most)):
-        yield np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64)
+        yield [r[0] for r in some], np.array([r[1] for r in some], np.float64)
 
 
-def _first(exact: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
-    """The positions that can be among the first `top` by (distance rounded to six places, id), however halves are rounded."""
+def _first(exact: np.ndarray, ids: np.ndarray, known: np.ndarray, top: int) -> np.ndarray:
+    """The positions that can be among the first `top` by (distance rounded to six places, id), however halves are rounded; null ids come first."""
     low, high = np.round(exact - 1e-9, 6), np.round(exact + 1e-9, 6)
     if len(ids) <= top:
         return np.arange(len(ids))
-    last = np.lexsort((ids, high))[top - 1]
-    return np.flatnonzero(~(low > high[last]) & ~((low == high[last]) & (ids > ids[last])))
+    last = np.lexsort((ids, known, high))[top - 1]
+    after = (known & ~known[last]) | ((known == known[last]) & (ids > ids[last]))
+    return np.flatnonzero(~(low > high[last]) & ~((low == high[last]) & after))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, where: Column | None = None, most_queries: int = 10_000) -> DataFrame:
@@ -115,19 +131,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, where: Column
     scan of the vectors each. A batch of rows yields its first `top` rows a query by (rounded distance, id), so the
     final sort is small. Rows and queries without an embedding are left out.
     """
-    rows = (vectors if where is None else vectors.filter(where)).filter("embedding is not null").select("id", "embedding")
-    queries = queries.filter("embedding is not null")
+    rows = (vectors if where is None else vectors.filter(where)).filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
+    queries = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
     schema = "query_id long, id long, distance double"
 
     def scan(shared):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for frame in frames:
-                if not len(frame):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, q = shared.value
+            query_ids = pa.array(query_ids, pa.int64())
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                own, x = frame["id"].to_numpy(), np.stack(frame["embedding"].to_list()).astype(np.float64)
+                own, known = _numbers(batch.column("id"))
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64)
                 squares = (x**2).sum(1)
-                for k in range(0, len(ids), 256):
+                for k in range(0, len(q), 256):
                     block = q[k : k + 256]
                     own_squares = (block**2).sum(1)[:, None]
                     rough = own_squares + squares - 2 * block @ x.T
@@ -135,15 +153,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, where: Column
                     error = 1e-11 * (own_squares + squares.max())
                     cut = np.partition(rough, min(top, len(x)) - 1, 1)[:, min(top, len(x)) - 1 : min(top, len(x))]
                     beyond = rough > (np.sqrt(np.maximum(cut, 0) + error) + 2e-6) ** 2 + error
-                    found = []
+                    places, taken, values = [], [], []
                     for i, gone in enumerate(beyond):
                         some = np.flatnonzero(~gone)
                         exact = np.sqrt(((x[some] - block[i]) ** 2).sum(1))
-                        first = _first(exact, own[some], top)
-                        found.append((np.full(len(first), ids[k + i]), own[some[first]], exact[first]))
-                    yield pd.DataFrame(dict(zip(("query_id", "id", "distance"), map(np.concatenate, zip(*found)))))
+                        first = _first(exact, own[some], known[some], top)
+                        places.append(np.full(len(first), k + i))
+                        taken.append(some[first])
+                        values.append(exact[first])
+                    yield _found(query_ids, places, batch.column("id"), taken, values, ["query_id", "id", "distance"])
 
-        return rows.mapInPandas(run, schema)
+        return rows.mapInArrow(run, schema)
 
     near = vectors.sparkSession.createDataFrame([], schema)
     for block in _blocks(queries, most_queries):

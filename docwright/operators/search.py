@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField
 
+from docwright.batches import computed
 from docwright.functions.text import first_date, terms
 from docwright.operators import retrieval
+from docwright.operators.match import matches
+from docwright.session import own_name
 
 DIM, CACHED = 64, 200_000
 Embedder = Callable[[list[str]], np.ndarray]
@@ -66,16 +68,18 @@ def embedded(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder | N
     """(id, embedding): texts embedded `batch` at a time; null and blank texts, and those that embed to nothing, are left out."""
     embed = embedder or HashingEmbedder()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f[f["text"].notna() & (f["text"].str.strip() != "")]
-            for k in range(0, len(f), batch):
-                part = f.iloc[k : k + batch]
-                x = np.asarray(embed([prefix + t for t in part["text"]]), float)
-                some = x.any(1)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[some], "embedding": list(x[some])})
+    def vectors(texts: list[str | None]) -> tuple[list]:
+        out: list = [None] * len(texts)
+        some = [k for k, t in enumerate(texts) if t is not None and t.strip()]
+        for k in range(0, len(some), batch):
+            part = some[k : k + batch]
+            x = np.asarray(embed([prefix + texts[i] for i in part]), float)
+            for i, row, any_ in zip(part, x, x.any(1)):
+                out[i] = row if any_ else None
+        return (out,)
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, embedding array<double>")
+    found = computed(rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), [F.col("text")], vectors, [StructField("embedding", ArrayType(DoubleType()))])
+    return found.filter("embedding is not null").select("id", "embedding")
 
 
 def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:
@@ -87,75 +91,6 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "id") -> Data
     return chunks.join(vectors, key)
 
 
-def matches(words: Column, expression: str) -> Column:
-    """Whether terms (an array) satisfy a match expression: bare words and AND, OR, NOT, "phrases", prefix* and brackets.
-
-    NOT binds closest, then AND, which is also meant between neighbours, then OR. ValueError for a broken one.
-    """
-    tokens = re.findall(r'"[^"]*"|[()]|[^\s()"]+', expression)
-    if '"' in re.sub(r'"[^"]*"', "", expression):
-        raise ValueError("a quote is not closed")
-    at = 0
-
-    def peek() -> str | None:
-        return tokens[at] if at < len(tokens) else None
-
-    def atom() -> Column:
-        nonlocal at
-        token = peek()
-        if token is None or token in (")", "AND", "OR", "NOT"):
-            raise ValueError("the expression is broken")
-        at += 1
-        if token == "(":
-            inner = either()
-            if peek() != ")":
-                raise ValueError("a bracket is not closed")
-            at += 1
-            return inner
-        prefix = token.endswith("*")
-        parts = WORDS.findall(token.lower())
-        if not parts:
-            return F.lit(False)
-        if prefix and len(parts) == 1:
-            return F.exists(words, lambda w: F.startswith(w, F.lit(parts[0])))
-        if len(parts) == 1:
-            return F.array_contains(words, parts[0])
-        joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-        return F.contains(joined, F.lit(" " + " ".join(parts) + ("" if prefix else " ")))
-
-    def less() -> Column:
-        nonlocal at
-        out = atom()
-        while peek() == "NOT":
-            at += 1
-            out = out & ~atom()
-        return out
-
-    def both() -> Column:
-        nonlocal at
-        out = less()
-        while peek() not in (None, ")", "OR"):
-            if peek() == "AND":
-                at += 1
-            out = out & less()
-        return out
-
-    def either() -> Column:
-        nonlocal at
-        out = both()
-        while peek() == "OR":
-            at += 1
-            out = out | both()
-        return out
-
-    if not tokens:
-        return F.lit(False)
-    out = either()
-    if at < len(tokens):
-        raise ValueError("the expression is broken")
-    return out
-
-
 def match_search(docs: DataFrame, text: Column, expression: str) -> DataFrame:
     """docs that satisfy the expression; where it is broken, those that hold each of its blank-separated words somewhere."""
     try:
@@ -223,14 +158,12 @@ def reranked(candidates: DataFrame, scorer: Scorer | None = None, most_chars: in
     """candidates (query_id, id, query, text, rank) with score and rank by the scorer's view of a text's first characters; ties keep their order."""
     score = scorer or overlap
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts, asked = f["text"].fillna("").str.slice(0, most_chars).tolist(), f["query"].fillna("").tolist()
-            got = [np.asarray(score(asked[k : k + batch], texts[k : k + batch]), float) for k in range(0, len(f), batch)]
-            yield f.assign(score=np.round(np.concatenate([np.zeros(0), *got]), 6))
+    def scores(asked: list[str | None], texts: list[str | None]) -> tuple[np.ndarray]:
+        asked, texts = [q or "" for q in asked], [(t or "")[:most_chars] for t in texts]
+        got = [np.asarray(score(asked[k : k + batch], texts[k : k + batch]), float) for k in range(0, len(asked), batch)]
+        return (np.round(np.concatenate([np.zeros(0), *got]), 6),)
 
-    kept = candidates.drop("score")
-    out = kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    out = computed(candidates.drop("score"), [F.col("query"), F.col("text")], scores, [StructField("score", DoubleType())])
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "rank", "id")
     return out.withColumn("rank", F.row_number().over(by))
 
@@ -238,16 +171,16 @@ def reranked(candidates: DataFrame, scorer: Scorer | None = None, most_chars: in
 def graded(found: DataFrame, grader: Callable[[list[str], list[str]], list[bool]], batch: int = 5) -> DataFrame:
     """found (query, text) without the rows the grader turns down, `batch` at a time; a batch with an answer of the wrong size stays."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep: list[bool] = []
-            for k in range(0, len(f), batch):
-                part = f.iloc[k : k + batch]
-                said = list(grader(part["query"].tolist(), part["text"].tolist()))
-                keep += [bool(s) for s in said] if len(said) == len(part) else [True] * len(part)
-            yield f[np.array(keep, bool)]
+    def keep(asked: list[str | None], texts: list[str | None]) -> tuple[list[bool]]:
+        out: list[bool] = []
+        for k in range(0, len(asked), batch):
+            said = list(grader(asked[k : k + batch], texts[k : k + batch]))
+            n = len(asked[k : k + batch])
+            out += [bool(s) for s in said] if len(said) == n else [True] * n
+        return (out,)
 
-    return found.mapInPandas(run, found.schema)
+    mark = own_name(found, "_kept")
+    return computed(found, [F.col("query"), F.col("text")], keep, [StructField(mark, BooleanType())]).filter(F.col(mark)).drop(mark)
 
 
 @dataclass

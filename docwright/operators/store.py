@@ -58,9 +58,14 @@ def compact(spark: SparkSession, folder: str, files: int) -> None:
     publish(current(spark, folder).repartition(files), folder)
 
 
-def upsert_stored(spark: SparkSession, folder: str, new: DataFrame, key: str) -> None:
-    """Insert or replace by key; of rows of `new` with one key one stays. The first call makes the table."""
-    new = new.dropDuplicates([key])
+def upsert_stored(spark: SparkSession, folder: str, new: DataFrame, key: str, order: str | None = None) -> None:
+    """Insert or replace by key and write a new version; of rows of `new` with one key the last by the order column stays, then that of the greater row hash. The first call makes the table.
+
+    Rewrites the table: `segments` writes an update's own size.
+    """
+    hashed = F.xxhash64(*[c for c, t in new.dtypes if "map" not in t])
+    last = F.max_by(F.struct(*new.columns), F.struct(*([F.col(order).alias("o")] if order else []), hashed.alias("h")))
+    new = new.groupBy(key).agg(last.alias("_row")).select("_row.*")
     publish(upsert(current(spark, folder), new, key) if exists(spark, folder) else new, folder)
 
 
@@ -193,9 +198,9 @@ def described(tables: dict[str, DataFrame], samples: int = 2) -> DataFrame:
 
 
 def tail(lines: DataFrame, file: str, number: str, most: int) -> DataFrame:
-    """Each file's last lines; numbers are counted from its greatest, so no file is sorted."""
-    top = lines.groupBy(file).agg(F.max(number).alias("_top"))
-    return lines.join(top, file).filter(F.col(number) > F.col("_top") - most).drop("_top")
+    """Each file's last `most` lines by number, whatever gaps the numbers have; each partition passes on its own last ones only."""
+    nth = F.row_number().over(W.partitionBy(file).orderBy(F.desc(number)))
+    return lines.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")
 
 
 def listed(rows: DataFrame, order: str, most: int) -> DataFrame:

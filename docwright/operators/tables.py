@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(existing: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """existing with the rows of new in place of those with their keys; with an order column only the last of a key's new rows."""
+    if order:
+        new = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), F.col(order)).alias("_row")).select("_row.*")
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
-from docwright.operators import catalogs, citations as cites, classifier, evaluation, graph, parties, prompts, retrieval, search, store, tables
+from docwright.operators import catalogs, citations as cites, classifier, evaluation, graph, parties, positions, prompts, retrieval, search, segments, store, tables
 from docwright.plans.oracle import SQL as OTHERS, TERMS, kinds_sql
 from docwright.plans.queries import _benchmark
 from docwright.session import shared_dir, table
@@ -239,9 +239,10 @@ def match_expressions(spark: SparkSession, d: str) -> DataFrame:
     return search.match_search(table(spark, d, "documents"), F.col("text"), '(the AND eren*) OR (und NOT der) OR "de la"').select("doc_id")
 
 
-@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), '\"ere')")
+@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'and,') AND contains(lower(text), 'the')")
 def broken_match(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_search(table(spark, d, "documents"), F.col("text"), 'the "ere').select("doc_id")
+    """A sign outside quotes is no expression: each blank-separated word is looked for as it stands."""
+    return search.match_search(table(spark, d, "documents"), F.col("text"), "and, the").select("doc_id")
 
 
 @_query(f"""WITH b AS (SELECT doc_id, source, lang, text FROM documents WHERE lang = 'en' AND source IN (SELECT min(source) FROM documents UNION SELECT max(source) FROM documents)),
@@ -383,13 +384,29 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""WITH n AS (SELECT doc_id + 5 AS doc_id, 'xx' AS lang FROM documents WHERE doc_id % 10 = 0), u AS (SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL FROM n) SELECT * FROM u WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def stored_table(spark: SparkSession, d: str) -> DataFrame:
-    """A stored table made, upserted, deleted from and compacted."""
+    """A stored table made, upserted, deleted from and compacted, each at its own size."""
     folder, docs = _folder(spark, "rows"), table(spark, d, "documents").select("doc_id", "lang")
-    store.upsert_stored(spark, folder, docs, "doc_id")
-    store.upsert_stored(spark, folder, docs.filter("doc_id % 10 = 0").select((F.col("doc_id") + 5).alias("doc_id"), F.lit("xx").alias("lang")), "doc_id")
-    store.delete_stored(spark, folder, table(spark, d, "labels").filter("doc_id is not null"), "doc_id")
-    store.compact(spark, folder, 2)
-    return store.current(spark, folder)
+    segments.write(spark, folder, docs, "doc_id")
+    segments.write(spark, folder, docs.filter("doc_id % 10 = 0").select((F.col("doc_id") + 5).alias("doc_id"), F.lit("xx").alias("lang")), "doc_id")
+    segments.compact(spark, folder)
+    segments.erase(spark, folder, table(spark, d, "labels").filter("doc_id is not null"))
+    return segments.read(spark, folder)
+
+
+@_query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'next ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') IF x <> ''] AS w FROM v), j AS (SELECT doc_id, len(w) AS dl, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t),
+h AS (SELECT doc_id, dl, (SELECT count(*) FROM range(1, dl) r(i) WHERE w[i] = 'the' AND w[i + 1] = 'of')::INT AS a, len([x FOR x IN w IF starts_with(x, 'eren')]) AS b, len([x FOR x IN w IF x = 'next']) AS c, len([x FOR x IN w IF x = 'der']) AS e FROM j),
+n AS (SELECT count(*) AS n, avg(dl) AS avg_dl, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db, count(*) FILTER (WHERE c > 0) AS dc, count(*) FILTER (WHERE e > 0) AS de FROM h)
+SELECT doc_id, round(greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avg_dl)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avg_dl))
++ greatest(1e-6, ln((n - dc + 0.5) / (dc + 0.5))) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / avg_dl)) + greatest(1e-6, ln((n - de + 0.5) / (de + 0.5))) * e * 2.2 / (e + 1.2 * (0.25 + 0.75 * dl / avg_dl)), 6) AS score
+FROM h, n WHERE (a > 0 OR b > 0 OR c > 0) AND e = 0""")
+def match_index(spark: SparkSession, d: str) -> DataFrame:
+    """A positional index built, updated and erased from; phrase, beginning and NOT from its postings, ranked."""
+    folder, docs = _folder(spark, "positions"), table(spark, d, "documents").select("doc_id", "text")
+    positions.write(spark, folder, docs, "doc_id", ["text"])
+    positions.write(spark, folder, docs.filter("doc_id % 4 = 0").withColumn("text", F.concat(F.lit("next "), "text")), "doc_id", ["text"])
+    positions.erase(spark, folder, docs.filter("doc_id % 7 = 0"), "doc_id")
+    return positions.ranked_match(spark, folder, '("the of" OR eren* OR next) NOT der').withColumnRenamed("id", "doc_id")
 
 
 @_query("""SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'new' ELSE 'old' END AS note FROM orders WHERE o_orderkey NOT IN (1, 5)
@@ -448,7 +465,7 @@ def shown_names(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.display_names(p, p.filter("p_partkey % 3 = 0").select("file_name", F.concat(F.lit("N"), "p_partkey").alias("display_name"))).select("p_partkey", "display_name")
 
 
-@_query("SELECT event_type, event_id FROM events QUALIFY event_id > max(event_id) OVER (PARTITION BY event_type) - 30")
+@_query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 30")
 def log_tail(spark: SparkSession, d: str) -> DataFrame:
     return store.tail(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id", 30)
 

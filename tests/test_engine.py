@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docwright import config, jobs
 from docwright.functions import text as T
-from docwright.operators import catalogs, citations, parties, prompts, retrieval, search, store, tables
+from docwright.operators import catalogs, citations, parties, prompts, retrieval, search, segments, store, tables
 from docwright.sources import files
 from docwright.streaming import metrics
 
@@ -136,7 +136,7 @@ def test_upserting_stream_and_release_in_order(spark, tmp_path):
     for n, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c")]]):
         (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps({"k": k, "v": v}) + "\n" for k, v in rows))
         metrics.upsert_stream(metrics.read_metrics(spark, str(tmp_path / "in"), "k int, v string"), str(tmp_path / "t"), "k", str(tmp_path / "c")).awaitTermination()
-    assert sorted(map(tuple, store.current(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, "c")]
+    assert sorted(map(tuple, segments.read(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, "c")]
     done = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("b", 1)], "g string, n int")
     assert sorted(map(tuple, metrics.in_order(done, "g", "n").collect())) == [("a", 0), ("a", 1)]
 
@@ -191,3 +191,23 @@ def test_first_available_and_sizes(spark):
 def test_panels(spark):
     n = spark.createDataFrame([("1", "Acme", "party", {"a": "x"}), ("2", "Bo", "event", {"d": "ACME"}), ("3", "C", "party", None)], "node_id string, label string, node_type string, metadata map<string,string>")
     assert [r["node_id"] for r in catalogs.entity_panel(n, "acme").collect()] == ["1", "2"] and [r["node_id"] for r in catalogs.entity_panel(n, "", "party").collect()] == ["1", "3"]
+
+
+BIG = [None, 2**53 + 1, 2**53 + 3, -(2**63)]
+
+
+def test_long_ids_beside_nulls(spark):
+    rows = spark.createDataFrame([(i, [float(k), 1.0], "red fox", "q") for k, i in enumerate(BIG)], "id long, embedding array<double>, text string, query string").coalesce(1)
+    ids = lambda df, c="id": {r[c] for r in df.collect()}
+    vectors = spark.createDataFrame([(2**53 + 1, [0.0, 1.0]), (None, [1.0, 1.0])], "query_id long, embedding array<double>")
+    near = retrieval.nearest(rows.select("id", "embedding"), vectors, 4)
+    assert ids(near) == set(BIG) and ids(near, "query_id") == {2**53 + 1, None}
+    asked = spark.createDataFrame([(2**53 + 1, "fox"), (None, "red")], "query_id long, text string")
+    found = retrieval.bm25_search(rows, "id", ["text"], asked, 4)
+    assert ids(found) == set(BIG) and ids(found, "query_id") == {2**53 + 1, None}
+    assert [r["id"] for r in retrieval.bm25_search(rows, "id", ["text"], asked, 2).filter("query_id is not null").orderBy("rank").collect()] == [None, -(2**63)]
+    assert ids(search.embedded(rows, "id", "text")) == set(BIG)
+    ranked = rows.select(F.lit(1).alias("query_id"), "id", "query", "text", F.lit(1).alias("rank"))
+    assert ids(search.reranked(ranked)) == set(BIG)
+    assert ids(search.graded(rows, lambda q, t: [True] * len(t))) == set(BIG)
+    assert ids(jobs.generated(rows, "text", lambda ps: ps)) == set(BIG)

@@ -112,7 +112,7 @@ def test_metrics_stream(spark, tmp_path):
     for k, n in ((0, 4), (1, 12)):
         put(k, n)
         metrics.append(metrics.read_metrics(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
-        metrics.when_enough(metrics.read_metrics(spark, str(tmp_path / "in")), lambda b, i: seen.append(b.count()), 10, str(tmp_path / "c2")).awaitTermination()
+        metrics.when_enough(metrics.read_metrics(spark, str(tmp_path / "in")), lambda b, i: seen.append(b.count()), 10, str(tmp_path / "p"), str(tmp_path / "c2")).awaitTermination()
     log = spark.read.parquet(str(tmp_path / "out"))
-    assert log.count() == 16 and seen == [12]
+    assert log.count() == 16 and seen == [16]
     assert sum(r["n"] for r in metrics.rollup(log).collect()) == 16
