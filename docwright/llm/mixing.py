@@ -10,18 +10,19 @@ taken, documents whole.
 The sort is by ranges of (source, key), so one source with most of the rows spreads over all
 partitions; running sums within a range plus the ranges' offsets give the prefix. The outcome is
 one row a source (epochs and the last key taken), which a join applies to the documents without
-moving any text. Keys come from a hash of the id: reruns agree.
+moving any text. Keys come from a hash of the id and the text: reruns agree.
 
 Defined cases: null text has size 0; a null source is a source of its own; a null id hashes as
-the empty string; rows equal in id and size share their fate; sources without words have target
-0 and are not taken; an empty table gives an empty result.
+the empty string; rows equal in id and text have one key and follow each other, so some of them may be taken and others not;
+sources without words have target 0 and are not taken; an empty table gives an empty result; other columns pass through `mix`,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from docwright.session import saved, shuffle_partitions, table
+from docwright.session import dropped, own_name, saved, shuffle_partitions, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -42,9 +43,10 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), letters * (F.size(F.array_distinct(lines)) / F.size(lines)) * (1 - 4 * junk / size)), F.lit(1.0))
 
 
-def sampling_key(id_: Column, quality: Column) -> Column:
-    """-ln(u) / quality, u from 52 bits of the id's md5."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double")
+def sampling_key(id_: Column, text: Column, quality: Column) -> Column:
+    """-ln(u) / quality, u from 52 bits of the md5 of the id and the text's md5."""
+    said = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / F.lit(2.0**52)) / quality
 
 
@@ -75,15 +77,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 
 def mix_plan(docs: DataFrame, quality: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0) -> tuple[DataFrame, DataFrame]:
+             weights: tuple[float, ...] = WEIGHTS, most: int = MOST, share: float = 1.0, number: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The narrow rows (_id, source, size, at) and the plan (source, source_size, target, epochs, cut).
 
-    A document is taken `epochs` times, and once more if its place `at` is not beyond `cut`.
+    A document is taken `epochs` times, and once more if its place `at` is not beyond `cut`. Places differ in a row's number, so that equal
+    rows lie in any number of ranges and a cut can fall among them; which of them is taken doesn't matter.
     """
-    narrow = saved(docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
-        sampling_key(F.col(id_col), quality).alias("key"),
-    ).withColumn("at", place()), "mix-rows")
+    number = F.monotonically_increasing_id() if number is None else number
+    narrow = saved(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"),
+                               place(F.col(id_col), F.col(text_col), quality, number).alias("at")), "mix-rows")
     plan = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, share)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = saved(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
@@ -97,11 +99,13 @@ def mix_plan(docs: DataFrame, quality: Column, id_col: str = "doc_id", text_col:
     taken = prefix.filter(2.0 * (F.col("before") + F.col("upto")) - F.col("size") <= 2.0 * F.col("rest"))
     cuts = taken.groupBy(F.col("source").alias("_s")).agg(F.max("at").alias("cut"))
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "epochs", "cut")
-    return narrow, saved(plan, "mix-plan")
+    plan = saved(plan, "mix-plan")
+    dropped(ranged)
+    return narrow, plan
 
 
-def place() -> Column:
-    return F.struct("key", F.coalesce(F.col("_id").cast("long"), F.lit(FIRST_ID)).alias("ord_id"), "size")
+def place(id_: Column, text: Column, quality: Column, number: Column) -> Column:
+    return F.struct(sampling_key(id_, text, quality).alias("key"), F.coalesce(id_.cast("long"), F.lit(FIRST_ID)).alias("ord_id"), words(text).alias("size"), number.alias("number"))
 
 
 def copies() -> Column:
@@ -113,21 +117,27 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(plan, F.col("source").eqNullSafe(F.col("_plan_source"))).withColumn("copies", copies()).drop("_plan_source")
 
 
-def mix(docs: DataFrame, quality: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, quality: Column | None = None, number: str | None = None) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; extra columns pass through, whatever their names.
 
-    `quality` weighs a document; without it `quality_weight` of its text does.
+    `quality` weighs a document; without it `quality_weight` of its text does. `number` is a column that tells rows apart
+    and is the same on every reading; without it docs are saved with one.
     """
     quality = quality_weight(F.col("text")) if quality is None else F.greatest(quality, F.lit(0.01))
-    _, plan = mix_plan(docs, quality)
+    columns = docs.columns
+    if number is None:
+        number = own_name(docs, "_number")
+        docs = saved(docs.withColumn(number, F.monotonically_increasing_id()), "mix-docs")
+    narrow, plan = mix_plan(docs, quality, number=F.col(number))
+    dropped(narrow)
     mark = "_mix"
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark = f"_{mark}"
     plan = plan.select(*[F.col(c).alias(f"{mark}_{c}") for c in plan.columns])
-    at = F.struct(sampling_key(F.col("doc_id"), quality).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("ord_id"), words(F.col("text")).alias("size"))
+    at = place(F.col("doc_id"), F.col("text"), quality, F.col(number))
     n = F.col(f"{mark}_epochs") + F.coalesce((at <= F.col(f"{mark}_cut")).cast("long"), F.lit(0))
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col(f"{mark}_source")))
-    return joined.withColumn(f"{mark}_turn", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*docs.columns)
+    return joined.withColumn(f"{mark}_turn", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +150,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
     / coalesce(greatest(0.05::DOUBLE, length(regexp_replace(text, '[^\p{L}]+', '', 'g'))::DOUBLE / greatest(length(text), 1)
         * (len(list_distinct(string_split(text, chr(10))))::DOUBLE / len(string_split(text, chr(10))))
         * (1 - (4 * (length(text) - length(translate(text, '%$*#&!|', ''))))::DOUBLE / greatest(length(text), 1))), 1) AS key
@@ -159,7 +169,7 @@ goals AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, level * w
 ranked AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
     CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size)::BIGINT ELSE 0 END AS epochs,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size) AS upto
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   (epochs * size + CASE WHEN 2.0::DOUBLE * upto - size <= 2.0::DOUBLE * (target - epochs * source_size) THEN size ELSE 0 END)::BIGINT AS taken

@@ -49,3 +49,23 @@ def test_given_weights_and_reserved_names(spark):
     assert out.columns == docs.columns
     taken = [r["_mix_cut"] for r in out.filter("source = 'b'").collect()]
     assert 0.75 < sum(taken) / len(taken)  # what weighs nine times as much is taken first
+
+
+def test_equal_rows_at_the_cut(spark, tmp_path):
+    """Sources of equal rows: each comes within a document of its target, by the query as by the SQL."""
+    ten = "w " * 10
+    rows = [(None, ten, "a", None)] * 1000 + [(7, ten, "b", 1)] * 1000 + [(i, ten, "c", 1) for i in range(700)] + [(2**53 + 1, ten, "c", 2)] * 300 + [(2**53 + 2, ten, None, 2)] * 200
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string, key int").write.parquet(f"{d}/documents.parquet")
+    got = rows_of(X.op1_mixing(spark, d))
+    assert close(got, rows_of_sql(view(d), X.OP1_SQL))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    target = {r["target"]: 0 for r in X.op1_mixing(spark, d).collect()}
+    plan = X.mix_plan(docs, X.quality_weight(docs["text"]))[1].collect()
+    assert len(target) > 1
+    by = defaultdict(int)
+    for r in X.mix(docs).collect():
+        by[r["source"]] += 10
+    assert all(abs(by[r["source"]] - r["target"]) <= 10 for r in plan) and any(r["target"] % r["source_size"] for r in plan)
+    again = rows_of(X.op1_mixing(spark, d))
+    assert again == got
