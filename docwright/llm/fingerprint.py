@@ -55,10 +55,22 @@ def _part(fingerprint: str, n: int) -> Column:
     return F.split(F.element_at(F.split(F.col(fingerprint), "/"), n), r"\.")
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _differing(mine: str, other: str) -> Column:
-    """0-based places of what the other array lacks."""
-    missing = F.array_except(mine, other)
-    return F.get(F.transform(F.array(missing), lambda m: F.filter(F.transform(mine, lambda x, i: F.when(F.array_contains(m, x), i)), lambda i: i.isNotNull())), F.lit(0))
+    """0-based places of what the other array lacks: both are sorted together, the other's first among equals, so a run of equals that starts with one of mine is missing there."""
+    tagged = F.concat(F.transform(F.array_distinct(other), lambda x: F.struct(x.alias("x"), F.lit(-1).alias("i"))), F.transform(mine, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+    def places(rows: Column) -> Column:
+        starts = F.filter(F.transform(rows, lambda e, p: F.when((p == 0) | (F.get(rows, p - 1)["x"] != e["x"]), p)), lambda p: p.isNotNull())
+        runs = lambda s: F.transform(s, lambda a, k: F.slice(rows, a + 1, F.coalesce(F.get(s, k + 1), F.size(rows)) - a))
+        missing = lambda s: F.flatten(F.filter(runs(s), lambda run: F.get(run, F.lit(0))["i"] >= 0))
+        return _let(starts, lambda s: F.array_sort(F.transform(missing(s), lambda e: e["i"])))
+
+    return _let(F.array_sort(tagged), places)
 
 
 def with_differences(df: DataFrame, a: str, b: str, sections: str, paragraphs: str) -> DataFrame:
