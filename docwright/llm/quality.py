@@ -1,20 +1,20 @@
 """Quality classifier by co-training two views of a document.
 
 The text-content view is a logistic regression on hashed byte trigram frequencies; the
-page-metadata view is one on source, language, length and layout counts. Both start from the same
+page-metadata view is one on source, language, size and number of lines, and reads no word. Both start from the same
 labelled rows. In each round each view labels every other document of the corpus, and those it is
-confident of teach the other view. They reach it as sums: executors add up the features of confident
+sure of, by margins that rows kept apart bear out, teach the other view. They reach it as sums: executors add up the features of confident
 documents by label and cell (a hash of source and language), so the driver gets as much for any corpus, and
 each cell's mean counts by its share of the confident documents. Sums are of whole numbers: reruns
-agree. Each view is then calibrated (Platt) on labelled rows kept apart, and the mean of the
-calibrated logits scores every document. A document is kept from the score on that all but LOSS of the good
+agree. Each view is then calibrated (Platt) on labelled rows kept apart, and a logistic combination of the
+calibrated logits, fitted there too, scores every document. A document is kept from the score on that all but LOSS of the good
 rows kept apart reach, 0.5 at most.
 
 Bound (a parameter): LABELLED rows to learn from. Everything else reads all rows and whole texts.
 
 Defined cases: null text is empty and null source or language is a value of its own; without
 labels, or with labels of one class only, both views are constant, the score is 0.5 and all are kept; an empty
-table gives an empty result; other columns pass through `reject_low_quality` untouched, whatever their names.
+table gives an empty result; other columns pass through `reject_low_quality` untouched, whatever their names; repeated rows are rows, scored alike.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ from docwright.session import own_name, table
 
 LABELLED, ROUNDS = 4000, 2
 BUCKETS, NAMES, CELLS = 4096, 64, 8
-CONFIDENT, PSEUDO_MASS, LOSS = 0.9, 0.5, 0.002
+#: A view is sure from the margin on where so many of the rows kept apart are of one label, and so few at least.
+CONFIDENT, FEWEST = 0.98, 20
+PSEUDO_MASS, LOSS = 0.5, 0.002
 #: Features are summed in units of 1 / UNIT.
 UNIT = 1 << 20
-#: Byte classes: other, upper, lower, digit, blank, newline, bar, symbol, beyond ASCII.
-CLASSES = np.zeros(256, np.uint8)
-CLASSES[65:91], CLASSES[97:123], CLASSES[48:58], CLASSES[[9, 13, 32]], CLASSES[10], CLASSES[124], CLASSES[128:] = 1, 2, 3, 4, 5, 6, 8
-CLASSES[[ord(c) for c in "!#$%&*@^~<>{}[]"]] = 7
+#: Powers of two of characters, and of characters a line, told apart; counts before the names.
+SIZES = 24
+COUNTS = 3 + 2 * SIZES
 
 
 def trigrams(raw: np.ndarray) -> np.ndarray:
@@ -55,18 +56,18 @@ def content(text: str) -> np.ndarray:
 
 
 def metadata(text: str, lang, source) -> np.ndarray:
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    counts = np.bincount(CLASSES[raw], minlength=9) if len(raw) else np.zeros(9)
-    lines = counts[5] + 1
-    out = np.zeros(12 + 2 * NAMES, np.float32)
-    out[:9] = np.sqrt(counts / max(1, len(raw)))
-    out[9:12] = np.log1p(len(raw)) / 10, np.log1p(lines) / 5, np.log1p(len(raw) / lines) / 10
-    out[12 + zlib.crc32(f"s{source}".encode("utf-8", "surrogatepass")) % NAMES] = 0.3
-    out[12 + NAMES + zlib.crc32(f"l{lang}".encode("utf-8", "surrogatepass")) % NAMES] = 0.3
+    """Of a text only its size and number of lines: what it says is the other view's."""
+    size, lines = len(text), text.count("\n") + 1
+    out = np.zeros(COUNTS + 3 * NAMES, np.float32)
+    out[:3] = np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10
+    out[3 + min(SIZES - 1, size.bit_length())] = 0.3
+    out[3 + SIZES + min(SIZES - 1, (size // lines).bit_length())] = 0.3
+    for k, name in enumerate((f"s{source}", f"l{lang}", f"{source}|{lang}")):
+        out[COUNTS + k * NAMES + zlib.crc32(name.encode("utf-8", "surrogatepass")) % NAMES] = 0.3
     return out
 
 
-WIDTHS = (BUCKETS, 12 + 2 * NAMES)
+WIDTHS = (BUCKETS, COUNTS + 3 * NAMES)
 SUMS = "view int, cell int, label int, place int, total long"
 
 
@@ -83,10 +84,10 @@ def confident_sums(docs: DataFrame, fitted: list, learnt: set[int]) -> pd.DataFr
                     continue
                 x = content(text or ""), metadata(text or "", lang, source)
                 cell = zlib.crc32(f"{source}|{lang}".encode("utf-8", "surrogatepass")) % CELLS
-                for v, (w, b) in ((1, first), (0, second)):
-                    p = float(sigmoid(x[1 - v] @ w + b)[0])
-                    if p >= CONFIDENT or p <= 1 - CONFIDENT:
-                        row = sums[v][cell, int(p > 0.5)]
+                for v, (w, b, low, high) in ((1, first), (0, second)):
+                    margin = float((x[1 - v] @ w + b)[0])
+                    if margin >= high or margin <= low:
+                        row = sums[v][cell, int(margin >= high)]
                         row[:-1] += np.rint(x[v] * UNIT).astype(np.int64)
                         row[-1] += 1
         for v, s in enumerate(sums):
@@ -117,8 +118,19 @@ def prototypes(sums: pd.DataFrame, view: int, y: np.ndarray) -> tuple[np.ndarray
     return x, labels, many
 
 
+def sure(margins: np.ndarray, z: np.ndarray) -> tuple[float, float]:
+    """The margins down to which, and from which on, CONFIDENT of the rows kept apart are of one label; FEWEST of them at least, else none."""
+    order = np.argsort(margins, kind="stable")
+    m, one = margins[order], z[order] == 1
+    n = np.arange(1, len(m) + 1)
+    low = np.flatnonzero((np.cumsum(~one) >= CONFIDENT * n) & (n >= FEWEST))
+    high = np.flatnonzero((np.cumsum(one[::-1]) >= CONFIDENT * n) & (n >= FEWEST))
+    lowest, highest = float(m[low[-1]]) if len(low) else -np.inf, float(m[::-1][high[-1]]) if len(high) else np.inf
+    return (lowest, highest) if lowest < highest else (-np.inf, np.inf)
+
+
 def train(labelled: pd.DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple:
-    """(weights, bias, slope, offset) of either view, and the score from which documents are kept."""
+    """(weights, bias, slope, offset) of either view, the calibrated views' weights in the joint logit and its base, and the score from which documents are kept."""
     views = [lambda r: content(r.text), lambda r: metadata(r.text, r.lang, r.source)]
     matrix = lambda rows, v: np.array([views[v](r) for r in rows.itertuples(index=False)], np.float32).reshape(-1, WIDTHS[v])
     learn, apart = labelled[labelled["_part"] > 0], labelled[labelled["_part"] == 0]
@@ -132,9 +144,10 @@ def train(labelled: pd.DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tupl
             fitted.append(logistic(np.concatenate([x[v], more]), np.concatenate([y, labels]), rate=0.5 if v == 0 else 0.1, mass=np.concatenate([np.ones(len(y)), mass])))
         if turn == rounds or not len(y) or y.min() == y.max():
             break
-        sums = confident_sums(docs, fitted, set(labelled["doc_id"].tolist()))
+        told = [(w, b, *sure(matrix(apart, v) @ w + b, z)) for v, (w, b) in enumerate(fitted)]
+        sums = confident_sums(docs, told, set(labelled["doc_id"].tolist()))
         given = [prototypes(sums, v, y) for v in (0, 1)]
-    out, logits = [], np.zeros(len(z))
+    out, logits = [], np.zeros((len(z), 2))
     for v in (0, 1):
         w, b = fitted[v]
         margin = np.clip(matrix(apart, v) @ w + b, -30, 30)
@@ -142,10 +155,15 @@ def train(labelled: pd.DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tupl
         if len(z) and z.min() < z.max():
             slope, offset = logistic(margin[:, None] / 10, z, steps=500)
             slope = np.maximum(slope, 0.1) / 10
-        logits += (margin * slope + offset) / 2
+        logits[:, v] = margin * slope + offset
         out.append((w, b, slope, offset))
-    good = np.sort(sigmoid(logits[z == 1]))
-    return out, min(0.5, float(good[int(LOSS * len(good))])) if len(good) else 0.5
+    weights, base = np.full(2, 0.5), np.zeros(1)
+    if len(z) and z.min() < z.max():
+        weights, base = logistic(logits / 10, z, steps=500)
+        weights = np.maximum(weights, 0) / 10
+        weights = weights if weights.any() else np.full(2, 0.5)
+    good = np.sort(sigmoid(logits[z == 1] @ weights + base))
+    return out, (weights, base), min(0.5, float(good[int(LOSS * len(good))])) if len(good) else 0.5
 
 
 def scores(docs: DataFrame, labels: DataFrame, keep: list[str], names: tuple[str, str, str, str], labelled: int = LABELLED) -> DataFrame:
@@ -157,7 +175,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str], names: tuple[str
         schema = schema.add(c, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views, threshold = told.value
+        views, (weights, base), threshold = told.value
         for batch in batches:
             n = batch.num_columns - 3
             margins = np.zeros((2, batch.num_rows))
@@ -165,7 +183,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str], names: tuple[str
                 margins[0, k] = content(text or "") @ views[0][0]
                 margins[1, k] = metadata(text or "", lang, source) @ views[1][0]
             a, b = (np.clip(m + bias, -30, 30) * slope + offset for m, (_, bias, slope, offset) in zip(margins, views))
-            joint = sigmoid((a + b) / 2)
+            joint = sigmoid(a * weights[0] + b * weights[1] + base)
             made = [pa.array(c) for c in (sigmoid(a).astype(float), sigmoid(b).astype(float), joint.astype(float), joint >= threshold)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=[*batch.schema.names[:n], *names])
 
