@@ -9,7 +9,8 @@ come from a tokenizer file of the BPE kind with word ends, named by a parameter
 worker.
 
 Defined cases: null text is empty and gives no tokens (hashes of the empty string); words of any
-length are encoded whole; special tokens in a text are their ids; other columns pass through.
+length are encoded whole; special tokens in a text are their ids; other columns pass through `encode` untouched, whatever their
+names; null ids stay null and long ids exact; repeated rows are rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from docwright.session import table
+from docwright.session import own_name, table
 
-CACHE_WORDS = 250_000
+#: A generation of the cache holds so many words, and so many characters of them, besides one block's.
+CACHE_WORDS, CACHE_CHARS = 250_000, 8 << 20
 FOREST = 1 << 16
 #: Words whose tree has more leaves than this for each word of that size are merged one by one.
 LONG_LEAVES = 64
@@ -84,6 +87,7 @@ class Tokenizer:
         # Two generations of each word's ids.
         self.ids: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.chars = 0
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = a * self.span + b
@@ -225,8 +229,8 @@ class Tokenizer:
 
     def know(self, words: set[str]) -> None:
         """Have the words in the young generation; it turns old when it is full."""
-        if len(self.ids) > CACHE_WORDS:
-            self.old, self.ids = self.ids, {}
+        if len(self.ids) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.old, self.ids, self.chars = self.ids, {}, 0
         for word, i in self.special.items():
             self.ids[word] = str(i)
         fresh = []
@@ -237,6 +241,7 @@ class Tokenizer:
                 fresh.append(w)
         if fresh:
             self.learn(fresh)
+            self.chars += sum(map(len, fresh))
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by single spaces."""
@@ -255,49 +260,53 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def blocks(frame: pd.DataFrame, column: str, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
-    """Pieces of a batch with at most `most` characters, single rows excepted."""
+def blocks(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most `most` characters, single ones excepted."""
     start, total = 0, 0
-    for k, t in enumerate(frame[column]):
+    for k, t in enumerate(texts):
         total += len(t)
         if total > most and k > start:
-            yield frame.iloc[start:k]
+            yield start, k
             start, total = k, len(t)
-    if start < len(frame):
-        yield frame.iloc[start:]
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with _ids (decimal ids joined by spaces), _tokens (their number) and _decoded."""
-    schema = docs.drop(text_col).schema.add("_ids", "string").add("_tokens", "long").add("_decoded", "string")
+def encode(docs: DataFrame, path: str, text_col: str = "text", names: tuple[str, str, str] = ("_ids", "_tokens", "_decoded")) -> DataFrame:
+    """docs, without their text, with the columns `names`: decimal ids joined by spaces, their number, the decoded text; names that docs has get an underscore more."""
+    rest = docs.drop(text_col)
+    names = tuple(own_name(rest, n) for n in names)
+    kept = rest.columns
+    n = len(kept)
+    schema = StructType([*rest.schema.fields, *(StructField(c, t) for c, t in zip(names, (StringType(), LongType(), StringType())))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for frame in frames:
-            frame = frame.assign(**{text_col: frame[text_col].fillna("")})
-            for part in blocks(frame, text_col):
-                ids = t.encode_batch(part[text_col].tolist())
-                decoded = [t.decode(x) for x in ids]
-                yield part.drop(columns=[text_col]).assign(_ids=ids, _tokens=[x.count(" ") + (x != "") for x in ids], _decoded=decoded)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(n).to_pylist()]
+            for a, b in blocks(texts):
+                ids = t.encode_batch(texts[a:b])
+                made = [pa.array(ids, pa.string()), pa.array([x.count(" ") + (x != "") for x in ids], pa.int64()), pa.array([t.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:n]), *made], names=[*kept, *names])
 
-    return docs.mapInPandas(run, schema)
+    return docs.select(*kept, F.col(text_col).alias(own_name(rest, "_text"))).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256); the decoded text is decode() of the ids."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for frame in frames:
-            frame = frame.assign(_text=frame["_text"].fillna(""))
-            for part in blocks(frame, "_text"):
-                ids = t.encode_batch(part["_text"].tolist())
-                yield pd.DataFrame({"_id": part["_id"], "n_tokens": [x.count(" ") + (x != "") for x in ids],
-                                    "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(t.decode(x)) for x in ids]})
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in blocks(texts):
+                ids = t.encode_batch(texts[a:b])
+                made = [pa.array([x.count(" ") + (x != "") for x in ids], pa.int64()), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(t.decode(x)) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *made], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
 
 
 def vocabulary() -> str:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HELD_OUT_FOLD = 2
 FOLDS = 4
+#: A labelled row with a longer text is not learnt from (it is scored like any other).
+LONGEST = 100_000
 SPREAD = 1 << 30
 
 
@@ -35,8 +37,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, c
     if known > 2 * most:
         some = some.filter(F.pmod(F.xxhash64("_label_id", F.lit("sample")), F.lit(SPREAD)) < SPREAD * 2 * most // known + 1)
     some = some.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
-    texts = docs.select("doc_id", *columns)
-    got = texts.join(F.broadcast(some), texts["doc_id"] == some["_label_id"]).select("doc_id", "_y", *columns).toPandas()  # `most` rows
+    # One row an id, that of the smallest text hash, and texts of LONGEST characters at most: so `most` rows of bounded size.
+    texts = docs.select("doc_id", *columns).filter(F.length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    met = texts.join(F.broadcast(some), texts["doc_id"] == some["_label_id"])
+    one = met.groupBy("_label_id", "_y").agg(F.min_by(F.struct("doc_id", *columns), F.xxhash64(*columns)).alias("_row"))
+    got = one.select("_row.doc_id", "_y", *[f"_row.{c}" for c in columns]).toPandas()
     got["text"] = got["text"].fillna("")
     got["_part"] = [zlib.crc32(f"part{i}".encode()) % 5 for i in got["doc_id"]]
     return got.sort_values(["doc_id", "text"]).reset_index(drop=True)

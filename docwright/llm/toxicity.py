@@ -11,7 +11,7 @@ Bound (a parameter): LABELLED rows to learn from. Scoring reads whole texts, in
 
 Defined cases: null and blank texts get the score of a text without words; without labels, or
 with labels of one class, the score is constant; an empty table gives an empty result; labels,
-lang, source and doc_id are no inputs of a score.
+lang, source and doc_id are no inputs of a score; null ids stay null and long ids exact; repeated rows are rows, scored alike.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.llm.labelled import Adam, held_out, labelled_sample, sigmoid
-from docwright.session import table
+from docwright.session import own_name, table
 
 LABELLED = 8000
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
@@ -254,18 +255,19 @@ class Scorer:
         return sigmoid((top @ net.out + net.base - shift) + np.log(SHOWN / (1 - SHOWN)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED) -> DataFrame:
-    """The columns `keep` of docs with _score."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED, score: str = "_score") -> DataFrame:
+    """The columns `keep` of docs, untouched, with a score in the column of that name."""
     learn = labelled_sample(docs, labels, "toxic", labelled, ["text"])
     net = docs.sparkSession.sparkContext.broadcast(fit(learn))  # ROWS x DIM weights
-    schema = docs.select(*keep).schema.add("_score", "double")
+    rows, n = docs.select(*keep), len(keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net.value)
-        for frame in frames:
-            yield frame[keep].assign(_score=scorer.score(frame["_text"].tolist()).astype(float))
+        for batch in batches:
+            made = pa.array(scorer.score(batch.column(n).to_pylist()).astype(float), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], made], names=[*keep, score])
 
-    return docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")).mapInPandas(run, schema)
+    return docs.select(*keep, F.coalesce("text", F.lit("")).alias(own_name(rows, "_text"))).mapInArrow(run, rows.schema.add(score, "double"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections import Counter
 from collections.abc import Generator, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.session import table
@@ -1076,8 +1076,8 @@ MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, t
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text, read it back and describe what was read."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows, ids, texts, size = [], [], [], 0
 
             def flush():
@@ -1090,18 +1090,18 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                  len(media), hashlib.sha256(media).hexdigest(), feature(got)))
                 ids, texts, size = [], [], 0
 
-            for id_, text in zip(frame["id"], frame["text"]):
-                ids.append(None if pd.isna(id_) else int(id_))
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(id_)
                 texts.append(text)
                 size += len(text or "") // 4 + WIDTH
                 if size >= READ_PIXELS:
                     flush()
             if ids:
                 flush()
-            names = [c.split()[0] for c in MEDIA.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            kinds = [c.split() for c in MEDIA.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if kind == "long" else pa.string()) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, MEDIA)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, MEDIA)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
