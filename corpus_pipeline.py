@@ -33,9 +33,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: a row for each time a document is taken; the quality classifier's score weighs it."""
-    score = own_name(docs, "_score")
-    scored = saved(quality.with_score(docs, table(spark, sf_dir, "labels"), score), "scored")
-    return mixing.mix(scored, F.col(score)).select(*docs.columns)
+    score, number = own_name(docs, "_score"), own_name(docs, "_number")
+    scored = saved(quality.with_score(docs, table(spark, sf_dir, "labels"), score).withColumn(number, F.monotonically_increasing_id()), "scored")
+    out = mixing.mix(scored, F.col(score), number).select(*docs.columns)
+    out._reads = (scored,)
+    return out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
-        dropped(before)
+        made = stage(spark, docs, sf_dir)
+        before, docs = docs, saved(made, f"stage-{name}")
+        dropped(before, *getattr(made, "_reads", ()))
     return STAGES[-1][1](spark, docs, sf_dir)
