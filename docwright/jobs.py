@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField
 
@@ -82,18 +83,26 @@ def _object(text: str, json):
         return None
 
 
+#: Helpers that are expressions of built-in functions.
+EXPRESSIONS = {
+    "document_key(path STRING) RETURNS STRING": "concat('doc_', substr(md5(path), 1, 8))",
+    "text_terms(t STRING) RETURNS ARRAY<STRING>": r"filter(split(lower(coalesce(t, '')), r'[^\p{L}\p{N}]+'), x -> x <> '')",
+    "word_overlap(q STRING, t STRING) RETURNS DOUBLE": "size(array_intersect(text_terms(q), text_terms(t))) / greatest(1, size(array_distinct(text_terms(q))))",
+}
+
+
 def register_functions(spark: SparkSession) -> list[str]:
-    """Make helpers known to SQL text: chunk and document keys, a word overlap and a name's similarity."""
+    """Make helpers known to SQL text: keys, terms, a word overlap, a name's similarity, and the table functions."""
     import difflib
-    import hashlib
-
-    from docwright.operators.search import overlap
-
-    made = {
-        "document_key": (lambda path: None if path is None else "doc_" + hashlib.md5(path.encode()).hexdigest()[:8], "string"),
-        "word_overlap": (lambda q, t: float(overlap([q or ""], [t or ""])[0]), "double"),
-        "name_similarity": (lambda a, b: None if a is None or b is None else difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), "double"),
-    }
-    for name, (f, kind) in made.items():
-        spark.udf.register(name, f, kind)
-    return sorted(made)
+
+    from docwright.functions.matches import register_tables
+
+    for head, said in EXPRESSIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {said}")
+
+    @F.pandas_udf("double")
+    def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
+
+    spark.udf.register("name_similarity", name_similarity)
+    return sorted([*(h.split("(")[0] for h in EXPRESSIONS), "name_similarity", *register_tables(spark)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from docwright.functions.matches import spans
 from docwright.functions.text import first_date, trimmed
 from docwright.operators.graph import MONTHS, dated_days, event_kind, is_event, resolved
 
@@ -135,13 +136,6 @@ def metadata_events(docs: DataFrame, id_col: str, file_name: str, meta: str = "m
     return rows.filter("day is not null")
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """An array of (start, found): matches with their 0-based places, from the lengths of what lies between."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    upto = lambda i: F.aggregate(F.slice(F.zip_with(gaps, found, lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0))), F.lit(1), i), F.lit(0), lambda s, x: s + x)
-    return F.transform(found, lambda m, i: F.struct((upto(i) + F.length(F.get(gaps, i))).alias("start"), m.alias("found")))
-
-
 def first_sentence(context: Column, least: int = 10, most: int = 200) -> Column:
     """The first sentence of more than `least` characters, cut to `most`; else the context's beginning."""
     some = F.filter(F.transform(F.split(context, "[.!?]"), trimmed), lambda s: F.length(s) > least)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.text import estimated_tokens, trimmed
+from docwright.session import own_name
 
 #: Kinds of chunks by document kind, and sizes and overlaps in tokens of four characters.
 CHUNK_KINDS = {
@@ -40,10 +41,14 @@ def segments(docs: DataFrame, id_col: str, text_col: str, paragraphs: str, pages
     n = F.size(numbers)
     slices = F.transform(numbers, lambda p, i: F.struct((i * step).alias("char_start"), F.least((i + 1) * step, F.length(text)).alias("char_end"), p.cast("int").alias("page"), F.lit(None).cast("int").alias("paragraph")))
     whole = F.array(F.struct(F.lit(0).alias("char_start"), F.length(text).alias("char_end"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("paragraph")))
-    starts = F.transform(paras, lambda x, i: F.aggregate(F.slice(paras, 1, i), F.lit(0), lambda s, y: s + F.length(y["text"]) + 2))
-    placed = F.zip_with(paras, starts, lambda x, s: F.struct(s.alias("char_start"), (s + F.length(x["text"])).alias("char_end"), x["page"].cast("int").alias("page"), x["paragraph"].cast("int").alias("paragraph")))
-    every = F.when(F.size(paras) > 0, placed).when(n > 0, slices).otherwise(whole)
-    return docs.select(F.col(id_col).alias("id"), F.explode(every).alias("s")).select("id", "s.*")
+    some = F.size(paras) > 0
+    rows = docs.withColumn(own_name(docs, "_row"), F.monotonically_increasing_id())
+    cut = rows.filter(~some).select(F.col(id_col).alias("id"), F.explode(F.when(n > 0, slices).otherwise(whole)).alias("s")).select("id", "s.*")
+    # Paragraphs' places are a running sum over a document's rows: one pass, where a sum for each of an array's elements is quadratic.
+    parts = rows.filter(some).select(F.col(id_col).alias("id"), F.col(own_name(docs, "_row")).alias("_row"), F.posexplode(F.transform(paras, lambda x: F.struct(F.length(x["text"]).alias("n"), x["page"].cast("int").alias("page"), x["paragraph"].cast("int").alias("paragraph")))).alias("_nth", "_p"))
+    before = F.coalesce(F.sum(F.col("_p.n") + 2).over(W.partitionBy("_row").orderBy("_nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = parts.withColumn("char_start", before).select("id", "char_start", (F.col("char_start") + F.col("_p.n")).alias("char_end"), "_p.page", "_p.paragraph")
+    return placed.unionByName(cut)
 
 
 def cited_as(file_name: Column, page: Column, paragraph: Column, section: Column, lead: Column | str = "Source: ") -> Column:

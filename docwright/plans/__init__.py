@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from docwright.plans import graph_queries as _g, more_queries as _m, queries as _q
+from docwright.plans import graph_queries as _g, more_queries as _m, planted_queries as _p, queries as _q
 from docwright.plans.oracle import SQL as _SQL
 
 FLAGSHIP = "hybrid_search"
@@ -13,6 +13,6 @@ QUERIES = {
         _q.recent_turns, _q.conversation_text, _q.prompt_budget, _q.text_labels, _q.page_text, _q.merged_edges, _q.visible_edges,
     )
 }
-QUERIES |= _g.QUERIES | _m.QUERIES
-SQL = _SQL | _g.SQL | _m.SQL
+QUERIES |= _g.QUERIES | _m.QUERIES | _p.QUERIES
+SQL = _SQL | _g.SQL | _m.SQL | _p.SQL
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

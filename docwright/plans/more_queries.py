@@ -1,12 +1,12 @@
-"""Queries of stores, prompts, catalogs, filters and extraction over the driver's tables and literal rows, each beside its DuckDB SQL."""
+"""Queries of stores, prompts, catalogs, filters and extraction over the driver's tables, each beside its DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
-from docwright.operators import catalogs, citations as cites, classifier, evaluation, graph, parties, positions, prompts, retrieval, search, segments, store, tables
-from docwright.plans.oracle import SQL as OTHERS, TERMS, kinds_sql
+from docwright.operators import catalogs, citations as cites, evaluation, graph, parties, positions, prompts, retrieval, search, segments, store, tables
+from docwright.plans.oracle import SQL as OTHERS, TERMS
 from docwright.plans.queries import _benchmark
 from docwright.session import shared_dir, table
 
@@ -23,94 +23,12 @@ def _query(sql: str | None = None):
     return keep
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    """Literal rows as a SQL table."""
-    said = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) v({columns})"
-
-
 def _folder(spark, name):
     import uuid
 
     return f"{shared_dir(spark)}/docwright-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-#: Texts that speak as the documents the rules are made for.
-SAMPLES = [
-    (1, "WITNESS STATEMENT of Jane Roe\nMy name is Jane. I make this statement in support. Statement of truth: I believe that the facts are true.", "x/ws-1.pdf"),
-    (2, "IN THE HIGH COURT\nClaim No: CL-2024-000123\nBetween:\nAcme Limited\nClaimant\nPARTICULARS OF CLAIM\n1. The breach of contract.\n", "x/poc_a.docx"),
-    (3, "From: a@b.org\nTo: c@d.org\nSubject: Delivery\nDate: 12 March 2024\nDear Sir, yours faithfully", "x/mail.eml"),
-    (4, "This agreement is made. Whereas the parties agree. In witness whereof executed as a deed. Schedule 1", "x/contract_1.pdf"),
-    (5, "[2023] EWHC 123 (Comm) approved judgment Lord Justice Smith", "x/case.pdf"),
-    (6, "Schedule of loss. Quantum of damages. Loss of profit $1,000.00 total claimed", "x/y.pdf"),
-    (7, "Agreed chronology of facts and issues 01/02/2024: meeting", "chronology-1"),
-    (8, "nothing of note", None), (9, None, "x/report-expert.pdf"),
-    (10, "Statement of: John Smith Brown\nWitness: Al Bo. I, Mary Ann Jones, say as follows. Case No: AB-12 on 3/4/2021 and 05.06.2022, 7 May 2020; June 8, 2019", "w/a.txt"),
-    (11, "Smith Trading v. Jones plc\nfiled 1 March 2024 under [2022] EWHC 77 (Ch), claim QB21A12345", "w/b.txt"),
-    (12, "Between: Red Fox Ltd Claimant and Blue Hen LLP Defendant", "w/c.txt"),
-]
-_SAMPLES = _values(SAMPLES, "id, text, path")
-
-
-def _samples(spark):
-    return spark.createDataFrame(SAMPLES, "id int, text string, path string")
-
-
-@_query(kinds_sql(f"SELECT id, text, path FROM {_SAMPLES}", "id"))
-def sample_kinds(spark: SparkSession, d: str) -> DataFrame:
-    out = classifier.classified(_samples(spark), "id", "text", F.col("path"))
-    return out.select("id", "kind", "score", F.round("confidence", 6).alias("confidence"))
-
-
-def _quoted(p: str) -> str:
-    return p.replace("'", "''")
-
-
-_DATES = "list_concat(" + ", ".join(f"regexp_extract_all(o, '(?i){_quoted(p)}', 1)[:5]" for p in parties.DATES) + ")"
-_CASE = f"WHEN regexp_matches(o, '(?i){parties.CASES[0]}') THEN '[' || regexp_extract(o, '(?i){parties.CASES[0]}', 1) || '] EWHC ' || regexp_extract(o, '(?i){parties.CASES[0]}', 2) " + " ".join(
-    f"WHEN regexp_matches(o, '(?i){p}') THEN regexp_extract(o, '(?i){p}', 1)" for p in parties.CASES[1:])
-_AUTHOR = " ".join(f"WHEN regexp_matches(o, '{p}') THEN trim(regexp_extract(o, '{p}', 1))" for p in parties.AUTHORS)
-_BETWEEN, _VERSUS = parties.PARTIES
-
-
-@_query(f"""WITH s AS (SELECT id, coalesce(text, '')[:5000] AS o FROM {_SAMPLES}), x AS (SELECT *, {_DATES} AS ds FROM s)
-SELECT id, ds[1] AS document_date, CASE WHEN len(ds) > 1 THEN array_to_string(ds[:5], ', ') END AS dates_mentioned, CASE {_CASE} END AS case_number,
-CASE WHEN regexp_matches(o, '(?i){_BETWEEN}') THEN trim(regexp_extract(o, '(?i){_BETWEEN}', 1)) WHEN regexp_matches(o, '(?i){_VERSUS}')
-THEN trim(regexp_extract(o, '(?i){_VERSUS}', 1)) || ' v ' || trim(regexp_extract(o, '(?i){_VERSUS}', 2)) END AS parties, CASE {_AUTHOR} END AS author FROM x""")
-def sample_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark).select("id", *[c.alias(n) for n, c in parties.metadata(F.col("text")).items()])
-
-
-PARTY_TEXTS = [
-    (1, "pleading", "Acme Trading Limited (the 'Claimant') sued. Acme Trading Limited met Big Ltd. The Acme Trading Limited paper. Big Ltd. and Big Ltd on 1 May 2024, 01/05/2024 and 2024-05-01. Mr Justice Fox Ltd sat."),
-    (2, "witness_statement", "Oak & Co. wrote. Oak & Co agreed. Oak and Co left. High Court Limited High Court Limited High Court Limited. London Holdings Ltd London Holdings Ltd London Holdings Ltd"),
-    (3, "email", "Acme Trading Limited Acme Trading Limited Acme Trading Limited 1 May 2024 1 May 2024 1 May 2024"),
-    (4, "court_filing", None),
-]
-_PARTIES = [(1, "Acme Trading Limited", "company", 9), (1, "Big Ltd", "company", 6)]
-
-
-@_query(f"SELECT id, name, kind, score::BIGINT AS score FROM {_values(_PARTIES, 'id, name, kind, score')}")
-def party_candidates(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.createDataFrame(PARTY_TEXTS, "id int, kind string, text string")
-    return parties.parties(docs, "id", "text").select("id", "name", "kind", "score")
-
-
-@_query(f"""SELECT * FROM {_values([('1', 'document', 1), ('2', 'document', 1), ('3', 'document', 1), ('4', 'document', 1), ('1', 'party', 2), ('1', 'event', 1), ('1', 'mentioned_in', 2), ('1', 'references_date', 1)], 'document_id, part, n')}""")
-def graph_updates(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.createDataFrame(PARTY_TEXTS, "id int, kind string, text string")
-    nodes, edges = parties.graph_update(docs, "id", "kind", F.col("kind"), "text")
-    return nodes.groupBy("document_id", F.col("node_type").alias("part")).agg(F.count("*").cast("int").alias("n")).unionByName(edges.groupBy("document_id", F.col("relation").alias("part")).agg(F.count("*").cast("int").alias("n")))
-
-
-EVENT_TEXTS = [(1, "Opening words. The parties met on 5 March 2024 in London and talked. Then rest."), (2, "Born on 6 April 1970 in Leeds."), (3, "The contract was signed on 31 February 2024."), (4, "They filed it 7June2023! and paid on 8 July 2023.")]
-
-
-@_query(f"""SELECT id, day::DATE AS day, kind, description FROM {_values([(1, '2024-03-05', 'meeting', 'Opening words'), (4, '2023-06-07', 'filing', 'They filed it 7June2023'), (4, '2023-07-08', 'filing', 'They filed it 7June2023')], 'id, day, kind, description')}""")
-def chunk_events(spark: SparkSession, d: str) -> DataFrame:
-    return parties.chunk_events(spark.createDataFrame(EVENT_TEXTS, "id int, text string"), "id", "text").select("id", "day", "kind", "description")
-
-
 @_query("""SELECT s_suppkey AS id, 'person' AS type, x AS name, 'sender' AS role FROM (SELECT s_suppkey, unnest(['s' || s_suppkey || '@a.org', 'x@b.org']) AS x FROM supplier WHERE s_nationkey % 2 = 0)
 UNION ALL SELECT s_suppkey, 'person', s_name, 'author' FROM supplier UNION ALL SELECT s_suppkey, 'person', 'A ' || s_nationkey, 'claimant' FROM supplier UNION ALL SELECT s_suppkey, 'person', 'B', 'defendant' FROM supplier
 UNION ALL SELECT s_suppkey, 'case_ref', 'C' || s_suppkey, NULL FROM supplier""")
@@ -346,16 +264,6 @@ def without_summaries(spark: SparkSession, d: str) -> DataFrame:
     return tables.delete(table(spark, d, "documents").select("doc_id"), table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")), "doc_id")
 
 
-_KINDS = [("witness_statement",), ("skeleton_argument",), ("expert_report",), ("schedule_of_loss",), ("contract",), ("statute",), ("letter",), ("chronology",)]
-
-
-@_query(f"""SELECT * FROM {_values([('witness_statement', 4096, 2048, 'witness_statement', True), ('skeleton_argument', 2048, 1024, 'disclosure', True), ('expert_report', 4096, 2048, 'disclosure', True), ('schedule_of_loss', 3072, 1536, 'disclosure', False),
-('contract', 3072, 1536, 'contract', False), ('statute', 2048, 1024, 'statute', False), ('letter', 2048, 1024, 'disclosure', False), ('chronology', 2048, 1024, 'disclosure', False)], 'kind, size, overlap, category, in_graph')}""")
-def chunk_settings(spark: SparkSession, d: str) -> DataFrame:
-    size, overlap = prompts.chunk_size(F.col("kind"))
-    return spark.createDataFrame(_KINDS, "kind string").select("kind", size.alias("size"), overlap.alias("overlap"), catalogs.category(F.col("kind")).alias("category"), catalogs.in_graph(F.col("kind")).alias("in_graph"))
-
-
 @_query("""WITH c AS (SELECT conv_id AS id, turn, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), p AS (SELECT id, coalesce(sum(n + 2) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_start, n, k::INT AS page, turn::INT AS paragraph FROM c WHERE id % 3 = 0),
 l AS (SELECT conv_id AS id, sum(length(coalesce(text, '')) + 2)::INT - 2 AS n, count(*)::INT AS c FROM conversations GROUP BY 1), s AS (SELECT id, n, c, ceil(n / c)::INT AS step, unnest(range(c))::INT AS i FROM l WHERE id % 3 = 1)
 SELECT id, char_start, (char_start + n)::INT AS char_end, page, paragraph FROM p UNION ALL SELECT id, (i * step)::INT, least((i + 1) * step, n)::INT, i + 1, NULL FROM s UNION ALL SELECT id, 0, n, 1, NULL FROM l WHERE id % 3 = 2""")

@@ -211,3 +211,25 @@ def test_long_ids_beside_nulls(spark):
     assert ids(search.reranked(ranked)) == set(BIG)
     assert ids(search.graded(rows, lambda q, t: [True] * len(t))) == set(BIG)
     assert ids(jobs.generated(rows, "text", lambda ps: ps)) == set(BIG)
+
+
+def test_table_functions(spark):
+    assert "text_matches" in jobs.register_functions(spark)
+    text = "On 5 May we met. Then 12 June? yes"
+    spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string").createOrReplaceTempView("some_texts")
+    got = spark.sql("SELECT id, m.* FROM some_texts, LATERAL text_matches(t, '[0-9]+', 3) m").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 3, 4, "5", "On 5 Ma"), (1, 1, 22, 24, "12", "en 12 Ju")]
+    assert [r["sentence"] for r in spark.sql("SELECT s.* FROM some_texts, LATERAL text_sentences(t) s").collect()] == ["On 5 May we met.", "Then 12 June?", "yes"]
+    cut = spark.sql("SELECT c.* FROM some_texts, LATERAL text_chunks(t, 20, 5) c").collect()
+    assert all(text[r["start"] : r["stop"]] == r["chunk"] for r in cut) and len(cut) > 1
+    row = spark.sql("SELECT document_key('a'), word_overlap('red fox', 'Red hen'), round(name_similarity('Acme', 'ACME'), 1)").first()
+    assert row[0] == "doc_0cc175b9" and row[1] == 0.5 and row[2] == 1.0
+
+
+def test_a_hundred_thousand_matches_in_a_text(spark):
+    import time
+
+    rows = spark.createDataFrame([("ab " * 100_000,)], "t string").withColumn("s", parties.spans(F.col("t"), "a"))
+    began = time.time()
+    assert rows.selectExpr("size(s)", "s[99999].start").first() == (100_000, 299_997)
+    assert time.time() - began < 20
