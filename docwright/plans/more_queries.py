@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
-from docwright.operators import catalogs, citations as cites, evaluation, graph, parties, positions, prompts, retrieval, search, segments, store, tables
+from docwright.operators import catalogs, citations as cites, evaluation, graph, neighbours, parties, positions, prompts, retrieval, search, segments, store, tables
 from docwright.plans.oracle import SQL as OTHERS, TERMS
 from docwright.plans.queries import _benchmark
 from docwright.session import shared_dir, table
@@ -282,6 +282,29 @@ def recognised_lines(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.ocr_lines(t, "page", "k")
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "embedding"), e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@_query(OTHERS["vector_search"])
+def neighbours_index(spark: SparkSession, d: str) -> DataFrame:
+    """Exact neighbours from the stored cells: those that the bound rules out are not read."""
+    folder, (rows, queries) = _folder(spark, "cells"), _vectors(spark, d)
+    neighbours.build(rows, folder)
+    return neighbours.search(spark, folder, queries, 10, exact=True).select("query_id", F.col("id").alias("vec_id"), "distance", "score", "rank")
+
+
+@_query("SELECT count(*) AS n_queries, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+def neighbours_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the search by codes finds nine tenths of the exact neighbours of all queries."""
+    folder, (rows, queries) = _folder(spark, "cells"), _vectors(spark, d)
+    neighbours.build(rows, folder)
+    near, exact = neighbours.search(spark, folder, queries, 10).select("query_id", "id"), retrieval.nearest(rows, queries, 10).select("query_id", "id")
+    hits = exact.join(near.withColumn("_hit", F.lit(1)), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("n_queries"), (F.avg(F.coalesce("_hit", F.lit(0))) >= 0.9).alias("recalled"))
+
+
 @_query(OTHERS["bm25_search"])
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 from a stored index, built and read back."""
