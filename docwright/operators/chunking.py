@@ -11,6 +11,8 @@ from docwright.functions.text import chunk_key, trimmed, window_key
 
 #: Separators in the order they are tried, and how far around the target a cut may lie.
 SEPARATORS, SLACK = ("\n\n", "\n", ". ", " "), 200
+#: After more cuts than this a text is sliced.
+DEEPEST = 100
 
 
 def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
@@ -38,12 +40,17 @@ def place_chunks(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     return chunks.join(s, on, "left").drop("_id", "_from", "_to")
 
 
-def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """(start, chunk) of an adaptive split: cut after the best separator near the target, step back by the overlap."""
-    if len(text) <= size:
-        return [(0, text)] if text else []
-    out, start = [], 0
-    while len(text) - start > size:
+def cut_points(text: str, size: int, overlap: int, deepest: int = DEEPEST) -> list[tuple[int, str]]:
+    """(start, chunk) of an adaptive split: cut after the best separator near the target, step back by the overlap.
+
+    Where no separator is near, the rest is cut into windows of `size`; after more than `deepest` cuts, into slices. Blank windows and slices go.
+    """
+    out, start, depth = [], 0, 0
+    while True:
+        if depth > deepest:
+            return out + [(i, text[i : i + size]) for i in range(start, len(text), size - overlap) if text[i : i + size].strip()]
+        if len(text) - start <= size:
+            return out + ([(start, text[start:])] if text else [])
         low, high, cut = max(start + 1, start + size - SLACK), start + size + SLACK, -1
         for sep in SEPARATORS:
             at = text.rfind(sep, low, high)
@@ -51,19 +58,24 @@ def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
                 cut = at + len(sep)
                 break
         if cut < 0:
-            cut = start + size
+            break
         out.append((start, text[start:cut].rstrip()))
-        start = max(start + 1, cut - overlap)
-    out.append((start, text[start:]))
-    return out
+        start, depth = max(start, cut - overlap), depth + 1
+    while True:
+        stop = min(start + size, len(text))
+        if text[start:stop].strip():
+            out.append((start, text[start:stop]))
+        if stop == len(text):
+            return out
+        start = max(start + 1, stop - overlap)
 
 
-def adaptive_chunks(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
+def adaptive_chunks(docs: DataFrame, id_col: str, text_col: str, size: int, overlap: int, deepest: int = DEEPEST) -> DataFrame:
     """(id, chunk_id, char_start, char_end, chunk)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, a, a + len(c), c) for i, t in zip(frame["id"], frame["text"]) for a, c in cut_points(t or "", size, overlap)]
+            rows = [(i, a, a + len(c), c) for i, t in zip(frame["id"], frame["text"]) for a, c in cut_points(t or "", size, overlap, deepest)]
             yield pd.DataFrame(rows, columns=["id", "char_start", "char_end", "chunk"])
 
     found = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, char_start int, char_end int, chunk string")

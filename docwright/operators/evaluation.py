@@ -11,6 +11,11 @@ def recall_at(retrieved: Column, truth: Column, k: int) -> Column:
     return F.when(F.size(truth) == 0, 1.0).otherwise(hits / F.size(F.array_distinct(truth)))
 
 
+def citation_key(file_name: Column, page: Column, paragraph: Column) -> Column:
+    """What makes two citations one: the file in lower case, page and paragraph."""
+    return F.concat_ws("|", F.lower(F.trim(file_name)), F.coalesce(page.cast("string"), F.lit("-")), F.coalesce(paragraph.cast("string"), F.lit("-")))
+
+
 def citation_scores(actual: Column, truth: Column) -> dict[str, Column]:
     """accuracy (exact sets), precision and recall, with the empty cases defined."""
     hits, a, t = F.size(F.array_intersect(actual, truth)), F.size(F.array_distinct(actual)), F.size(F.array_distinct(truth))

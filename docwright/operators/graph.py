@@ -33,9 +33,10 @@ def find_entities(entities: DataFrame, part: str, kind: str | None = None, least
     return found if kind is None else found.filter(F.col("type") == kind)
 
 
-def relationships_of(edges: DataFrame, node, source: str = "source", target: str = "target") -> DataFrame:
-    """Edges with the node at either end."""
-    return edges.filter((F.col(source) == node) | (F.col(target) == node))
+def relationships_of(edges: DataFrame, node=None, source: str = "source", target: str = "target", kind: str | None = None, type_col: str = "type") -> DataFrame:
+    """Edges with the node at either end, of the type; None leaves either out."""
+    found = edges if node is None else edges.filter((F.col(source) == node) | (F.col(target) == node))
+    return found if kind is None else found.filter(F.col(type_col) == kind)
 
 
 def timeline(events: DataFrame, day: str, first: str, last: str, keep_undated: bool = False) -> DataFrame:
@@ -138,11 +139,18 @@ def resolved(mentions: DataFrame, entities: DataFrame, least: float = 0.85) -> D
     asked = mentions.select("type", F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
     known = entities.select("type", "entity_id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("type", "entity_id", F.lower("n").alias("other"))
     equal = asked.join(known, (asked["type"] == known["type"]) & (asked["name"] == known["other"])).groupBy(asked["type"], "name").agg(F.min("entity_id").alias("entity_id")).withColumn("similarity", F.lit(1.0))
+    near = similar(asked.join(equal, ["type", "name"], "left_anti"), known, least)
+    best = near.groupBy("type", "name").agg(F.max(F.struct("similarity", (-F.col("entity_id")).alias("minus"))).alias("t"))
+    return equal.unionByName(best.select("type", "name", (-F.col("t.minus")).alias("entity_id"), F.col("t.similarity").alias("similarity")))
+
+
+def similar(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(type, name, entity_id, other, similarity): every pair of asked (type, name) and known (type, entity_id, other) that reaches the ratio; see resolved."""
     ratio = (2 - least) / least
     keep = lambda c: (F.length(c) - F.ceil(F.length(c) / ratio - 1e-9) + 1).cast("int")
     known = known.filter("other <> ''").distinct()
     freq = known.select(F.explode(_letters(F.col("other"))).alias("letter")).union(asked.select(F.explode(_letters(F.col("name"))))).groupBy("letter").agg(F.count("*").alias("many"))
-    left = _rarest(asked.join(equal, ["type", "name"], "left_anti").select("type", "name"), "name", freq, keep("name"))
+    left = _rarest(asked.select("type", "name"), "name", freq, keep("name"))
     left = left.select("type", "name", "rare", F.explode("rare").alias("b"), F.length("name").alias("l"))
     right = _rarest(known, "other", freq, keep("other"))
     right = right.select(F.col("type").alias("_t"), "entity_id", "other", F.col("rare").alias("_rare"), F.explode("rare").alias("_b"), F.length("other").alias("_l"))
@@ -158,9 +166,7 @@ def resolved(mentions: DataFrame, entities: DataFrame, least: float = 0.85) -> D
             for a, b in zip(f["name"], f["other"]):
                 m.set_seqs(a, b)
                 scores.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
-            out = f[["type", "name", "entity_id"]].assign(similarity=scores)
+            out = f.assign(similarity=scores)
             yield out[out["similarity"] >= least]
 
-    near = pairs.select("type", "name", "entity_id", "other").mapInPandas(run, "type string, name string, entity_id long, similarity double")
-    best = near.groupBy("type", "name").agg(F.max(F.struct("similarity", (-F.col("entity_id")).alias("minus"))).alias("t"))
-    return equal.unionByName(best.select("type", "name", (-F.col("t.minus")).alias("entity_id"), F.col("t.similarity").alias("similarity")))
+    return pairs.select("type", "name", "entity_id", "other").filter("entity_id is not null").mapInPandas(run, "type string, name string, entity_id long, other string, similarity double")

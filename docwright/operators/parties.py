@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.matches import spans
 from docwright.functions.text import first_date, trimmed
-from docwright.operators.graph import MONTHS, dated_days, event_kind, is_event, resolved
+from docwright.operators.graph import MONTHS, dated_days, event_kind, is_event, resolved, similar
+from docwright.session import dropped, saved
 
 MONTH = "|".join(MONTHS)
 #: Words that make no party by themselves.
@@ -182,19 +183,40 @@ def graph_update(docs: DataFrame, id_col: str, name_col: str, kind_col: str, tex
 
 
 def linked_or_created(mentions: DataFrame, entities: DataFrame, least: float = 0.85) -> DataFrame:
-    """(type, name, entity_id, similarity, created): mentions (type, name) with the entity they resolve to, or with one made for the spelling.
+    """(type, name, entity_id, similarity, created): mentions (type, name) with the known entity they resolve to, or with a new one.
 
-    New ids follow the greatest known one in the order of type and name, so a repeated run makes the same.
+    New spellings are taken in the order of type and name, as a sequential loop would: one that resembles a spelling that made an
+    entity before it joins the most similar of these (of equals the earlier), else it makes one. Rounds over the pairs of similar spellings decide: a
+    spelling without an undecided or making one before it makes an entity, one with a making one before it and no undecided one joins; a
+    round decides at least the first of every group. New ids follow the greatest known one in the same order.
     """
+    spark = mentions.sparkSession
     known = resolved(mentions, entities, least).withColumn("created", F.lit(False))
     asked = mentions.select("type", F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
-    new = asked.join(known.select("type", "name"), ["type", "name"], "left_anti")
+    new = saved(asked.join(known.select("type", "name"), ["type", "name"], "left_anti"), "new-names")
+    pairs = similar(new, new.select("type", F.lit(0).cast("long").alias("entity_id"), F.col("name").alias("other")), least)
+    pairs = saved(pairs.filter("other < name").select("type", "name", "other", "similarity"), "new-pairs")
+    state = new.join(pairs.select("type", "name").distinct(), ["type", "name"], "left_anti").withColumn("makes", F.lit(True))
+    open_ = saved(new.join(state.select("type", "name"), ["type", "name"], "left_anti"), "new-open")
+    state = saved(state, "new-state")
+    while not open_.isEmpty():
+        seen = pairs.join(open_, ["type", "name"], "left_semi").join(state.withColumnRenamed("name", "other"), ["type", "other"], "left")
+        turn = seen.groupBy("type", "name").agg(F.bool_or(F.col("makes").isNull()).alias("waits"), F.bool_or(F.coalesce("makes", F.lit(False))).alias("joins"))
+        decided = turn.filter("not waits").select("type", "name", (~F.col("joins")).alias("makes"))
+        before, before_open = state, open_
+        state = saved(state.unionByName(decided), "new-state")
+        open_ = saved(open_.join(state.select("type", "name"), ["type", "name"], "left_anti"), "new-open")
+        dropped(before, before_open)
     top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
-    by_type = new.groupBy("type").agg(F.count("*").alias("_n"))
-    before = by_type.select("type", (F.sum("_n").over(W.orderBy("type")) - F.col("_n")).alias("_before"))  # a row a type
+    makers = state.filter("makes").select("type", "name")
+    by_type = makers.groupBy("type").agg(F.count("*").alias("_n"))
+    ahead = by_type.select("type", (F.sum("_n").over(W.orderBy("type")) - F.col("_n")).alias("_before"))  # a row a type
     nth = F.row_number().over(W.partitionBy("type").orderBy("name"))
-    made = new.withColumn("_nth", nth).join(F.broadcast(before), "type")  # a row a type
-    return known.unionByName(made.select("type", "name", (F.col("_before") + F.col("_nth") + top).cast("long").alias("entity_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("created")))
+    made = saved(makers.withColumn("_nth", nth).join(F.broadcast(ahead), "type").select("type", "name", (F.col("_before") + F.col("_nth") + top).cast("long").alias("entity_id")), "new-entities")  # a row a type
+    best = pairs.join(state.filter("not makes"), ["type", "name"], "left_semi").join(made.withColumnRenamed("name", "other"), ["type", "other"])
+    best = best.groupBy("type", "name").agg(F.max(F.struct("similarity", (-F.col("entity_id")).alias("minus"))).alias("t"))
+    joined = best.select("type", "name", (-F.col("t.minus")).alias("entity_id"), F.col("t.similarity").alias("similarity"), F.lit(False).alias("created"))
+    return known.unionByName(made.select("type", "name", "entity_id", F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("created"))).unionByName(joined)
 
 
 def related(relations: DataFrame, entities: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
@@ -196,12 +197,18 @@ class Settings:
     skip_rerank: bool = False
     balance: float | None = None  # of relevance against diversity; None leaves diversity out
     strict: bool = False  # filters by the threshold again, without the guaranteed rows
+    query_prefix: str = ""  # what the embedder is told before a query
+    dates: tuple[list[str], str, str] | None = None  # columns of chunks, first and last day; undated rows stay
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, text_cols: list[str], settings: Settings = Settings(), where: Column | None = None,
-             vectors: DataFrame | None = None, embedder: Embedder | None = None, scorer: Scorer | None = None, fallback: DataFrame | None = None) -> DataFrame:
+             vectors: DataFrame | None = None, embedder: Embedder | None = None, scorer: Scorer | None = None, fallback: DataFrame | None = None,
+             expand: Callable[[DataFrame], DataFrame] | None = None, grader: Callable[[list[str], list[str]], list[bool]] | None = None, summaries: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rrf_score, rank) from chunks (id, text, ...) and queries (query_id, text).
 
+    `expand` gives the queries that the retrievers see, the given ones are what rows are scored and graded by. After the threshold, rows outside the
+    dates go, then those that the grader turns down; ranks close up. With `summaries` and chunks' document_id each row has its document's overview.
+
     Nearest neighbours and BM25 over text_cols are fused by reciprocal ranks; the best are fetched and scored again on their
     first 512 characters. Rows under the threshold go, but for the first few; fused scores are on another scale and have no
     threshold. The filter applies to both retrievers, and before any limit.
@@ -211,9 +218,10 @@ def retrieve(chunks: DataFrame, queries: DataFrame, text_cols: list[str], settin
     known = vectors if vectors is not None else embedded(rows, "id", "text", embedder)
     if vectors is not None and where is not None:
         known = vectors.join(rows.select("id"), "id", "left_semi")
-    asked = embedded(queries, "query_id", "text", embedder).withColumnRenamed("id", "query_id")
+    wider = queries if expand is None else expand(queries)
+    asked = embedded(wider, "query_id", "text", embedder, s.query_prefix).withColumnRenamed("id", "query_id")
     dense = retrieval.nearest(known, asked, s.semantic)
-    sparse = retrieval.bm25_search(rows, "id", text_cols, queries, s.keyword)
+    sparse = retrieval.bm25_search(rows, "id", text_cols, wider, s.keyword)
     fused = retrieval.fuse(dense, sparse, s.rerank).select("query_id", "id", F.col("score").alias("rrf_score"), "rank")
     if s.skip_rerank:
         out = fused.withColumn("score", F.col("rrf_score"))
@@ -222,6 +230,22 @@ def retrieve(chunks: DataFrame, queries: DataFrame, text_cols: list[str], settin
         out = reranked(full, scorer)
         if s.threshold is not None:
             out = retrieval.confident(out, s.threshold, 0 if s.strict else min(s.guaranteed, s.final))
+    if s.dates is not None:
+        columns, first, last = s.dates
+        out = in_dates(out.join(rows.select("id", *[F.col(c).alias(f"_date{k}") for k, c in enumerate(columns)]), "id", "left"), [f"_date{k}" for k in range(len(columns))], first, last)
+    if grader is not None:
+        said = out.select("query_id", "id", "score", "rrf_score", "rank").join(rows.select("id", "text"), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+        out = graded(said, grader)
+    if s.dates is not None or grader is not None:
+        out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    out = _final(out, s, known, asked)
+    if summaries is not None:
+        out = with_overviews(out.join(rows.select("id", "document_id"), "id", "left"), summaries)
+    return out
+
+
+def _final(out: DataFrame, s: Settings, known: DataFrame, asked: DataFrame) -> DataFrame:
+    """The first rows of each query, diverse ones if asked for."""
     if s.balance is not None:
         pairs = out.select("query_id", "id", "rrf_score", F.col("score").alias("relevance")).join(known, "id").join(asked.withColumnRenamed("embedding", "query_embedding"), "query_id")
         chosen = retrieval.diversified(pairs, s.final, s.balance).select("query_id", "id", "rank")
@@ -243,6 +267,12 @@ def retrieval_stats(found: DataFrame, files: DataFrame) -> DataFrame:
                                        F.max("score").alias("max_score"), F.countDistinct("file_name").alias("n_files"))
 
 
+def stage_counts(**stages: DataFrame) -> DataFrame:
+    """(query_id, stage, n): how many rows of each query came out of each stage, given by name."""
+    rows = [df.groupBy("query_id").agg(F.count("*").alias("n")).select("query_id", F.lit(name).alias("stage"), "n") for name, df in stages.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def with_overviews(found: DataFrame, summaries: DataFrame, key: str = "document_id") -> DataFrame:
     """found with the content of its document's first overview (by summary_id), null where there is none."""
     first = F.row_number().over(W.partitionBy(key).orderBy("summary_id"))

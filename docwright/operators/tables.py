@@ -94,11 +94,23 @@ def update_fields(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(n, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c != key and c in new.columns else F.col(c) for c in existing.columns])
 
 
-def children(parents: DataFrame, key: str, suggestions: str, changes: str) -> DataFrame:
-    """(parent, kind, value): a row for each suggestion, and for each changed setting."""
+def children(parents: DataFrame, key: str, suggestions: str, changes: str, notes: str | None = None) -> DataFrame:
+    """(parent, kind, value): a row for each suggestion, for each changed setting, and with `notes` for each note."""
     general = parents.select(F.col(key).alias("parent"), F.lit("general").alias("kind"), F.explode(suggestions).alias("value"))
     config = parents.select(F.col(key).alias("parent"), F.explode(changes).alias("k", "v")).select("parent", F.lit("config").alias("kind"), F.concat_ws("=", "k", "v").alias("value"))
-    return general.unionByName(config)
+    both = general.unionByName(config)
+    return both if notes is None else both.unionByName(parents.select(F.col(key).alias("parent"), F.lit("note").alias("kind"), F.explode(notes).alias("value")))
+
+
+def by_key(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row or rows of one key; null finds those without one. The filter reaches the scan."""
+    return rows.filter(F.col(key).isNull() if value is None else F.col(key) == value)
+
+
+def metadata_counts(summaries: DataFrame, key: str = "doc_type", meta: str = "metadata", unknown: str = "unknown") -> DataFrame:
+    """(kind, n) of a key in the rows' metadata maps."""
+    kind = F.coalesce(F.try_element_at(F.col(meta), F.lit(key)), F.lit(unknown))
+    return summaries.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def catalog_kpi(records: DataFrame, indexed: str, errored: str) -> DataFrame:

@@ -103,3 +103,21 @@ SELECT coalesce(new, l_suppkey) AS source, count(*) AS edges, count(DISTINCT l_p
     "visible_edges": "SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation WHERE n_nationkey <> 3 AND n_regionkey < 3",
     "document_kinds": kinds_sql("SELECT doc_id, text, concat_ws('/', source, lang) AS path FROM documents", "doc_id"),
 }
+
+
+def chunks_sql(size: int, overlap: int, deepest: int = 100, slack: int = 200) -> str:
+    """The adaptive chunker as a recursive query over documents."""
+    ends = ", ".join(f"CASE WHEN instr(reverse(w), reverse({s})) > 0 THEN {size - slack} + length(w) - instr(reverse(w), reverse({s})) + 1 END" for s in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, -1 AS depth, 0::BIGINT AS start, NULL::BIGINT AS stop, 'first' AS mode, 0::BIGINT AS next FROM d
+UNION ALL SELECT doc_id, depth, start, stop, mode, CASE mode WHEN 'cut' THEN greatest(start, stop - {overlap}) WHEN 'window' THEN CASE WHEN stop < n THEN greatest(start + 1, stop - {overlap}) END
+  WHEN 'slice' THEN CASE WHEN start + {size - overlap} < n THEN start + {size - overlap} END END AS next FROM (
+  SELECT *, CASE mode WHEN 'cut' THEN start + cut WHEN 'rest' THEN n ELSE least(start + {size}, n) END AS stop FROM (
+    SELECT *, CASE WHEN before IN ('window', 'slice') THEN before WHEN depth > {deepest} THEN 'slice' WHEN n - start <= {size} THEN 'rest' WHEN cut > 0 THEN 'cut' ELSE 'window' END AS mode FROM (
+      SELECT *, coalesce({ends}) AS cut FROM (
+        SELECT c.doc_id, c.depth + 1 AS depth, c.next AS start, c.mode AS before, d.n, substr(d.text, c.next + 1 + {size - slack}, {2 * slack}) AS w FROM c JOIN d USING (doc_id) WHERE c.next IS NOT NULL))))),
+k AS (SELECT doc_id, mode, start, CASE WHEN mode = 'cut' THEN regexp_replace(substr(text, start + 1, stop - start), '\\s+$', '') ELSE substr(text, start + 1, stop - start) END AS chunk FROM c JOIN d USING (doc_id) WHERE depth >= 0)
+SELECT doc_id, doc_id || '_' || substr(md5(start || ':' || chunk), 1, 12) AS chunk_id, start::INT AS char_start, (start + length(chunk))::INT AS char_end FROM k WHERE mode IN ('cut', 'rest') OR regexp_matches(chunk, '\\S')"""
+
+
+SQL["adaptive_chunks"] = chunks_sql(4096, 2048)

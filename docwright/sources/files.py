@@ -148,8 +148,8 @@ def documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
     return known.select("path", "content").mapInPandas(run, SCHEMA).withColumn("document_id", document_key(F.col("path")))
 
 
-def json_lines(spark: SparkSession, path: str, schema: str, broken: str | None = None) -> DataFrame:
-    """A JSONL log without blank lines. Broken lines are dropped; with a name in `broken` they stay, with their text in that column."""
+def json_lines(spark: SparkSession, path: str, schema: str, broken: str | None = "broken") -> DataFrame:
+    """A JSONL log without blank lines. Broken lines stay, with their text in the column `broken` names; with None they are dropped."""
     if broken is None:
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return spark.read.schema(f"{schema}, {broken} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)

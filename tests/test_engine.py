@@ -170,7 +170,7 @@ def test_generated_answers_and_jobs(spark):
 def test_more_sources(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"a": 1}\n\n{"a": broken\n')
     got = files.json_lines(spark, str(tmp_path / "l.json"), "a int", "bad").cache()
-    assert got.filter("a = 1").count() == 1 and got.filter("bad is not null").count() == 1 and files.json_lines(spark, str(tmp_path / "l.json"), "a int").filter("a is not null").count() == 1
+    assert got.filter("a = 1").count() == 1 and got.filter("bad is not null").count() == 1 and sum(r["broken"] is not None for r in files.json_lines(spark, str(tmp_path / "l.json"), "a int").collect()) == 1
     (tmp_path / "e.json").write_text(json.dumps([{"query_id": "q", "query": "x"}]))
     r = files.evaluation_set(spark, str(tmp_path / "e.json")).first()
     assert r["ground_truth_chunks"] == [] and r["should_refuse"] is False
@@ -233,3 +233,81 @@ def test_a_hundred_thousand_matches_in_a_text(spark):
     began = time.time()
     assert rows.selectExpr("size(s)", "s[99999].start").first() == (100_000, 299_997)
     assert time.time() - began < 20
+
+
+def test_chunks_are_a_plain_recursion():
+    from docwright.operators.chunking import SEPARATORS, cut_points
+
+    def plain(text, size, overlap, depth=0):
+        if depth > 3:
+            return [(i, text[i : i + size]) for i in range(0, len(text), size - overlap) if text[i : i + size].strip()]
+        if len(text) <= size:
+            return [(0, text)] if text else []
+        for sep in SEPARATORS:
+            at = text.rfind(sep, max(1, size - 200), size + 200)
+            if at >= 0:
+                cut = at + len(sep)
+                back = max(0, cut - overlap)
+                return [(0, text[:cut].rstrip())] + [(back + i, c) for i, c in plain(text[back:], size, overlap, depth + 1)]
+        out, i = [], 0
+        while i < len(text):
+            stop = min(i + size, len(text))
+            out += [(i, text[i:stop])] if text[i:stop].strip() else []
+            if stop == len(text):
+                break
+            i = max(i + 1, stop - overlap)
+        return out
+
+    r = random.Random(4)
+    texts = ["", "x" * 5000, " " * 3000] + ["".join(r.choice(["word ", "end. ", "\n", "\n\n", "x" * 300, " " * 250]) for _ in range(r.randint(1, 60))) for _ in range(200)]
+    for t in texts:
+        assert cut_points(t, 400, 150, 3) == plain(t, 400, 150)
+
+
+def test_new_names_as_a_sequential_loop(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(11)
+    names = sorted({"".join(r.choice("abc") for _ in range(r.randint(5, 9))) for _ in range(150)})
+    rows = [(t, n) for t in ("p", "q") for n in names if r.random() < 0.8]
+    known = [(1, "p", names[3]), (2, "p", names[50]), (5, "q", names[7])]
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want, made = {}, []
+    left = []
+    for t, n in sorted(set(rows)):
+        near = [(ratio(n, k), -i) for i, u, k in known if u == t and ratio(n, k) >= 0.85]
+        if near:
+            want[t, n] = (-max(near)[1], False)
+        else:
+            left.append((t, n))
+    for t, n in left:
+        near = [(ratio(n, k), -i) for i, u, k in made if u == t and ratio(n, k) >= 0.85]
+        if near:
+            want[t, n] = (-max(near)[1], False)
+        else:
+            made.append((6 + len(made), t, n))
+            want[t, n] = (made[-1][0], True)
+    e = spark.createDataFrame([(i, t, n, []) for i, t, n in known], "entity_id long, type string, name string, aliases array<string>")
+    got = {(x["type"], x["name"]): (x["entity_id"], x["created"]) for x in parties.linked_or_created(spark.createDataFrame(rows, "type string, name string"), e).collect()}
+    assert got == want and 20 < len(made) < len(left)
+
+
+def test_the_whole_retrieval(spark):
+    rows = [(1, 10, "Delivery was late", "2024-01-05"), (2, 10, "Delivery was early", "2023-01-05"), (3, 11, "Delivery of nothing", None), (4, 11, "The weather", "2024-02-01")]
+    chunks = spark.createDataFrame(rows, "id long, document_id long, text string, day string")
+    asked = spark.createDataFrame([(1, "shipment")], "query_id long, text string")
+    told = []
+
+    def embed(texts):
+        told.extend(texts)
+        return search.HashingEmbedder()(texts)
+
+    summaries = spark.createDataFrame([(1, 10, "overview", "document", "ten")], "summary_id long, document_id long, summary_type string, summary_level string, content string")
+    expand = lambda q: q.withColumn("text", F.concat("text", F.lit(" delivery")))
+    s = search.Settings(threshold=None, dates=(["day"], "2024-01-01", "2024-12-31"), query_prefix="find: ")
+    got = search.retrieve(chunks, asked, ["text"], s, expand=expand, grader=lambda q, t: ["nothing" not in x for x in t], summaries=summaries).collect()
+    assert {(r["id"], r["document_summary"]) for r in got if r["id"] != 4} == {(1, "ten")} and sorted(r["rank"] for r in got) == list(range(1, len(got) + 1))
+    plain = search.retrieve(chunks, asked, ["text"], search.Settings(threshold=None)).collect()
+    assert len(got) < len(plain) or {r["id"] for r in plain} != {r["id"] for r in got}
+    counts = search.stage_counts(found=spark.createDataFrame([(1, 2), (1, 3)], "query_id long, id long"), kept=spark.createDataFrame([(1, 2)], "query_id long, id long"))
+    assert sorted(map(tuple, counts.collect())) == [(1, "found", 2), (1, "kept", 1)]
