@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.llm.labelled import held_out, labelled_sample, logistic, sigmoid
-from docwright.session import own_name, table
+from docwright.session import own_name, shuffle_partitions, table
 
 LABELLED, ROUNDS = 4000, 2
 BUCKETS, NAMES, CELLS = 4096, 64, 8
@@ -68,7 +68,7 @@ def metadata(text: str, lang, source) -> np.ndarray:
 
 
 WIDTHS = (BUCKETS, COUNTS + 3 * NAMES)
-SUMS = "view int, cell int, label int, place int, total long"
+SUMS = "view int, cell int, label int, totals binary"
 
 
 def confident_sums(docs: DataFrame, fitted: list, learnt: set[int]) -> pd.DataFrame:
@@ -91,13 +91,24 @@ def confident_sums(docs: DataFrame, fitted: list, learnt: set[int]) -> pd.DataFr
                         row[:-1] += np.rint(x[v] * UNIT).astype(np.int64)
                         row[-1] += 1
         for v, s in enumerate(sums):
-            cell, label, place = np.nonzero(s)
-            at = np.where(place == WIDTHS[v], -1, place)
-            columns = [np.full(len(cell), v), cell, label, at]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(s[cell, label, place])], names=["view", "cell", "label", "place", "total"])
+            cell, label = np.nonzero(s[:, :, -1])
+            columns = [pa.array(c.astype(np.int32)) for c in (np.full(len(cell), v), cell, label)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s[c, y].tobytes() for c, y in zip(cell, label)], pa.binary())], names=["view", "cell", "label", "totals"])
 
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("totals").to_pylist())
+        return group.slice(0, 1).select(["view", "cell", "label"]).append_column("totals", pa.array([total.tobytes()], pa.binary()))
+
+    # A task's rows are packed sums, at most a row a view, cell and label; they are added by pieces first, so that no task reads a row of every other.
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(run, SUMS)
-    return rows.groupBy("view", "cell", "label", "place").agg(F.sum("total").alias("total")).toPandas()  # a row a cell, label and feature at most
+    pieces = rows.withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(shuffle_partitions(docs.sparkSession))))
+    some = pieces.groupBy("view", "cell", "label", "piece").applyInArrow(add, SUMS)
+    found = some.groupBy("view", "cell", "label").applyInArrow(add, SUMS).collect()  # a row a view, cell and label at most
+    out = []
+    for r in found:
+        total = np.frombuffer(bytes(r["totals"]), np.int64)
+        out += [(r["view"], r["cell"], r["label"], -1 if k == len(total) - 1 else k, total[k]) for k in np.flatnonzero(total).tolist()]
+    return pd.DataFrame(out, columns=["view", "cell", "label", "place", "total"])
 
 
 def prototypes(sums: pd.DataFrame, view: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
