@@ -1,4 +1,4 @@
-"""Stored tables and indexes: versions published at once, upserts, deletes, a term index, queues, flags and copies.
+"""Stored tables and indexes: versions published at once, upserts, deletes, queues, flags and copies.
 
 A stored table is a folder of versions with a pointer to the current one. A writer makes a new version and
 then moves the pointer, so readers never see half of it and a job that dies leaves the old one.
@@ -10,12 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from docwright.functions.text import terms
-from docwright.operators import retrieval
 from docwright.operators.tables import delete, update_fields, upsert
 
-BUCKETS = 64
-
 
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,8 +36,10 @@ def publish(df: DataFrame, folder: str, keep: int = 2, partition_by: tuple[str,
             fs.delete(_fs(spark, path)[1], True)
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/v-{_versions(spark, folder)[-1]}")
+def current(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+    """The current version; an empty table in partitions has no file that tells its schema."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{folder}/v-{_versions(spark, folder)[-1]}")
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
@@ -78,29 +76,6 @@ def delete_stored(spark: SparkSession, folder: str, gone: DataFrame, key: str) -
     return n
 
 
-def build_index(docs: DataFrame, id_col: str, text_cols: list[str], folder: str, buckets: int = BUCKETS) -> None:
-    """(Re)build the stored term index of the current rows: postings by bucket of the term, sorted by term, and the collection's size."""
-    rows = retrieval.postings(docs, id_col, *text_cols).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    publish(rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("term", "id"), f"{folder}/postings", partition_by=("bucket",))
-    sizes = docs.select(F.size(terms(F.concat_ws(" ", *text_cols))).alias("dl"))
-    publish(sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), F.lit(buckets).alias("buckets")), f"{folder}/size")
-
-
-def index_search(spark: SparkSession, folder: str, queries: DataFrame, top: int = 10) -> DataFrame:
-    """BM25 (query_id, id, score, rank) from the stored index: only the buckets of the queries' terms are read."""
-    size = current(spark, f"{folder}/size").first()
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = wanted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(size["buckets"])).cast("int"))
-    rows = current(spark, f"{folder}/postings").join(wanted.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    n, k1, b = size["n"], retrieval.K1, retrieval.B
-    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(size["avg_dl"] or 1.0)))
-    scored = rows.join(df, "term").select("id", "term", part.alias("part"))
-    found = scored.join(wanted.select("query_id", "term"), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return retrieval.ranked(found, top)
-
-
 def queued(existing: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
     """Updates with those of `new` as pending; a document's earlier pending update is replaced, an accepted one stays."""
     kept = existing.join(new.select(F.col(key).alias("_k")).distinct(), (F.col(key) == F.col("_k")) & (F.col("status") == "pending"), "left_anti")

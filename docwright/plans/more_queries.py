@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
-from docwright.operators import catalogs, citations as cites, evaluation, graph, neighbours, parties, positions, prompts, retrieval, search, segments, store, tables
+from docwright.operators import blocks, catalogs, citations as cites, evaluation, graph, neighbours, parties, positions, prompts, retrieval, search, segments, store, tables
 from docwright.plans.oracle import SQL as OTHERS, TERMS
 from docwright.plans.queries import _benchmark
 from docwright.session import shared_dir, table
@@ -309,8 +309,8 @@ def neighbours_recall(spark: SparkSession, d: str) -> DataFrame:
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 from a stored index, built and read back."""
     folder = _folder(spark, "index")
-    store.build_index(table(spark, d, "documents"), "doc_id", ["source", "text", "lang"], folder)
-    return store.index_search(spark, folder, _benchmark(spark, d)).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+    blocks.build(table(spark, d, "documents"), "doc_id", ["source", "text", "lang"], folder)
+    return blocks.search(spark, folder, _benchmark(spark, d)).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @_query("""WITH n AS (SELECT doc_id + 5 AS doc_id, 'xx' AS lang FROM documents WHERE doc_id % 10 = 0), u AS (SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL FROM n) SELECT * FROM u WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
