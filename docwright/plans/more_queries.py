@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
-from docwright.operators import blocks, catalogs, citations as cites, evaluation, graph, neighbours, parties, positions, prompts, retrieval, search, segments, store, tables
+from docwright.operators import blocks, catalogs, citations as cites, cooccurrence, evaluation, graph, neighbours, parties, positions, prompts, retrieval, search, segments, store, tables
 from docwright.plans.oracle import SQL as OTHERS, TERMS
 from docwright.plans.queries import _benchmark
 from docwright.session import shared_dir, table
@@ -305,6 +305,17 @@ def neighbours_recall(spark: SparkSession, d: str) -> DataFrame:
     return hits.agg(F.countDistinct("query_id").alias("n_queries"), (F.avg(F.coalesce("_hit", F.lit(0))) >= 0.9).alias("recalled"))
 
 
+@_query("""WITH m AS (SELECT DISTINCT l_orderkey AS c, l_suppkey AS e FROM lineitem WHERE l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL), n AS (SELECT e, count(*) AS n FROM m GROUP BY e),
+p AS (SELECT x.e AS a, y.e AS b, count(*) AS together FROM m x JOIN m y USING (c) WHERE x.e < y.e GROUP BY ALL),
+s AS (SELECT a, b, together, f.n AS a_chunks, g.n AS b_chunks, together / (f.n + g.n - together) AS j, (SELECT count(DISTINCT c) FROM m) AS t FROM p JOIN n f ON f.e = a JOIN n g ON g.e = b)
+SELECT a, b, together, a_chunks, b_chunks, round(j, 6) AS jaccard, round(CASE WHEN together = t THEN 1.0::DOUBLE ELSE ln(together * t / (a_chunks * b_chunks)) / ln(t / together) END, 6) AS npmi
+FROM s WHERE together >= 25 AND j >= 0.02""")
+def cooccurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers that deliver for the same orders."""
+    out = cooccurrence.cooccurring(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey", 25, 0.02)
+    return out.withColumns({"jaccard": F.round("jaccard", 6), "npmi": F.round("npmi", 6)})
+
+
 @_query(OTHERS["bm25_search"])
 def index_search(spark: SparkSession, d: str) -> DataFrame:
     """BM25 from a stored index, built and read back."""
