@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docwright.operators import catalogs, classifier, parties, prompts
+from docwright.operators import catalogs, classifier, made_graph, parties, prompts
+from docwright.plans.more_queries import _folder
 from docwright.plans.oracle import kinds_sql
 from docwright.session import table
 
@@ -148,3 +152,49 @@ def chunk_settings(spark: SparkSession, d: str) -> DataFrame:
     size, overlap = prompts.chunk_size(F.col("kind"))
     rows = table(spark, d, "documents").select("doc_id", "n_chars", kind.alias("kind")).withColumns({"size": size, "overlap": overlap})
     return rows.select("doc_id", "kind", "size", "overlap", catalogs.category(F.col("kind")).alias("category"), catalogs.in_graph(F.col("kind")).alias("in_graph"), F.ceil(F.col("n_chars") / (F.col("size") - F.col("overlap"))).alias("windows"))
+
+
+@_query(f"""WITH f AS (SELECT * FROM {_FIRMS} WHERE id % 3 <> 1), g AS (SELECT * FROM f WHERE id % 11 <> 0)
+SELECT 'extracted' AS what, count(*) AS n FROM g UNION ALL SELECT 'failed', count(*) FROM f WHERE id % 11 = 0 HAVING count(*) > 0 UNION ALL SELECT 'document', count(*) FROM g
+UNION ALL SELECT 'party', count(*) FROM {_NAMED} JOIN g USING (id) WHERE score >= 6 AND doc_kind <> 'email' HAVING count(*) > 0 UNION ALL SELECT 'event', count(*) FROM g WHERE days >= 3 AND kind <> 'email' HAVING count(*) > 0""")
+def graph_reextracted(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the records that are to be in it, extracted anew; some have no text."""
+    k = F.col("id")
+    records = _firms(spark, d).select(k.alias("document_id"), "name", "kind", F.when(k % 11 != 0, F.col("text")).alias("text"), (k % 3 != 1).alias("include_in_graph"))
+    return made_graph.reextract(spark, _folder(spark, "reextracted"), records)
+
+
+def _answers(asked: list[str]) -> list[str]:
+    """What a model would say to the prompts of `made_graphs`; to some nothing of use."""
+    said = []
+    for prompt in asked:
+        number, name, place, day = re.search(r"Summary:\n(\d+): (\S+) of (.*) met on (\S+)$", prompt).groups()
+        if int(number) % 7 == 0:
+            said.append("I can't tell.")
+        elif prompt.startswith("List the entities"):
+            said.append("```json\n" + json.dumps([{"type": "organization", "name": name, "aliases": [f"Firm {number}"], "confidence": 0.9}, {"type": "location", "name": place}, {"type": "ghost", "name": "x"}, {"type": "person"}]) + "\n```")
+        elif prompt.startswith("List the relations"):
+            said.append(json.dumps([{"source": f"firm {number}", "target": place.lower(), "type": "related_to"}, {"source": name, "target": "nobody", "type": "signed"}, {"source": name, "target": place, "type": "likes"}]))
+        else:
+            said.append(json.dumps([{"date": day, "description": "met", "event_type": "meeting", "entities": [name]}, {"date": "soon", "date_text": "soon"}, {"date": day, "event_type": "party"}]))
+    return said
+
+
+@_query("""WITH s AS (SELECT s_suppkey AS k, s_name AS name, n_name AS place, (DATE '2020-01-01' + (s_suppkey % 300)::INT)::VARCHAR AS day FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0)
+SELECT 'entity' AS part, name AS document, 'organization' AS a, name AS b, 0.9::DOUBLE AS confidence FROM s UNION ALL SELECT 'entity', name, 'location', place, 0.8 FROM s
+UNION ALL SELECT 'relation', name, name, place, 0.8 FROM s UNION ALL SELECT 'event', name, 'meeting', day, NULL FROM s UNION ALL SELECT 'event', name, 'other', NULL, NULL FROM s""")
+def made_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, relations with the entities that they resolve to, and events, from answers about each supplier."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int")).cast("string")
+    content = F.concat(F.col("s_suppkey").cast("string"), F.lit(": "), "s_name", F.lit(" of "), "n_name", F.lit(" met on "), day)
+    summaries = s.select(F.col("s_name").alias("name"), content.alias("content"))
+    found = made_graph.entities_of(summaries, _answers)
+    known = made_graph.numbered(found)
+    relations = made_graph.relations_of(summaries, known, _answers)
+    for end in ("source", "target"):
+        relations = relations.join(known.select(F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id")
+    out = found.select(F.lit("entity").alias("part"), "document", F.col("type").alias("a"), F.col("name").alias("b"), "confidence")
+    out = out.unionByName(relations.select(F.lit("relation").alias("part"), "document", F.col("source_name").alias("a"), F.col("target_name").alias("b"), "confidence"))
+    events = made_graph.events_of(summaries, _answers)
+    return out.unionByName(events.select(F.lit("event").alias("part"), "document", F.col("kind").alias("a"), F.col("day").cast("string").alias("b"), F.lit(None).cast("double").alias("confidence")))
