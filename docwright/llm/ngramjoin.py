@@ -37,8 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 from docwright.session import dropped, saved, shuffle_partitions, spread_join, table
 
 LAST_ID = 2**63 - 1
@@ -51,6 +55,8 @@ BROADCAST_ROWS = 250_000
 ROUNDS, CROSS_A_ROW = 2, 16
 #: So many keys are packed at once, and so many shingles give a bucket of keys.
 FLUSH_KEYS, BUCKET_WORDS, WORD_BYTES = 500_000, 8_000_000, 6
+#: So many texts of an Arrow batch are Python objects at a time.
+PIECE_ROWS = 256
 #: So many rows of a slice are compared to so many others in one group.
 BLOCK_ROWS = 1000
 U64 = np.uint64
@@ -175,6 +181,13 @@ def blobs(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "keys", "ids"])
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that not all texts of a batch and what is made of them are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 SCAN = "ord_id long, t1 long, t2 long, n long, hi long, lo long, parity array<long>, need array<long>, bucket long, keys binary, ids binary"
 
 
@@ -186,14 +199,19 @@ def scan(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     """
     t = percent / 100
     limits = limits_for(t)
-    names = [c.split()[0] for c in SCAN.split(", ")]
-    wide = lambda f: f.assign(**{c: pd.Series([None] * len(f), dtype=object) for c in names if c not in f})[names]
+    kept = to_arrow_schema(StructType.fromDDL(SCAN))
+    names = kept.names
+
+    def wide(rows: pd.DataFrame) -> pa.RecordBatch:
+        """The rows with all columns of SCAN; those that lack are null."""
+        filled = [pa.array(list(rows[f.name]), f.type) if f.name in rows else pa.nulls(len(rows), f.type) for f in kept]
+        return pa.RecordBatch.from_arrays(filled, schema=kept)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, ids, held = WordHashes(), [], [], 0
-        for frame in frames:
+        for part in pieces(batches):
             found = []
-            for id_, t1, t2, text in zip(frame["ord_id"], frame["t1"], frame["t2"], frame["_text"]):
+            for id_, t1, t2, text in zip(*(c.to_pylist() for c in part.columns)):
                 s = shingle_set(text, n, hashes)
                 need = [0, 0]
                 hi = _mix(s, 3).sum(dtype=U64)
@@ -211,7 +229,7 @@ def scan(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
         if held:
             yield wide(blobs(np.concatenate(keys), np.concatenate(ids), buckets))
 
-    return rows.mapInPandas(run, SCAN)
+    return rows.select("ord_id", "t1", "t2", "_text").mapInArrow(run, SCAN)
 
 
 def shared_keys(packed: DataFrame) -> DataFrame:
@@ -233,13 +251,14 @@ def shared_keys(packed: DataFrame) -> DataFrame:
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
     """(nid, shingles) of rows (nid, _text)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for frame in frames:
-            sets = [shingle_set(x, n, hashes).view(np.int64) for x in frame["_text"]]
-            yield pd.DataFrame({"nid": frame["nid"], "shingles": sets})
+        for part in pieces(batches):
+            sets = [shingle_set(x, n, hashes).view(np.int64) for x in part.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, np.concatenate(sets))], names=["nid", "shingles"])
 
-    return rows.select("nid", "_text").mapInPandas(run, "nid long, shingles array<long>")
+    return rows.select("nid", "_text").mapInArrow(run, "nid long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
