@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from docwright.session import dropped, saved, shuffle_partitions
+
 #: Words that make a context an event, and event kinds in the order they are tried.
 EVENT_WORDS = ("meeting", "met", "agreed", "signed", "sent", "received", "discussed", "called", "attended", "filed", "submitted", "hearing", "trial", "conference", "deadline", "due")
 EVENT_KINDS = (
@@ -131,32 +137,57 @@ def _letters(text: Column) -> Column:
 def resolved(mentions: DataFrame, entities: DataFrame, least: float = 0.85) -> DataFrame:
     """(type, name, entity_id, similarity): for each distinct mention the most similar entity of its type, the smallest id on a tie.
 
-    Similarity is the matching-blocks ratio. Equal names meet in a plain join. Names of lengths l and m that reach
-    the ratio have at least least * (l + m) / 2 letters in common, and so l * least / (2 - least) and as much of m: one of
-    these is among the rarest letters of both, as many as that leaves. The rest meet by type and such a letter,
-    once a pair, within a length that the ratio allows, so no pair that reaches the ratio is left out.
+    Similarity is the matching-blocks ratio. Equal names meet in a plain join. The rest are looked up at falling ratios: what is found at
+    one is final, since all names that reach it are, and only names without any go on to the next, where more spellings meet.
     """
     asked = mentions.select("type", F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
     known = entities.select("type", "entity_id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).select("type", "entity_id", F.lower("n").alias("other"))
-    equal = asked.join(known, (asked["type"] == known["type"]) & (asked["name"] == known["other"])).groupBy(asked["type"], "name").agg(F.min("entity_id").alias("entity_id")).withColumn("similarity", F.lit(1.0))
-    near = similar(asked.join(equal, ["type", "name"], "left_anti"), known, least)
-    best = near.groupBy("type", "name").agg(F.max(F.struct("similarity", (-F.col("entity_id")).alias("minus"))).alias("t"))
-    return equal.unionByName(best.select("type", "name", (-F.col("t.minus")).alias("entity_id"), F.col("t.similarity").alias("similarity")))
+    known = saved(known.filter("entity_id is not null").groupBy("type", "other").agg(F.min("entity_id").alias("entity_id")), "known-names")
+    out = asked.join(known, (asked["type"] == known["type"]) & (asked["name"] == known["other"])).select(asked["type"], "name", "entity_id", F.lit(1.0).alias("similarity"))
+    left = saved(asked.join(out, ["type", "name"], "left_anti"), "unresolved")
+    for part in TIERS:
+        if left.isEmpty():
+            break
+        near = similar(left, known, least + (1 - least) * part)
+        best = near.groupBy("type", "name").agg(F.max(F.struct("similarity", (-F.col("entity_id")).alias("minus"))).alias("t"))
+        best = saved(best.select("type", "name", (-F.col("t.minus")).alias("entity_id"), F.col("t.similarity").alias("similarity")), "resolved")
+        out, before = out.unionByName(best), left
+        left = saved(left.join(best, ["type", "name"], "left_anti"), "unresolved")
+        dropped(before)
+    return out
+
+
+#: Ratios tried by `resolved`, as parts of the way from the least one to 1.
+TIERS = (0.8, 0.55, 0.3, 0.0)
+#: Two names of so many subsequences or fewer, of the length that the ratio asks for, meet by these; longer ones by rare letters.
+SUBSEQUENCES = 6000
 
 
-def similar(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(type, name, entity_id, other, similarity): every pair of asked (type, name) and known (type, entity_id, other) that reaches the ratio; see resolved."""
+def similar(asked: DataFrame, known: DataFrame, least: float, earlier: bool = False) -> DataFrame:
+    """(type, name, entity_id, other, similarity): every pair of asked (type, name) and known (type, entity_id, other) that reaches the ratio; with `earlier`
+    only those whose other spelling sorts before the name.
+
+    Matching blocks are a common subsequence, so names of lengths l and m that reach the ratio share one of just least * (l + m) / 2
+    letters: they meet by type and a subsequence of that length, of which a name has few as long as the ratio lets few letters go. Where
+    it has too many they meet by letters: l * least / (2 - least) letters are common and as much of m, so one of these is
+    among the rarest letters of both, as many as that leaves. Either way no pair that reaches the ratio is left out.
+    """
+    names = saved(asked.select("type", "name").distinct(), "names")
+    spelled = saved(known.select("type", "other").filter("other <> ''").distinct(), "spellings")
     ratio = (2 - least) / least
-    keep = lambda c: (F.length(c) - F.ceil(F.length(c) / ratio - 1e-9) + 1).cast("int")
-    known = known.filter("other <> ''").distinct()
-    freq = known.select(F.explode(_letters(F.col("other"))).alias("letter")).union(asked.select(F.explode(_letters(F.col("name"))))).groupBy("letter").agg(F.count("*").alias("many"))
-    left = _rarest(asked.select("type", "name"), "name", freq, keep("name"))
-    left = left.select("type", "name", "rare", F.explode("rare").alias("b"), F.length("name").alias("l"))
-    right = _rarest(known, "other", freq, keep("other"))
-    right = right.select(F.col("type").alias("_t"), "entity_id", "other", F.col("rare").alias("_rare"), F.explode("rare").alias("_b"), F.length("other").alias("_l"))
-    first = F.get(F.array_intersect("rare", "_rare"), F.lit(0))
-    near_lengths = (F.col("_l") <= F.col("l") * ratio + 1e-9) & (F.col("l") <= F.col("_l") * ratio + 1e-9)
-    pairs = left.join(right, (F.col("type") == F.col("_t")) & (F.col("b") == F.col("_b")) & near_lengths & (first == F.col("b")))
+    lengths = names.select("type", F.length("name").alias("l")).distinct().join(spelled.select("type", F.length("other").alias("m")).distinct(), "type")
+    shapes = saved(_ways(lengths.filter((F.col("m") <= F.col("l") * ratio + 1e-9) & (F.col("l") <= F.col("m") * ratio + 1e-9)), least), "lengths")
+    parts = shuffle_partitions(names.sparkSession)
+    short, long_ = shapes.filter("few"), shapes.filter("not few")
+    left = _subsequences(names, "name", short.select("type", F.col("l").alias("n"), "common"), parts)
+    right = _subsequences(spelled, "other", short.select("type", F.col("m").alias("n"), "common"), parts)
+    before = [F.col("other") < F.col("name")] if earlier else []
+    pairs = left.join(right, ["type", "key"])
+    pairs = (pairs.filter(before[0]) if before else pairs).select("type", "name", "other")
+    if not long_.isEmpty():
+        far = _by_letters(names.join(long_.select("type", F.col("l").alias("_n")).distinct(), (names["type"] == long_["type"]) & (F.length("name") == F.col("_n")), "left_semi"),
+                          spelled.join(long_.select("type", F.col("m").alias("_n")).distinct(), (spelled["type"] == long_["type"]) & (F.length("other") == F.col("_n")), "left_semi"), ratio)
+        pairs = pairs.unionByName(far.filter(before[0]) if before else far)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from difflib import SequenceMatcher
@@ -169,4 +200,46 @@ def similar(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
             out = f.assign(similarity=scores)
             yield out[out["similarity"] >= least]
 
-    return pairs.select("type", "name", "entity_id", "other").filter("entity_id is not null").mapInPandas(run, "type string, name string, entity_id long, other string, similarity double")
+    # Pairs are small and their comparison is slow: a fixed number of tasks, not as many as their bytes need.
+    found = pairs.distinct().repartition(parts).mapInPandas(run, "type string, name string, other string, similarity double")
+    return found.join(known.filter("entity_id is not null").distinct(), ["type", "other"]).select("type", "name", "entity_id", "other", "similarity")
+
+
+def _ways(lengths: DataFrame, least: float) -> DataFrame:
+    """lengths (type, l, m) with the least common letters, and whether names of both lengths have few subsequences of so many; a row a type and two lengths."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            common = [max(0, math.ceil(least * (l + m) / 2 - 1e-9)) for l, m in zip(f["l"], f["m"])]
+            yield f.assign(common=common, few=[math.comb(l, c) + math.comb(m, c) <= SUBSEQUENCES for l, m, c in zip(f["l"].tolist(), f["m"].tolist(), common)])
+
+    return lengths.mapInPandas(run, "type string, l int, m int, common int, few boolean")
+
+
+def _subsequences(names: DataFrame, text: str, wanted: DataFrame, parts: int) -> DataFrame:
+    """(type, key, name): a hash of each subsequence of the wanted (type, n, common) lengths of a name of n letters."""
+    wanted = wanted.groupBy("type", "n").agg(F.collect_set("common").alias("_common"))  # no more than lengths of names
+    rows = names.withColumn("n", F.length(text)).join(wanted, ["type", "n"]).select("type", text, "_common").repartition(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):  # so many names' subsequences at once
+                some = batch.slice(k, 64)
+                made = [{"".join(x) for c in common for x in combinations(t, c)} for t, common in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
+                at = pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made]))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array([y for x in made for y in x], pa.string())], names=["type", text, "_sub"])
+
+    return rows.mapInArrow(run, f"type string, {text} string, _sub string").select("type", F.xxhash64("_sub").alias("key"), text)
+
+
+def _by_letters(names: DataFrame, spelled: DataFrame, ratio: float) -> DataFrame:
+    """(type, name, other) of names that share one of their rarest letters, within a length that the ratio allows; once a pair."""
+    keep = lambda c: (F.length(c) - F.ceil(F.length(c) / ratio - 1e-9) + 1).cast("int")
+    freq = spelled.select(F.explode(_letters(F.col("other"))).alias("letter")).union(names.select(F.explode(_letters(F.col("name"))))).groupBy("letter").agg(F.count("*").alias("many"))
+    left = _rarest(names, "name", freq, keep("name"))
+    left = left.select("type", "name", "rare", F.explode("rare").alias("b"), F.length("name").alias("l"))
+    right = _rarest(spelled, "other", freq, keep("other"))
+    right = right.select(F.col("type").alias("_t"), "other", F.col("rare").alias("_rare"), F.explode("rare").alias("_b"), F.length("other").alias("_l"))
+    first = F.get(F.array_intersect("rare", "_rare"), F.lit(0))
+    near_lengths = (F.col("_l") <= F.col("l") * ratio + 1e-9) & (F.col("l") <= F.col("_l") * ratio + 1e-9)
+    return left.join(right, (F.col("type") == F.col("_t")) & (F.col("b") == F.col("_b")) & near_lengths & (first == F.col("b"))).select("type", "name", "other")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.matches import spans
@@ -187,26 +189,27 @@ def linked_or_created(mentions: DataFrame, entities: DataFrame, least: float = 0
 
     New spellings are taken in the order of type and name, as a sequential loop would: one that resembles a spelling that made an
     entity before it joins the most similar of these (of equals the earlier), else it makes one. Rounds over the pairs of similar spellings decide: a
-    spelling without an undecided or making one before it makes an entity, one with a making one before it and no undecided one joins; a
+    spelling without an undecided or making one before it makes an entity, one with a making one before it joins; a
     round decides at least the first of every group. New ids follow the greatest known one in the same order.
     """
-    spark = mentions.sparkSession
-    known = resolved(mentions, entities, least).withColumn("created", F.lit(False))
+    known = saved(resolved(mentions, entities, least).withColumn("created", F.lit(False)), "linked")
     asked = mentions.select("type", F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
     new = saved(asked.join(known.select("type", "name"), ["type", "name"], "left_anti"), "new-names")
-    pairs = similar(new, new.select("type", F.lit(0).cast("long").alias("entity_id"), F.col("name").alias("other")), least)
-    pairs = saved(pairs.filter("other < name").select("type", "name", "other", "similarity"), "new-pairs")
-    state = new.join(pairs.select("type", "name").distinct(), ["type", "name"], "left_anti").withColumn("makes", F.lit(True))
-    open_ = saved(new.join(state.select("type", "name"), ["type", "name"], "left_anti"), "new-open")
-    state = saved(state, "new-state")
+    pairs = similar(new, new.select("type", F.lit(0).cast("long").alias("entity_id"), F.col("name").alias("other")), least, earlier=True)
+    pairs = saved(pairs.select("type", "name", "other", "similarity"), "new-pairs")
+    open_, edges, turns = new, pairs.select("type", "name", "other"), []
     while not open_.isEmpty():
-        seen = pairs.join(open_, ["type", "name"], "left_semi").join(state.withColumnRenamed("name", "other"), ["type", "other"], "left")
-        turn = seen.groupBy("type", "name").agg(F.bool_or(F.col("makes").isNull()).alias("waits"), F.bool_or(F.coalesce("makes", F.lit(False))).alias("joins"))
-        decided = turn.filter("not waits").select("type", "name", (~F.col("joins")).alias("makes"))
-        before, before_open = state, open_
-        state = saved(state.unionByName(decided), "new-state")
-        open_ = saved(open_.join(state.select("type", "name"), ["type", "name"], "left_anti"), "new-open")
-        dropped(before, before_open)
+        makers = open_.join(edges, ["type", "name"], "left_anti")
+        joins = edges.join(makers.withColumnRenamed("name", "other"), ["type", "other"], "left_semi").select("type", "name").distinct()
+        decided = saved(makers.withColumn("makes", F.lit(True)).unionByName(joins.withColumn("makes", F.lit(False))), "new-state")
+        before, before_edges = open_, edges
+        open_ = saved(open_.join(decided, ["type", "name"], "left_anti"), "new-open")
+        edges = saved(edges.join(decided, ["type", "name"], "left_anti").join(decided.withColumnRenamed("name", "other"), ["type", "other"], "left_anti").select("type", "name", "other"), "new-edges")
+        dropped(*(x for x in (before, before_edges) if x is not new))
+        turns.append(decided)
+        if len(turns) == 16:
+            turns = [saved(reduce(DataFrame.unionByName, turns), "new-state")]
+    state = reduce(DataFrame.unionByName, turns, new.limit(0).withColumn("makes", F.lit(True)))
     top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0))).first()[0]
     makers = state.filter("makes").select("type", "name")
     by_type = makers.groupBy("type").agg(F.count("*").alias("_n"))
