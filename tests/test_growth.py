@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docwright.operators import graph, parties
+from docwright.operators import cooccurrence, graph, parties
 
 
 def shuffled(spark, act) -> tuple[int, int]:
@@ -45,3 +45,15 @@ def test_new_names_join_without_waiting(spark):
     finally:
         parties.saved = saved
     assert {r["entity_id"] for r in got} == {1} and turns.count("new-open") == 1
+
+
+def test_pairs_that_hardly_meet_cost_no_look_into_all_chunks(spark):
+    rows = spark.range(4000).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("c", (F.xxhash64("c", "k") % 60).alias("e")).localCheckpoint()
+    n, _ = shuffled(spark, lambda: cooccurrence.cooccurring(rows, "c", "e", 100, 0.5).collect())
+    assert n < 12 * rows.count()
+
+
+def test_heavy_and_light_chunks_count_together(spark):
+    made = [(c, e) for c in range(30) for e in (1, 2)] + [(100 + c, e) for c in range(5) for e in range(50)]
+    got = {(r["a"], r["b"]): r["together"] for r in cooccurrence.cooccurring(spark.createDataFrame(made, "c long, e long"), "c", "e", 5).collect()}
+    assert got[1, 2] == 35 and got[1, 3] == got[40, 49] == 5 and len(got) == 50 * 49 // 2
