@@ -73,16 +73,22 @@ def context(mentions: DataFrame, events: DataFrame, most_entities: int = 10, mos
     """(text_id, entities, events): names of a text's entities, by name, and the labels of their first events by day.
 
     mentions (text_id, entity_id, name); events (event_id, entity_id, day, label). An event that several
-    entities share counts once.
+    entities share counts once, by its first known day. An event among a text's first is among the first of the entity that gives it
+    that day, so an entity's first `most_events` are all that its texts need.
     """
     named = mentions.select("text_id", "entity_id", "name").distinct()
     nth = F.row_number().over(W.partitionBy("text_id").orderBy("name", "entity_id"))
     some = named.withColumn("nth", nth).filter(F.col("nth") <= most_entities)
-    once = some.join(events, "entity_id").groupBy("text_id", "event_id").agg(F.min(F.struct("day", "label")).alias("e"))
-    first = F.row_number().over(W.partitionBy("text_id").orderBy(F.asc_nulls_last("e.day"), "event_id"))
-    told = once.withColumn("nth", first).filter(F.col("nth") <= most_events)
-    texts = lambda rows, col, name: rows.groupBy("text_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", F.col(col).alias("x")))), lambda s: s["x"]).alias(name))
-    return texts(some, "name", "entities").join(texts(told, "e.label", "events"), "text_id", "left")
+    when = F.struct(F.col("day").isNull().alias("undated"), "day", "event_id", "label")
+    own = events.groupBy("entity_id", "event_id").agg(F.min(when).alias("e"))
+    by_entity = W.partitionBy("entity_id").orderBy("e.undated", "e.day", "event_id")
+    own = own.withColumn("_n", F.row_number().over(by_entity)).filter(F.col("_n") <= most_events)
+    own = own.groupBy("entity_id").agg(F.sort_array(F.collect_list("e")).alias("first"))  # most_events of an entity
+    got = some.join(own, "entity_id", "left").groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("nth", "name", "first"))).alias("m"))  # most_entities of a text
+    got = got.withColumn("every", F.sort_array(F.flatten(F.filter(F.transform("m", lambda x: x["first"]), lambda x: x.isNotNull()))))
+    told = F.filter("every", lambda e, i: ~F.exists(F.slice("every", F.lit(1), i), lambda x: x["event_id"].eqNullSafe(e["event_id"])))
+    labels = F.transform(F.slice(told, 1, most_events), lambda e: e["label"])
+    return got.select("text_id", F.transform("m", lambda x: x["name"]).alias("entities"), F.when(F.size(labels) > 0, labels).alias("events"))
 
 
 def expanded(terms: DataFrame, id_col: str = "query_id") -> DataFrame:

@@ -57,3 +57,19 @@ def test_heavy_and_light_chunks_count_together(spark):
     made = [(c, e) for c in range(30) for e in (1, 2)] + [(100 + c, e) for c in range(5) for e in range(50)]
     got = {(r["a"], r["b"]): r["together"] for r in cooccurrence.cooccurring(spark.createDataFrame(made, "c long, e long"), "c", "e", 5).collect()}
     assert got[1, 2] == 35 and got[1, 3] == got[40, 49] == 5 and len(got) == 50 * 49 // 2
+
+
+def test_a_texts_events_come_from_the_first_of_each_entity(spark):
+    events = spark.range(20000).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("entity_id"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7919 % 20000).cast("int")).alias("day"), F.col("id").cast("string").alias("label"))
+    mentions = spark.range(400).select(F.col("id").alias("text_id"), (F.col("id") % 4).alias("entity_id"), F.lit("n").alias("name"))
+    got = []
+    n, _ = shuffled(spark, lambda: got.extend(graph.context(mentions, events).collect()))
+    first = sorted((k for k in range(20000) if k % 4 == 1), key=lambda k: k * 7919 % 20000)[:5]
+    assert n < 50000 and {tuple(r["events"]) for r in got if r["text_id"] % 4 == 1} == {tuple(map(str, first))}
+
+
+def test_an_event_of_two_entities_counts_once_by_its_first_day(spark):
+    events = spark.sql("SELECT * FROM VALUES (1L, 1L, DATE'2020-02-02', 'late'), (1L, 2L, DATE'2020-01-01', 'early'), (2L, 1L, DATE'2020-01-15', 'b'), (3L, 2L, NULL, 'c') AS t(event_id, entity_id, day, label)")
+    mentions = spark.createDataFrame([(7, 1, "x"), (7, 2, "y"), (8, 9, "z")], "text_id long, entity_id long, name string")
+    got = {r["text_id"]: (r["entities"], r["events"]) for r in graph.context(mentions, events).collect()}
+    assert got == {7: (["x", "y"], ["early", "b", "c"]), 8: (["z"], None)}
