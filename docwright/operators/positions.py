@@ -13,8 +13,11 @@ the expression's phrases.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docwright.functions.text import terms
@@ -31,9 +34,31 @@ def write(spark: SparkSession, folder: str, docs: DataFrame, id_col: str, text_c
     words = docs.select(F.col(id_col).cast("long").alias("id"), terms(F.concat_ws(" ", *text_cols)).alias("words"), *([F.col(order).alias("at")] if order else []))
     known = words.withColumn("dl", F.size("words").cast("long")).withColumn("mark", F.xxhash64("words"))
     batch = segments.write(spark, f"{folder}/docs", known.drop("words"), "id", "at" if order else None)
-    rows = known.select("id", "mark", F.posexplode("words").alias("position", "term"))
-    rows = rows.groupBy("term", "id", "mark").agg(F.sort_array(F.collect_list("position")).alias("positions")).withColumn("segment", F.lit(batch).cast("long"))
-    rows.repartitionByRange(shuffle_partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/postings/batch={batch}-{uuid.uuid4().hex}")
+    rows = known.select("id", "words").mapInArrow(_in_place, "term string, id long, positions array<int>")
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "term", "id").sortWithinPartitions("term", "id")
+    rows.withColumn("segment", F.lit(batch).cast("long")).write.parquet(f"{folder}/postings/batch={batch}-{uuid.uuid4().hex}")
+
+
+def _in_place(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The postings of each document where it stands, about `most` words at a time, so that no word is shuffled by itself."""
+    for batch in batches:
+        lengths = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
+        group = (np.cumsum(lengths) - lengths) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            n = lengths[start:stop].astype(np.int64)
+            coded = batch.column("words").slice(start, stop - start).flatten().dictionary_encode()
+            row = np.repeat(np.arange(stop - start), n)
+            key = coded.indices.to_numpy().astype(np.int64) << 32 | row
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order]))
+            ids = batch.column("id").slice(start, stop - start).take(pa.array(key[first] & 0xFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key[first] >> 32)), ids, positions], names=["term", "id", "positions"])
 
 
 def erase(spark: SparkSession, folder: str, gone: DataFrame, id_col: str) -> None:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docwright.operators import blocks, cooccurrence, graph, parties
+from docwright.operators import blocks, cooccurrence, graph, parties, positions
 
 
 def shuffled(spark, act) -> tuple[int, int]:
@@ -75,6 +75,12 @@ def test_an_event_of_two_entities_counts_once_by_its_first_day(spark):
     assert got == {7: (["x", "y"], ["early", "b", "c"]), 8: (["z"], None)}
 
 
+def test_postings_are_shuffled_and_not_words(spark, tmp_path):
+    docs = spark.range(50).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: F.concat(F.lit("w"), (x % 20).cast("string"))), " ").alias("t"))
+    n, _ = shuffled(spark, lambda: positions.write(spark, str(tmp_path), docs, "id", ["t"]))
+    assert n < 50 * 20 * 3 and positions.match(spark, str(tmp_path), '"w1 w2"').first()["hits"] == [100]
+
+
 def test_heads_are_grouped_once_for_all_queries(spark, tmp_path):
     docs = spark.range(400).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), (F.col("id") * (k + 3) % 5).cast("string")) for k in range(8)]).alias("t"))
     blocks.build(docs, "id", ["t"], str(tmp_path))
