@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from docwright.batches import computed
 from docwright.functions.text import preview, trimmed
 from docwright.operators.citations import CITED, SENTENCE
 
+#: The patterns of citations and sentences as the built-in functions read them: classes are ASCII's, and the end may be before a last line break.
+_PLACES = re.compile(CITED, re.ASCII)
+_PIECES = re.compile(SENTENCE.replace("$", "(?=[\x85\u2028\u2029]?\\Z)"), re.ASCII)
+
 #: Phrases of refusals, and of attempts to steer the model.
 REFUSALS = ("not found in provided documents", "cannot answer", "sufficient relevant information")
 STEERING = ("ignore previous instructions", "act as a", "you are now")
@@ -63,27 +75,42 @@ def source_map(chunks: DataFrame, group: str, order: list, text: str) -> DataFra
     return chunks.withColumn("source_id", nth).withColumn("preview", preview(F.col(text), 200))
 
 
+def _bare(text: str, slack: int) -> list[tuple[int, str]]:
+    """(number, sentence) of the sentences of a text that need a citation and have none; see uncited_sentences."""
+    cites = [m.span() for m in _PLACES.finditer(text)]
+    starts, out = [first for first, _ in cites], []
+    for n, m in enumerate(_PIECES.finditer(text)):
+        sentence = m[0].rstrip(" \t\n\x0b\f\r")
+        if len(sentence) <= 3 or any(r in sentence.lower() for r in REFUSALS):
+            continue
+        at = bisect_left(starts, m.start() - slack)  # of those that begin late enough the first ends first
+        if at == len(cites) or cites[at][1] > m.start() + len(sentence) + slack:
+            out.append((n, sentence))
+    return out
+
+
 def uncited_sentences(responses: DataFrame, id_col: str, text_col: str, slack: int = 10) -> DataFrame:
     """(id, number, sentence) of over three characters without a citation inside, or within `slack` of, its bounds.
 
-    Offsets are running lengths; refusal phrases need no citation.
+    A response is read where it stands; refusal phrases need no citation.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-
-    def spans(pattern: str, name: str) -> DataFrame:
-        """(id, number, name, first, last) of consecutive matches, offsets from the lengths of what lies between."""
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gaps = F.split(text, pattern, -1) if name == "cited" else F.transform(found, lambda _: F.lit(""))
-        rows = responses.select(F.col(id_col).alias("id"), found.alias("m"), gaps.alias("g"))
-        rows = rows.select("id", F.posexplode(F.arrays_zip("g", "m")).alias("number", "z")).select("id", "number", F.coalesce(F.length("z.g"), F.lit(0)).alias("gap"), F.col("z.m").alias(name)).filter(F.col(name).isNotNull())
-        upto = F.sum(F.col("gap") + F.length(name)).over(W.partitionBy("id").orderBy("number"))
-        return rows.withColumn("last", upto).withColumn("first", F.col("last") - F.length(name)).drop("gap")
-
-    sents = spans(SENTENCE, "sentence").withColumn("sentence", F.regexp_replace("sentence", r"\s+$", "")).withColumn("last", F.col("first") + F.length("sentence"))
-    sents = sents.filter((F.length("sentence") > 3) & ~F.lower("sentence").rlike("|".join(REFUSALS)))
-    cited = spans(CITED, "cited").select(F.col("id").alias("_id"), F.col("first").alias("_first"), F.col("last").alias("_last"))
-    inside = (F.col("id") == F.col("_id")) & (F.col("_first") >= F.col("first") - slack) & (F.col("_last") <= F.col("last") + slack)
-    return sents.join(cited, inside, "left_anti").select("id", "number", "sentence")
+    rows = responses.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                some = batch.slice(k, 1000)
+                found = [_bare(t, slack) for t in some.column(1).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                columns = [pa.array([x[c] for f in found for x in f], kind) for c, kind in ((0, pa.int32()), (1, pa.string()))]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), *columns], names=["id", "number", "sentence"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("number", IntegerType()), StructField("sentence", StringType())]))
+
+
+def with_uncited(responses: DataFrame, text_col: str, name: str, slack: int = 10) -> DataFrame:
+    """responses with the number of their uncited sentences."""
+    return computed(responses, [F.coalesce(F.col(text_col), F.lit(""))], lambda texts: ([len(_bare(t, slack)) for t in texts],), [StructField(name, LongType())])
 
 
 def log_errors(lines: DataFrame, file: str, number: str, text: str, after: int = 3, most: int = 10) -> DataFrame:

@@ -14,11 +14,18 @@ SENTENCE = r"(?s).+?[.!?](?:\s+|$)"
 
 def citations(responses: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, position, file_name, page_number, paragraph_number, section_title) of every verbose citation; page, paragraph and section may lack."""
-    part = lambda n: F.regexp_extract_all(F.col(text_col), F.lit(CITED), F.lit(n))
-    zipped = F.arrays_zip(part(1).alias("f"), part(2).alias("p"), part(3).alias("q"), part(4).alias("s"))
-    rows = responses.select(F.col(id_col).alias("id"), F.posexplode(zipped).alias("position", "c"))
+    return _read(responses.select(F.col(id_col).alias("id"), F.posexplode(_cited(F.col(text_col))).alias("position", "c")), "id")
+
+
+def _cited(text: Column) -> Column:
+    """The parts of each verbose citation of a text."""
+    part = lambda n: F.regexp_extract_all(text, F.lit(CITED), F.lit(n))
+    return F.arrays_zip(part(1).alias("f"), part(2).alias("p"), part(3).alias("q"), part(4).alias("s"))
+
+
+def _read(rows: DataFrame, *kept: str) -> DataFrame:
     number = lambda c: F.expr(f"try_cast(nullif({c}, '') as int)")
-    return rows.select("id", "position", trimmed(F.col("c.f")).alias("file_name"), number("c.p").alias("page_number"), number("c.q").alias("paragraph_number"), F.nullif("c.s", F.lit("")).alias("section_title"))
+    return rows.select(*kept, "position", trimmed(F.col("c.f")).alias("file_name"), number("c.p").alias("page_number"), number("c.q").alias("paragraph_number"), F.nullif("c.s", F.lit("")).alias("section_title"))
 
 
 def inline_sources(text: Column) -> Column:
@@ -64,16 +71,17 @@ def verify(responses: DataFrame, id_col: str, text_col: str, chunks: DataFrame,
     Missing are citations that no chunk at or over the threshold bears out, and with `sources` also inline markers that
     number none; uncited are sentences without a citation. A response without either is verified.
     """
-    from docwright.operators.answers import uncited_sentences
-
-    found = placed(citations(responses, id_col, text_col), citable(chunks, threshold, order))
-    each = found.select("id", F.lit(1).alias("n"), F.col("chunk_id").isNull().cast("int").alias("missing"), F.lit(0).alias("uncited"))
+    from docwright.operators.answers import with_uncited
+
+    # A response is read once: its sentences are counted where it stands, and only its citations meet the chunks.
+    rows = responses.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = with_uncited(rows, "text", "uncited") if check_sentences else rows.withColumn("uncited", F.lit(0))
+    rows = rows.select("id", "uncited", F.posexplode_outer(_cited(F.col("text"))).alias("position", "c"))
+    found = placed(_read(rows, "id", "uncited"), citable(chunks, threshold, order))
+    cited, once = F.col("position").isNotNull(), F.coalesce(F.col("position") == 0, F.lit(True))
+    each = found.select("id", cited.cast("int").alias("n"), (cited & F.col("chunk_id").isNull()).cast("int").alias("missing"), F.when(once, F.col("uncited")).otherwise(0).alias("uncited"))
     if sources is not None:
         marks = inline_citations(responses, id_col, text_col, sources)
         each = each.unionByName(marks.select("id", F.lit(0).alias("n"), F.col("chunk_id").isNull().cast("int").alias("missing"), F.lit(0).alias("uncited")))
-    if check_sentences:
-        bare = uncited_sentences(responses, id_col, text_col)
-        each = each.unionByName(bare.select("id", F.lit(0).alias("n"), F.lit(0).alias("missing"), F.lit(1).alias("uncited")))
-    each = each.unionByName(responses.select(F.col(id_col).alias("id"), F.lit(0).alias("n"), F.lit(0).alias("missing"), F.lit(0).alias("uncited")))
     out = each.groupBy("id").agg(F.sum("n").alias("n_citations"), F.sum("missing").alias("n_missing"), F.sum("uncited").alias("n_uncited"))
     return out.withColumn("verified", (F.col("n_missing") == 0) & (F.col("n_uncited") == 0))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docwright.operators import blocks, cooccurrence, graph, parties, positions
+from docwright.operators import answers, blocks, citations, cooccurrence, graph, parties, positions
 
 
 def shuffled(spark, act) -> tuple[int, int]:
@@ -89,3 +89,18 @@ def test_heads_are_grouped_once_for_all_queries(spark, tmp_path):
     n, _ = shuffled(spark, lambda: got.extend(blocks.search(spark, str(tmp_path), asked, 5).collect()))
     held = blocks.pruned(spark, str(tmp_path), asked, 5)[0].count()
     assert len(got) == 300 and n < held / 2
+
+
+def test_a_response_is_verified_without_a_row_a_sentence(spark):
+    rows = spark.range(20).select("id", F.repeat(F.lit("This is bare. Here [Source: a | Page 1]. "), 200).alias("t"))
+    chunks = spark.createDataFrame([("a", 1, None, "c", 0.9, 1)], "file_name string, page_number int, paragraph_number int, chunk_id string, score double, position int")
+    got = []
+    n, _ = shuffled(spark, lambda: got.extend(citations.verify(rows, "id", "t", chunks).collect()))
+    assert {(r["n_citations"], r["n_missing"]) for r in got} == {(200, 0)}
+    assert n < 2 * 20 * 200 + 200
+
+
+def test_sentences_end_where_the_built_in_functions_end_them(spark):
+    for text, want in (("One two. ", ["One two."]), ("One two. \n", ["One two."]), ("One two.\u0085x", []), ("Wait! No?\r\n", ["Wait!"])):
+        got = [r["sentence"] for r in answers.uncited_sentences(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()]
+        assert got == want
