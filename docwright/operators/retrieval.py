@@ -9,6 +9,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.text import terms
@@ -78,15 +79,16 @@ def _scored(rows: DataFrame, told, top: int, schema: str, step: int = 256) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, at, idf, needs, avg = told.value
         query_ids = pa.array(query_ids, pa.int64())
+        asked = pa.array(list(at))
         for batch in batches:
             ids, known = _numbers(batch.column("id"))
-            dl, words = _numbers(batch.column("dl"))[0], batch.column("words").to_pylist()
+            dl, words = _numbers(batch.column("dl"))[0], batch.column("words")
             scores = np.zeros((len(ids), needs.shape[1]))
             for k in range(0, len(ids), step):
-                part = words[k : k + step]
+                part = words.slice(k, step)  # words become numbers without being Python's strings
                 tf = np.zeros((len(part), len(idf)))
-                row = np.repeat(np.arange(len(part)), [len(ws) for ws in part])
-                np.add.at(tf, (row, np.array([at[w] for ws in part for w in ws], np.int64)), 1)
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+                np.add.at(tf, (row, pc.index_in(part.flatten(), value_set=asked).to_numpy(zero_copy_only=False)), 1)
                 weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[k : k + step, None] / avg)) * idf
                 scores[k : k + step] = weight @ needs
             places, rows_, values = [], [], []
