@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
-from docwright.operators.retrieval import _blocks, _first, _found, _numbers
+from docwright.operators.retrieval import _blocks, _first, _found, _numbers, nearest
 from docwright.operators.store import current, publish
 from docwright.session import saved, shuffle_partitions
 
 SAMPLE, PARTS, CODES, TURNS = 20_000, 16, 256, 8
 SPREAD = 1 << 30
+#: Recall of the built index on so many of its rows, of their first ten neighbours: below it cells and rows are added.
+RECALL, TRIES, NEIGHBOURS = 0.96, 100, 10
 
 
 @dataclass
@@ -30,6 +32,7 @@ class Quantiser:
     centres: np.ndarray  # (cells, size)
     books: np.ndarray  # (parts, codes, size / parts)
     probes: int = 16  # cells a query reads unless told otherwise
+    rerank: int = 100  # rows by code whose exact distances it takes
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """(rows, parts, size / parts), padded with zeros."""
@@ -115,14 +118,35 @@ def build(vectors: DataFrame, folder: str, quantiser: Quantiser | None = None, *
     radius = np.zeros(len(q.centres))
     for r in current(spark, f"{folder}/rows").groupBy("cell").agg(F.max("off").alias("off")).collect():  # a row a cell
         radius[r["cell"]] = r["off"]
+    _publish(spark, folder, q, radius)
+    _widened(spark, folder, q, radius)
+
+
+def _publish(spark: SparkSession, folder: str, q: Quantiser, radius: np.ndarray) -> None:
     cell = lambda a: (a.astype(np.float64).tobytes(), list(a.shape))
-    publish(spark.createDataFrame([(*cell(q.centres), *cell(q.books), radius.tobytes(), q.probes)], "centres binary, centres_shape array<int>, books binary, books_shape array<int>, radius binary, probes int"), f"{folder}/cells")
+    publish(spark.createDataFrame([(*cell(q.centres), *cell(q.books), radius.tobytes(), q.probes, q.rerank)], "centres binary, centres_shape array<int>, books binary, books_shape array<int>, radius binary, probes int, rerank int"), f"{folder}/cells")
+
+
+def _widened(spark: SparkSession, folder: str, q: Quantiser, radius: np.ndarray) -> None:
+    """Add cells and rows to what a query reads until the index, whole as it is, gives RECALL of what the exact way gives for some of its rows."""
+    rows = current(spark, f"{folder}/rows")
+    n = rows.count()
+    some = rows.filter(F.pmod(F.xxhash64("id", F.lit("recall")), F.lit(SPREAD)) < SPREAD * 4 * TRIES // max(1, n) + 1).limit(TRIES)
+    queries = saved(some.select(F.monotonically_increasing_id().alias("query_id"), "embedding"), "recall-queries")
+    exact = nearest(rows.select("id", "embedding"), queries, NEIGHBOURS)
+    last = {r["query_id"]: (r["d"], r["n"]) for r in exact.groupBy("query_id").agg(F.max("distance").alias("d"), F.count("*").alias("n")).collect()}  # TRIES rows
+    while last and (q.probes < len(q.centres) or q.rerank < n):
+        found = search(spark, folder, queries, NEIGHBOURS).select("query_id", "distance").collect()  # TRIES * NEIGHBOURS rows
+        if sum(r["distance"] <= last[r["query_id"]][0] for r in found) >= RECALL * sum(k for _, k in last.values()):
+            break
+        q.probes, q.rerank = min(len(q.centres), q.probes * 3 // 2 + 1), min(max(n, 1), q.rerank * 3)
+        _publish(spark, folder, q, radius)
 
 
 def load(spark: SparkSession, folder: str) -> tuple[Quantiser, np.ndarray]:
     r = current(spark, f"{folder}/cells").first()
     made = lambda raw, shape: np.frombuffer(bytes(raw), np.float64).reshape(shape)
-    return Quantiser(made(r["centres"], r["centres_shape"]), made(r["books"], r["books_shape"]), r["probes"]), np.frombuffer(bytes(r["radius"]), np.float64)
+    return Quantiser(made(r["centres"], r["centres_shape"]), made(r["books"], r["books_shape"]), r["probes"], r["rerank"]), np.frombuffer(bytes(r["radius"]), np.float64)
 
 
 FOUND = "_query long, id long, distance double"
@@ -169,10 +193,10 @@ def _best(found: DataFrame, top: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
 
 
-def search(spark: SparkSession, folder: str, queries: DataFrame, top: int = 10, probes: int | None = None, rerank: int = 100, exact: bool = False, most_queries: int = 2000) -> DataFrame:
+def search(spark: SparkSession, folder: str, queries: DataFrame, top: int = 10, probes: int | None = None, rerank: int | None = None, exact: bool = False, most_queries: int = 2000) -> DataFrame:
     """(query_id, id, distance, score, rank) as `nearest` gives them: nearly all of its rows, or with `exact` all of them."""
     q, radius = load(spark, folder)
-    probes = min(probes or q.probes, len(q.centres))
+    probes, rerank = min(probes or q.probes, len(q.centres)), rerank or q.rerank
     rows = current(spark, f"{folder}/rows")
     out = spark.createDataFrame([], "query_id long, id long, distance double, rank int")
     asked = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")

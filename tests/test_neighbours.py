@@ -36,3 +36,14 @@ def test_only_probed_cells_are_read(spark, rows, tmp_path):
     N.build(rows, str(tmp_path))
     plan = N.current(spark, f"{tmp_path}/rows").filter(N.F.col("cell").isin(1, 2)).select("id", "code")._jdf.queryExecution().toString()
     assert "In(cell, [1,2])" in plan and "embedding" not in plan.split("ReadSchema")[-1]
+
+
+def test_an_index_reads_more_until_it_finds_enough(spark, tmp_path):
+    """Vectors without clusters, whose few and rough codes put neighbours far behind the first hundred."""
+    x = np.random.default_rng(4).standard_normal((6000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    N.build(rows, str(tmp_path), parts=2, codes=4)
+    queries = rows.filter("id % 60 = 0").selectExpr("id as query_id", "embedding")
+    want = {(r["query_id"], r["id"]) for r in retrieval.nearest(rows, queries, 10).collect()}
+    near = {(r["query_id"], r["id"]) for r in N.search(spark, str(tmp_path), queries, 10).collect()}
+    assert len(near & want) >= 0.9 * len(want)
