@@ -756,8 +756,15 @@ LENGTHS_HEAD = sum(int(LENGTH_BITS[s]) << (3 * k) for k, s in enumerate(LENGTH_O
 
 
 def put_codes(out: Tokens, file: np.ndarray, segment: np.ndarray, lengths: np.ndarray, only: np.ndarray) -> None:
-    """A prefix code for each row, rows in the order they are written; only is the symbol of a row without lengths."""
-    used = (lengths > 0).any(1)
+    """A prefix code for each row, rows in the order they are written; only is the symbol of a row without lengths.
+
+    A lone symbol of more than 8 bits (a copy or a cached colour, in a group without literals) has no simple code: it gets one length, and still no bits.
+    """
+    far = np.flatnonzero(~lengths.any(1) & (only > 255))
+    if len(far):
+        lengths = lengths.copy()
+        lengths[far, only[far]] = 1
+    used = lengths.any(1)
     # A segment's rows are written one after the other: their tokens are put in that order by row and place.
     single = np.flatnonzero(~used)
     wide = only[single] > 1

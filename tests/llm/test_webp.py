@@ -379,6 +379,18 @@ def test_writer_and_both_readers(profile):
         assert (px.reshape(-1) == a).all()
 
 
+@pytest.mark.parametrize("cached", [False, True])
+def test_a_group_of_one_copy_or_one_cached_colour(cached):
+    """The second group's only green symbol is beyond 255, which a simple code can't hold."""
+    rows = np.random.default_rng(3).integers(0, 2**32, 16 * 16, dtype=np.uint32)
+    # Sixteen rows again are one copy; a last colour again is one of the cache, since no pair of pixels repeats.
+    px, width = (np.append(rows[:16], rows[15]), 1) if cached else (np.append(rows, rows), 16)
+    (file,) = W.write_images([px], width=width, profiles=[5])
+    assert (W.decode(file).reshape(-1) == px).all()
+    image = W.Image(file)
+    assert (W.read_entropy_image(image.bits, image.coded_width, image.height, main=True) == px).all()
+
+
 def test_code_lengths_are_complete():
     r = np.random.default_rng(5)
     counts = (r.exponential(1, (300, 408)) ** 6 * (r.random((300, 408)) < r.random((300, 1)))).astype(np.int64)
