@@ -29,8 +29,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docwright.session import own_name, table
 
-#: A generation of the cache holds so many words, and so many characters of them, besides one block's.
-CACHE_WORDS, CACHE_CHARS = 250_000, 8 << 20
+#: A generation of the cache holds so many words, and so many characters of them, besides one block's. A word and its ids take some 240 bytes.
+CACHE_WORDS, CACHE_CHARS = 100_000, 8 << 20
 FOREST = 1 << 16
 #: Words whose tree has more leaves than this for each word of that size are merged one by one.
 LONG_LEAVES = 64
@@ -235,13 +235,13 @@ class Tokenizer:
             self.ids[word] = str(i)
         fresh = []
         for w in words - self.ids.keys():
+            self.chars += len(w)
             if w in self.old:
                 self.ids[w] = self.old[w]
             else:
                 fresh.append(w)
         if fresh:
             self.learn(fresh)
-            self.chars += sum(map(len, fresh))
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by single spaces."""

@@ -74,6 +74,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Rows and bytes of an Arrow batch of texts: a task holds one batch in the JVM and one in its Python worker, besides what is made of them.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of BATCH_ROWS and some BATCH_BYTES at most, where the session doesn't set its own."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
 def own_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of df is called so in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -48,6 +49,16 @@ def test_cache_bound(monkeypatch):
     assert t.encode_batch(["some words go in and out"])[0] == first[0]
 
 
+def test_cache_counts_the_words_it_takes_over(monkeypatch):
+    monkeypatch.setattr(B, "CACHE_CHARS", 100)
+    t = B.Tokenizer(B.vocabulary())
+    words = ["".join(w) for w in itertools.product("abcdef", repeat=4)]
+    for n in range(10, 200, 10):  # words come again from the old generation, and a few new ones with them
+        for k in range(0, n, 10):
+            t.encode_batch([" ".join(words[k : k + 10])])
+            assert len(t.ids) - len(t.special) <= 40
+
+
 @pytest.mark.parametrize("long_leaves", [0, 10**9])
 def test_either_tree(library, monkeypatch, long_leaves):
     monkeypatch.setattr(B, "LONG_LEAVES", long_leaves)

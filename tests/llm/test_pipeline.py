@@ -1,8 +1,10 @@
 import hashlib
 
 import corpus_pipeline as P
+import pyarrow as pa
 from conftest_llm import SMALL
 
+from docwright import session
 from docwright.llm import bpe, linededup, ngramjoin
 
 
@@ -34,3 +36,22 @@ def test_stages_in_turn(spark):
 def test_run_odd_and_empty(spark, odd_dir, empty_dir):
     assert P.run(spark, odd_dir).count() > 0
     assert P.run(spark, empty_dir).collect() == []
+
+
+def test_stages_take_texts_in_small_batches(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    sizes = lambda: [r["n"] for r in spark.range(0, 6000, 1, 1).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in bs), "n long").collect()]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for _, make in P.STAGES:
+            for k in keys:
+                spark.conf.unset(k)
+            make(spark, docs, SMALL)
+            assert max(sizes()) <= session.BATCH_ROWS
+        spark.conf.set(keys[0], 2500)  # a session's own number holds
+        P.tokens(spark, docs, SMALL)
+        assert max(sizes()) == 2500
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
