@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from docwright.functions.text import trimmed
+from docwright.session import task_partitions
 
 #: A verbose citation, an inline marker and a sentence.
 CITED = r'(?i)\[Source:\s*([^|]+)\s*\|\s*(?:Page\s+(\d+)(?:,\s*Para\s+(\d+))?)?\s*(?:\|\s*"([^"]+)")?\s*\]'
@@ -51,37 +52,55 @@ def citable(chunks: DataFrame, threshold: float, order: str) -> DataFrame:
     return chunks.filter(F.col("score") >= threshold).withColumn("_n", last).filter("_n = 1").drop("_n")
 
 
-def placed(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Citations with the chunk_id of the chunk of the same file, page and paragraph, null where there is none; chunks has one row a place."""
-    known = chunks.select(*[F.col(c).alias(f"_{c}") for c in ("file_name", "page_number", "paragraph_number")], "chunk_id")
-    on = (F.col("file_name") == F.col("_file_name")) & F.col("page_number").eqNullSafe(F.col("_page_number")) & F.col("paragraph_number").eqNullSafe(F.col("_paragraph_number"))
-    return found.join(known, on, "left").drop("_file_name", "_page_number", "_paragraph_number")
+def _place(lone: Column | None = None) -> Column:
+    """File, page and paragraph as one key; without a file it is null, or one of `lone` that no chunk has."""
+    parts = lambda f, p, q: F.struct(f.alias("file_name"), p.alias("page_number"), q.alias("paragraph_number"))
+    own = F.when(F.col("file_name").isNotNull(), parts(F.col("file_name"), F.col("page_number"), F.col("paragraph_number")))
+    return own if lone is None else own.otherwise(parts(F.lit(None).cast("string"), lone, F.lit(None).cast("int")))
 
 
-def verified(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, n_citations, n_missing, verified): citations without a chunk of the same file, page and paragraph are missing."""
-    known = chunks.select("file_name", "page_number", "paragraph_number").distinct().withColumn("chunk_id", F.lit("known"))
-    met = placed(found, known)
-    return met.groupBy("id").agg(F.count("*").alias("n_citations"), F.count_if(F.col("chunk_id").isNull()).alias("n_missing")).withColumn("verified", F.col("n_missing") == 0)
+def _met(found: DataFrame, known: DataFrame, partitions: int) -> DataFrame:
+    """Citations with the columns of known (_place, ...), which is dealt by _place: they stream past the places of their partition and are not sorted."""
+    lone = F.pmod(F.xxhash64(*found.columns), F.lit(2**31 - 1)).cast("int")
+    return found.withColumn("_place", _place(lone)).repartition(partitions, "_place").join(known.hint("shuffle_hash"), "_place", "left").drop("_place")
 
 
-def verify(responses: DataFrame, id_col: str, text_col: str, chunks: DataFrame, threshold: float = 0.7, order: str = "position", check_sentences: bool = True, sources: DataFrame | None = None) -> DataFrame:
+def placed(found: DataFrame, chunks: DataFrame, rows: int | None = None) -> DataFrame:
+    """Citations with the chunk_id of the chunk of the same file, page and paragraph, null where there is none; chunks has one row a place.
+
+    rows: of both tables, to deal them to tasks of one size; they are counted where it isn't given.
+    """
+    n = task_partitions(found.sparkSession, found.count() + chunks.count() if rows is None else rows)
+    known = chunks.filter("file_name is not null").select(_place().alias("_place"), "chunk_id").repartition(n, "_place")
+    return _met(found, known, n)
+
+
+def verified(found: DataFrame, chunks: DataFrame, rows: int | None = None) -> DataFrame:
+    """(id, n_citations, n_missing, verified): citations without a chunk of the same file, page and paragraph are missing; rows as for `placed`."""
+    n = task_partitions(found.sparkSession, found.count() + chunks.count() if rows is None else rows)
+    known = chunks.filter("file_name is not null").select(_place().alias("_place")).repartition(n, "_place").distinct().withColumn("known", F.lit(True))
+    met = _met(found.select("id", "file_name", "page_number", "paragraph_number"), known, n).select("id", F.col("known").isNull().alias("missing")).repartition(n, "id")
+    return met.groupBy("id").agg(F.count("*").alias("n_citations"), F.count_if("missing").alias("n_missing")).withColumn("verified", F.col("n_missing") == 0)
+
+
+def verify(responses: DataFrame, id_col: str, text_col: str, chunks: DataFrame, threshold: float = 0.7, order: str = "position", check_sentences: bool = True, sources: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """(id, n_citations, n_missing, n_uncited, verified): a row for each response.
 
     Missing are citations that no chunk at or over the threshold bears out, and with `sources` also inline markers that
-    number none; uncited are sentences without a citation. A response without either is verified.
+    number none; uncited are sentences without a citation. A response without either is verified. rows: of citations and chunks, as for `placed`.
     """
     from docwright.operators.answers import with_uncited
 
     # A response is read once: its sentences are counted where it stands, and only its citations meet the chunks.
-    rows = responses.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = with_uncited(rows, "text", "uncited") if check_sentences else rows.withColumn("uncited", F.lit(0))
-    rows = rows.select("id", "uncited", F.posexplode_outer(_cited(F.col("text"))).alias("position", "c"))
-    found = placed(_read(rows, "id", "uncited"), citable(chunks, threshold, order))
+    said = responses.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    said = with_uncited(said, "text", "uncited") if check_sentences else said.withColumn("uncited", F.lit(0))
+    said = said.select("id", "uncited", F.posexplode_outer(_cited(F.col("text"))).alias("position", "c"))
+    found = placed(_read(said, "id", "uncited"), citable(chunks, threshold, order), rows)
     cited, once = F.col("position").isNotNull(), F.coalesce(F.col("position") == 0, F.lit(True))
     each = found.select("id", cited.cast("int").alias("n"), (cited & F.col("chunk_id").isNull()).cast("int").alias("missing"), F.when(once, F.col("uncited")).otherwise(0).alias("uncited"))
     if sources is not None:
         marks = inline_citations(responses, id_col, text_col, sources)
         each = each.unionByName(marks.select("id", F.lit(0).alias("n"), F.col("chunk_id").isNull().cast("int").alias("missing"), F.lit(0).alias("uncited")))
+    each = each if rows is None else each.repartition(task_partitions(each.sparkSession, rows), "id")
     out = each.groupBy("id").agg(F.sum("n").alias("n_citations"), F.sum("missing").alias("n_missing"), F.sum("uncited").alias("n_uncited"))
     return out.withColumn("verified", (F.col("n_missing") == 0) & (F.col("n_uncited") == 0))

@@ -8,7 +8,7 @@ from docwright.functions import text as T
 from docwright.operators import blocks, catalogs, citations as cites, cooccurrence, evaluation, graph, neighbours, parties, positions, prompts, retrieval, search, segments, store, tables
 from docwright.plans.oracle import SQL as OTHERS, TERMS
 from docwright.plans.queries import _benchmark
-from docwright.session import shared_dir, table
+from docwright.session import shared_dir, table, task_partitions
 
 QUERIES, SQL = {}, {}
 
@@ -80,10 +80,12 @@ def citations_verified(spark: SparkSession, d: str) -> DataFrame:
     """Responses with cited and bare sentences; of two chunks at one place the later, of a low score, would be left out and the earlier counts."""
     line = F.col("l_linenumber")
     said = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("Line "), line, F.lit(" of this order came back late. "))).otherwise(F.concat(F.lit("Line "), line, F.lit(" is here [source:part"), "l_partkey", F.lit("|Page "), line, F.lit("]. ")))
-    texts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", said.alias("s")))), lambda x: x["s"]), "").alias("text"))
-    pages = table(spark, d, "part").select(F.concat(F.lit("part"), "p_partkey").alias("file_name"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_number"), F.lit(None).cast("int").alias("paragraph_number"), F.col("p_partkey").cast("string").alias("chunk_id"), F.when(F.col("p_size") >= 10, 0.9).otherwise(0.2).alias("score"))
+    lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    rows = lines.count() + 8 * part.count()
+    texts = lines.repartition(task_partitions(spark, rows), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", said.alias("s")))), lambda x: x["s"]), "").alias("text"))
+    pages = part.select(F.concat(F.lit("part"), "p_partkey").alias("file_name"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_number"), F.lit(None).cast("int").alias("paragraph_number"), F.col("p_partkey").cast("string").alias("chunk_id"), F.when(F.col("p_size") >= 10, 0.9).otherwise(0.2).alias("score"))
     chunks = pages.withColumn("position", F.lit(1)).unionByName(pages.withColumn("position", F.lit(2)).withColumn("score", F.lit(0.1)))
-    return cites.verify(texts, "l_orderkey", "text", chunks)
+    return cites.verify(texts, "l_orderkey", "text", chunks, rows=rows)
 
 
 @_query("""SELECT l_orderkey AS id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INT AS position, l_linenumber AS source_id, CASE WHEN l_linenumber <= 3 THEN 'c' || l_linenumber END AS chunk_id FROM lineitem""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docwright.functions import text as T
 from docwright.operators import chunking, citations as cites, classifier, evaluation, extraction, retrieval, search, tables
-from docwright.session import table
+from docwright.session import table, task_partitions
 
 def _benchmark(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -129,10 +129,12 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
     item = F.struct("l_linenumber", F.concat(F.lit("Said. [Source: part"), "l_partkey", F.lit(" | Page "), "l_linenumber", F.lit("] "))).alias("i")
-    said = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["col2"]), "").alias("text"))
+    lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    rows = lines.count() + 4 * part.count()
+    said = lines.repartition(task_partitions(spark, rows), "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["col2"]), "").alias("text"))
     found = cites.citations(said, "l_orderkey", "text")
-    pages = table(spark, d, "part").filter("p_size >= 10").select(F.concat(F.lit("part"), "p_partkey").alias("file_name"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_number"), F.lit(None).cast("int").alias("paragraph_number"))
-    return cites.verified(found, pages).select(F.col("id").alias("l_orderkey"), "n_citations", "n_missing", "verified")
+    pages = part.filter("p_size >= 10").select(F.concat(F.lit("part"), "p_partkey").alias("file_name"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page_number"), F.lit(None).cast("int").alias("paragraph_number"))
+    return cites.verified(found, pages, rows).select(F.col("id").alias("l_orderkey"), "n_citations", "n_missing", "verified")
 
 
 def recall(spark: SparkSession, d: str) -> DataFrame:

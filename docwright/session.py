@@ -74,6 +74,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: So many rows go to a task where rows are dealt by a key to tasks of one size.
+TASK_ROWS = 250_000
+
+
+def task_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions of some TASK_ROWS for so many rows, and as many as run at once at least: more rows are more tasks, not larger ones."""
+    return max(min(spark.sparkContext.defaultParallelism, shuffle_partitions(spark)), -(-rows // TASK_ROWS))
+
+
 #: Rows and bytes of an Arrow batch of texts: a task holds one batch in the JVM and one in its Python worker, besides what is made of them.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

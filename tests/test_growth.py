@@ -104,3 +104,27 @@ def test_sentences_end_where_the_built_in_functions_end_them(spark):
     for text, want in (("One two. ", ["One two."]), ("One two. \n", ["One two."]), ("One two.\u0085x", []), ("Wait! No?\r\n", ["Wait!"])):
         got = [r["sentence"] for r in answers.uncited_sentences(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()]
         assert got == want
+
+
+def test_citations_meet_chunks_in_tasks_of_one_size(spark, monkeypatch):
+    """More citations are more tasks, not larger ones; nulls in a place count as before, and one place may have most citations."""
+    from docwright import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    places = [("a", 1, None), ("a", 1, 2), ("a", None, None), ("b", 3, None), ("b", 3, None), (None, 1, None), (None, None, None)]
+    chunks = spark.createDataFrame(places, "file_name string, page_number int, paragraph_number int")
+    asked = [("a", 1, None), ("a", 1, 3), ("a", None, None), (None, 1, None), ("b", 3, None), ("c", 3, None), ("b", None, 3)]
+    rows = [(i % 90, *(asked[i % 7] if i < 400 else asked[0])) for i in range(1400)]
+    found = spark.createDataFrame(rows, "id long, file_name string, page_number int, paragraph_number int")
+    known = {p for p in places if p[0] is not None}
+    want = {}
+    for i, *place in rows:
+        n, lost = want.get(i, (0, 0))
+        want[i] = n + 1, lost + (tuple(place) not in known)
+    for told in (None, 1407):
+        out = citations.verified(found, chunks, told)
+        assert out.rdd.getNumPartitions() >= 1400 // 50
+        assert sorted(map(tuple, out.collect())) == sorted((i, n, lost, lost == 0) for i, (n, lost) in want.items())
+    one = citations.placed(found, chunks.distinct().withColumn("chunk_id", F.concat_ws("|", F.lit("c"), "file_name", "page_number", "paragraph_number")))
+    assert one.columns == [*found.columns, "chunk_id"] and one.count() == 1400
+    assert all((r["chunk_id"] is None) == ((r["file_name"], r["page_number"], r["paragraph_number"]) not in known) for r in one.collect())
