@@ -243,6 +243,10 @@ class Tokenizer:
         if fresh:
             self.learn(fresh)
 
+    def forget(self) -> None:
+        """Let the words of both generations go."""
+        self.old, self.ids, self.chars = {}, {}, 0
+
     def encode_batch(self, texts: list[str]) -> list[str]:
         """The decimal ids of each text, joined by single spaces."""
         split = [self.split(t) for t in texts]
@@ -292,8 +296,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", names: tuple[str,
     return docs.select(*kept, F.col(text_col).alias(own_name(rest, "_text"))).mapInArrow(run, schema)
 
 
-def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256); the decoded text is decode() of the ids."""
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_words: bool = True) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256); the decoded text is decode() of the ids. keep_words: a worker's later tasks find the words of the earlier ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -304,6 +308,8 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 ids = t.encode_batch(texts[a:b])
                 made = [pa.array([x.count(" ") + (x != "") for x in ids], pa.int64()), pa.array([sha(x) for x in ids], pa.string()), pa.array([sha(t.decode(x)) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *made], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep_words:
+            t.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)

@@ -55,6 +55,10 @@ BROADCAST_ROWS = 250_000
 ROUNDS, CROSS_A_ROW = 2, 16
 #: So many keys are packed at once, and so many shingles give a bucket of keys.
 FLUSH_KEYS, BUCKET_WORDS, WORD_BYTES = 500_000, 8_000_000, 6
+#: A task takes so many buckets in turn, while a row of packed keys has some ROW_KEYS.
+BUCKETS_A_TASK, ROW_KEYS = 4, 1000
+#: So many keys of a bucket are sorted at once; every so manieth of a row's keys tells where to part them.
+PART_KEYS, MARK_KEYS = 65536, 256
 #: So many texts of an Arrow batch are Python objects at a time.
 PIECE_ROWS = 256
 #: So many rows of a slice are compared to so many others in one group.
@@ -181,6 +185,11 @@ def blobs(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "keys", "ids"])
 
 
+def bucket_count(partitions: int, words: int) -> int:
+    """As many as there are partitions at least; few partitions get several buckets each, as a task holds one at a time."""
+    return max(partitions, words // BUCKET_WORDS, min(BUCKETS_A_TASK * partitions, FLUSH_KEYS // ROW_KEYS))
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that not all texts of a batch and what is made of them are held at once."""
     for batch in batches:
@@ -232,20 +241,33 @@ def scan(rows: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
     return rows.select("ord_id", "t1", "t2", "_text").mapInArrow(run, SCAN)
 
 
+def ranges(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of sorted keys and their ids by ranges of keys, some PART_KEYS each, so that no copy of all of them is made."""
+    marks = np.sort(np.concatenate([k[::MARK_KEYS] for k in keys]))
+    edges = np.unique(marks[:: PART_KEYS // MARK_KEYS])[1:]
+    cuts = [[0, *np.searchsorted(k, edges), len(k)] for k in keys]
+    for i in range(len(edges) + 1):
+        yield tuple(np.concatenate([x[c[i] : c[i + 1]] for x, c in zip(each, cuts)]) for each in (keys, ids))
+
+
 def shared_keys(packed: DataFrame) -> DataFrame:
     """(key, short): the pairs whose key several sets have."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, ids = np.concatenate([unpack(x) for x in frame["keys"]]), np.concatenate([unpack(x) for x in frame["ids"]])
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-        keys, ids = keys[first], ids[first]
-        same = np.append(False, keys[1:] == keys[:-1])
-        shared = same | np.append(same[1:], False)
-        return pd.DataFrame({"key": keys[shared].view(np.int64), "short": ids[shared].view(np.int64)})
-
-    return packed.groupBy("bucket").applyInPandas(run, "key long, short long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed_keys, packed_ids = [], []
+        for batch in batches:
+            packed_keys += [unpack(x) for x in batch.column("keys").to_pylist()]
+            packed_ids += [unpack(x) for x in batch.column("ids").to_pylist()]
+        for keys, ids in ranges(packed_keys, packed_ids):
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            first = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+            keys, ids = keys[first], ids[first]
+            same = np.append(False, keys[1:] == keys[:-1])
+            shared = same | np.append(same[1:], False)
+            yield pa.RecordBatch.from_arrays([pa.array(x[shared].view(np.int64)) for x in (keys, ids)], names=["key", "short"])
+
+    return packed.groupBy("bucket").applyInArrow(run, "key long, short long")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -314,7 +336,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     rows = _document_rows(docs, id_col, text_col)
     spark = docs.sparkSession
     words = (rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]) // WORD_BYTES
-    scanned = saved(scan(rows, n, percent, max(shuffle_partitions(spark), words // BUCKET_WORDS)), "scanned")
+    scanned = saved(scan(rows, n, percent, bucket_count(shuffle_partitions(spark), words)), "scanned")
     packed = scanned.filter("keys is not null").select("bucket", "keys", "ids")
     sk = scanned.filter("keys is null").select("ord_id", "t1", "t2", "n", F.struct("hi", "lo", "n").alias("set"), "parity", "need")
     row = F.min(F.struct("ord_id", "t1", "t2")).alias("row")

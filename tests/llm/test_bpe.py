@@ -77,3 +77,11 @@ def test_word_of_a_million_letters(library):
 
 def test_empty(spark, empty_dir):
     assert B.op2_bpe(spark, empty_dir).collect() == []
+
+
+def test_words_go_when_told():
+    t = B.Tokenizer(B.vocabulary())
+    first = t.encode_batch(["some words go, and come again"])
+    t.forget()
+    assert not t.ids and not t.old and t.chars == 0
+    assert t.encode_batch(["some words go, and come again"]) == first

@@ -128,3 +128,28 @@ def test_hot_keys_are_dealt_and_blocks_meet(spark, monkeypatch):
     docs = spark.createDataFrame(rows + [(9000, "something else entirely here")], "doc_id long, text string").repartition(6)
     got = {r["ord_id"]: r["component"] for r in G.near_groups(docs, n=1, percent=90).collect()}
     assert all(got[i] == 0 for i in range(2600)) and got[9000] == 9000
+
+
+def test_a_bucket_is_sorted_in_parts(spark, monkeypatch):
+    """Pairs of shared keys don't depend on how a bucket is parted, nor on its Arrow batches, and a task has more than one bucket."""
+    r = np.random.default_rng(2)
+    rows, pairs = [], []
+    for _ in range(6):
+        k, i = r.integers(0, 900, 500, dtype=np.uint64) << np.uint64(50), r.integers(0, 40, 500, dtype=np.uint64)
+        pairs += zip(k.view(np.int64).tolist(), i.view(np.int64).tolist())
+        rows.append(G.blobs(k, i, 3))
+    got = {}
+    for most in (10**6, 64):
+        monkeypatch.setattr(G, "PART_KEYS", most)
+        monkeypatch.setattr(G, "MARK_KEYS", min(8, most))
+        packed = spark.createDataFrame([(int(b), bytes(k), bytes(i)) for f in rows for b, k, i in f.itertuples(index=False)], "bucket long, keys binary, ids binary")
+        got[most] = sorted(map(tuple, G.shared_keys(packed).collect()))
+    ids = {}
+    for k, i in pairs:
+        ids.setdefault(k, set()).add(i)
+    assert got[64] == got[10**6] and {k for k, _ in got[64]} <= {k for k, x in ids.items() if len(x) > 1}
+    monkeypatch.setattr(G, "MARK_KEYS", 8)
+    parts = list(G.ranges([np.arange(1000, dtype=np.uint64)] * 2, [np.arange(1000, dtype=np.uint64)] * 2))
+    assert max(len(k) for k, _ in parts) <= 64 + 2 * 8 and sum(len(k) for k, _ in parts) == 2000
+    assert not {int(k[-1]) for k, _ in parts[:-1]} & {int(k[0]) for k, _ in parts[1:]}
+    assert G.bucket_count(12, 0) == 48 and G.bucket_count(3000, 10**9) == 3000
