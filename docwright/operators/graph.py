@@ -188,7 +188,8 @@ def similar(asked: DataFrame, known: DataFrame, least: float, earlier: bool = Fa
     left = _subsequences(names, "name", short.select("type", F.col("l").alias("n"), "common"), parts)
     right = _subsequences(spelled, "other", short.select("type", F.col("m").alias("n"), "common"), parts)
     before = [F.col("other") < F.col("name")] if earlier else []
-    pairs = left.join(right, ["type", "key"])
+    # Spark takes exploded rows for as many as the names, and would broadcast them through the driver: they meet in a sort-merge join.
+    pairs = left.join(right.hint("merge"), ["type", "key"])
     pairs = (pairs.filter(before[0]) if before else pairs).select("type", "name", "other")
     if not long_.isEmpty():
         far = _by_letters(names.join(long_.select("type", F.col("l").alias("_n")).distinct(), (names["type"] == long_["type"]) & (F.length("name") == F.col("_n")), "left_semi"),
@@ -245,7 +246,7 @@ def _by_letters(names: DataFrame, spelled: DataFrame, ratio: float) -> DataFrame
     left = _rarest(names, "name", freq, keep("name"))
     left = left.select("type", "name", "rare", F.explode("rare").alias("b"), F.length("name").alias("l"))
     right = _rarest(spelled, "other", freq, keep("other"))
-    right = right.select(F.col("type").alias("_t"), "other", F.col("rare").alias("_rare"), F.explode("rare").alias("_b"), F.length("other").alias("_l"))
+    right = right.select(F.col("type").alias("_t"), "other", F.col("rare").alias("_rare"), F.explode("rare").alias("_b"), F.length("other").alias("_l")).hint("merge")  # exploded, as above
     first = F.get(F.array_intersect("rare", "_rare"), F.lit(0))
     near_lengths = (F.col("_l") <= F.col("l") * ratio + 1e-9) & (F.col("l") <= F.col("_l") * ratio + 1e-9)
     return left.join(right, (F.col("type") == F.col("_t")) & (F.col("b") == F.col("_b")) & near_lengths & (first == F.col("b"))).select("type", "name", "other")

@@ -199,7 +199,7 @@ def linked_or_created(mentions: DataFrame, entities: DataFrame, least: float = 0
     pairs = saved(pairs.select("type", "name", "other", "similarity"), "new-pairs")
     open_, edges, turns = new, pairs.select("type", "name", "other"), []
     while not open_.isEmpty():
-        makers = open_.join(edges, ["type", "name"], "left_anti")
+        makers = open_.join(edges.hint("merge"), ["type", "name"], "left_anti")  # pairs are many more than their file's bytes tell: never through the driver
         joins = edges.join(makers.withColumnRenamed("name", "other"), ["type", "other"], "left_semi").select("type", "name").distinct()
         decided = saved(makers.withColumn("makes", F.lit(True)).unionByName(joins.withColumn("makes", F.lit(False))), "new-state")
         before, before_edges = open_, edges

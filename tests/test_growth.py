@@ -47,6 +47,34 @@ def test_new_names_join_without_waiting(spark):
     assert {r["entity_id"] for r in got} == {1} and turns.count("new-open") == 1
 
 
+def broadcast_joins(df) -> list[str]:
+    """The keys of a plan's broadcast joins."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_exploded_names_and_pairs_are_not_broadcast(spark, tmp_path):
+    """They are many times the names whose size Spark knows, and went through the driver."""
+    spark.range(400).select(F.lit("org").alias("type"), F.format_string("quite other %05d", "id").alias("name")).write.parquet(f"{tmp_path}/n")
+    names = spark.read.parquet(f"{tmp_path}/n")
+    known = names.select("type", F.lit(1).cast("long").alias("entity_id"), F.col("name").alias("other"))
+    short = graph.similar(names, known, 0.85)
+    assert not [x for x in broadcast_joins(short) if "key#" in x] and short.count() > 400
+    more = lambda c: F.concat(F.lit("quite another and very much longer "), c)
+    far = graph.similar(names.withColumn("name", more("name")), known.withColumn("other", more("other")), 0.85)
+    assert not [x for x in broadcast_joins(far) if ", b#" in x and "_b#" in x] and far.count() > 400
+    saved, kept = parties.saved, []
+    parties.saved = lambda df, name: kept.append((name, df)) or saved(df, name)
+    try:
+        none = spark.createDataFrame([], "entity_id long, type string, name string, aliases array<string>")
+        got = parties.linked_or_created(names, none)
+        assert got.count() == 400
+    finally:
+        parties.saved = saved
+    rounds = [df for name, df in kept if name == "new-state"]
+    assert rounds and not [x for df in rounds for x in broadcast_joins(df) if "LeftAnti" in x]
+
+
 def test_pairs_that_hardly_meet_cost_no_look_into_all_chunks(spark):
     rows = spark.range(4000).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("c", (F.xxhash64("c", "k") % 60).alias("e")).localCheckpoint()
     n, _ = shuffled(spark, lambda: cooccurrence.cooccurring(rows, "c", "e", 100, 0.5).collect())
