@@ -24,11 +24,11 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n[3:]) for n in names if n.startswith("at-"))
 
 
-def publish(df: DataFrame, folder: str, keep: int = 2, partition_by: tuple[str, ...] = ()) -> None:
+def publish(df: DataFrame, folder: str, keep: int = 2, partition_by: tuple[str, ...] = (), compression: str = "snappy") -> None:
     """Make df the table's current version; the last `keep` versions stay for readers at work."""
     spark = df.sparkSession
     n = max(_versions(spark, folder), default=0) + 1
-    df.write.partitionBy(*partition_by).parquet(f"{folder}/v-{n}")
+    df.write.partitionBy(*partition_by).parquet(f"{folder}/v-{n}", compression=compression)
     fs, pointer = _fs(spark, f"{folder}/at-{n}")
     fs.create(pointer, True).close()
     for old in _versions(spark, folder)[:-keep]:

@@ -119,6 +119,14 @@ def test_heads_are_grouped_once_for_all_queries(spark, tmp_path):
     assert len(got) == 300 and n < held / 2
 
 
+def test_an_index_is_built_without_a_shuffle_of_words_or_postings(spark, tmp_path):
+    docs = spark.range(400).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), (F.col("id") * (k + 3) % 5).cast("string")) for k in range(8)]).alias("t"))
+    n, _ = shuffled(spark, lambda: blocks.build(docs, "id", ["t"], str(tmp_path)))
+    held = blocks._blocks(spark, str(tmp_path))
+    assert held.agg(F.sum("n")).first()[0] == 400 * 8
+    assert n < 400 and n < held.count() / 4
+
+
 def test_a_response_is_verified_without_a_row_a_sentence(spark):
     rows = spark.range(20).select("id", F.repeat(F.lit("This is bare. Here [Source: a | Page 1]. "), 200).alias("t"))
     chunks = spark.createDataFrame([("a", 1, None, "c", 0.9, 1)], "file_name string, page_number int, paragraph_number int, chunk_id string, score double, position int")
